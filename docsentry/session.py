@@ -20,7 +20,7 @@ def get_session(app_name: str = "docsentry", master: str | None = None, shuffle_
         .config("spark.sql.parquet.filterPushdown", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
