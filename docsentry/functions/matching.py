@@ -102,13 +102,17 @@ def prefix_sums(steps: Column) -> Column:
     )
 
 
-def match_array(text: Column, regex: Column, groups: Sequence[int] = ()) -> tuple[Column, Column]:
-    """(matches, pieces) of a regex: the two arrays offsets are computed from."""
-    return F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, F.lit(-1))
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def with_offsets(df: DataFrame, text: str, regex: Column, group_numbers: dict[str, int] | None = None) -> DataFrame:
-    """One row per match of ``regex`` in column ``text``: match_no, match, start, end (+ named groups)."""
+def with_offsets(
+    df: DataFrame, text: str, regex: Column, group_numbers: dict[str, int] | None = None, lines: bool = False
+) -> DataFrame:
+    """One row per match of ``regex`` in column ``text``: match_no, match, start, end (+ named groups).
+
+    ``lines`` also adds the 1-based ``line`` of each match, from the same kind of prefix sum.
+    """
     group_numbers = group_numbers or {}
     t = F.col(text)
     staged = df.withColumn("_m", F.regexp_extract_all(t, regex, F.lit(0))).withColumn(
@@ -122,6 +126,12 @@ def with_offsets(df: DataFrame, text: str, regex: Column, group_numbers: dict[st
         F.col("_m"), F.slice(F.col("_s"), F.lit(1), F.size("_m")), lambda m, s: F.length(m) + F.length(s)
     )
     staged = staged.withColumn("_e", prefix_sums(steps))
+    if lines:
+        breaks = F.zip_with(
+            F.col("_m"), F.slice(F.col("_s"), F.lit(1), F.size("_m")), lambda m, s: newlines(m) + newlines(s)
+        )
+        staged = staged.withColumn("_g__line", prefix_sums(breaks))
+        extra.append("_line")
     fields = [
         F.col("_m").alias("match"),
         F.col("_e").alias("end"),
@@ -135,16 +145,17 @@ def with_offsets(df: DataFrame, text: str, regex: Column, group_numbers: dict[st
         F.col("_z.match").alias("match"),
         (F.col("_z.end") - F.length("_z.match")).alias("start"),
         F.col("_z.end").alias("end"),
-        *[F.nullif(F.col(f"_z.{a}"), F.lit("")).alias(a) for a in extra],
+        *[F.nullif(F.col(f"_z.{a}"), F.lit("")).alias(a) for a in group_numbers],
+        *([(F.col("_z._line") - newlines(F.col("_z.match")) + 1).alias("line")] if lines else []),
     )
 
 
-def scan(df: DataFrame, text: str, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:
-    """Rows (keep…, text, rule fields, rule_no, match_no, match, start, end) for every match."""
+def scan(df: DataFrame, text: str, rules: Sequence[Rule], keep: Sequence[str], lines: bool = False) -> DataFrame:
+    """Rows (keep…, text, rule fields, rule_no, match_no, match, start, end[, line]) for every match."""
     cols = list(dict.fromkeys([*keep, text]))
     hits = df.select(*cols, F.explode(hit_rules(F.col(text), rules)).alias("_h"))
     flat = hits.select(*cols, F.col("_h.rule_no").alias("rule_no"), "_h.r.*")
-    return with_offsets(flat, text, F.col("regex")).drop("regex")
+    return with_offsets(flat, text, F.col("regex"), lines=lines).drop("regex")
 
 
 def context_window(text: str, start: str = "start", end: str = "end", width: int = 50) -> Column:
@@ -153,11 +164,6 @@ def context_window(text: str, start: str = "start", end: str = "end", width: int
     return F.substring(F.col(text), left + 1, F.col(end) - left + width)
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of a 0-based offset."""
-    return F.regexp_count(F.substring(text, F.lit(1), offset), F.lit("\n")) + 1
-
-
 def column_of(text: Column, offset: Column) -> Column:
     """1-based column of a 0-based offset."""
     return F.length(F.substring_index(F.substring(text, F.lit(1), offset), "\n", -1)) + 1

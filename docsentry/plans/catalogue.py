@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from . import markdown_queries, secrets_queries  # noqa: F401
+from . import findings_queries, markdown_queries, secrets_queries, structure_queries  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES  # noqa: F401
