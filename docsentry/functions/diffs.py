@@ -1,0 +1,66 @@
+"""Text comparison helpers. ``difflib`` has no column equivalent, so these are Arrow-batched UDFs over pairs of texts."""
+
+from __future__ import annotations
+
+import difflib
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# executors need no copy of this package: these small functions travel with the job
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+OPCODE_TYPE = T.ArrayType(
+    T.StructType(
+        [T.StructField("tag", T.StringType())]
+        + [T.StructField(n, T.IntegerType()) for n in ("old_start", "old_end", "new_start", "new_end")]
+        + [T.StructField("near_identical", T.BooleanType())]
+    )
+)
+NEAR_IDENTICAL = 0.8
+
+
+def near_identical(old: str, new: str) -> bool:
+    """ratio() above the threshold, asking the two cheap upper bounds first."""
+    matcher = difflib.SequenceMatcher(None, old, new)
+    return matcher.real_quick_ratio() > NEAR_IDENTICAL and matcher.quick_ratio() > NEAR_IDENTICAL and matcher.ratio() > NEAR_IDENTICAL
+
+
+def _opcodes(old: str | None, new: str | None) -> list[dict]:
+    a, b = (old or "").splitlines(), (new or "").splitlines()
+    out = []
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
+        if tag == "equal":
+            continue
+        before, after = "\n".join(a[i1:i2]), "\n".join(b[j1:j2])
+        near = tag == "replace" and bool(before) and bool(after) and near_identical(before, after)
+        out.append({"tag": tag, "old_start": i1, "old_end": i2, "new_start": j1, "new_end": j2, "near_identical": near})
+    return out
+
+
+@F.pandas_udf(OPCODE_TYPE)
+def line_opcodes(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Changed line ranges between two texts."""
+    return pd.Series([_opcodes(o, n) for o, n in zip(old, new)])
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Match ratio of the lower-cased, trimmed texts."""
+    return pd.Series(
+        [None if a is None or b is None else difflib.SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio() for a, b in zip(left, right)]
+    )
+
+
+@F.pandas_udf(T.StringType())
+def unified_diff(old: pd.Series, new: pd.Series, old_name: pd.Series, new_name: pd.Series) -> pd.Series:
+    """Unified diff as one text."""
+    return pd.Series(
+        [
+            "\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), fromfile=x, tofile=y, lineterm=""))
+            for a, b, x, y in zip(old, new, old_name, new_name)
+        ]
+    )

@@ -1,11 +1,124 @@
-"""False-positive labels, features, classifier and feedback."""
+"""False-positive classifier: labels, training, scoring, importances, feedback."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules as R
+from ..functions.scale import exact_quantiles
+from .features import finding_feature_names, finding_vector
+
 
 def labels_from_likelihood(findings: DataFrame, threshold: float = 0.7) -> DataFrame:
     """label 0 (false positive) above the threshold, else 1."""
     return findings.withColumn("label", F.when(F.col("false_positive_likelihood") > threshold, 0).otherwise(1))
+
+
+def finding_rows(findings: DataFrame, content_features: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings with the 47-value vector: content features of their document plus finding features."""
+    joined = findings.join(content_features.select(key, "features"), key)
+    remediation = F.col("remediation_suggestion") if "remediation_suggestion" in findings.columns else F.lit(None).cast("string")
+    vector = finding_vector(F.col("features"), F.col("finding_type"), F.lower("severity"), F.col("evidence"), F.col("location"), remediation)
+    return joined.withColumn("features", vector)
+
+
+def stratified_split(df: DataFrame, key: str, label: str = "label", train: float = 0.8, seed: int = 42) -> DataFrame:
+    """Adds ``is_train``: within every label the lowest 80 % of a row hash train.
+
+    The cut is an exact quantile of hashes per label, from bucketed counts, so a
+    dominant label is not sorted in one task; reruns give the same split.
+    """
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)).cast("double"))
+    cuts = exact_quantiles(hashed, [label], "_h", F.floor(F.col("_h") / float(1 << 28)), {"_cut": ("linear", train)})
+    return hashed.join(F.broadcast(cuts), label).withColumn("is_train", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+
+
+def classifier(n_trees: int = 100, max_depth: int = 10, seed: int = 42) -> Pipeline:
+    return Pipeline(
+        stages=[
+            StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True),
+            RandomForestClassifier(featuresCol="scaled", labelCol="label", numTrees=n_trees, maxDepth=max_depth, seed=seed),
+        ]
+    )
+
+
+def as_vectors(df: DataFrame) -> DataFrame:
+    return df.withColumn("vector", array_to_vector("features")).withColumn("label", F.col("label").cast("double")) if "label" in df.columns else df.withColumn("vector", array_to_vector("features"))
+
+
+def train(rows: DataFrame, n_trees: int = 100, max_depth: int = 10, seed: int = 42) -> PipelineModel:
+    return classifier(n_trees, max_depth, seed).fit(as_vectors(rows))
+
+
+def classify(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Adds tp_probability, is_true_positive and false_positive_likelihood."""
+    scored = model.transform(as_vectors(rows))
+    probability = F.get(vector_to_array("probability"), F.lit(1))
+    out = scored.withColumn("tp_probability", F.coalesce(probability, F.lit(0.0))).withColumn("is_true_positive", F.col("prediction") == 1.0)
+    return out.withColumn("false_positive_likelihood", 1 - F.col("tp_probability")).drop("vector", "scaled", "rawPrediction", "probability")
+
+
+def top_model_features(spark: SparkSession, model: PipelineModel, names: Sequence[str] | None = None, top: int = 10) -> DataFrame:
+    """The model's strongest features by importance."""
+    names = list(names or finding_feature_names())
+    values = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(names, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
+
+
+def finding_importances(top_features: Sequence[tuple[str, float]], is_true_positive: Column, columns: Sequence[str], top: int = 5) -> Column:
+    """Strongest present features of one finding: model features with a value, then type, severity and evidence."""
+    pick = lambda yes, no: F.when(is_true_positive, F.lit(yes)).otherwise(F.lit(no))
+    entry = lambda name, weight: F.struct((-weight).alias("o"), name.alias("feature"), weight.alias("importance"))
+    entries = [F.when(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) > 0, entry(F.lit(n), F.lit(float(w)))) for n, w in top_features if n in columns]
+    entries.append(entry(F.concat(F.lit("finding_type."), F.coalesce("finding_type", F.lit("unknown"))), pick(0.7, 0.3)))
+    entries.append(entry(F.concat(F.lit("severity."), F.coalesce("severity", F.lit("unknown"))), pick(0.6, 0.4)))
+    entries.append(F.when(F.coalesce(F.col("evidence"), F.lit("")) != "", entry(F.lit("has_evidence"), pick(0.8, 0.2))))
+    ranked = F.slice(F.array_sort(F.array_compact(F.array(*entries))), 1, top)
+    return F.transform(ranked, lambda s: F.struct(s["feature"].alias("feature"), s["importance"].alias("importance")))
+
+
+def search(rows: DataFrame, n_trees: Sequence[int] = (50, 100, 200), max_depth: Sequence[int] = (5, 10, 20), min_split: Sequence[int] = (1, 2, 4), folds: int = 5, parallelism: int = 4, seed: int = 42):
+    """Cross-validated grid search by F1; returns the fitted CrossValidatorModel."""
+    base = classifier(seed=seed)
+    forest = base.getStages()[-1]
+    grid = ParamGridBuilder().addGrid(forest.numTrees, list(n_trees)).addGrid(forest.maxDepth, list(max_depth)).addGrid(forest.minInstancesPerNode, list(min_split)).build()
+    evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
+    return CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, parallelism=parallelism, seed=seed).fit(as_vectors(rows))
+
+
+def valid_feedback(feedback: DataFrame, findings: DataFrame) -> DataFrame:
+    """Feedback whose finding exists."""
+    return feedback.join(findings.select("finding_id"), "finding_id", "left_semi")
+
+
+def feedback_statistics(feedback: DataFrame) -> DataFrame:
+    """Counts and rates per finding type and, where finding_type is null, overall (one rollup)."""
+    kind = F.coalesce("finding_type", F.lit("unknown")).alias("finding_type")
+    tp = F.count_if("is_true_positive")
+    total = F.count("*")
+    return feedback.rollup(kind).agg(
+        total.alias("n_feedback"), tp.alias("true_positives"), (total - tp).alias("false_positives"), (tp / total).alias("true_positive_rate"), ((total - tp) / total).alias("false_positive_rate")
+    )
+
+
+def model_performance(classified: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Accuracy against feedback; feedback without a classification still counts in the denominator of accuracy."""
+    c = classified.select("finding_id", F.col("is_true_positive").alias("_predicted"))
+    both = feedback.join(c, "finding_id", "left")
+    known, actual = F.col("_predicted").isNotNull(), F.col("is_true_positive")
+    right = known & (F.col("_predicted") == actual)
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    tp_total, fp_total = F.count_if(known & actual), F.count_if(known & ~actual)
+    return both.agg(
+        F.count("*").alias("feedback_count"), safe(F.count_if(right), F.count("*")).alias("accuracy"), safe(F.count_if(right & actual), tp_total).alias("true_positive_accuracy"),
+        safe(F.count_if(right & ~actual), fp_total).alias("false_positive_accuracy"), F.count_if(right).alias("correct_count"), tp_total.alias("true_positive_total"), fp_total.alias("false_positive_total"),
+    )
