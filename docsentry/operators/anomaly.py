@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .. import rules as R
 from ..functions.forest import TREE_SCHEMA, score_batch, tree_builder
 from ..functions.scale import exact_quantiles
+from ..session import materialize
 
 
 @dataclass
@@ -164,9 +165,14 @@ def combine(anomalies: DataFrame, outliers: DataFrame, key: str = "doc_id", top:
 
 
 def detect(features: DataFrame, key: str = "doc_id", n_trees: int = 100, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """Isolation forest and rule outliers over a feature table, combined."""
+    """Isolation forest and rule outliers over a feature table, combined.
+
+    The features are written once: fitting, scoring, the profile and the outlier
+    rules all read that table and not the texts.
+    """
+    features = materialize(features, "features")
     forest = fit_forest(features, key, n_trees, seed=seed)
-    scored = forest_scores(features, forest)
+    scored = materialize(forest_scores(features, forest), "forest-scores")
     results = anomaly_results(scored, contamination_threshold(scored, contamination=contamination).scalar())
     results = results.withColumn("contributing_features", contributing_features(F.col("is_anomaly")))
     return combine(results, rule_outliers(features, normal_profile(features)), key)

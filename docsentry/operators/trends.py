@@ -61,8 +61,10 @@ def score_anomalies(history: DataFrame, block_rows: int = 4096) -> DataFrame:
 
     Needs at least five points per URL: a fourth point counts only when a fifth
     exists, which ``lead`` tells. Rows are numbered per URL and windowed in blocks
-    with a three-row halo before and one row after, never a whole URL at once.
+    with a three-row halo, never a whole URL at once.
     """
+    if block_rows < 5:
+        raise ValueError("a block must hold the fourth and fifth point of a series")
     numbered = numbered_series(history)
     wide = with_halo(numbered, "position", 3, block_rows)
     pairs = [F.struct(F.lit("overall_risk").alias("score_type"), F.col("overall_risk_score").alias("value"))]

@@ -9,6 +9,7 @@ from ..operators import evaluate as EV
 from ..operators import false_positives as FP
 from ..operators import features as FE
 from ..operators import secrets as S
+from ..session import materialize
 from ..sinks import tables as T
 from . import derived as D
 from .registry import query
@@ -213,10 +214,10 @@ def anomaly_findings(spark, sf):
 # --- false positives ---------------------------------------------------------------------------
 def _labelled(spark, sf):
     rows = FP.finding_rows(_secret_findings(spark, sf), feature_table(spark, sf)).withColumn("finding_id", F.xxhash64("doc_id", "rule_id", "location", "detector"))
-    return rows.withColumn("label", F.when(F.col("detector") == "pattern_library", 0).otherwise(1))
+    return materialize(rows.withColumn("label", F.when(F.col("detector") == "pattern_library", 0).otherwise(1)), "labelled")
 
 
-@query("stratified_split", "ML-6", """SELECT label, count(*) AS n, ceil(count(*) * 0.8 - 0.2)::bigint AS n_train FROM (SELECT quality AS label FROM labels) GROUP BY label""")
+@query("stratified_split", "ML-6", """SELECT label, count(*) AS n, floor((count(*) - 1) * 0.8)::bigint + 1 AS n_train FROM (SELECT quality AS label FROM labels) GROUP BY label""")
 def stratified_split(spark, sf):
     rows = D.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     return FP.stratified_split(rows, "doc_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_train").alias("n_train"))

@@ -6,6 +6,7 @@ from ..operators import scoring as SCO
 from ..operators import secrets as S
 from ..operators import trends as TR
 from ..operators import versions as V
+from ..session import materialize
 from . import derived as D
 from .registry import query
 from .secrets_queries import deduped_sql
@@ -208,8 +209,8 @@ def risk_anomalies(spark, sf):
 
 @query("temporal_results", "VER-10 AGG-6 AGG-7")
 def temporal_results(spark, sf):
-    ver = version_rows(spark, sf)
-    changes = V.line_changes(V.with_texts(V.consecutive_pairs(ver), edited_documents(spark, sf)))
+    ver = materialize(version_rows(spark, sf), "versions")
+    changes = materialize(V.line_changes(V.with_texts(V.consecutive_pairs(ver), edited_documents(spark, sf))), "changes")
     latest = V.latest_versions(ver)
     history = ver.select("url", "ts", F.col("doc_id").alias("event_id"), (F.col("version_number") % 10 / 10).alias("overall_risk_score"), *[F.lit(0.0).alias(f"{c}_risk") for c in TR.COMPONENTS])
     overall = TR.trends(TR.long_series(history)).where("component = 'overall'").select("url", "direction", "strength")
