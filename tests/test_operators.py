@@ -263,9 +263,9 @@ def test_trend_without_variance(spark):
 def test_response_code_positions(spark):
     text = "See `exec(x)` and\n```python\nos.system('ls')\n```"
     rows = RSP.analyze(one(spark, "response_id int, response string", (1, text))).collect()
-    by = {(r["type"], r["subtype"]): r for r in rows}
-    assert by[("malicious_code", "pattern_1_inline")]["severity"] == "medium" and by[("malicious_code", "pattern_1_inline")]["start"] == 4
-    assert by[("malicious_code", "pattern_8")]["severity"] == "high" and by[("malicious_code", "pattern_8")]["start"] == text.index("```")
+    got = {(r["subtype"], r["severity"], r["start"]) for r in rows if r["type"] == "malicious_code"}
+    assert ("pattern_1_inline", "medium", 4) in got
+    assert ("pattern_8", "high", text.index("```")) in got
 
 
 def test_jaccard_and_intent(spark):
