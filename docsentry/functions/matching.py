@@ -71,9 +71,13 @@ def _rule_struct(rule: Rule) -> Column:
     )
 
 
-def hit_rules(text: Column, rules: Sequence[Rule]) -> Column:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, where a column cannot be staged in its own projection."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hit_rules(text: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
     """Array of rule structs (in rule order) with at least one match in ``text``."""
-    lowered = F.lower(text)
     tests = [
         F.when(gate_column(lowered, r) & text.rlike(r.java_pattern), F.struct(F.lit(i).alias("rule_no"), _rule_struct(r).alias("r")))
         for i, r in enumerate(rules)
@@ -106,13 +110,10 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def with_offsets(
+def with_match_array(
     df: DataFrame, text: str, regex: Column, group_numbers: dict[str, int] | None = None, lines: bool = False
 ) -> DataFrame:
-    """One row per match of ``regex`` in column ``text``: match_no, match, start, end (+ named groups).
-
-    ``lines`` also adds the 1-based ``line`` of each match, from the same kind of prefix sum.
-    """
+    """Adds ``_z``: array<struct<match, end[, groups…][, _line]>> of the matches of ``regex`` in ``text``."""
     group_numbers = group_numbers or {}
     t = F.col(text)
     staged = df.withColumn("_m", F.regexp_extract_all(t, regex, F.lit(0))).withColumn(
@@ -137,8 +138,19 @@ def with_offsets(
         F.col("_e").alias("end"),
         *[F.col(f"_g_{a}").alias(a) for a in extra],
     ]
-    zipped = F.arrays_zip(*fields)
-    out = staged.select(*df.columns, F.posexplode(zipped).alias("match_no", "_z"))
+    return staged.select(*df.columns, F.arrays_zip(*fields).alias("_z"))
+
+
+def with_offsets(
+    df: DataFrame, text: str, regex: Column, group_numbers: dict[str, int] | None = None, lines: bool = False
+) -> DataFrame:
+    """One row per match of ``regex`` in column ``text``: match_no, match, start, end (+ named groups).
+
+    ``lines`` also adds the 1-based ``line`` of each match, from the same kind of prefix sum.
+    """
+    group_numbers = group_numbers or {}
+    found = with_match_array(df, text, regex, group_numbers, lines)
+    out = found.select(*df.columns, F.posexplode("_z").alias("match_no", "_z"))
     return out.select(
         *df.columns,
         "match_no",
@@ -153,7 +165,9 @@ def with_offsets(
 def scan(df: DataFrame, text: str, rules: Sequence[Rule], keep: Sequence[str], lines: bool = False) -> DataFrame:
     """Rows (keep…, text, rule fields, rule_no, match_no, match, start, end[, line]) for every match."""
     cols = list(dict.fromkeys([*keep, text]))
-    hits = df.select(*cols, F.explode(hit_rules(F.col(text), rules)).alias("_h"))
+    # the lower-cased text is its own projection: every gate reads it, none recomputes it
+    staged = df.select(*cols, F.lower(text).alias("_lower"))
+    hits = staged.select(*cols, F.explode(hit_rules(F.col(text), F.col("_lower"), rules)).alias("_h"))
     flat = hits.select(*cols, F.col("_h.rule_no").alias("rule_no"), "_h.r.*")
     return with_offsets(flat, text, F.col("regex"), lines=lines).drop("regex")
 

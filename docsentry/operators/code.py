@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.matching import Rule, column_of, newlines, scan, with_offsets
+from ..functions.matching import Rule, column_of, newlines, scan, with_match_array, with_offsets
+from ..session import materialize
 from . import gates
-from .parse import code_blocks
+from .parse import FENCE, code_blocks, strip
 
 FINDING_COLUMNS = ("rule_id", "path", "start_line", "start_col", "end_line", "end_col", "message", "category", "priority", "severity")
 
@@ -70,9 +71,9 @@ def block_findings(blocks: DataFrame, rules: DataFrame, doc_id: str = "doc_id")
     )
 
 
-def fallback_findings(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fallback_findings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", complex_only: bool = True) -> DataFrame:
     """Five content patterns with line and column, plus a marker row, for documents too complex for the rules."""
-    complex_docs = df.where(gates.is_complex(F.col(text)))
+    complex_docs = df.where(gates.is_complex(F.col(text))) if complex_only else df
     hits = scan(complex_docs, text, R.FALLBACK_RULES, [doc_id], lines=True)
     snippet = F.when(F.length("match") > 100, F.concat(F.substring("match", 1, 100), F.lit("..."))).otherwise(F.col("match"))
     path = F.concat(F.lit("item-"), F.col(doc_id).cast("string"))
@@ -135,16 +136,38 @@ def stored_or_parsed_blocks(docs: DataFrame, stored: DataFrame, text: str = "tex
     return stored.select(*parsed.columns).unionByName(parsed)
 
 
+def code_facts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """What the code rules need from each document, in one pass: sizes, broken limit, blocks, and the text only if complex."""
+    t = F.col(text)
+    gated = df.select(doc_id, text, F.length(t).alias("n_chars"), gates.line_count(t).alias("n_lines"), gates.limit_rule(t).alias("broken_limit"), gates.is_complex(t).alias("is_complex"))
+    found = with_match_array(gated, text, F.lit(FENCE), {"info": 1, "code": 2}, lines=True)
+    within = F.col("broken_limit").isNull()
+    blocks = F.transform(
+        "_z",
+        lambda z, i: F.struct(
+            i.alias("block_no"),
+            F.coalesce(F.nullif(strip(z["info"]), F.lit("")), F.lit("text")).alias("language"),
+            z["code"].alias("code"),
+            (z["_line"] - newlines(z["match"]) + 1).alias("line_start"),
+        ),
+    )
+    return found.select(doc_id, "n_chars", "n_lines", "broken_limit", F.when(within, blocks).alias("blocks"), F.when(within & F.col("is_complex"), t).alias(text))
+
+
 def static_findings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: DataFrame | None = None) -> DataFrame:
-    """The whole code-rule family: limit gate first, then block rules, fallback scan and limit findings."""
+    """The whole code-rule family: limit gate first, then block rules, fallback scan and limit findings.
+
+    The corpus is read once; its facts go to shared storage and the three branches read those.
+    """
     rules = rules if rules is not None else rule_table(df.sparkSession)
-    within = df.where(gates.limit_rule(F.col(text)).isNull())
-    block_rows = block_findings(code_blocks(within, text, (doc_id,)), rules, doc_id)
-    limits = gates.limit_findings(df, text, doc_id).select(
+    facts = materialize(code_facts(df, text, doc_id), "code-facts")
+    block_rows = block_findings(facts.select(doc_id, F.inline("blocks")), rules, doc_id)
+    fallback = fallback_findings(facts.where(F.col(text).isNotNull()).select(doc_id, text), text, doc_id, complex_only=False)
+    limits = gates.limit_findings(facts, doc_id).select(
         "*",
         F.concat(F.lit("item-"), F.col(doc_id).cast("string")).alias("path"),
         *[F.lit(1).alias(c) for c in ("start_line", "start_col", "end_line", "end_col")],
         priority_severity(F.col("priority")).alias("severity"),
     )
-    everything = block_rows.unionByName(fallback_findings(within, text, doc_id), allowMissingColumns=True)
+    everything = block_rows.unionByName(fallback, allowMissingColumns=True)
     return dedup(everything.unionByName(limits, allowMissingColumns=True), doc_id)

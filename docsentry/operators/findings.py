@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import code, markdown, secrets, signatures
+from .. import rules as R
+from ..functions.matching import Rule, scan
+from ..session import materialize
+from . import code, secrets, signatures
 from .gates import severity_rank
 
 COLUMNS = ("doc_id", "detector", "finding_type", "rule_id", "severity", "description", "location", "evidence", "start", "line")
@@ -24,13 +28,37 @@ def _shape(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(types.get(c, "string")).alias(c) for c in COLUMNS])
 
 
+def match_table(docs: DataFrame, text: str = "text", extra: Sequence[Rule] = ()) -> DataFrame:
+    """Accepted matches of every pattern detector from one pass over the text.
+
+    All rule families share one projection. The result holds matches only, so
+    whatever follows (normalising, grouping, deduplication) never reads a text again.
+    """
+    rules = (*R.SECRET_RULES, *R.MARKDOWN_RULES, *signatures.signature_rules(), *extra)
+    found = scan(docs, text, rules, ["doc_id"])
+    secret = F.col("family").isin(*R.SECRET_FINDING_TYPES)
+    keep = ~secret | secrets.accepted(F.col("rule_name"), F.col("match"), F.col(text), F.col("start"))
+    byte_offset = F.when(F.col("family").isin(*R.SIGNATURES), F.octet_length(F.substring(F.col(text), F.lit(1), F.col("start"))))
+    return found.where(keep).select("doc_id", "family", "rule_name", "rule_no", "match_no", "severity", "match", "start", "end", byte_offset.alias("offset"))
+
+
 def all_findings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every detector over (doc_id, text): secrets, markdown, signatures and code rules."""
-    secret = secrets.secret_findings(docs, text)
-    marked = markdown.content_findings(docs, text).select(
+    """Every detector over (doc_id, text): secrets, markdown, signatures and code rules.
+
+    Two passes over the corpus in all: one for the pattern families, one for
+    code. Both leave small tables on shared storage that the detectors branch from.
+    """
+    matches = materialize(match_table(docs, text), "matches")
+    family = F.col("family")
+    secret = secrets.dedup(
+        secrets.normalize(
+            matches.where(family.isin(*R.SECRET_FINDING_TYPES)).select("doc_id", family.alias("detector"), "rule_no", "match_no", F.col("rule_name").alias("name"), "match", "start", "end")
+        )
+    )
+    marked = matches.where(family.isin("xss", "prompt_injection", "behavior_manipulation")).select(
         "doc_id",
         F.lit("markdown").alias("detector"),
-        F.concat(F.lit("markdown_"), F.col("family")).alias("finding_type"),
+        F.concat(F.lit("markdown_"), family).alias("finding_type"),
         F.col("rule_name").alias("rule_id"),
         "severity",
         F.concat(F.lit("Pattern matched: "), F.col("rule_name")).alias("description"),
@@ -38,15 +66,19 @@ def all_findings(docs: DataFrame, text: str = "text") -> DataFrame:
         F.col("match").alias("evidence"),
         "start",
     )
-    signed = signatures.signature_findings(signatures.signature_matches(docs, text)).select(
+    strings = matches.where(family.isin(*R.SIGNATURES)).select(
+        "doc_id", family.alias("rule_name"), F.col("rule_name").alias("identifier"), "offset", F.col("match").alias("data"), F.col("match").alias("excerpt")
+    )
+    first = F.get("strings", F.lit(0))
+    signed = signatures.signature_findings(strings).select(
         "doc_id",
         F.lit("signature").alias("detector"),
         F.concat(F.lit("pattern_"), F.col("threat")).alias("finding_type"),
         F.col("rule_name").alias("rule_id"),
         F.initcap(F.col("meta")["severity"]).alias("severity"),
         F.col("meta")["description"].alias("description"),
-        F.concat(F.lit("offset:"), F.get("strings", F.lit(0))["offset"].cast("string")).alias("location"),
-        F.get("strings", F.lit(0))["data"].alias("evidence"),
+        F.concat(F.lit("offset:"), first["offset"].cast("string")).alias("location"),
+        first["data"].alias("evidence"),
     )
     static = code.static_findings(docs, text).select(
         "doc_id",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.matching import any_of, let
 
 
 def literal_count(text: Column, literal: str) -> Column:
@@ -71,16 +72,16 @@ def balance_by_cost(df: DataFrame, text: str, language: Column, partitions: int)
     return df.repartition(partitions, cost_class, salt)
 
 
-def limit_findings(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One Performance finding per document over a limit; those documents skip the code rules."""
-    t = F.col(text)
-    rule = limit_rule(t)
-    size = F.when(
-        F.col("rule_id") == "content_size_limit_exceeded",
-        F.concat(F.lit("Content size ("), F.col("_chars").cast("string"), F.lit(f" bytes) exceeds maximum allowed size ({R.MAX_CONTENT_CHARS} bytes)")),
-    ).otherwise(F.concat(F.lit("Content line count ("), F.col("_lines").cast("string"), F.lit(f") exceeds maximum allowed lines ({R.MAX_CONTENT_LINES})")))
-    flagged = df.select(doc_id, rule.alias("rule_id"), F.length(t).alias("_chars"), line_count(t).alias("_lines")).where("rule_id IS NOT NULL")
-    return flagged.select(doc_id, "rule_id", F.lit("Performance").alias("category"), F.lit("Medium").alias("priority"), size.alias("message"))
+def limit_findings(facts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One Performance finding per document over a limit, from (n_chars, n_lines, broken_limit); those skip the code rules."""
+    n = lambda c: F.col(c).cast("string")
+    message = F.when(
+        F.col("broken_limit") == "content_size_limit_exceeded",
+        F.concat(F.lit("Content size ("), n("n_chars"), F.lit(f" bytes) exceeds maximum allowed size ({R.MAX_CONTENT_CHARS} bytes)")),
+    ).otherwise(F.concat(F.lit("Content line count ("), n("n_lines"), F.lit(f") exceeds maximum allowed lines ({R.MAX_CONTENT_LINES})")))
+    return facts.where("broken_limit IS NOT NULL").select(
+        doc_id, F.col("broken_limit").alias("rule_id"), F.lit("Performance").alias("category"), F.lit("Medium").alias("priority"), message.alias("message")
+    )
 
 
 def severity_rank(severity: Column) -> Column:
@@ -95,8 +96,4 @@ def above_threshold(severity: Column, threshold: str) -> Column:
 
 def mentions_any(text: Column, keywords: list[str]) -> Column:
     """Any keyword in the text, ignoring case."""
-    lowered = F.lower(text)
-    out = F.lit(False)
-    for word in keywords:
-        out = out | F.contains(lowered, F.lit(word.lower()))
-    return out
+    return let(F.lower(text), lambda lowered: any_of(lowered, [k.lower() for k in keywords]))

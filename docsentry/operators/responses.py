@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.diffs import similarity
-from ..functions.matching import context_window, scan, with_offsets
+from ..functions.matching import any_of, context_window, let, scan, with_offsets
 
 FENCED = r"(?ds)```(?:\w+)?\n(.*?)\n```"
 INLINE = r"`([^`]+)`"
@@ -154,14 +154,14 @@ def overall_similarity(pairs: DataFrame, by_profile: DataFrame, dominant1: DataF
 
 def prompt_intent(prompt: Column) -> Column:
     """injection, credential or code request by keyword; first class that hits."""
-    lowered = F.lower(prompt)
-    out = F.when(F.lit(False), F.lit(""))
-    for intent, words in R.INTENT_KEYWORDS:
-        test = F.lit(False)
-        for w in words:
-            test = test | F.contains(lowered, F.lit(w))
-        out = out.when(test, F.lit(intent))
-    return out.otherwise(F.lit("default"))
+
+    def intent(lowered: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for name, words in R.INTENT_KEYWORDS:
+            out = out.when(any_of(lowered, words), F.lit(name))
+        return out.otherwise(F.lit("default"))
+
+    return let(F.lower(prompt), intent)
 
 
 def sessions(turns: DataFrame, session: str = "conv_id", at: str = "ts") -> DataFrame:

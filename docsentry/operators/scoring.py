@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.matching import let
 from ..functions.patterns import java
 
 
@@ -73,17 +74,17 @@ def classify(score: Column, thresholds: dict | None = None) -> Column:
 
 def categories(description: Column, taxonomy: dict | None = None) -> Column:
     """Categories whose keywords occur in the description, or [uncategorized]; the first is primary."""
-    lowered = F.lower(description)
-    hits = []
-    for category, words in (taxonomy or R.CATEGORY_KEYWORDS).items():
-        test = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w.lower())) for w in words])
-        hits.append(F.when(test, F.lit(category)))
-    found = F.array_compact(F.array(*hits))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("uncategorized")))
 
+    def hits(lowered: Column) -> Column:
+        tests = [(c, reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w.lower())) for w in words])) for c, words in (taxonomy or R.CATEGORY_KEYWORDS).items()]
+        return F.array_compact(F.array(*[F.when(test, F.lit(c)) for c, test in tests]))
 
-def purpose_scores(content: Column, purposes: dict | None = None) -> list[tuple[str, Column]]:
-    lowered = F.lower(content)
+    found = let(F.lower(description), hits)
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("uncategorized"))))
+
+
+def purpose_scores(content: Column, lowered: Column, purposes: dict | None = None) -> list[tuple[str, Column]]:
+    """(purpose, (keyword hits + 2 · pattern hits) · weight) in definition order."""
     out = []
     for name, (weight, words, patterns) in (purposes or R.PURPOSES).items():
         hits = reduce(lambda a, b: a + b, [F.contains(lowered, F.lit(w.lower())).cast("int") for w in words])
@@ -95,12 +96,13 @@ def purpose_scores(content: Column, purposes: dict | None = None) -> list[tuple[
 
 def top_purposes(content: Column, n: int = 1, purposes: dict | None = None) -> Column:
     """The n best purposes by score, ties in definition order; [unknown] when nothing hits."""
-    scored = [
-        F.when(score > 0, F.struct((-score).alias("o"), F.lit(i).alias("i"), F.lit(name).alias("name")))
-        for i, (name, score) in enumerate(purpose_scores(content, purposes))
-    ]
-    ranked = F.transform(F.slice(F.array_sort(F.array_compact(F.array(*scored))), 1, n), lambda s: s["name"])
-    return F.when(F.size(ranked) > 0, ranked).otherwise(F.array(F.lit("unknown")))
+
+    def scored(lowered: Column) -> Column:
+        rows = [F.struct((-score).alias("o"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, score) in enumerate(purpose_scores(content, lowered, purposes))]
+        return F.filter(F.array(*rows), lambda s: s["o"] < 0)
+
+    ranked = F.transform(F.slice(F.array_sort(let(F.lower(content), scored)), 1, n), lambda s: s["name"])
+    return let(ranked, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(F.lit("unknown"))))
 
 
 def fallback_reputation(domain: Column) -> Column:
@@ -169,6 +171,11 @@ def adjust(score: Column, reputation: Column, purposes: Column, is_novel: Column
     return clamp(score * by_reputation * by_purpose * by_novelty * by_status * by_similarity)
 
 
+def document_purposes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3) -> DataFrame:
+    """(key, content_purposes) per document."""
+    return docs.select(key, top_purposes(F.col(text), n).alias("content_purposes"))
+
+
 def finding_dimensions(severity: Column, detector: Column, confidence: Column) -> Column:
     """Dimension scores of a detected finding: impact, likelihood, exposure."""
     return F.create_map(
@@ -179,12 +186,15 @@ def finding_dimensions(severity: Column, detector: Column, confidence: Column) -
 def assess(findings: DataFrame, baseline: DataFrame, known_domains: DataFrame | None = None) -> DataFrame:
     """Full assessment per finding.
 
-    Expects: description, evidence_items, scores, content, domain, context_id and
-    the baseline key columns. Returns both confidences, the aggregate and adjusted
-    score, severity, categories and the context that was used.
+    Expects: description, evidence_items, scores, domain, context_id, the baseline
+    key columns and content_purposes (from ``document_purposes``: texts are reduced
+    to purposes before any join). Without that column the description decides.
+    Returns both confidences, the aggregate and adjusted score, severity,
+    categories and the context that was used.
     """
     out = compare_baseline(with_reputation(findings, known_domains), baseline)
-    out = out.withColumn("content_purposes", top_purposes(F.coalesce("content", "description"), 3)).drop("content")
+    own = top_purposes(F.col("description"), 3)
+    out = out.withColumn("content_purposes", F.coalesce(F.col("content_purposes"), own) if "content_purposes" in findings.columns else own)
     out = out.withColumn("assessor_confidence", evidence_confidence(F.col("evidence_items"), R.ASSESSOR_RELIABILITY))
     out = out.withColumn("model_confidence", evidence_confidence(F.col("evidence_items")))
     out = out.withColumn("aggregate_score", aggregate_score(F.col("scores"), F.col("model_confidence")))

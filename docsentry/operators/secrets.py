@@ -41,23 +41,22 @@ def severity(detector: Column, type_name: Column) -> Column:
     return out.when(detector.isin(*R.SECRET_SEVERITY_KEYWORDS), F.lit("Low")).otherwise(F.lit("Medium"))
 
 
+def accepted(name: Column, match: Column, text: Column, start: Column) -> Column:
+    """Context checks: base64 must be plausible; e-mails and JWT secrets in what looks like a comment are rejected."""
+    return (
+        F.when(name == "Base64-Encoded Token", plausible_base64(match))
+        .when(name.isin("Email Address", "JWT Secret"), ~in_comment(text, start))
+        .otherwise(F.lit(True))
+    )
+
+
 def raw_matches(
     df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = R.SECRET_RULES
 ) -> DataFrame:
-    """Every accepted match of the secret rules, with the text dropped.
-
-    Context checks run where the text still is: base64 plausibility, and e-mail
-    addresses or JWT secrets inside what looks like a comment are rejected.
-    """
+    """Every accepted match of the secret rules; checks run where the text still is, then the text is dropped."""
     found = scan(df, text, rules, keep)
-    name, commented = F.col("rule_name"), in_comment(F.col(text), F.col("start"))
-    keep_row = (
-        F.when(name == "Base64-Encoded Token", plausible_base64(F.col("match")))
-        .when(name.isin("Email Address", "JWT Secret"), ~commented)
-        .otherwise(F.lit(True))
-    )
-    return found.where(keep_row).select(
-        *keep, F.col("family").alias("detector"), "rule_no", "match_no", name.alias("name"), "match", "start", "end"
+    return found.where(accepted(F.col("rule_name"), F.col("match"), F.col(text), F.col("start"))).select(
+        *keep, F.col("family").alias("detector"), "rule_no", "match_no", F.col("rule_name").alias("name"), "match", "start", "end"
     )
 
 

@@ -11,6 +11,7 @@ from .. import rules as R
 from ..functions.diffs import line_opcodes, unified_diff
 from ..functions.patterns import java
 from ..functions.scale import exact_quantiles, row_numbers
+from ..session import wide_partitions
 from .markdown import lines
 
 
@@ -86,9 +87,15 @@ def suspicious_patterns(text: Column) -> Column:
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds old_text and new_text; joins are on the unique doc_id, so no key is hot."""
+    """Adds old_text and new_text; joins are on the unique doc_id, so no key is hot.
+
+    The id pairs are spread by new_doc_id with an explicit width first. The join
+    needs that exchange anyway, it moves ids only, and the comparison that
+    follows keeps all its tasks however few bytes the ids are.
+    """
+    spread = pairs.repartition(wide_partitions(docs.sparkSession), "new_doc_id")
     text = docs.select("doc_id", "text")
-    return pairs.join(text.withColumnsRenamed({"doc_id": "new_doc_id", "text": "new_text"}), "new_doc_id").join(
+    return spread.join(text.withColumnsRenamed({"doc_id": "new_doc_id", "text": "new_text"}), "new_doc_id").join(
         text.withColumnsRenamed({"doc_id": "old_doc_id", "text": "old_text"}), "old_doc_id"
     )
 

@@ -170,7 +170,7 @@ def risk_assessment(spark, sf):
     found = _findings(spark, sf)
     sources = F.create_map(*[F.lit(x) for kv in R.DETECTOR_SOURCE.items() for x in kv])
     item = F.struct(sources[F.col("detector")].alias("source"), ((F.length("evidence") % 10) / 10.0).alias("strength"))
-    ready = found.join(D.markdown(spark, sf).select("doc_id", F.col("text").alias("content")), "doc_id").withColumn("evidence_items", F.array(item))
+    ready = found.join(SCO.document_purposes(D.markdown(spark, sf)), "doc_id").withColumn("evidence_items", F.array(item))
     ready = ready.withColumn("domain", F.expr("CASE doc_id % 3 WHEN 0 THEN 'x.gov' WHEN 1 THEN 'y.xyz' ELSE 'z.com' END"))
     ready = ready.withColumn("scores", SCO.finding_dimensions(F.col("severity"), F.col("detector"), SCO.evidence_confidence(F.col("evidence_items"))))
     out = SCO.assess(ready, _baseline(found))

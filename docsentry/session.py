@@ -26,6 +26,15 @@ def get_session(app_name: str = "docsentry", master: str | None = None, shuffle_
     return builder.getOrCreate()
 
 
+def wide_partitions(spark: SparkSession) -> int:
+    """Partition count for CPU-heavy stages: the configured shuffle width, at least one per core.
+
+    An explicit count also keeps adaptive execution from merging such a stage
+    into few tasks because its bytes are small.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 

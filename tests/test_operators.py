@@ -350,3 +350,24 @@ def test_custom_patterns_reject_bad_regexes(spark):
     assert [r.name for r in good] == ["a"] and [b["id"] for b in bad] == ["b", "c", "d"]
     rows = PL.custom_pattern_findings(one(spark, "doc_id int, text string", (1, "a\nxx")), [{"id": "a", "regex": "x+", "severity": "low"}]).collect()
     assert [(r["type"], r["severity"], r["line"], r["match"]) for r in rows] == [("a", "LOW", 2, "xx")]
+
+
+def test_limits_route_before_rules(spark):
+    docs = one(spark, "doc_id int, text string", (1, "a\n" * 10001), (2, "```py\neval(x)\n```"), (3, "```py\neval(x)\n```\n" * 11))
+    got = {}
+    for r in C.static_findings(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["rule_id"])
+    assert got == {1: {"content_line_limit_exceeded"}, 2: {"python.eval.injection"}, 3: {"python.eval.injection", "dangerous_function", "alternative_analysis_used"}}
+
+
+def test_all_findings_equal_the_single_detectors(spark, sf):
+    from docsentry.plans import derived as D
+
+    docs = D.markdown(spark, sf).select("doc_id", "text")
+    found = FD.all_findings(docs)
+    counts = {r["detector"]: r["count"] for r in found.groupBy("detector").count().collect()}
+    assert counts["markdown"] == M.content_findings(docs).count()
+    assert counts["signature"] == SIG.signature_findings(SIG.signature_matches(docs)).count()
+    secret = S.secret_findings(docs).select("doc_id", "rule_id", "location", "description")
+    assert secret.exceptAll(found.select("doc_id", "rule_id", "location", "description")).count() == 0
+    assert sum(counts[d] for d in ("trufflehog", "pattern_library", "sensitive_detector")) == secret.count()
