@@ -47,6 +47,11 @@ def line_opcodes(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([_opcodes(o, n) for o, n in zip(old, new)])
 
 
+# results are exploded: a deterministic UDF would be copied into the size filter
+# the optimizer infers for that, and every pair would be compared twice
+line_opcodes = line_opcodes.asNondeterministic()
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Match ratio of the lower-cased, trimmed texts."""

@@ -110,10 +110,15 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def with_match_array(
+def staged_matches(
     df: DataFrame, text: str, regex: Column, group_numbers: dict[str, int] | None = None, lines: bool = False
-) -> DataFrame:
-    """Adds ``_z``: array<struct<match, end[, groups…][, _line]>> of the matches of ``regex`` in ``text``."""
+) -> tuple[DataFrame, Column]:
+    """A frame with the parts of all matches staged, and array<struct<match, end[, groups…][, _line]>> over them.
+
+    Generators must take the returned column itself. Exploding a named column
+    makes the optimizer infer a size filter on it and push that below the
+    projection, which would run every regex again.
+    """
     group_numbers = group_numbers or {}
     t = F.col(text)
     staged = df.withColumn("_m", F.regexp_extract_all(t, regex, F.lit(0))).withColumn(
@@ -138,7 +143,7 @@ def with_match_array(
         F.col("_e").alias("end"),
         *[F.col(f"_g_{a}").alias(a) for a in extra],
     ]
-    return staged.select(*df.columns, F.arrays_zip(*fields).alias("_z"))
+    return staged, F.arrays_zip(*fields)
 
 
 def with_offsets(
@@ -149,8 +154,8 @@ def with_offsets(
     ``lines`` also adds the 1-based ``line`` of each match, from the same kind of prefix sum.
     """
     group_numbers = group_numbers or {}
-    found = with_match_array(df, text, regex, group_numbers, lines)
-    out = found.select(*df.columns, F.posexplode("_z").alias("match_no", "_z"))
+    staged, matches = staged_matches(df, text, regex, group_numbers, lines)
+    out = staged.select(*df.columns, F.posexplode(matches).alias("match_no", "_z"))
     return out.select(
         *df.columns,
         "match_no",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.matching import Rule, column_of, newlines, scan, with_match_array, with_offsets
+from ..functions.matching import Rule, column_of, newlines, scan, staged_matches, with_offsets
 from ..session import materialize
 from . import gates
 from .parse import FENCE, code_blocks, strip
@@ -140,10 +140,10 @@ def code_facts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """What the code rules need from each document, in one pass: sizes, broken limit, blocks, and the text only if complex."""
     t = F.col(text)
     gated = df.select(doc_id, text, F.length(t).alias("n_chars"), gates.line_count(t).alias("n_lines"), gates.limit_rule(t).alias("broken_limit"), gates.is_complex(t).alias("is_complex"))
-    found = with_match_array(gated, text, F.lit(FENCE), {"info": 1, "code": 2}, lines=True)
+    found, matches = staged_matches(gated, text, F.lit(FENCE), {"info": 1, "code": 2}, lines=True)
     within = F.col("broken_limit").isNull()
     blocks = F.transform(
-        "_z",
+        matches,
         lambda z, i: F.struct(
             i.alias("block_no"),
             F.coalesce(F.nullif(strip(z["info"]), F.lit("")), F.lit("text")).alias("language"),

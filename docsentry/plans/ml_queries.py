@@ -306,7 +306,7 @@ def _accuracy_inputs(spark, sf):
 
     found = S.secret_findings(D.markdown(spark, sf)).select(F.col("doc_id").alias("case_id"), F.col("finding_type").alias("type"), "description", F.col("evidence").alias("content"), "severity", "start", "rule_no", "match_no")
     actual = row_numbers(found, ["case_id"], F.lit(0), [F.col("start"), F.col("rule_no"), F.col("match_no")], "actual_no")
-    actual = actual.withColumns({"details": F.lit(None).cast("string"), "code": F.lit(None).cast("string")})
+    actual = materialize(actual.withColumns({"details": F.lit(None).cast("string"), "code": F.lit(None).cast("string")}), "actual")
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"))
     k = F.col("case_id") % 13
     item = lambda n, t, s, p: F.struct(F.lit(n).alias("expected_no"), F.lit(t).alias("type"), F.lit(s).alias("severity"), F.lit(p).cast("string").alias("pattern"))

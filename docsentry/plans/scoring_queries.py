@@ -8,6 +8,7 @@ from ..operators import augment as AU
 from ..operators import responses as RSP
 from ..operators import scoring as SCO
 from ..operators import secrets as S
+from ..session import materialize
 from . import derived as D
 from .registry import query
 from .secrets_queries import deduped_sql
@@ -115,7 +116,8 @@ _BASE_SQL = f"(SELECT file_path AS context_id, {_KEY_SQL} AS k, arg_min(coalesce
 
 def _findings(spark, sf):
     found = S.secret_findings(D.markdown(spark, sf), keep=("doc_id", "source"))
-    return found.select("doc_id", "rule_id", "finding_type", "severity", "detector", "description", "evidence", F.col("start").alias("line"), F.col("source").alias("file_path"), F.col("source").alias("context_id"))
+    rows = found.select("doc_id", "rule_id", "finding_type", "severity", "detector", "description", "evidence", F.col("start").alias("line"), F.col("source").alias("file_path"), F.col("source").alias("context_id"))
+    return materialize(rows, "findings")
 
 
 def _baseline(found):

@@ -95,8 +95,8 @@ _H, _LI = sql_str(P.HEADING.replace("(?d)", "")), sql_str(P.LIST_ITEM.replace("(
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS position, type, level, text FROM u""",
 )
 def document_structure(spark, sf):
-    docs = D.markdown(spark, sf).select("doc_id", P.structure(F.col("text")).alias("s"))
-    return docs.select("doc_id", F.posexplode("s").alias("position", "e")).select("doc_id", "position", "e.type", "e.level", "e.text")
+    docs = D.markdown(spark, sf)
+    return docs.select("doc_id", F.posexplode(P.structure(F.col("text"))).alias("position", "e")).select("doc_id", "position", "e.type", "e.level", "e.text")
 
 
 @query(
