@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def broadcast_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Broadcast hint for a configuration table, only after its size is checked; beyond the bound Spark joins as usual."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], totals: dict[str, Column]
 ) -> DataFrame:
@@ -20,28 +25,22 @@ def running_totals(
 
     ``bucket`` must never decrease along ``order``. Rows of one (key, bucket) are
     sorted together; the per-bucket sums are accumulated separately and joined
-    back on the same hash key, so the large side is shuffled once.
+    back. Window, sums and join all partition by the same struct of key and
+    bucket, so the large side is shuffled once, and null keys match themselves.
     """
     keys = list(keys)
-    part = [*keys, "_bucket"]
-    base = df.withColumn("_bucket", bucket)
+    base = df.withColumn("_part", F.struct(*keys, bucket.alias("_bucket")))
     for name, value in totals.items():
         base = base.withColumn(f"_v_{name}", value)
-    inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = base.select("*", *[F.sum(f"_v_{n}").over(inner).alias(f"_l_{n}") for n in totals])
-    sums = base.groupBy(*part).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals])
-    outer = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        *[F.col(c).alias(f"_k_{c}") for c in part],
-        *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_b_{n}") for n in totals],
-    )
-    cond = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part]
-    joined = local.join(bases, cond)
-    drop = ["_bucket", *[f"_k_{c}" for c in part], *[f"_{p}_{n}" for p in "vlb" for n in totals]]
-    out = joined
+    sums = base.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals])
+    outer = Window.partitionBy(*([F.col(f"_part.{k}") for k in keys] or [F.lit(0)])).orderBy("_part._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(F.col("_part").alias("_base"), *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_b_{n}") for n in totals])
+    out = local.join(bases, F.col("_part") == F.col("_base"))
     for n in totals:
         out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_b_{n}"))
-    return out.drop(*drop)
+    return out.drop("_part", "_base", *[f"_{p}_{n}" for p in "vlb" for n in totals])
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "row_no") -> DataFrame:
@@ -61,29 +60,39 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact order statistics per key from value counts.
 
-    Equal values collapse before the shuffle, running counts are bucketed, and
-    each pick keeps the rows around its rank. ``picks`` maps an output column to
-    ("linear", q) as in ``numpy.percentile`` or ("upper", 0.5) for element n//2.
+    Equal values collapse before the shuffle. Bucket totals (a small table) tell
+    which bucket holds each wanted rank; only those buckets are then sorted, so
+    neither a hot key nor a long tail reaches one task. ``picks`` maps an output
+    column to ("linear", q) as in ``numpy.percentile`` or ("upper", 0.5) for element n//2.
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    running = running_totals(counts, keys, bucket, [F.col(value)], {"_cum": F.col("_n")})
-    if keys:
-        ranked = running.join(totals, keys)
-    else:
-        ranked = running.withColumn("_total", totals.scalar())
-    aggs = []
+    counts = counts.withColumn("_part", F.struct(*keys, bucket.alias("_bucket")))
+    whole = Window.partitionBy(*([F.col(f"_part.{k}") for k in keys] or [F.lit(0)]))
+    before = whole.orderBy("_part._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("_part").agg(F.sum("_n").alias("_t"))
+    placed = sums.select(
+        F.col("_part").alias("_at"), "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_below"), F.sum("_t").over(whole).alias("_total")
+    )
+    ranks = {}
     for name, (kind, q) in picks.items():
         if kind == "upper":
-            low = high = F.floor(F.col("_total") * q)
-            frac = F.lit(0.0)
+            low = F.floor(F.col("_total") * q)
+            ranks[name] = (low, low, F.lit(0.0))
         else:
             position = (F.col("_total") - 1) * F.lit(q)
-            low, high, frac = F.floor(position), F.ceil(position), position - F.floor(position)
+            ranks[name] = (F.floor(position), F.ceil(position), position - F.floor(position))
+    needed = F.lit(False)
+    for low, high, _ in ranks.values():
+        for rank in (low, high):
+            needed = needed | ((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_t")))
+    chosen = counts.join(placed.where(needed), F.col("_part") == F.col("_at"))
+    inner = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = chosen.withColumn("_cum", F.col("_below") + F.sum("_n").over(inner))
+    aggs = []
+    for name, (low, high, frac) in ranks.items():
         holds = lambda rank: (F.col("_cum") > rank) & (F.col("_cum") - F.col("_n") <= rank)
-        lo = F.max(F.when(holds(low), F.col(value)))
-        hi = F.max(F.when(holds(high), F.col(value)))
+        lo, hi = (F.max(F.when(holds(r), F.col(value))) for r in (low, high))
         aggs.append((lo + (hi - lo) * F.max(frac)).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.scale import running_totals
+from ..functions.scale import broadcast_small, running_totals
 
 METRIC_RULE_SCHEMA = "alert_id string, alert_name string, severity string, metric_type string, metric_name string, metric_key string, operator string, threshold double"
 HEALTH_RULE_SCHEMA = "alert_id string, alert_name string, severity string, component string, status string"
@@ -38,11 +38,11 @@ def breaches(value: Column, operator: Column, threshold: Column) -> Column:
 def evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Metric rows joined to the rules that name them, with ``breached``.
 
-    Rules are configuration (one row per condition), so they are broadcast and
-    the metrics are never shuffled. Rules missing a name, operator or threshold drop out.
+    Rules are configuration (one row per condition): broadcast after a size check,
+    so the metrics are not shuffled. Rules missing a name, operator or threshold drop out.
     """
     complete = rules.where("alert_id IS NOT NULL AND metric_type IS NOT NULL AND metric_name IS NOT NULL AND operator IS NOT NULL AND threshold IS NOT NULL")
-    joined = metrics.join(F.broadcast(complete.select(*[F.col(c).alias(f"r_{c}") for c in complete.columns])), (F.col("metric_type") == F.col("r_metric_type")) & (F.col("metric_name") == F.col("r_metric_name")) & F.col("metric_key").eqNullSafe(F.col("r_metric_key")))
+    joined = metrics.join(broadcast_small(complete.select(*[F.col(c).alias(f"r_{c}") for c in complete.columns])), (F.col("metric_type") == F.col("r_metric_type")) & (F.col("metric_name") == F.col("r_metric_name")) & F.col("metric_key").eqNullSafe(F.col("r_metric_key")))
     value, threshold = F.col("metric_value"), F.col("r_threshold")
     message = F.concat(
         "metric_type", F.lit("."), "metric_name", F.lit(" ("), value.cast("string"), F.lit(") "), "r_operator", F.lit(" "), threshold.cast("string")
@@ -75,7 +75,7 @@ def evaluate_health(components: DataFrame, rules: DataFrame) -> DataFrame:
     """Health rules matched on (component, status); ``overall`` is matched against the overall status."""
     overall = component_summary(components).select(F.lit("overall").alias("component"), F.col("overall_status").alias("status"))
     states = components.select("component", "status").unionByName(overall)
-    joined = states.join(F.broadcast(rules.where("alert_id IS NOT NULL").withColumnsRenamed({"component": "r_component", "status": "r_status"})), (F.col("component") == F.col("r_component")) & (F.col("status") == F.col("r_status")))
+    joined = states.join(broadcast_small(rules.where("alert_id IS NOT NULL").withColumnsRenamed({"component": "r_component", "status": "r_status"})), (F.col("component") == F.col("r_component")) & (F.col("status") == F.col("r_status")))
     message = F.when(F.col("component") == "overall", F.concat(F.lit("Overall health status is "), "status")).otherwise(F.concat(F.lit("Component "), "component", F.lit(" health status is "), "status"))
     return joined.select("alert_id", "alert_name", F.coalesce("severity", F.lit("warning")).alias("severity"), "component", "status", message.alias("message"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.matching import Rule, column_of, newlines, scan, staged_matches, with_offsets
+from ..functions.scale import broadcast_small
 from ..session import materialize
 from . import gates
 from .parse import FENCE, code_blocks, strip
@@ -43,14 +44,14 @@ def rebase(line: Column, block_start: Column) -> Column:
 def block_findings(blocks: DataFrame, rules: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Rules joined to blocks on language, then matched; unsupported languages are skipped.
 
-    The rule side is configuration, a handful of rows however large the corpus,
-    so it is broadcast; blocks are never shuffled.
+    The rule side is configuration, a handful of rows however large the corpus;
+    it is broadcast after a size check, and blocks are then never shuffled.
     """
     by_language = rules.select(
         F.explode("languages").alias("_rule_language"), F.col("id").alias("rule_id"), "message", "category", "priority", "pattern", "cwe"
     )
     usable = blocks.where(gates.is_supported(F.col("language"))).withColumn("_language", gates.canonical_language(F.col("language")))
-    joined = usable.join(F.broadcast(by_language), F.col("_language") == F.lower("_rule_language")).where(F.rlike(F.col("code"), F.col("pattern")))
+    joined = usable.join(broadcast_small(by_language), F.col("_language") == F.lower("_rule_language")).where(F.rlike(F.col("code"), F.col("pattern")))
     hits = with_offsets(joined, "code", F.col("pattern"), lines=True)
     end_line = F.col("line") + newlines(F.col("match"))
     return hits.select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.scale import exact_quantiles
+from ..functions.scale import broadcast_small, exact_quantiles
 from .features import finding_feature_names, finding_vector
 
 
@@ -39,7 +39,7 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", train: float
     """
     hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)).cast("double"))
     cuts = exact_quantiles(hashed, [label], "_h", F.floor(F.col("_h") / float(1 << 28)), {"_cut": ("linear", train)})
-    return hashed.join(F.broadcast(cuts), label).withColumn("is_train", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    return hashed.join(broadcast_small(cuts), label).withColumn("is_train", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
 
 
 def classifier(n_trees: int = 100, max_depth: int = 10, seed: int = 42) -> Pipeline:
