@@ -8,12 +8,14 @@ from ..operators import findings as FD
 from ..operators import gates as G
 from ..operators import parse as P
 from ..operators import secrets as S
+from ..operators.signatures import signature_rules
 from ..sinks import tables as T
 from ..sources import corpus as SC
 from . import derived as D
 from .registry import query
 from .secrets_queries import deduped_sql
-from .structure_queries import blocks_sql
+from .sqlgen import case_map, scan_sql
+from .structure_queries import blocks_sql, static_sql
 
 _MD = D.MARKDOWN_SQL
 # catalog tables derived from documents and labels
@@ -183,7 +185,18 @@ def findings(spark, sf):
     return base.withColumn("analysis_id", F.col("doc_id") % 40).withColumn("timestamp", F.when(F.col("doc_id") % 17 == 0, F.lit("not a date")).otherwise(stamp))
 
 
-@query("all_findings_by_detector", "SET-1 SET-2 AGG-2")
+def _all_findings_sql() -> str:
+    threat = {r: s["meta"]["threat"] for r, s in R.SIGNATURES.items()}
+    level = {r: s["meta"]["severity"].capitalize() for r, s in R.SIGNATURES.items()}
+    signed = f"(SELECT DISTINCT doc_id, family FROM {scan_sql(_MD, 'doc_id', 'text', signature_rules())})"
+    return f"""SELECT detector, finding_type, severity, count(*) AS n_findings, count(DISTINCT doc_id) AS n_documents FROM (
+        SELECT doc_id, detector, finding_type, severity FROM {deduped_sql(_MD)}
+        UNION ALL SELECT doc_id, 'markdown', 'markdown_' || family, severity FROM {scan_sql(_MD, 'doc_id', 'text', R.MARKDOWN_RULES)}
+        UNION ALL SELECT doc_id, 'signature', 'pattern_' || {case_map('family', threat)}, {case_map('family', level)} FROM {signed}
+        UNION ALL SELECT doc_id, 'static', 'static_code', severity FROM {static_sql(_MD)}) GROUP BY ALL"""
+
+
+@query("all_findings_by_detector", "SET-1 SET-2 AGG-2", _all_findings_sql())
 def all_findings_by_detector(spark, sf):
     found = FD.all_findings(D.markdown(spark, sf).select("doc_id", "text"))
     return found.groupBy("detector", "finding_type", "severity").agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_documents"))

@@ -285,9 +285,10 @@ def latest_feedback(spark, sf):
     return _feedback(spark, sf).where("finding_type = 'xss'").orderBy(F.desc("timestamp")).limit(25).drop("timestamp")
 
 
-@query("evaluation_sample", "TOP-7")
+@query("evaluation_sample", "TOP-7", "SELECT doc_id FROM documents ORDER BY md5(concat(doc_id, ':42')), doc_id LIMIT 100")
 def evaluation_sample(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(100)
+    # a hash order: the same sample on every run, kept as a top-k per task and merged
+    return D.table(spark, sf, "documents").select("doc_id").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42"))), "doc_id").limit(100)
 
 
 # --- accuracy ----------------------------------------------------------------------------------

@@ -140,19 +140,45 @@ def alert_messages(spark, sf):
 
 
 # --- streams -----------------------------------------------------------------------------------
-@query("stream_metric_windows", "STR-1 STR-9")
+_AT = "%Y-%m-%d %H:%M:%S.%f"
+
+
+def _stamps(df, *names):
+    return df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss.SSSSSS") for n in names})
+
+
+# append mode emits the windows that end before the watermark
+@query(
+    "stream_metric_windows",
+    "STR-1 STR-9",
+    f"""SELECT strftime(w, '{_AT}') AS window_start, strftime(w + interval 1 hour, '{_AT}') AS window_end, event_type AS metric_name, count(*) AS n, round(sum(value), 4) AS total, max(value) AS maximum
+        FROM (SELECT *, time_bucket(interval 1 hour, ts) AS w FROM events) WHERE w + interval 1 hour <= (SELECT max(ts) FROM events) - interval 10 minute GROUP BY w, event_type""",
+)
 def stream_metric_windows(spark, sf):
-    return ST.run_available(ST.windowed_metrics(ST.event_stream(spark, sf), "1 hour"), "metric-windows")
+    out = ST.run_available(ST.windowed_metrics(ST.event_stream(spark, sf), "1 hour"), "metric-windows")
+    return _stamps(out.withColumn("total", F.round("total", 4)), "window_start", "window_end")
 
 
-@query("stream_trailing_day", "STR-2")
+@query(
+    "stream_trailing_day",
+    "STR-2",
+    f"""SELECT strftime(w, '{_AT}') AS window_start, event_type AS metric_name, count(*) AS n FROM (SELECT *, unnest(list_transform(range(0, 24), lambda i: time_bucket(interval 1 hour, ts) - to_hours(cast(i as int)))) AS w FROM events)
+        WHERE w + interval 24 hour <= (SELECT max(ts) FROM events) - interval 10 minute GROUP BY w, event_type""",
+)
 def stream_trailing_day(spark, sf):
-    return ST.run_available(ST.windowed_metrics(ST.event_stream(spark, sf), "24 hours", "1 hour"), "trailing-day")
+    out = ST.run_available(ST.windowed_metrics(ST.event_stream(spark, sf), "24 hours", "1 hour"), "trailing-day")
+    return _stamps(out.select("window_start", "metric_name", "n"), "window_start")
 
 
-@query("stream_sessions", "STR-8")
+@query(
+    "stream_sessions",
+    "STR-8",
+    f"""WITH g AS (SELECT *, sum(CASE WHEN ts < p + interval 30 minute THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)),
+        k AS (SELECT user_id, min(ts) AS a, max(ts) + interval 30 minute AS b, count(*) AS n FROM g GROUP BY user_id, s)
+        SELECT user_id, strftime(a, '{_AT}') AS session_start, strftime(b, '{_AT}') AS session_end, n AS interaction_count FROM k WHERE b <= (SELECT max(ts) FROM events) - interval 1 hour""",
+)
 def stream_sessions(spark, sf):
-    return ST.run_available(ST.sessions(ST.event_stream(spark, sf)), "sessions")
+    return _stamps(ST.run_available(ST.sessions(ST.event_stream(spark, sf)), "sessions"), "session_start", "session_end")
 
 
 def _metric_stream(spark, sf):

@@ -177,11 +177,11 @@ def document_gates(spark, sf):
     return docs.select("doc_id", G.limit_rule(t, 20000, 60).alias("broken_limit"), G.is_complex(t).alias("is_complex"), F.round(G.document_cost(t, language), 6).alias("cost"))
 
 
-def _code_sql() -> str:
+def _code_sql(src_md: str = _BLOCK_MD) -> str:
     parts = []
     for r in R.CODE_RULES:
         consts = f"{sql_str(r.name)} AS rule_id, {sql_str(r.message)} AS message, {sql_str(r.category)} AS category, {sql_str(r.priority)} AS priority, {sql_str(R.CODE_RULE_CWE[r.name])} AS cwe"
-        src = f"(SELECT * FROM {blocks_sql(_BLOCK_MD)} WHERE coalesce({case_map('lower(language)', R.LANGUAGE_ALIASES)}, lower(language)) = '{r.languages[0]}')"
+        src = f"(SELECT * FROM {blocks_sql(src_md)} WHERE coalesce({case_map('lower(language)', R.LANGUAGE_ALIASES)}, lower(language)) = '{r.languages[0]}')"
         parts.append(find_all_sql(src, "doc_id, block_no, line_start", "code", r.pattern.replace(r"(?<![\w.])", r"\b"), "", consts))
     pre, post = "substr(code, 1, start)", 'substr(code, 1, "end")'
     col = lambda x: f"length(string_split({x}, {_NL})[-1]) + 1"
@@ -197,8 +197,11 @@ def code_findings(spark, sf):
     return C.dedup(C.block_findings(blocks, C.rule_table(spark)))
 
 
-def _fallback_sql() -> str:
-    src = f"(SELECT doc_id, text FROM (SELECT doc_id, {_MARKED} AS text FROM {_MD}) WHERE {_COMPLEX_SQL})"
+_MARKED_MD = f"(SELECT doc_id, {_MARKED} AS text FROM {_MD})"
+
+
+def _fallback_sql(src_md: str = _MARKED_MD) -> str:
+    src = f"(SELECT doc_id, text FROM {src_md} WHERE {_COMPLEX_SQL})"
     pre, post = "substr(text, 1, start)", 'substr(text, 1, "end")'
     col = lambda x: f"length(string_split({x}, {_NL})[-1]) + 1"
     sev = "CASE WHEN lower(priority) IN ('high', 'critical') THEN 'High' WHEN lower(priority) = 'low' THEN 'Low' ELSE 'Medium' END"
@@ -213,9 +216,16 @@ def fallback_content_scan(spark, sf):
     return C.fallback_findings(docs).drop("path")
 
 
+def static_sql(src_md: str) -> str:
+    """doc_id, rule_id, severity of the deduplicated code-rule family (no document here breaks a limit)."""
+    cols = "doc_id, rule_id, start_line, start_col, end_line, end_col, severity"
+    return f"(SELECT DISTINCT {cols} FROM (SELECT {cols} FROM ({_code_sql(src_md)}) UNION ALL SELECT {cols} FROM ({_fallback_sql(src_md)})))"
+
+
 @query(
     "static_findings_by_rule",
     "STA-1 STA-3 STA-4 AGG-29 FLT-2 FLT-3",
+    f"SELECT rule_id, severity, count(*) AS n_findings FROM {static_sql(_MARKED_MD)} GROUP BY ALL",
 )
 def static_findings_by_rule(spark, sf):
     docs = D.markdown(spark, sf).select("doc_id", F.expr(_MARKED).alias("text"))
