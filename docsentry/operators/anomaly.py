@@ -22,7 +22,6 @@ class IsolationForest:
     trees: DataFrame
     n_trees: int
     sample_size: int
-    offset: float = 0.0
     threshold: float = 0.0
 
 
@@ -43,6 +42,18 @@ def fit_forest(vectors: DataFrame, key: str = "doc_id", n_trees: int = 100, samp
     return IsolationForest(trees, n_trees, min(sample_size, max(n, 1)))
 
 
+def save_forest(forest: IsolationForest, path: str) -> None:
+    """Trees as a parquet table; sizes and threshold travel with every row."""
+    kept = forest.trees.withColumns({"n_trees": F.lit(forest.n_trees), "sample_size": F.lit(forest.sample_size), "score_threshold": F.lit(float(forest.threshold))})
+    kept.write.mode("overwrite").parquet(path)
+
+
+def load_forest(spark, path: str) -> IsolationForest:
+    stored = spark.read.parquet(path)
+    head = stored.first()
+    return IsolationForest(stored.drop("n_trees", "sample_size", "score_threshold"), head["n_trees"], head["sample_size"], head["score_threshold"])
+
+
 def forest_scores(vectors: DataFrame, forest: IsolationForest) -> DataFrame:
     """Adds ``raw_score`` in 0–1. The trees are at most n_trees × 2·sample_size nodes, so they travel with the task."""
     nodes = forest.trees.orderBy("tree", "node").toPandas()

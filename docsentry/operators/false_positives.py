@@ -59,6 +59,21 @@ def train(rows: DataFrame, n_trees: int = 100, max_depth: int = 10, seed: int =
     return classifier(n_trees, max_depth, seed).fit(as_vectors(rows))
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def model_metadata(spark: SparkSession, name: str, version: str, kind: str, algorithm: str, path: str, threshold: float | None = None, parameters: dict | None = None, performance: dict | None = None) -> DataFrame:
+    """Registry row of a saved model, for ``sinks.tables.upsert_latest`` by (name, version)."""
+    row = (name, version, kind, algorithm, path, threshold, {k: str(v) for k, v in (parameters or {}).items()}, {k: float(v) for k, v in (performance or {}).items()}, R.FEATURE_VERSION)
+    schema = "name string, version string, model_type string, algorithm string, path string, threshold double, parameters map<string,string>, performance map<string,double>, feature_version string"
+    return spark.createDataFrame([row], schema).withColumn("updated_at", F.current_timestamp())
+
+
 def classify(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds tp_probability, is_true_positive and false_positive_likelihood."""
     scored = model.transform(as_vectors(rows))

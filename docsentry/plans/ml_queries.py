@@ -9,7 +9,7 @@ from ..operators import evaluate as EV
 from ..operators import false_positives as FP
 from ..operators import features as FE
 from ..operators import secrets as S
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ..sinks import tables as T
 from . import derived as D
 from .registry import query
@@ -158,10 +158,12 @@ def rule_outliers(spark, sf):
     return out.select("doc_id", "is_outlier", F.round("outlier_score", 6).alias("outlier_score"), F.round("outlier_confidence", 6).alias("outlier_confidence"))
 
 
-@query("isolation_forest", "ML-1 ML-2 AGG-11 UDF-6")
+@query("isolation_forest", "ML-1 ML-2 ML-13 AGG-11 UDF-6")
 def isolation_forest(spark, sf):
     vectors = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    scored = AN.forest_scores(vectors, AN.fit_forest(vectors, n_trees=50))
+    path = shared_dir(spark, "forest")
+    AN.save_forest(AN.fit_forest(vectors, n_trees=50), path)
+    scored = materialize(AN.forest_scores(vectors, AN.load_forest(spark, path)), "forest-scores")
     return AN.anomaly_results(scored, AN.contamination_threshold(scored).scalar()).select("doc_id", "anomaly_score", "is_anomaly", "anomaly_confidence")
 
 
@@ -231,10 +233,12 @@ def fp_classifier(spark, sf):
     return EV.classification_report(tested)
 
 
-@query("fp_likelihoods", "ML-7 ML-8 TOP-5 TOP-6")
+@query("fp_likelihoods", "ML-7 ML-8 ML-13 TOP-5 TOP-6")
 def fp_likelihoods(spark, sf):
     rows = _labelled(spark, sf)
-    model = FP.train(rows, n_trees=20, max_depth=5)
+    path = shared_dir(spark, "fp-model")
+    FP.save_model(FP.train(rows, n_trees=20, max_depth=5), path)
+    model = FP.load_model(path)
     best = [(r["feature"], r["importance"]) for r in FP.top_model_features(spark, model).collect()]
     scored = FP.classify(model, rows)
     importances = FP.finding_importances(best, F.col("is_true_positive"), scored.columns)

@@ -54,12 +54,12 @@ def test_registry_upsert_and_retention(spark):
 
 
 def test_model_roundtrip(spark, tmp_path):
-    from pyspark.ml import PipelineModel
-
     rows = spark.range(60).select(F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double")).alias("features"), (F.col("id") > 30).cast("int").alias("label"))
     model = FP.train(rows, n_trees=5, max_depth=3)
-    model.write().overwrite().save(str(tmp_path / "model"))
-    again = PipelineModel.load(str(tmp_path / "model"))
+    FP.save_model(model, str(tmp_path / "model"))
+    again = FP.load_model(str(tmp_path / "model"))
+    row = FP.model_metadata(spark, "fp", "1", "false_positive_classifier", "random_forest", str(tmp_path / "model"), parameters={"n": 5}, performance={"f1": 1}).first()
+    assert row["parameters"] == {"n": "5"} and row["performance"] == {"f1": 1.0}
     assert FP.classify(again, rows).where(F.col("is_true_positive") == (F.col("label") == 1)).count() >= 58
     assert FP.top_model_features(spark, again, ["a", "b"]).first()["feature"] == "a"
 
@@ -87,3 +87,18 @@ def test_stream_restart_keeps_version_numbers(spark, tmp_path):
     push([("u", 3, "A"), ("u", 4, "C"), ("v", 5, "A")])
     got = sorted((r["doc_id"], r["version_number"], r["is_new_version"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, 1, True), (2, 2, True), (3, 1, False), (4, 3, True), (5, 1, True)]
+
+
+def test_forest_finds_the_far_points(spark, tmp_path):
+    from docsentry.operators import anomaly as AN
+
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.array((F.col("id") % 20).cast("double"), (F.col("id") % 7).cast("double")).alias("features"))
+    far = spark.createDataFrame([(1000 + i, [500.0 + i, -300.0]) for i in range(4)], "doc_id long, features array<double>")
+    points = rows.unionByName(far)
+    AN.save_forest(AN.fit_forest(points, n_trees=40, sample_size=64), str(tmp_path / "forest"))
+    forest = AN.load_forest(spark, str(tmp_path / "forest"))
+    assert forest.n_trees == 40 and forest.sample_size == 64
+    top = AN.forest_scores(points, forest).orderBy(F.desc("raw_score")).limit(4).collect()
+    assert {r["doc_id"] for r in top} == {1000, 1001, 1002, 1003}
+    again = AN.forest_scores(points, forest).orderBy(F.desc("raw_score")).limit(4).collect()
+    assert [r["raw_score"] for r in top] == [r["raw_score"] for r in again]
