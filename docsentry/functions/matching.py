@@ -86,24 +86,24 @@ def hit_rules(text: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
 
 
 def prefix_sums(steps: Column) -> Column:
-    """Running totals of an int array, in blocks so long arrays stay near linear."""
-    n_blocks = F.ceil(F.size(steps) / _BLOCK).cast("int")
-    blocks = F.transform(
-        F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>")),
-        lambda b: F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)),
-    )
-    zero = F.array(F.lit(0))
+    """Running totals of an int array, in blocks so long arrays stay near linear; each stage is computed once."""
     running = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    bases = F.aggregate(totals, zero, running)
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b, i: F.slice(
-                F.aggregate(b, F.array(F.element_at(bases, i + 1)), running), F.lit(2), F.lit(_BLOCK)
-            ),
+    zero = F.array(F.lit(0))
+
+    def split_blocks(values: Column) -> Column:
+        n_blocks = F.ceil(F.size(values) / _BLOCK).cast("int")
+        numbers = F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def block_bases(blocks: Column) -> Column:
+        return F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), zero, running)
+
+    def totals(blocks: Column, bases: Column) -> Column:
+        return F.flatten(
+            F.transform(blocks, lambda b, i: F.slice(F.aggregate(b, F.array(F.element_at(bases, i + 1)), running), F.lit(2), F.lit(_BLOCK)))
         )
-    )
+
+    return let(steps, lambda values: let(split_blocks(values), lambda blocks: let(block_bases(blocks), lambda bases: totals(blocks, bases))))
 
 
 def newlines(text: Column) -> Column:

@@ -18,11 +18,14 @@ def feature_names(sets: Sequence[str] = tuple(R.FEATURE_SETS)) -> list[str]:
 
 
 def _count(text: Column, pattern: str, flags: str) -> Column:
+    # the same count without rescanning a run of blank lines from each of its lines
+    pattern = pattern.replace(r"^[\s]*", r"^[^\S\n]*")
     return F.regexp_count(text, F.lit(java(pattern, flags)))
 
 
 def _flag(text: Column, pattern: str, flags: str) -> Column:
-    return text.rlike(java(pattern, flags))
+    # the host-label loop recurses in Java; no real host has a thousand labels
+    return text.rlike(java(pattern.replace(r"\.)+", r"\.){1,1000}"), flags))
 
 
 def words(text: Column) -> Column:

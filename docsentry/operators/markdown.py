@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.matching import Rule, scan
+from .parse import strip
 
 LINE_BREAK = r"\r\n|[\n\u000B\f\r\u001C-\u001E\u0085\u2028\u2029]"
 _TAG = r"<[^>]*>"
@@ -110,8 +111,7 @@ def abnormal_patterns(line_array: Column) -> Column:
 
 def outline(line_array: Column) -> Column:
     """Trimmed heading lines in document order."""
-    trimmed = F.transform(F.filter(line_array, lambda x: x.rlike("^#+ ")), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return trimmed
+    return F.transform(F.filter(line_array, lambda x: x.rlike("^#+ ")), strip)
 
 
 def structure_report(df: DataFrame, text: str = "text", template: str | None = None) -> DataFrame:

@@ -16,13 +16,16 @@ FOOTNOTE = r"\[\^([^\]\s]+)\](:?)"
 HEADING = r"(?d)^(#{1,6})[ \t]+(.*?)[ \t#]*$"
 LIST_ITEM = r"(?d)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(.*)$"
 QUOTE = r"(?d)^[ \t]*>[ \t]?(.*)$"
-RULE_LINE = r"^[ \t]*(?:-[ \t]*){3,}$|^[ \t]*(?:\*[ \t]*){3,}$|^[ \t]*(?:_[ \t]*){3,}$"
+RULE_LINE = r"^[ \t]*(?:-[ \t]*-[ \t]*-[- \t]*|\*[ \t]*\*[ \t]*\*[* \t]*|_[ \t]*_[ \t]*_[_ \t]*)$"
+# what str.strip removes
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 SECTION_BREAK = r"(?dm)^## "
 FILE_LINE = r"(?dm)^[-*][ \t]+\[([^\]\n]+)\]\(([^)\n]+)\)(:?[^\n]*)$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """``str.strip``, linear in the text whatever it contains."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def raw_lines(text: Column) -> Column:

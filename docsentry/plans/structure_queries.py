@@ -182,7 +182,7 @@ def _code_sql(src_md: str = _BLOCK_MD) -> str:
     for r in R.CODE_RULES:
         consts = f"{sql_str(r.name)} AS rule_id, {sql_str(r.message)} AS message, {sql_str(r.category)} AS category, {sql_str(r.priority)} AS priority, {sql_str(R.CODE_RULE_CWE[r.name])} AS cwe"
         src = f"(SELECT * FROM {blocks_sql(src_md)} WHERE coalesce({case_map('lower(language)', R.LANGUAGE_ALIASES)}, lower(language)) = '{r.languages[0]}')"
-        parts.append(find_all_sql(src, "doc_id, block_no, line_start", "code", r.pattern.replace(r"(?<![\w.])", r"\b"), "", consts))
+        parts.append(find_all_sql(src, "doc_id, block_no, line_start", "code", r.pattern.replace(r"(?<![\w.])", r"\b").replace("*+", "*"), "", consts))
     pre, post = "substr(code, 1, start)", 'substr(code, 1, "end")'
     col = lambda x: f"length(string_split({x}, {_NL})[-1]) + 1"
     return f"""SELECT doc_id, block_no, rule_id, 'item-' || doc_id AS path, {newlines_sql(pre)} + line_start AS start_line, {col(pre)} AS start_col, {newlines_sql(post)} + line_start AS end_line, {col(post)} AS end_col,

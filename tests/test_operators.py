@@ -371,3 +371,12 @@ def test_all_findings_equal_the_single_detectors(spark, sf):
     secret = S.secret_findings(docs).select("doc_id", "rule_id", "location", "description")
     assert secret.exceptAll(found.select("doc_id", "rule_id", "location", "description")).count() == 0
     assert sum(counts[d] for d in ("trufflehog", "pattern_library", "sensitive_detector")) == secret.count()
+
+
+def test_hostile_texts_finish(spark):
+    texts = ["-" * 20000, "- " * 5000, "\n" * 3000 + "x", "https://" + "a." * 5000, "important instruction for " + "word " * 2000, "```py\neval(" + "()" * 20000 + ")\n```", "#" * 5000 + " x"]
+    docs = one(spark, "doc_id int, url string, text string", *[(i, "", t) for i, t in enumerate(texts)])
+    assert FE.extract(docs).count() == len(texts)
+    assert P.content_nodes(docs).where("type = 'thematic_break'").count() == 2
+    rules = C.rule_table(spark)
+    assert C.block_findings(P.code_blocks(docs), rules).count() == 1
