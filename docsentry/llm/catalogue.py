@@ -1,4 +1,4 @@
 """Imports the query modules of this subpackage, so that the registry is complete."""
 
-from . import record_queries  # noqa: F401
+from . import record_queries, text_queries  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +36,18 @@ def set_columns(df: DataFrame, new: dict[str, Column], keep: Sequence[str] | Non
     """``df`` with ``new`` columns last; an input column with the name of a new one gives way to it."""
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     return df.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in new.items()])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once per application, so that functions go by reference and workers keep their caches."""
+    context = spark.sparkContext
+    if getattr(context, "_docsentry_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    folder = tempfile.mkdtemp(prefix="docsentry-")  # read by the driver alone; Spark serves the file to executors
+    archive = os.path.join(folder, "docsentry_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "docsentry").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(archive)
+    context._docsentry_shipped = True
