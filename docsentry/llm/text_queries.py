@@ -5,16 +5,34 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import language_id, packing, sentencepiece_codec
 from .common import query, read
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+SENTENCEPIECE = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut into sequences of 2048 tokens, each mixed like the corpus."""
     return packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids as a digest, with parity and round trip."""
+    return sentencepiece_codec.encode_digest(read(spark, sf_dir, "documents"), SENTENCEPIECE)
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language, learnt from the documents that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language_id.train(docs, ~held_out)
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
