@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, sentencepiece_codec
+from . import language_id, packing, pseudo_likelihood, sentencepiece_codec
 from .common import query, read
 
 #: Folder of the public vocabulary files.
@@ -36,3 +36,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, ~held_out)
     found = language_id.predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pseudo-log-likelihood under a network trained on all of them."""
+    docs = read(spark, sf_dir, "documents")
+    vocabulary = pseudo_likelihood.build_vocabulary(docs)
+    weights = pseudo_likelihood.train(docs, vocabulary)
+    return pseudo_likelihood.score(docs, vocabulary, weights)
