@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, pseudo_likelihood, sentencepiece_codec
+from . import jaccard_join, language_id, packing, pseudo_likelihood, sentencepiece_codec
 from .common import query, read
 
 #: Folder of the public vocabulary files.
@@ -45,3 +45,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pseudo_likelihood.build_vocabulary(docs)
     weights = pseudo_likelihood.train(docs, vocabulary)
     return pseudo_likelihood.score(docs, vocabulary, weights)
+
+
+@query("op8_ngram_jaccard")
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class under links of 0.8 Jaccard similarity of five-word shingles."""
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
