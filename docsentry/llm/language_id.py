@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -164,8 +164,12 @@ def train(docs: DataFrame, labelled: Column, sample_docs: int = SAMPLE_DOCS, voc
     return Model((r["lang"], r["word"], r["n"]) for r in top.collect())
 
 
-def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Per row: doc_id, language and score; ``und`` and 0 where the text is null or has no letter. Only the text is looked at."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score"), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Per row: the columns in ``keep``, language and score; ``und`` and 0 where the text is null or has no letter.
+
+    Only the text is looked at. Without any labelled text there is no language
+    to name, and every text is ``und``.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -174,11 +178,12 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for batch in batches:
-            found = [predictor.predict(t) for t in batch.column(1).to_pylist()]
+            found = [predictor.predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=["doc_id", language, score],
+                [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=[*keep, language, score],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, `{language}` string, `{score}` double")
+    kinds = dict(docs.dtypes)
+    columns = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    return columns.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{language}` string, `{score}` double")
