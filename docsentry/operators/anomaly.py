@@ -28,16 +28,18 @@ class IsolationForest:
 def fit_forest(vectors: DataFrame, key: str = "doc_id", n_trees: int = 100, sample_size: int = 256, seed: int = 42) -> IsolationForest:
     """Each tree grows on its own hashed sample of about ``sample_size`` rows.
 
-    A row is offered to a tree when a hash of (row, tree) falls below a rate, so
-    the shuffle carries ~1.5 × trees × sample_size rows however large the input.
+    A row is offered to a tree when a hash of (row, tree) falls below a rate; the
+    hashes are compared before any row is copied, so both the copies and the
+    shuffle are ~1.5 × trees × sample_size rows however large the input.
     Splits are uniform between a feature's bounds, so scaling features first
     would not change the trees.
     """
     n = vectors.count()
     rate = min(1.0, 1.5 * sample_size / max(n, 1))
-    rank = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1 << 30))
-    offered = vectors.select(F.col(key).cast("string").alias("id"), F.col(key), "features", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    offered = offered.withColumn("rank_hash", rank).where(F.col("rank_hash") < F.lit(int(rate * (1 << 30)))).drop(key)
+    rank = lambda tree: F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(1 << 60))
+    ranked = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), rank(t).alias("rank_hash")))
+    joined = F.filter(ranked, lambda r: r["rank_hash"] < F.lit(int(rate * (1 << 60))))
+    offered = vectors.select(F.col(key).cast("string").alias("id"), "features", F.inline(joined)).select("id", "features", "tree", "rank_hash")
     trees = offered.groupBy("tree").applyInPandas(tree_builder(sample_size, seed), TREE_SCHEMA)
     return IsolationForest(trees, n_trees, min(sample_size, max(n, 1)))
 

@@ -50,9 +50,15 @@ def _variation(kind: str, description: Column | str, content: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), text.alias("description"), content.alias("content"))
 
 
+def hash_of(*parts: Column) -> Column:
+    """A 60-bit number from the md5 of the parts, which other engines can work out as well."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _pick(parts: Column, key: Column, seed: int) -> Column:
     """A section name chosen by hash: the same choice on every run and retry."""
-    return F.element_at(parts, (F.pmod(F.xxhash64(key, F.lit(seed)), F.size(parts)) + 1).cast("int"))["name"]
+    return F.element_at(parts, (F.pmod(hash_of(key, F.lit(seed)), F.size(parts)) + 1).cast("int"))["name"]
 
 
 def llms_variations(parts: Column, content: Column, key: Column, kinds: Sequence[str] = TRANSFORMATIONS) -> Column:
@@ -66,7 +72,7 @@ def llms_variations(parts: Column, content: Column, key: Column, kinds: Sequence
             out.append(F.when(has("User Queries"), _variation("prompt_injection", f"Content with prompt injection pattern {i}", edited)))
     if "malicious_code" in kinds:
         for i, text in enumerate(R.CODE_TEXTS, 1):
-            edited = _render(_edit(parts, "User Queries", lambda b, t=text: F.concat(F.lit(f"Please explain this code:\n\n{t}\n\n"), b)))
+            edited = _render(_edit(parts, "User Queries", lambda b, t=text: F.concat(F.lit(f"{R.CODE_REQUEST}\n\n{t}\n\n"), b)))
             out.append(F.when(has("User Queries"), _variation("malicious_code", f"Content with malicious code pattern {i}", edited)))
     if "credential_exposure" in kinds:
         for i, text in enumerate(R.CREDENTIAL_TEXTS, 1):
@@ -89,7 +95,7 @@ def generic_variations(content: Column, key: Column) -> Column:
     """Size, character and (for several lines) line-order variations."""
     rows = F.split(content, "\n", F.lit(-1))
     shuffled = F.array_join(
-        F.transform(F.array_sort(F.transform(rows, lambda x, i: F.struct(F.xxhash64(key, i, F.lit(4)).alias("h"), i.alias("i"), x.alias("x")))), lambda s: s["x"]), "\n"
+        F.transform(F.array_sort(F.transform(rows, lambda x, i: F.struct(hash_of(key, i, F.lit(4)).alias("h"), i.alias("i"), x.alias("x")))), lambda s: s["x"]), "\n"
     )
     return F.array_compact(
         F.array(
@@ -100,13 +106,14 @@ def generic_variations(content: Column, key: Column) -> Column:
     )
 
 
-def variations(df: DataFrame, path: str = "path", content: str = "content", max_variations: int = 10, kinds: Sequence[str] = TRANSFORMATIONS) -> DataFrame:
-    """The original (baseline) and its variations, one row each, with the md5 of every text."""
+def variations(df: DataFrame, path: str = "path", content: str = "content", max_variations: int | None = None, kinds: Sequence[str] = TRANSFORMATIONS) -> DataFrame:
+    """The original (baseline) and its variations, one row each, with the md5 of every text; ``max_variations`` keeps the first ones."""
     kind = content_type(F.col(path), F.col(content))
     typed = df.withColumn("content_type", kind).withColumn("_parts", _distinct_sections(F.col(content)))
     chosen = F.when(F.col("content_type") == "llms_txt", llms_variations(F.col("_parts"), F.col(content), F.col(path), kinds)).otherwise(generic_variations(F.col(content), F.col(path)))
+    chosen = chosen if max_variations is None else F.slice(chosen, 1, max_variations)
     baseline = F.array(_variation("baseline", "Original unmodified content", F.col(content)))
-    rows = typed.select(path, "content_type", F.posexplode(F.concat(baseline, F.slice(chosen, 1, max_variations))).alias("variation_no", "_v"))
+    rows = typed.select(path, "content_type", F.posexplode(F.concat(baseline, chosen)).alias("variation_no", "_v"))
     return rows.select(path, "content_type", "variation_no", "_v.type", "_v.description", F.col("_v.content").alias("content"), F.md5("_v.content").alias("hash"))
 
 

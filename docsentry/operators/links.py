@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..session import materialize
 from ..functions.patterns import java
 
 # fixed values: link shapes and URL parts
@@ -136,20 +137,24 @@ def link_report(links: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
     )
 
 
-def follow_redirects(urls: DataFrame, redirects: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Chain of hops per URL over a redirects(src, dst) table.
+def follow_redirects(urls: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Chain of hops per URL over a redirects(src, dst) table, of any length.
 
-    ``max_hops`` equi-joins on ``src`` replace recursion: each is an ordinary
-    shuffle join, loops stop at the first URL seen twice, and no row limit applies.
+    Equi-joins on ``src`` replace recursion. Each takes one hop of the chains
+    that still grow and sets the others aside; a loop ends at the first URL seen
+    twice. The rounds are as many as the longest chain has hops, each written to
+    shared storage.
     """
     hop = redirects.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
-    out = urls.select("url", F.array("url").alias("chain"))
-    for _ in range(max_hops):
-        last = F.element_at("chain", -1)
-        out = out.join(hop, last == F.col("_src"), "left").select(
-            "url",
-            F.when(F.col("_dst").isNotNull() & ~F.array_contains("chain", F.col("_dst")), F.concat("chain", F.array("_dst")))
-            .otherwise(F.col("chain"))
-            .alias("chain"),
-        )
-    return out
+    growing = urls.select("url", F.array("url").alias("chain"))
+    ended = None
+    while True:
+        met = growing.join(hop, F.element_at("chain", -1) == F.col("_src"), "left")
+        goes_on = F.col("_dst").isNotNull() & ~F.array_contains("chain", F.col("_dst"))
+        step = met.select("url", F.when(goes_on, F.concat("chain", F.array("_dst"))).otherwise(F.col("chain")).alias("chain"), F.coalesce(goes_on, F.lit(False)).alias("_on"))
+        step = materialize(step, "redirects")
+        done = step.where("NOT _on").drop("_on")
+        ended = done if ended is None else ended.unionByName(done)
+        growing = step.where("_on").drop("_on")
+        if growing.isEmpty():
+            return ended

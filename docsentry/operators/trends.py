@@ -61,7 +61,8 @@ def score_anomalies(history: DataFrame, block_rows: int = 4096) -> DataFrame:
 
     Needs at least five points per URL: a fourth point counts only when a fifth
     exists, which ``lead`` tells. Rows are numbered per URL and windowed in blocks
-    with a three-row halo, never a whole URL at once.
+    with a three-row halo, never a whole URL at once. Three equal scores have no
+    spread to measure by, whatever rounding leaves of their deviation.
     """
     if block_rows < 5:
         raise ValueError("a block must hold the fourth and fifth point of a series")
@@ -73,11 +74,11 @@ def score_anomalies(history: DataFrame, block_rows: int = 4096) -> DataFrame:
     order = Window.partitionBy("url", "_block", "score_type").orderBy("position")
     before = order.rowsBetween(-3, -1)
     scored = series.select(
-        "*", F.avg("value").over(before).alias("expected_value"), F.stddev_pop("value").over(before).alias("_std"), F.lead("position").over(order).isNotNull().alias("_more")
+        "*", F.avg("value").over(before).alias("expected_value"), F.stddev_pop("value").over(before).alias("_std"), (F.max("value").over(before) > F.min("value").over(before)).alias("_spread"), F.lead("position").over(order).isNotNull().alias("_more")
     ).where("_home")
     deviation = F.col("value") - F.col("expected_value")
     enough = (F.col("position") >= 5) | ((F.col("position") == 4) & F.col("_more"))
-    return scored.where(enough & (F.col("_std") > 0) & (F.abs(deviation) > 2 * F.col("_std"))).select(
+    return scored.where(enough & F.col("_spread") & (F.col("_std") > 0) & (F.abs(deviation) > 2 * F.col("_std"))).select(
         "url", "ts", "score_type", "value", "expected_value", deviation.alias("deviation"), (F.abs(deviation) / F.col("_std")).alias("standard_deviations"),
         F.when(F.abs(deviation) > 3 * F.col("_std"), F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
     )

@@ -307,7 +307,7 @@ def top_topics_by_domain(spark, sf):
 
 @query(
     "findings_with_content",
-    "JOIN-5 JOIN-9 ML-10",
+    "JOIN-5 ML-10",
     f"""SELECT doc_id, rule_id, length(text_content) AS content_chars, CASE WHEN (doc_id % 10) / 10.0 > 0.7 THEN 0 ELSE 1 END AS label FROM {_FIND_SQL} JOIN {_CONTENT} ON url_id = doc_id WHERE fetch_status = 'success'""",
 )
 def findings_with_content(spark, sf):

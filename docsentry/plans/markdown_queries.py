@@ -239,14 +239,14 @@ def link_report(spark, sf):
 @query(
     "redirect_chains",
     "JOIN-23",
-    """WITH RECURSIVE r AS (SELECT a.url AS src, b.url AS dst FROM pages a JOIN pages b ON b.page_id = a.page_id // 2 AND a.page_id % 2 = 0 AND a.page_id > 0),
+    """WITH RECURSIVE r AS (SELECT a.url AS src, b.url AS dst FROM pages a JOIN pages b ON b.page_id = a.page_id - 1 AND a.page_id % 16 <> 0),
        c(url, last, chain, hops) AS (SELECT url, url, [url], 0 FROM (SELECT DISTINCT url FROM pages)
-         UNION ALL SELECT c.url, r.dst, list_append(c.chain, r.dst), hops + 1 FROM c JOIN r ON r.src = c.last WHERE NOT list_contains(c.chain, r.dst) AND hops < 8)
+         UNION ALL SELECT c.url, r.dst, list_append(c.chain, r.dst), hops + 1 FROM c JOIN r ON r.src = c.last WHERE NOT list_contains(c.chain, r.dst))
        SELECT url, array_to_string(arg_max(chain, hops), ' ') AS chain, max(hops) AS hops FROM c GROUP BY url""",
 )
 def redirect_chains(spark, sf):
     pages = D.table(spark, sf, "pages").select("page_id", "url")
-    src = pages.where("page_id % 2 = 0 AND page_id > 0").select(F.col("url").alias("src"), F.expr("page_id div 2").alias("to_id"))
+    src = pages.where("page_id % 16 <> 0").select(F.col("url").alias("src"), (F.col("page_id") - 1).alias("to_id"))
     redirects = src.join(pages.select(F.col("page_id").alias("to_id"), F.col("url").alias("dst")), "to_id").select("src", "dst")
     chains = L.follow_redirects(pages.select("url").distinct(), redirects)
     return chains.select("url", F.array_join("chain", " ").alias("chain"), (F.size("chain") - 1).alias("hops"))

@@ -189,7 +189,7 @@ def contributing_features(spark, sf):
 
 @query(
     "combined_anomalies",
-    "ML-5 JOIN-10 SNK-5",
+    "ML-5 JOIN-10",
     f"""WITH a AS (SELECT doc_id, (doc_id % 10) / 10.0 AS s, (doc_id % 10) / 10.0 > 0.6 AS f, 0.4 + (doc_id % 5) / 10.0 AS c FROM documents), o AS (SELECT doc_id, doc_id % 4 = 0 AS f, CASE WHEN doc_id % 4 = 0 THEN 0.9 ELSE 0.0 END AS s, CASE WHEN doc_id % 4 = 0 THEN 0.6 ELSE 0.5 END AS c FROM documents)
         SELECT doc_id AS content_id, a.f OR o.f AS is_anomalous, round(a.s * 0.7 + o.s * 0.3, 6) AS combined_score, round(CASE WHEN a.f = o.f THEN greatest(a.c, o.c) ELSE least(a.c, o.c) END, 6) AS confidence, CASE WHEN o.f THEN 'code_obfuscation,x' ELSE 'x' END AS factors FROM a JOIN o USING (doc_id)""",
 )
@@ -205,7 +205,7 @@ def combined_anomalies(spark, sf):
     return out.select("content_id", "is_anomalous", F.round("combined_score", 6).alias("combined_score"), F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("contributing_factors", lambda x: x["factor"]), ",").alias("factors"))
 
 
-@query("anomaly_findings", "SNK-5 ML-14")
+@query("anomaly_findings", "ML-14")
 def anomaly_findings(spark, sf):
     from ..operators.scoring import classify
 
@@ -273,7 +273,7 @@ def feedback_statistics(spark, sf):
 
 @query(
     "model_performance",
-    "AGG-22 JOIN-6 SNK-8",
+    "AGG-22 JOIN-6",
     f"""WITH j AS (SELECT f.*, p FROM {_FB} f LEFT JOIN (SELECT doc_id, doc_id % 5 = 0 AS p FROM documents WHERE doc_id % 7 <> 0) ON doc_id = finding_id)
         SELECT count(*) AS feedback_count, round(count_if(p = is_true_positive) / count(*), 6) AS accuracy, round(count_if(p AND is_true_positive) / count_if(p IS NOT NULL AND is_true_positive), 6) AS true_positive_accuracy,
           round(count_if(NOT p AND NOT is_true_positive) / count_if(p IS NOT NULL AND NOT is_true_positive), 6) AS false_positive_accuracy, count_if(p = is_true_positive) AS correct_count, count_if(p IS NOT NULL AND is_true_positive) AS true_positive_total, count_if(p IS NOT NULL AND NOT is_true_positive) AS false_positive_total FROM j""",
@@ -338,7 +338,7 @@ def precision_recall(spark, sf):
 
 @query(
     "scenario_metrics",
-    "AGG-18 SRC-10 SNK-12",
+    "AGG-18 SRC-10",
     f"""WITH c AS (SELECT *, na - tp AS fp, ne - tp AS fn, CASE case_id % 3 WHEN 0 THEN 'prompt_injection' WHEN 1 THEN 'credential_exposure' ELSE 'mixed' END AS scenario_type FROM {_COUNTS_SQL}),
         k AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p0, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r0 FROM c),
         g AS (SELECT scenario_type, sum(tp)::bigint AS tp, sum(fp)::bigint AS fp, sum(fn)::bigint AS fn, count_if(CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0 END >= 0.7) AS passed_tests, count(*) AS total_tests FROM k GROUP BY ROLLUP (scenario_type)),

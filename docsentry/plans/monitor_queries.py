@@ -200,10 +200,18 @@ def stream_alerts(spark, sf):
     return spark.read.parquet(out + "/rows").groupBy("alert_id").agg(F.count("*").alias("n_alerts"))
 
 
-@query("stream_throttled_alerts", "STR-5", f"SELECT DISTINCT alert_id FROM {_EVAL} WHERE breached")
+@query(
+    "stream_throttled_alerts",
+    "STR-5",
+    f"""WITH RECURSIVE b AS (SELECT DISTINCT alert_id, timestamp AS seen FROM {_EVAL} WHERE breached),
+       s(alert_id, sent) AS (SELECT alert_id, min(seen) FROM b GROUP BY alert_id
+         UNION ALL SELECT s.alert_id, min(b.seen) FROM s JOIN b ON b.alert_id = s.alert_id AND b.seen >= s.sent + interval 1 hour GROUP BY s.alert_id, s.sent)
+       SELECT alert_id, strftime(sent, '{_AT}') AS created_at FROM s""",
+)
 def stream_throttled_alerts(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
     alerts = A.triggered(A.evaluate(_metric_stream(spark, sf), A.metric_rules(spark, _RULES)))
-    return ST.run_available(ST.throttled(alerts).select("alert_id", "created_at"), "throttled").select("alert_id").distinct()
+    return _stamps(ST.run_available(ST.throttled(alerts), "throttled"), "created_at")
 
 
 @query("stream_alert_lifecycle", "STR-4 UDF-6", f"SELECT alert_id, count(*) AS n_runs, count(resolved_at) AS n_resolved FROM {_LIFE} GROUP BY alert_id")
@@ -260,8 +268,18 @@ def context_predicates(spark, sf):
 _PROFILE = {"tone": {"polite": (0.5, "Polite", [r"(?i)\bplease\b", r"(?i)thank\s+you"]), "terse": (1.0, "Terse", [r"^Fine\.$"])}}
 
 
-@query("custom_profiles", "UDF-4 RSP-6", f"SELECT conv_id, turn, 'polite' AS behavior, match FROM ({find_all_sql(D.RESPONSE_SQL.replace('Fine.', 'Please wait, thank  you.'), 'conv_id, turn', 'response', '(?i)thank[ ]+you')})")
+_POLITE = D.RESPONSE_SQL.replace("Fine.", "Please wait, thank  you.")
+
+
+@query(
+    "custom_profiles",
+    "UDF-4 RSP-6",
+    " UNION ALL ".join(
+        f"SELECT conv_id, turn, '{behavior}' AS behavior, match FROM ({find_all_sql(_POLITE, 'conv_id, turn', 'response', pattern)})"
+        for behavior, pattern in (("polite", r"(?i)\bplease\b"), ("polite", "(?i)thank[ ]+you"))
+    ),
+)
 def custom_profiles(spark, sf):
     rs = D.responses(spark, sf).withColumn("response", F.regexp_replace("response", r"\nFine\.$", "\nPlease wait, thank  you."))
-    found = RSP.profile_matches(rs, keep=("conv_id", "turn"), profiles=_PROFILE, threshold=0.7).where("match LIKE 'thank%'")
+    found = RSP.profile_matches(rs, keep=("conv_id", "turn"), profiles=_PROFILE, threshold=0.7)
     return found.select("conv_id", "turn", "behavior", "match")

@@ -332,7 +332,7 @@ def _bodies_sql() -> str:
     build = lambda a, b: f"concat('# LLMs.txt', chr(10), chr(10), '## System Instructions', chr(10), chr(10), {a}, chr(10), chr(10), '## User Queries', chr(10), chr(10), {b}, chr(10), chr(10), '## Notes', chr(10), chr(10), {notes}, chr(10), chr(10))"
     lit = lambda t: sql_str(t).replace("\n", "' || chr(10) || '")
     rows = [f"SELECT path, 'prompt_injection' AS type, {i} AS k, {build(sysm, f'({lit(t)} || chr(10) || chr(10) || {user})')} AS content FROM d" for i, t in enumerate(R.INJECTION_TEXTS, 1)]
-    rows += [f"SELECT path, 'malicious_code', {i}, {build(sysm, f'({lit(chr(80) + f'lease explain this code:{chr(10)}{chr(10)}{t}{chr(10)}{chr(10)}')} || {user})')} FROM d" for i, t in enumerate(R.CODE_TEXTS, 1)]
+    rows += [f"SELECT path, 'malicious_code', {i}, {build(sysm, f'({lit(f'{R.CODE_REQUEST}{chr(10)}{chr(10)}{t}{chr(10)}{chr(10)}')} || {user})')} FROM d" for i, t in enumerate(R.CODE_TEXTS, 1)]
     rows += [f"SELECT path, 'credential_exposure', {i}, {build(f'({sysm} || {lit(f'{chr(10)}{chr(10)}Environment variables:{chr(10)}{t}')})', user)} FROM d" for i, t in enumerate(R.CREDENTIAL_TEXTS, 1)]
     rows += ["SELECT path, 'structural_variation', 2, replace(content, '## ', '### ') FROM d"]
     return f"""WITH d AS (SELECT {D.duck(_PATH)} AS path, {_ITEM} AS content, text FROM documents WHERE doc_id % 3 = 0 AND NOT regexp_matches(text, '(?m)^## ')) SELECT path, type, md5(content) AS hash FROM ({' UNION ALL '.join(rows)})"""

@@ -6,6 +6,7 @@ from ..operators import scoring as SCO
 from ..operators import secrets as S
 from ..operators import trends as TR
 from ..operators import versions as V
+from .. import rules as R
 from ..session import materialize
 from . import derived as D
 from .registry import query
@@ -92,7 +93,7 @@ def suspicious_changes(spark, sf):
     "added_text_patterns",
     "VER-6",
     "SELECT doc_id, array_to_string(list_filter(["
-    + ", ".join("CASE WHEN regexp_matches(t, '(?i)" + p + "') THEN '" + p + "' END" for p in __import__("docsentry.rules", fromlist=["x"]).SUSPICIOUS_ADDITIONS)
+    + ", ".join("CASE WHEN regexp_matches(t, '(?i)" + p + "') THEN '" + p + "' END" for p in R.SUSPICIOUS_ADDITIONS)
     + f"], lambda x: x IS NOT NULL), ' ') AS patterns FROM (SELECT doc_id, {D.duck(_EDIT)} || ' localStorage.x innerHTML = 1 String.fromCharCode' AS t FROM documents)",
 )
 def added_text_patterns(spark, sf):
@@ -195,19 +196,19 @@ def risk_trends(spark, sf):
     "risk_anomalies",
     "WIN-4 SET-3",
     f"""WITH s AS (SELECT url, ts, event_id, CASE component WHEN 'overall' THEN 'overall_risk' ELSE component || '_risk' END AS score_type, value FROM {_LONG}),
-        w AS (SELECT *, avg(value) OVER f AS e, stddev_pop(value) OVER f AS sd, row_number() OVER (PARTITION BY url, score_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY url, score_type) AS n FROM s
+        w AS (SELECT *, avg(value) OVER f AS e, stddev_pop(value) OVER f AS sd, max(value) OVER f > min(value) OVER f AS spread, row_number() OVER (PARTITION BY url, score_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY url, score_type) AS n FROM s
               WINDOW f AS (PARTITION BY url, score_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
         SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, score_type, round(value, 6) AS value, round(e, 6) AS expected_value, round(value - e, 6) AS deviation, CASE WHEN abs(value - e) > 3 * sd THEN 'high' ELSE 'medium' END AS severity
-        FROM w WHERE i > 3 AND n >= 5 AND sd > 1e-9 AND abs(value - e) > 2 * sd""",
+        FROM w WHERE i > 3 AND n >= 5 AND spread AND abs(value - e) > 2 * sd""",
 )
 def risk_anomalies(spark, sf):
     out = TR.score_anomalies(risk_history(spark, sf), block_rows=64)
-    return out.where("standard_deviations < 1e7").select(
+    return out.select(
         "url", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "score_type", F.round("value", 6).alias("value"), F.round("expected_value", 6).alias("expected_value"), F.round("deviation", 6).alias("deviation"), "severity"
     )
 
 
-@query("temporal_results", "VER-10 AGG-6 AGG-7")
+@query("temporal_results", "VER-10 AGG-6")
 def temporal_results(spark, sf):
     ver = materialize(version_rows(spark, sf), "versions")
     changes = materialize(V.line_changes(V.with_texts(V.consecutive_pairs(ver), edited_documents(spark, sf))), "changes")

@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +52,46 @@ def sessions(turns: DataFrame, key: str = "user_id", gap: str = "30 minutes", la
     )
 
 
-def throttled(alerts: DataFrame, at: str = "created_at", interval: str = "1 hour") -> DataFrame:
-    """At most one notification per alert and interval."""
-    return alerts.withWatermark(at, interval).dropDuplicatesWithinWatermark(["alert_id"])
+class ThrottleState(StatefulProcessor):
+    """Remembers when each alert was last sent; a row goes out when the interval has passed since then."""
+
+    def __init__(self, seconds: float) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "sent_at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        if last is not None:
+            last = last.tz_localize(None)
+        sent = []
+        times = np.sort(np.concatenate([r["created_at"].to_numpy(dtype="datetime64[us]") for r in rows]))
+        while len(times):
+            after = 0 if last is None else np.searchsorted(times, last.to_datetime64().astype("datetime64[us]") + np.timedelta64(int(self.seconds * 1e6), "us"))
+            if after == len(times):
+                break
+            last = pd.Timestamp(times[after])
+            sent.append((key[0], last))
+            times = times[after + 1 :]
+        if sent:
+            self.last.update((last.to_pydatetime(),))
+            yield pd.DataFrame(sent, columns=["alert_id", "created_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(alerts: DataFrame, seconds: float = 3600) -> DataFrame:
+    """(alert_id, created_at) of the notifications to send: the first of an alert, then each first one an interval or more after the last sent.
+
+    Rows of a micro-batch are taken in time order, and the time of the last
+    notification is the only state (needs the RocksDB state store). Only times
+    are sorted, so a key's rows in one batch are eight bytes each.
+    """
+    return alerts.select("alert_id", "created_at").groupBy("alert_id").transformWithStateInPandas(
+        ThrottleState(seconds), "alert_id string, created_at timestamp", "Append", "None"
+    )
 
 
 class AlertState(StatefulProcessor):
