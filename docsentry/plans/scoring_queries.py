@@ -334,31 +334,61 @@ def _bodies_sql() -> str:
     rows = [f"SELECT path, 'prompt_injection' AS type, {i} AS k, {build(sysm, f'({lit(t)} || chr(10) || chr(10) || {user})')} AS content FROM d" for i, t in enumerate(R.INJECTION_TEXTS, 1)]
     rows += [f"SELECT path, 'malicious_code', {i}, {build(sysm, f'({lit(f'{R.CODE_REQUEST}{chr(10)}{chr(10)}{t}{chr(10)}{chr(10)}')} || {user})')} FROM d" for i, t in enumerate(R.CODE_TEXTS, 1)]
     rows += [f"SELECT path, 'credential_exposure', {i}, {build(f'({sysm} || {lit(f'{chr(10)}{chr(10)}Environment variables:{chr(10)}{t}')})', user)} FROM d" for i, t in enumerate(R.CREDENTIAL_TEXTS, 1)]
-    rows += ["SELECT path, 'structural_variation', 2, replace(content, '## ', '### ') FROM d"]
+    # the chosen section of each kind, 0 to 2 in page order, by the same hash of path and seed
+    pick = lambda seed: f"CAST('0x' || substr(md5(path || '|{seed}'), 1, 15) AS BIGINT) % 3"
+    part = lambda name, body: f"concat('## {name}', chr(10), chr(10), {body}, chr(10), chr(10))"
+    names, parts = ("System Instructions", "User Queries", "Notes"), (sysm, user, notes)
+    changed = lambda seed, change: "concat('# LLMs.txt', chr(10), chr(10), " + ", ".join(f"CASE WHEN {pick(seed)} = {i} THEN {change(n, b)} ELSE {part(n, b)} END" for i, (n, b) in enumerate(zip(names, parts, strict=True))) + ")"
+    control = "array_to_string(list_transform(range(128, 160), lambda i: chr(i::int)), '')"
+    words = lambda b: f"array_to_string(list_filter(regexp_split_to_array({b}, '\\s+'), lambda w: w <> ''), chr(8203) || chr(8204) || chr(8205) || chr(65279))"
+    rows += [
+        "SELECT path, 'baseline', 0, content FROM d",
+        "SELECT path, 'structural_variation', 2, replace(content, '## ', '### ') FROM d",
+        f"SELECT path, 'structural_variation', 1, {changed(1, lambda n, b: chr(39) * 2)} FROM d",
+        f"SELECT path, 'special_characters', 1, {changed(2, lambda n, b: part(n, f'concat({control}, {b})'))} FROM d",
+        f"SELECT path, 'special_characters', 2, {changed(3, lambda n, b: part(n, words(b)))} FROM d",
+    ]
     return f"""WITH d AS (SELECT {D.duck(_PATH)} AS path, {_ITEM} AS content, text FROM documents WHERE doc_id % 3 = 0 AND NOT regexp_matches(text, '(?m)^## ')) SELECT path, type, md5(content) AS hash FROM ({' UNION ALL '.join(rows)})"""
 
 
 @query("adversarial_variations", "AUG-2 TOP-8 VER-1", _bodies_sql())
 def adversarial_variations(spark, sf):
-    fixed = _varied(spark, sf).where("content_type = 'llms_txt' AND description NOT LIKE 'Content with missing section%' AND type NOT IN ('baseline', 'special_characters')")
+    fixed = _varied(spark, sf).where("content_type = 'llms_txt'")
     llms = D.documents(spark, sf, "doc_id", "text").where(~F.col("text").rlike("(?m)^## ")).where("doc_id % 3 = 0").select(F.expr(_PATH).alias("path"))
     return fixed.join(llms, "path", "left_semi").select("path", "type", "hash")
 
 
+_KIND = "CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.py' THEN 'code' ELSE 'generic' END AS content_type"
+
+
 @query(
     "generic_variations",
     "AUG-1 AUG-2",
-    f"""WITH d AS (SELECT {D.duck(_PATH)} AS path, text FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0)
-        SELECT path, CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.py' THEN 'code' ELSE 'generic' END AS content_type, 'size_variation' AS type, md5(text || repeat(chr(10), 100)) AS hash FROM d
-        UNION ALL SELECT path, CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.py' THEN 'code' ELSE 'generic' END, 'character_variation', md5(text || chr(10) || array_to_string(list_transform(range(128, 256), lambda i: chr(i::int)), '')) FROM d""",
+    f"""WITH d AS (SELECT {D.duck(_PATH)} AS path, text FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0),
+        l AS (SELECT path, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM d),
+        h AS (SELECT *, CAST('0x' || substr(md5(path || '|' || i || '|4'), 1, 15) AS BIGINT) AS h FROM l)
+        SELECT path, {_KIND}, 'baseline' AS type, md5(text) AS hash FROM d
+        UNION ALL SELECT path, {_KIND}, 'size_variation', md5(text || repeat(chr(10), 100)) FROM d
+        UNION ALL SELECT path, {_KIND}, 'character_variation', md5(text || chr(10) || array_to_string(list_transform(range(128, 256), lambda i: chr(i::int)), '')) FROM d
+        UNION ALL SELECT path, {_KIND}, 'structure_variation', md5(string_agg(x, chr(10) ORDER BY h, i)) FROM h GROUP BY path HAVING count(*) > 1""",
 )
 def generic_variations(spark, sf):
-    out = _varied(spark, sf).where("content_type <> 'llms_txt' AND type IN ('size_variation', 'character_variation')")
-    return out.select("path", "content_type", "type", "hash")
+    return _varied(spark, sf).where("content_type <> 'llms_txt'").select("path", "content_type", "type", "hash")
 
 
-@query("variation_suite", "AUG-3 AUG-2")
+@query(
+    "variation_suite",
+    "AUG-3 AUG-2",
+    f"""WITH d AS (SELECT {D.duck(_PATH)} AS path, doc_id, text, doc_id % 3 = 0 OR doc_id % 4 = 0 AS is_llms FROM documents WHERE NOT regexp_matches(text, '(?m)^## ')),
+        r AS (SELECT path, unnest(CASE WHEN NOT is_llms THEN ['baseline', 'size_variation', 'character_variation']
+                || CASE WHEN contains(text, chr(10)) THEN ['structure_variation'] ELSE [] END
+              WHEN doc_id % 3 <> 0 THEN ['baseline', 'structural_variation']
+              ELSE ['baseline', 'structural_variation', 'structural_variation', 'special_characters', 'special_characters']
+                || list_transform(range(0, {len(R.INJECTION_TEXTS)}), lambda i: 'prompt_injection') || list_transform(range(0, {len(R.CODE_TEXTS)}), lambda i: 'malicious_code')
+                || list_transform(range(0, {len(R.CREDENTIAL_TEXTS)}), lambda i: 'credential_exposure') END) AS type FROM d)
+        SELECT type, count(*) AS n_cases, count(DISTINCT path) AS n_items FROM r GROUP BY type""",
+)
 def variation_suite(spark, sf):
-    varied = _varied(spark, sf)
-    cases = AU.test_suite(varied).groupBy("type").agg(F.count("*").alias("n_cases"), F.countDistinct("source_item").alias("n_items"))
-    return cases
+    plain = D.documents(spark, sf, "doc_id", "text").where(~F.col("text").rlike("(?m)^## ")).select(F.expr(_PATH).alias("path"))
+    varied = _varied(spark, sf).join(plain, "path", "left_semi")
+    return AU.test_suite(varied).groupBy("type").agg(F.count("*").alias("n_cases"), F.countDistinct("source_item").alias("n_items"))
