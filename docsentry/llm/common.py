@@ -38,6 +38,21 @@ def set_columns(df: DataFrame, new: dict[str, Column], keep: Sequence[str] | Non
     return df.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in new.items()])
 
 
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """Rows of ``counts`` above the smallest count that at most ``limit`` rows exceed.
+
+    Only the numbers of rows per count go to the driver, not a candidate list
+    from every partition. Rows that tie at the cut are all left out.
+    """
+    held, cut = 0, 0
+    for row in counts.groupBy(n).agg(F.count("*").alias("_rows")).orderBy(F.desc(n)).collect():
+        held += row["_rows"]
+        if held > limit:
+            cut = row[n]
+            break
+    return counts.filter(F.col(n) > cut)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors' Python once per application, so that functions go by reference and workers keep their caches."""
     context = spark.sparkContext

@@ -22,7 +22,7 @@ the pairs of rare shingles only, since common ones come last in the order.
 
 Which shingles are common is counted over all documents, in groups of some
 million shingles at a time; the ``COMMON_SHINGLES`` most frequent are
-broadcast. The order decides how many candidates there are, not which links.
+broadcast (at most). The order decides how many candidates there are, not which links.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from docsentry.session import materialize
 
-from .common import ship_package
+from .common import most_frequent, ship_package
 from .components import components
 from .shingles import Shingler, mixed, set_id
 
@@ -221,9 +221,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = materialize(document_sets(docs), "jaccard-documents")
     documents = rows.filter("is_doc").select("doc_id", "n", "set_id")
-    counted = rows.filter("not is_doc").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    top = counted.orderBy(F.desc("seen"), "shingle").limit(COMMON_SHINGLES).select("shingle").collect()
-    common = np.array([r["shingle"] for r in reversed(top)], np.int64).view(np.uint64)
+    counted = materialize(rows.filter("not is_doc").groupBy("shingle").agg(F.sum("seen").alias("seen")), "jaccard-common")
+    top = sorted(most_frequent(counted, "seen", COMMON_SHINGLES).collect(), key=lambda r: (r["seen"], r["shingle"]))
+    common = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
 
     # buckets: prefix shingles that at least two different sets share
     dealt = prefixes(docs, common, percent).repartition("shingle")
