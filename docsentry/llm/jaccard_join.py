@@ -102,7 +102,7 @@ def _two_kinds(doc_ids: pa.Array, n: list[int], ids: list[int | None], values: n
     empty = pa.nulls(others, pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([True] * docs + [False] * others),
+            pa.array([True] * docs + [False] * others, pa.bool_()),
             pa.concat_arrays([doc_ids.cast(pa.int64()), empty]),
             pa.concat_arrays([pa.array(n, pa.int64()), empty]),
             pa.concat_arrays([pa.array(ids, pa.int64()), empty]),

@@ -178,9 +178,10 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of its text replaced by ``mark``; overlapping spans count as one. Other rows stay as they are."""
-    found = find_spans(df, text, "_found")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("whole"))
+    found = find_spans(rows, "whole", "found")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    whole = F.col(f"`{text}`")
+    whole = F.col("whole")
 
     def cut(state: Column, span: Column) -> Column:
         before = F.when(span["start"] >= state["at"], F.array(F.substring(whole, state["at"] + 1, span["start"] - state["at"]), F.lit(mark)))
@@ -188,7 +189,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
 
     rebuilt = F.aggregate(
-        "_found", start, cut, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(whole, s["at"] + 1, F.length(whole)))
+        "found", start, cut, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(whole, s["at"] + 1, F.length(whole)))
     )
-    clean = F.when(F.size("_found") > 0, rebuilt).otherwise(whole)
-    return found.select(*[(clean.alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
+    clean = F.when(F.size("found") > 0, rebuilt).otherwise(whole)
+    return found.select(*[(clean if c == text else F.col("row")[c]).alias(c) for c in df.columns])

@@ -18,8 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import set_columns
-
 #: Slots of the table; a prime, at least a hundred times the shards keeps their shares within one per cent.
 TABLE_SIZE = 65_537
 
@@ -82,23 +80,19 @@ def assign(
     two new ones are replaced.
     """
     slot, shard = names
-    key_columns = [F.col(f"`{k}`") for k in keys]
-    salted = df
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    key_columns = [F.col("row")[k] for k in keys]
     if row_key is not None:
-        counts = df.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(key_columns)]).count()
-        total = counts.agg(F.sum("count").alias("_rows"))
-        hot = (
-            counts.join(F.broadcast(total), F.col("count") * len(shards) > F.col("_rows"))
-            .withColumn("_ways", F.ceil(F.col("count") * len(shards) / F.col("_rows")).cast("int"))
-            .drop("count", "_rows")
-        )
-        same = [c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key_columns)]
-        condition = same[0]
-        for more in same[1:]:
-            condition = condition & more
-        salted = df.join(F.broadcast(hot), condition, "left").drop(*[f"_k{i}" for i in range(len(keys))])
-        key_columns = [*key_columns, F.when(F.col("_ways").isNotNull(), F.pmod(F.xxhash64(f"`{row_key}`"), F.col("_ways")))]
-    placed = set_columns(salted, {"_slot": slot_of(key_columns, size)})
-    table = lookup_table(df.sparkSession, shards, size).select(F.col("slot").alias("_at"), F.col("shard_id").alias("_shard"))
-    out = placed.join(F.broadcast(table), F.col("_slot") == F.col("_at"))
-    return set_columns(out, {slot: F.col("_slot"), shard: F.col("_shard")}, keep=df.columns)
+        counts = rows.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(key_columns)]).count()
+        total = counts.agg(F.sum("count").alias("rows"))
+        ways = F.ceil(F.col("count") * len(shards) / F.col("rows")).cast("int")
+        hot = counts.join(F.broadcast(total), F.col("count") * len(shards) > F.col("rows")).withColumn("ways", ways).drop("count", "rows")
+        same = F.lit(True)
+        for i, c in enumerate(key_columns):
+            same = same & c.eqNullSafe(F.col(f"k{i}"))
+        rows = rows.join(F.broadcast(hot), same, "left").select("row", "ways")
+        key_columns.append(F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64(F.col("row")[row_key]), F.col("ways"))))
+    table = lookup_table(df.sparkSession, shards, size)
+    placed = rows.select("row", slot_of(key_columns, size).alias("own_slot")).join(F.broadcast(table), F.col("own_slot") == F.col("slot"))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in names]
+    return placed.select(*kept, F.col("own_slot").alias(slot), F.col("shard_id").alias(shard))
