@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,18 +37,31 @@ def wide_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder.
+    """A fresh folder below the cluster's checkpoint folder, removed when the application ends.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only where
-    it is unset (tests on one machine) do we fall back to a temporary folder.
+    ``spark.checkpoint.dir`` names storage that every executor can reach. Where
+    it is unset, only a session in local mode, whose tasks share the machine's
+    disk, gets a folder of its own; on a cluster that is an error.
     """
-    import uuid
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
+    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="docsentry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+def _local_root(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if master not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[master] = tempfile.mkdtemp(prefix="docsentry-")
+    return _LOCAL_ROOTS[master]
+
+
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def materialize(df, name: str):
