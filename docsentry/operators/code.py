@@ -72,10 +72,10 @@ def block_findings(blocks: DataFrame, rules: DataFrame, doc_id: str = "doc_id")
     )
 
 
-def fallback_findings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", complex_only: bool = True) -> DataFrame:
-    """Five content patterns with line and column, plus a marker row, for documents too complex for the rules."""
-    complex_docs = df.where(gates.is_complex(F.col(text))) if complex_only else df
-    hits = scan(complex_docs, text, R.FALLBACK_RULES, [doc_id], lines=True)
+def content_findings(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Five content patterns with line and column in every document; documents of very complex content get one more row that says so."""
+    complex_docs = df.where(gates.is_complex(F.col(text)))
+    hits = scan(df, text, R.FALLBACK_RULES, [doc_id], lines=True)
     snippet = F.when(F.length("match") > 100, F.concat(F.substring("match", 1, 100), F.lit("..."))).otherwise(F.col("match"))
     path = F.concat(F.lit("item-"), F.col(doc_id).cast("string"))
     found = hits.select(
@@ -138,11 +138,10 @@ def stored_or_parsed_blocks(docs: DataFrame, stored: DataFrame, text: str = "tex
 
 
 def code_facts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """What the code rules need from each document, in one pass: sizes, broken limit, blocks, and the text only if complex."""
+    """What the code rules need from each document, in one pass: sizes, broken limit and all code blocks."""
     t = F.col(text)
-    gated = df.select(doc_id, text, F.length(t).alias("n_chars"), gates.line_count(t).alias("n_lines"), gates.limit_rule(t).alias("broken_limit"), gates.is_complex(t).alias("is_complex"))
+    gated = df.select(doc_id, text, F.length(t).alias("n_chars"), gates.line_count(t).alias("n_lines"), gates.limit_rule(t).alias("broken_limit"))
     found, matches = staged_matches(gated, text, F.lit(FENCE), {"info": 1, "code": 2}, lines=True)
-    within = F.col("broken_limit").isNull()
     blocks = F.transform(
         matches,
         lambda z, i: F.struct(
@@ -152,23 +151,24 @@ def code_facts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             (z["_line"] - newlines(z["match"]) + 1).alias("line_start"),
         ),
     )
-    return found.select(doc_id, "n_chars", "n_lines", "broken_limit", F.when(within, blocks).alias("blocks"), F.when(within & F.col("is_complex"), t).alias(text))
+    return found.select(doc_id, "n_chars", "n_lines", "broken_limit", blocks.alias("blocks"))
 
 
 def static_findings(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: DataFrame | None = None) -> DataFrame:
-    """The whole code-rule family: limit gate first, then block rules, fallback scan and limit findings.
+    """The whole code-rule family over every document: block rules, content patterns, and a finding more for a document over a limit.
 
-    The corpus is read once; its facts go to shared storage and the three branches read those.
+    Sizes and blocks go to shared storage for two of the branches; the content
+    patterns read the texts, so no text is written or shuffled.
     """
     rules = rules if rules is not None else rule_table(df.sparkSession)
     facts = materialize(code_facts(df, text, doc_id), "code-facts")
     block_rows = block_findings(facts.select(doc_id, F.inline("blocks")), rules, doc_id)
-    fallback = fallback_findings(facts.where(F.col(text).isNotNull()).select(doc_id, text), text, doc_id, complex_only=False)
+    content = content_findings(df.select(doc_id, text), text, doc_id)
     limits = gates.limit_findings(facts, doc_id).select(
         "*",
         F.concat(F.lit("item-"), F.col(doc_id).cast("string")).alias("path"),
         *[F.lit(1).alias(c) for c in ("start_line", "start_col", "end_line", "end_col")],
         priority_severity(F.col("priority")).alias("severity"),
     )
-    everything = block_rows.unionByName(fallback, allowMissingColumns=True)
+    everything = block_rows.unionByName(content, allowMissingColumns=True)
     return dedup(everything.unionByName(limits, allowMissingColumns=True), doc_id)

@@ -1,4 +1,4 @@
-"""Cheap tests that route a document before any expensive scan."""
+"""Cheap tests of documents: limits, complexity, languages."""
 
 from __future__ import annotations
 
@@ -73,7 +73,7 @@ def balance_by_cost(df: DataFrame, text: str, language: Column, partitions: int)
 
 
 def limit_findings(facts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One Performance finding per document over a limit, from (n_chars, n_lines, broken_limit); those skip the code rules."""
+    """One Performance finding per document over a limit, from (n_chars, n_lines, broken_limit); it adds to their other findings."""
     n = lambda c: F.col(c).cast("string")
     message = F.when(
         F.col("broken_limit") == "content_size_limit_exceeded",

@@ -201,25 +201,26 @@ _MARKED_MD = f"(SELECT doc_id, {_MARKED} AS text FROM {_MD})"
 
 
 def _fallback_sql(src_md: str = _MARKED_MD) -> str:
-    src = f"(SELECT doc_id, text FROM {src_md} WHERE {_COMPLEX_SQL})"
+    src = f"(SELECT doc_id, text FROM {src_md})"
     pre, post = "substr(text, 1, start)", 'substr(text, 1, "end")'
     col = lambda x: f"length(string_split({x}, {_NL})[-1]) + 1"
     sev = "CASE WHEN lower(priority) IN ('high', 'critical') THEN 'High' WHEN lower(priority) = 'low' THEN 'Low' ELSE 'Medium' END"
     return f"""SELECT doc_id, rule_name AS rule_id, {newlines_sql(pre)} + 1 AS start_line, {col(pre)} AS start_col, {newlines_sql(post)} + 1 AS end_line, {col(post)} AS end_col, message, category, priority, {sev} AS severity,
           CASE WHEN length(match) > 100 THEN substr(match, 1, 100) || '...' ELSE match END AS evidence FROM {scan_sql(src, 'doc_id', 'text', R.FALLBACK_RULES)}
-        UNION ALL SELECT doc_id, 'alternative_analysis_used', 1, 1, 1, 1, 'Complex generic content analyzed with alternative method instead of semgrep', 'Info', 'Low', 'Low', NULL FROM {src}"""
+        UNION ALL SELECT doc_id, 'alternative_analysis_used', 1, 1, 1, 1, 'Complex generic content analyzed with alternative method instead of semgrep', 'Info', 'Low', 'Low', NULL FROM {src} WHERE {_COMPLEX_SQL}"""
 
 
 @query("fallback_content_scan", "STA-3 STA-4 FLT-3 RX-0", _fallback_sql())
 def fallback_content_scan(spark, sf):
     docs = D.markdown(spark, sf).select("doc_id", F.expr(_MARKED).alias("text"))
-    return C.fallback_findings(docs).drop("path")
+    return C.content_findings(docs).drop("path")
 
 
 def static_sql(src_md: str) -> str:
-    """doc_id, rule_id, severity of the deduplicated code-rule family (no document here breaks a limit)."""
+    """doc_id, rule_id, severity of the deduplicated code-rule family."""
+    limits = f"SELECT doc_id, CASE WHEN length(text) > {R.MAX_CONTENT_CHARS} THEN 'content_size_limit_exceeded' ELSE 'content_line_limit_exceeded' END AS rule_id, 1 AS start_line, 1 AS start_col, 1 AS end_line, 1 AS end_col, 'Medium' AS severity FROM {src_md} WHERE length(text) > {R.MAX_CONTENT_CHARS} OR {newlines_sql('text')} + 1 > {R.MAX_CONTENT_LINES}"
     cols = "doc_id, rule_id, start_line, start_col, end_line, end_col, severity"
-    return f"(SELECT DISTINCT {cols} FROM (SELECT {cols} FROM ({_code_sql(src_md)}) UNION ALL SELECT {cols} FROM ({_fallback_sql(src_md)})))"
+    return f"(SELECT DISTINCT {cols} FROM (SELECT {cols} FROM ({_code_sql(src_md)}) UNION ALL SELECT {cols} FROM ({_fallback_sql(src_md)}) UNION ALL {limits}))"
 
 
 @query(

@@ -153,7 +153,7 @@ def test_code_rules_rebase_lines_and_dedup(spark):
 
 def test_fallback_scan_positions(spark):
     text = "{{" * 11 + "\nsee https://a.b\n  eval(x)"
-    rows = {r["rule_id"]: r for r in C.fallback_findings(one(spark, "doc_id int, text string", (1, text))).collect()}
+    rows = {r["rule_id"]: r for r in C.content_findings(one(spark, "doc_id int, text string", (1, text))).collect()}
     assert (rows["url_found"]["start_line"], rows["url_found"]["start_col"]) == (2, 5)
     assert (rows["dangerous_function"]["start_line"], rows["dangerous_function"]["start_col"], rows["dangerous_function"]["severity"]) == (3, 3, "High")
     assert "alternative_analysis_used" in rows
@@ -288,7 +288,7 @@ def test_variations(spark):
     df = one(spark, "path string, content string", ("a.llms.txt", doc), ("b.bin", "one line"), ("c.md", "x\ny\nz"))
     rows = AU.variations(df).collect()
     kinds = lambda p: [r["type"] for r in sorted(rows, key=lambda r: r["variation_no"]) if r["path"] == p]
-    assert kinds("a.llms.txt") == ["baseline", "prompt_injection", "prompt_injection", "malicious_code", "malicious_code", "credential_exposure", "credential_exposure", "structural_variation", "structural_variation", "special_characters", "special_characters"]
+    assert kinds("a.llms.txt") == ["baseline", *["prompt_injection"] * 5, *["malicious_code"] * 5, *["credential_exposure"] * 5, "structural_variation", "structural_variation", "special_characters", "special_characters"]
     assert kinds("b.bin") == ["baseline", "size_variation", "character_variation"]
     assert kinds("c.md")[-1] == "structure_variation"
     assert sorted(next(r["content"] for r in rows if r["path"] == "c.md" and r["type"] == "structure_variation").split("\n")) == ["x", "y", "z"]
@@ -352,12 +352,19 @@ def test_custom_patterns_reject_bad_regexes(spark):
     assert [(r["type"], r["severity"], r["line"], r["match"]) for r in rows] == [("a", "LOW", 2, "xx")]
 
 
-def test_limits_route_before_rules(spark):
-    docs = one(spark, "doc_id int, text string", (1, "a\n" * 10001), (2, "```py\neval(x)\n```"), (3, "```py\neval(x)\n```\n" * 11))
+def test_documents_over_a_limit_keep_their_findings(spark):
+    code = "```py\neval(x)\n```\n"
+    docs = one(spark, "doc_id int, text string", (1, "a\n" * 10001 + code), (2, code), (3, code * 11), (4, "a " * 600000 + "\n" + code))
     got = {}
     for r in C.static_findings(docs).collect():
         got.setdefault(r["doc_id"], set()).add(r["rule_id"])
-    assert got == {1: {"content_line_limit_exceeded"}, 2: {"python.eval.injection"}, 3: {"python.eval.injection", "dangerous_function", "alternative_analysis_used"}}
+    found = {"python.eval.injection", "dangerous_function"}
+    assert got == {
+        1: found | {"content_line_limit_exceeded", "alternative_analysis_used"},
+        2: found,
+        3: found | {"alternative_analysis_used"},
+        4: found | {"content_size_limit_exceeded", "alternative_analysis_used"},
+    }
 
 
 def test_all_findings_equal_the_single_detectors(spark, sf):
