@@ -36,10 +36,12 @@ class Rule:
     languages: tuple[str, ...] = ()
     gate: tuple[tuple[str, ...], ...] = ()
     groups: tuple[tuple[str, int], ...] = field(default=())
+    #: The same language without needless backtracking, for the engine that scans; ``pattern`` where it is empty.
+    scanned: str = ""
 
     @property
     def java_pattern(self) -> str:
-        return java(self.pattern, self.flags)
+        return java(self.scanned or self.pattern, self.flags)
 
 
 def any_of(text: Column, literals: Iterable[str]) -> Column:

@@ -73,3 +73,24 @@ def test_gates_never_hide_a_match():
         for alternatives in rule.gate:
             assert all(a == a.lower() for a in alternatives), rule.name
     assert all(re.compile(r.pattern).match("") is None for r in (*R.MARKDOWN_RULES, *R.SECRET_RULES, *R.FALLBACK_RULES, *R.response_rules(), *R.profile_rules()))
+
+
+def test_override_pattern_is_linear_and_the_same(spark):
+    import random
+    import re
+    import time
+
+    from docsentry import rules as R
+    from docsentry.functions.matching import scan
+
+    rule = [r for r in R.MARKDOWN_RULES if r.name == "override_instructions"]
+    draw = random.Random(1)
+    words = ["ignore", "all", "rules", "x", "reset", "your", "role", "ignored", "users", "\n"]
+    texts = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(1, 14)))) for i in range(300)]
+    found = scan(spark.createDataFrame(texts, "doc_id int, text string"), "text", rule, ["doc_id"]).select("doc_id", "start", "end").collect()
+    expected = {(i, m.start(), m.end()) for i, t in texts for m in re.finditer(rule[0].pattern, t, re.I | re.S)}
+    assert {tuple(r) for r in found} == expected and expected
+    hostile = spark.createDataFrame([(1, "instructions " + "ignore all " * 4000)], "doc_id int, text string")
+    start = time.time()
+    assert scan(hostile, "text", rule, ["doc_id"]).count() == 0
+    assert time.time() - start < 60
