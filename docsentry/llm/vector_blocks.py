@@ -23,9 +23,13 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def with_chunks(df: DataFrame, by: str, rows: int, name: str) -> DataFrame:
-    """Adds ``name``: a chunk number within the group ``by``, so that a chunk holds about ``rows`` rows whatever the group's size."""
+    """Adds ``name``: a chunk number within the group ``by``, so that a chunk holds about ``rows`` rows whatever the group's size.
+
+    Groups are lists or buckets, some ten thousands at most by their making, so
+    their sizes are broadcast and no group meets in one task.
+    """
     sizes = df.groupBy(by).agg(F.ceil(F.count("*") / rows).alias("_chunks"))
-    return df.join(sizes, by).withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.col("_chunks")).cast("int")).drop("_chunks")
+    return df.join(F.broadcast(sizes), by).withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.col("_chunks")).cast("int")).drop("_chunks")
 
 
 def packed(df: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
