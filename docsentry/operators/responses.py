@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.diffs import similarity
 from ..functions.matching import any_of, context_window, let, scan, with_offsets
 
 FENCED = r"(?ds)```(?:\w+)?\n(.*?)\n```"
@@ -108,9 +107,16 @@ def response_pairs(df: DataFrame, conversation: str = "conv_id", turn: str = "tu
     )
 
 
+def similarity(left: Column, right: Column) -> Column:
+    """Twice the distinct lower-case words two texts share over the distinct words of both; 1 for two texts without words."""
+    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    both = F.size(words(left)) + F.size(words(right))
+    return F.when(left.isNull() | right.isNull(), F.lit(None).cast("double")).when(both == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(words(left), words(right))) / both)
+
+
 def pair_similarity(pairs: DataFrame) -> DataFrame:
     """Hashes and text similarity of each pair."""
-    return pairs.select("pair_id", F.md5("response1").alias("response1_hash"), F.md5("response2").alias("response2_hash"), similarity("response1", "response2").alias("similarity_score"))
+    return pairs.select("pair_id", F.md5("response1").alias("response1_hash"), F.md5("response2").alias("response2_hash"), similarity(F.col("response1"), F.col("response2")).alias("similarity_score"))
 
 
 def compare_findings(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.diffs import line_opcodes, unified_diff
 from ..functions.patterns import java
 from ..functions.scale import exact_quantiles, row_numbers
-from ..session import wide_partitions
 from .markdown import lines
 
 
@@ -87,42 +85,72 @@ def suspicious_patterns(text: Column) -> Column:
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds old_text and new_text; joins are on the unique doc_id, so no key is hot.
-
-    The id pairs are spread by new_doc_id with an explicit width first. The join
-    needs that exchange anyway, it moves ids only, and the comparison that
-    follows keeps all its tasks however few bytes the ids are.
-    """
-    spread = pairs.repartition(wide_partitions(docs.sparkSession), "new_doc_id")
+    """Adds old_text and new_text; joins are on the unique doc_id, so no key is hot."""
     text = docs.select("doc_id", "text")
-    return spread.join(text.withColumnsRenamed({"doc_id": "new_doc_id", "text": "new_text"}), "new_doc_id").join(
+    return pairs.join(text.withColumnsRenamed({"doc_id": "new_doc_id", "text": "new_text"}), "new_doc_id").join(
         text.withColumnsRenamed({"doc_id": "old_doc_id", "text": "old_text"}), "old_doc_id"
     )
 
 
-def line_changes(pairs: DataFrame) -> DataFrame:
-    """Change rows for pairs carrying old_text and new_text.
+def near_identical(before: Column, after: Column) -> Column:
+    """Whether two texts share more than four fifths of their distinct words."""
+    words = lambda text: F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return 5 * F.size(F.array_intersect(words(before), words(after))) > 4 * F.size(F.array_union(words(before), words(after)))
+
 
-    Only the line ranges come from Python; sections, sizes, types and scores are
-    columns over the two line arrays.
+def changed_ranges(pairs: DataFrame) -> DataFrame:
+    """Changed line ranges of pairs carrying old_text and new_text, as sets of lines tell them.
+
+    The k-th occurrence of a line in the old text and the k-th of the same line
+    in the new one are the same line; every other line is removed or added. Lines
+    removed (or added) between two kept lines are one range. A removed and an
+    added range behind the same kept line are one modification. Lines travel as
+    rows; a group is the places of one line, a window one side of one pair.
+    Ranges are numbered by their places in the new text, then in the old one.
     """
-    found = pairs.withColumn("_ops", line_opcodes("old_text", "new_text"))
-    arrays = found.withColumn("_old", lines(F.col("old_text"))).withColumn("_new", lines(F.col("new_text"))).drop("old_text", "new_text")
     base = [c for c in pairs.columns if c not in ("old_text", "new_text")]
-    rows = arrays.select(*base, "_old", "_new", F.posexplode("_ops").alias("change_seq", "_o"))
-    o = F.col("_o")
-    part = lambda col, start, end: F.when(o[start] < o[end], F.array_join(F.slice(F.col(col), o[start] + 1, o[end] - o[start]), "\n"))
-    kinds = F.create_map(*[F.lit(x) for x in ("replace", "modification", "delete", "deletion", "insert", "addition")])
-    shaped = rows.select(
-        *base, "change_seq", kinds[o["tag"]].alias("change_type"), o["old_start"].alias("old_start"), o["old_end"].alias("old_end"), o["new_start"].alias("new_start"),
-        o["new_end"].alias("new_end"), part("_old", "old_start", "old_end").alias("content_before"), part("_new", "new_start", "new_end").alias("content_after"), o["near_identical"].alias("near_identical"),
+    side = lambda new, text: F.struct(F.lit(new).alias("is_new"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sides = pairs.select(F.struct(*base).alias("_pair"), F.inline(F.array(side(False, "old_text"), side(True, "new_text"))))
+    rows = sides.select("_pair", "is_new", F.posexplode(lines(F.col("text"))).alias("no", "line"))
+    places = lambda new: F.sort_array(F.collect_list(F.when(F.col("is_new") == new, F.col("no"))))
+    met = rows.groupBy("_pair", "line").agg(places(False).alias("_old"), places(True).alias("_new"))
+
+    def placed(own: str, other: str, new: bool) -> Column:
+        return F.transform(own, lambda n, i: F.struct(F.lit(new).alias("is_new"), n.alias("no"), F.get(F.col(other), i).alias("partner")))
+
+    found = met.select("_pair", "line", F.inline(F.concat(placed("_old", "_new", False), placed("_new", "_old", True))))
+    so_far = Window.partitionBy("_pair", "is_new").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = F.when(F.col("partner").isNotNull(), F.struct("no", "partner"))
+    staged = found.select("*", F.last(kept, ignorenulls=True).over(so_far).alias("_kept")).where(F.col("partner").isNull())
+    old_anchor = F.when(F.col("is_new"), F.col("_kept.partner")).otherwise(F.col("_kept.no"))
+    new_anchor = F.when(F.col("is_new"), F.col("_kept.no")).otherwise(F.col("_kept.partner"))
+    anchored = staged.select("_pair", "is_new", "no", "line", F.coalesce(old_anchor + 1, F.lit(0)).alias("_old_at"), F.coalesce(new_anchor + 1, F.lit(0)).alias("_new_at"))
+    part = lambda new: F.array_sort(F.collect_list(F.when(F.col("is_new") == new, F.struct("no", "line"))))
+    ranges = anchored.groupBy("_pair", "_old_at", "_new_at").agg(part(False).alias("_before"), part(True).alias("_after"))
+    joined = lambda rows: F.when(F.size(rows) > 0, F.array_join(F.transform(rows, lambda r: r["line"]), "\n"))
+    shaped = ranges.select(
+        "_pair.*",
+        F.col("_old_at").alias("old_start"),
+        (F.col("_old_at") + F.size("_before")).alias("old_end"),
+        F.col("_new_at").alias("new_start"),
+        (F.col("_new_at") + F.size("_after")).alias("new_end"),
+        joined(F.col("_before")).alias("content_before"),
+        joined(F.col("_after")).alias("content_after"),
     )
+    order = Window.partitionBy(*base).orderBy("new_start", "old_start")
+    return shaped.withColumn("change_seq", F.row_number().over(order) - 1)
+
+
+def line_changes(pairs: DataFrame) -> DataFrame:
+    """Change rows for pairs carrying old_text and new_text, with kind, section, size and suspicion score."""
+    found = changed_ranges(pairs)
     before, after = F.col("content_before"), F.col("content_after")
+    kind = F.when(before.isNull(), F.lit("addition")).when(after.isNull(), F.lit("deletion")).otherwise(F.lit("modification"))
     return (
-        shaped.withColumn("section_type", section_type(F.coalesce(after, before)))
+        found.withColumn("change_type", kind)
+        .withColumn("section_type", section_type(F.coalesce(after, before)))
         .withColumn("change_size", change_size(before, after))
-        .withColumn("suspicion_score", suspicion(F.col("change_type"), before, after, F.col("near_identical")))
-        .drop("near_identical")
+        .withColumn("suspicion_score", suspicion(F.col("change_type"), before, after, F.coalesce(near_identical(before, after), F.lit(False))))
     )
 
 
@@ -178,12 +206,17 @@ def analysis_history(pairs: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def compare_versions(versions: DataFrame, docs: DataFrame, version1: int, version2: int) -> DataFrame:
-    """Unified diff of two versions of every URL that has both."""
+    """Unified diff, without context lines, of two versions of every URL that has both; empty where they are equal."""
     a = versions.where(F.col("version_number") == version1).select("url", F.col("doc_id").alias("old_doc_id"), F.col("ts").alias("timestamp1"))
     b = versions.where(F.col("version_number") == version2).select("url", F.col("doc_id").alias("new_doc_id"), F.col("ts").alias("timestamp2"))
-    paired = with_texts(a.join(b, "url"), docs)
-    diff = unified_diff("old_text", "new_text", F.lit(f"Version {version1}"), F.lit(f"Version {version2}"))
-    return paired.select("url", F.lit(version1).alias("version1"), F.lit(version2).alias("version2"), "timestamp1", "timestamp2", diff.alias("unified_diff"))
+    pairs = a.join(b, "url")
+    span = lambda start, end: F.concat((F.col(start) + (F.col(end) > F.col(start)).cast("int")).cast("string"), F.lit(","), (F.col(end) - F.col(start)).cast("string"))
+    marked = lambda text, mark: F.when(F.col(text).isNotNull(), F.concat(F.lit("\n" + mark), F.regexp_replace(text, "\n", "\n" + mark)))
+    hunk = F.concat(F.lit("\n@@ -"), span("old_start", "old_end"), F.lit(" +"), span("new_start", "new_end"), F.lit(" @@"), F.coalesce(marked("content_before", "-"), F.lit("")), F.coalesce(marked("content_after", "+"), F.lit("")))
+    ranges = changed_ranges(with_texts(pairs, docs)).select("url", "change_seq", hunk.alias("_hunk"))
+    hunks = ranges.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_seq", "_hunk"))), lambda h: h["_hunk"]), "").alias("_hunks"))
+    diff = F.when(F.col("_hunks").isNotNull(), F.concat(F.lit(f"--- Version {version1}\n+++ Version {version2}"), F.col("_hunks"))).otherwise(F.lit(""))
+    return pairs.join(hunks, "url", "left").select("url", F.lit(version1).alias("version1"), F.lit(version2).alias("version2"), "timestamp1", "timestamp2", diff.alias("unified_diff"))
 
 
 def changes_between(changes: DataFrame, version1: int, version2: int) -> DataFrame:

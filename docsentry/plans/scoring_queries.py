@@ -240,7 +240,15 @@ def _pairs(spark, sf):
     return RSP.response_pairs(D.responses(spark, sf))
 
 
-@query("response_similarity", "RSP-4 RSP-5 UDF-6")
+_WORDS = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(
+    "response_similarity",
+    "RSP-4 RSP-5",
+    f"""SELECT pair_id, md5(r1) AS response1_hash, md5(r2) AS response2_hash, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS similarity_score
+        FROM (SELECT *, {_WORDS('r1')} AS a, {_WORDS('r2')} AS b FROM {_PAIRS})""",
+)
 def response_similarity(spark, sf):
     return RSP.pair_similarity(_pairs(spark, sf)).withColumn("similarity_score", F.round("similarity_score", 6))
 

@@ -37,6 +37,37 @@ def edited_documents(spark, sf):
     return D.documents(spark, sf, "doc_id", "text").select("doc_id", F.expr(_EDIT).alias("text"))
 
 
+def _ranges_sql(pairs: str) -> str:
+    """Changed line ranges of (url, version_number, new_doc_id, old_doc_id) rows, worked out by joins on line and occurrence."""
+    split = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
+    return f"""(WITH pr AS (SELECT * FROM {pairs}), tx AS (SELECT doc_id, {D.duck(_EDIT)} AS text FROM documents),
+      li AS (SELECT url, version_number, is_new, unnest(ls) AS line, unnest(range(0, len(ls))) AS no FROM (
+        SELECT url, version_number, true AS is_new, {split} AS ls FROM pr JOIN tx ON doc_id = new_doc_id UNION ALL SELECT url, version_number, false, {split} FROM pr JOIN tx ON doc_id = old_doc_id)),
+      nu AS (SELECT *, row_number() OVER (PARTITION BY url, version_number, is_new, line ORDER BY no) AS occ FROM li),
+      ma AS (SELECT a.*, b.no AS partner FROM nu a LEFT JOIN nu b ON a.url = b.url AND a.version_number = b.version_number AND a.line = b.line AND a.occ = b.occ AND a.is_new <> b.is_new),
+      st AS (SELECT *, max(CASE WHEN partner IS NOT NULL THEN no END) OVER w AS bno, last_value(partner IGNORE NULLS) OVER w AS bpartner FROM ma
+        WINDOW w AS (PARTITION BY url, version_number, is_new ORDER BY no ROWS UNBOUNDED PRECEDING)),
+      ra AS (SELECT url, version_number, is_new, min(no) AS s, max(no) + 1 AS e, string_agg(line, chr(10) ORDER BY no) AS content,
+          CASE WHEN is_new THEN coalesce(bno, -1) ELSE coalesce(bpartner, -1) END AS an, CASE WHEN is_new THEN coalesce(bpartner, -1) ELSE coalesce(bno, -1) END AS ao FROM st WHERE partner IS NULL GROUP BY url, version_number, is_new, bno, bpartner),
+      ch AS (SELECT coalesce(o.url, n.url) AS url, coalesce(o.version_number, n.version_number) AS version_number, coalesce(o.s, n.ao + 1) AS old_start, coalesce(o.e, n.ao + 1) AS old_end, coalesce(n.s, o.an + 1) AS new_start,
+          coalesce(n.e, o.an + 1) AS new_end, o.content AS content_before, n.content AS content_after
+        FROM (SELECT * FROM ra WHERE NOT is_new) o FULL JOIN (SELECT * FROM ra WHERE is_new) n ON o.url = n.url AND o.version_number = n.version_number AND o.an = n.an AND o.ao = n.ao)
+      SELECT *, row_number() OVER (PARTITION BY url, version_number ORDER BY new_start, old_start) - 1 AS change_seq FROM ch)"""
+
+
+_PAIRS = f"(SELECT v.url, v.version_number, v.ts, v.doc_id AS new_doc_id, p.doc_id AS old_doc_id FROM {_VER} v JOIN {_VER} p ON p.url = v.url AND p.version_number = v.version_number - 1)"
+_TOKENS = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''))"
+_NEAR = f"5 * len(list_intersect({_TOKENS('content_before')}, {_TOKENS('content_after')})) > 4 * len(list_distinct(list_concat({_TOKENS('content_before')}, {_TOKENS('content_after')})))"
+_ADDED = "coalesce(array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content_after, '(?i){p}') THEN '{p}' END" for p in R.SUSPICIOUS_ADDITIONS) + "], lambda x: x IS NOT NULL), ' '), '')"
+_CHANGES = f"""(SELECT *, CASE WHEN content_before IS NULL THEN 'addition' WHEN content_after IS NULL THEN 'deletion' ELSE 'modification' END AS change_type,
+    CASE WHEN contains(x, '```') THEN 'code_block' WHEN contains(x, 'http://') OR contains(x, 'https://') THEN 'url' WHEN regexp_matches(x, '^\\s*#') THEN 'heading' ELSE 'text' END AS section_type,
+    CASE WHEN content_before IS NULL THEN length(content_after) WHEN content_after IS NULL THEN length(content_before) ELSE abs(length(content_after) - length(content_before)) END AS change_size,
+    round(least((CASE WHEN content_after IS NULL AND length(content_before) > 500 THEN 0.4 ELSE 0.0 END)
+      + (CASE WHEN {' OR '.join("contains(content_after, '" + t.replace("'", "''") + "')" for t in R.SUSPICIOUS_TOKENS)} THEN 0.3 ELSE 0.0 END)
+      + (CASE WHEN content_before IS NOT NULL AND content_after IS NOT NULL AND {_NEAR} THEN 0.2 ELSE 0.0 END), 1.0), 6) AS suspicion_score
+    FROM (SELECT *, coalesce(content_after, content_before) AS x FROM {_ranges_sql(_PAIRS)}))"""
+
+
 def change_rows(spark, sf):
     return V.line_changes(V.with_texts(V.consecutive_pairs(version_rows(spark, sf)), edited_documents(spark, sf)))
 
@@ -76,12 +107,21 @@ def change_frequency(spark, sf):
     return out
 
 
-@query("line_changes", "VER-2 VER-3 VER-4 VER-5 JOIN-14 UDF-6")
+@query(
+    "line_changes",
+    "VER-2 VER-3 VER-4 VER-5 JOIN-14",
+    f"SELECT url, version_number, change_seq, change_type, section_type, old_start, old_end, new_start, new_end, change_size, suspicion_score FROM {_CHANGES}",
+)
 def line_changes(spark, sf):
     return change_rows(spark, sf).select("url", "version_number", "change_seq", "change_type", "section_type", "old_start", "old_end", "new_start", "new_end", "change_size", "suspicion_score")
 
 
-@query("suspicious_changes", "FLT-9 TOP-1 VER-6 JOIN-7")
+@query(
+    "suspicious_changes",
+    "FLT-9 TOP-1 VER-6 JOIN-7",
+    f"""SELECT c.url, c.version_number, change_type, section_type, suspicion_score, {_ADDED} AS detected_patterns, content_hash FROM {_CHANGES} c JOIN {_VER} v ON v.url = c.url AND v.version_number = c.version_number
+        WHERE suspicion_score >= 0.3 AND v.ts >= timestamp '2024-01-31 00:00:00' AND c.url IN ('src1', 'src2', 'src3')""",
+)
 def suspicious_changes(spark, sf):
     since = F.timestamp_seconds(F.lit(1704067200 + 30 * 86400))
     recent = V.suspicious_changes(change_rows(spark, sf), since)
@@ -101,31 +141,61 @@ def added_text_patterns(spark, sf):
     return docs.select("doc_id", F.array_join(V.suspicious_patterns(F.col("text")), " ").alias("patterns"))
 
 
-@query("gradual_modifications", "AGG-25 SET-3")
+@query(
+    "gradual_modifications",
+    "AGG-25 SET-3",
+    f"""WITH g AS (SELECT url, section_type, old_start, old_end, count(*) AS n, sum(change_size) AS total, count_if(change_size > 100) AS large, arg_min(change_size, (version_number, change_seq)) AS first_size,
+            arg_min(version_number, (version_number, change_seq)) AS v1, arg_max(version_number, (version_number, change_seq)) AS v2 FROM {_CHANGES} GROUP BY url, section_type, old_start, old_end)
+        SELECT url, 'gradual_' || (CASE section_type WHEN 'code_block' THEN 'code' ELSE section_type END) || '_modification' AS type, old_start || ':' || old_end AS location, v1 AS start_version, v2 AS end_version, n AS change_count,
+          CAST(total - first_size AS BIGINT) AS total_change_size FROM g
+        WHERE n >= 2 AND large - (CASE WHEN first_size > 100 THEN 1 ELSE 0 END) = 0 AND total - first_size > 0 AND url IN (SELECT url FROM {_VER} GROUP BY url HAVING max(version_number) >= 3)""",
+)
 def gradual_modifications(spark, sf):
     ver = version_rows(spark, sf)
     changes = V.line_changes(V.with_texts(V.consecutive_pairs(ver), edited_documents(spark, sf)))
     return V.gradual_modifications(changes, ver, section=None).select("url", "type", "location", "start_version", "end_version", "change_count", "total_change_size")
 
 
-@query("version_history", "WIN-7")
+@query(
+    "version_history",
+    "WIN-7",
+    f"SELECT v.url, v.version_number, count(change_seq) AS n_changes, max(suspicion_score) AS max_suspicion FROM {_VER} v LEFT JOIN {_CHANGES} c ON c.url = v.url AND c.version_number = v.version_number GROUP BY v.url, v.version_number",
+)
 def version_history(spark, sf):
     out = V.version_history(version_rows(spark, sf), change_rows(spark, sf))
     return out.select("url", "version_number", F.coalesce(F.size("changes"), F.lit(0)).alias("n_changes"), F.array_max(F.transform("changes", lambda c: c["suspicion_score"])).alias("max_suspicion"))
 
 
-@query("analysis_history", "VER-8")
+@query(
+    "analysis_history",
+    "VER-8",
+    f"""SELECT p.url, p.version_number, n IS NOT NULL AS changes_detected, CASE WHEN n IS NOT NULL THEN 'Content changes detected' ELSE 'No changes detected' END AS change_summary
+        FROM {_PAIRS} p LEFT JOIN (SELECT url, version_number, count(*) AS n FROM {_CHANGES} GROUP BY ALL) c ON c.url = p.url AND c.version_number = p.version_number""",
+)
 def analysis_history(spark, sf):
     pairs = V.consecutive_pairs(version_rows(spark, sf))
     return V.analysis_history(pairs, V.line_changes(V.with_texts(pairs, edited_documents(spark, sf)))).drop("timestamp")
 
 
-@query("version_comparison", "VER-7 JOIN-15")
+_HUNK = "chr(10) || '@@ -' || (old_start + CASE WHEN old_end > old_start THEN 1 ELSE 0 END) || ',' || (old_end - old_start) || ' +' || (new_start + CASE WHEN new_end > new_start THEN 1 ELSE 0 END) || ',' || (new_end - new_start) || ' @@' || coalesce(chr(10) || '-' || replace(content_before, chr(10), chr(10) || '-'), '') || coalesce(chr(10) || '+' || replace(content_after, chr(10), chr(10) || '+'), '')"
+_ONE_THREE = f"(SELECT a.url, 3 AS version_number, b.doc_id AS new_doc_id, a.doc_id AS old_doc_id FROM {_VER} a JOIN {_VER} b ON a.url = b.url AND a.version_number = 1 AND b.version_number = 3)"
+
+
+@query(
+    "version_comparison",
+    "VER-7 JOIN-15",
+    f"""SELECT p.url, 1 AS version1, 3 AS version2, coalesce('--- Version 1' || chr(10) || '+++ Version 3' || h, '') AS unified_diff FROM {_ONE_THREE} p
+        LEFT JOIN (SELECT url, string_agg({_HUNK}, '' ORDER BY change_seq) AS h FROM {_ranges_sql(_ONE_THREE)} GROUP BY url) d ON d.url = p.url""",
+)
 def version_comparison(spark, sf):
     return V.compare_versions(version_rows(spark, sf), edited_documents(spark, sf), 1, 3).select("url", "version1", "version2", "unified_diff")
 
 
-@query("changes_between_versions", "JOIN-15")
+@query(
+    "changes_between_versions",
+    "JOIN-15",
+    f"SELECT url, version_number, change_seq, change_type, section_type, suspicion_score FROM {_CHANGES} WHERE version_number BETWEEN 2 AND 4",
+)
 def changes_between_versions(spark, sf):
     return V.changes_between(change_rows(spark, sf), 1, 4).select("url", "version_number", "change_seq", "change_type", "section_type", "suspicion_score")
 
@@ -208,12 +278,29 @@ def risk_anomalies(spark, sf):
     )
 
 
-@query("temporal_results", "VER-10 AGG-6")
+@query(
+    "temporal_results",
+    "VER-10 AGG-6",
+    f"""WITH s AS (SELECT c.url, count(*) AS n FROM {_CHANGES} c JOIN {_VER} v ON v.url = c.url AND v.version_number = c.version_number
+          WHERE suspicion_score >= 0.3 AND v.ts >= (SELECT max(ts) FROM {_VER}) - interval 30 day GROUP BY c.url),
+        k AS (SELECT url, old_start, old_end, count(*) AS n, sum(change_size) AS total, count_if(change_size > 100) AS large, arg_min(change_size, (version_number, change_seq)) AS first_size
+          FROM {_CHANGES} WHERE section_type = 'code_block' GROUP BY url, old_start, old_end),
+        g AS (SELECT url, count(*) AS n FROM k WHERE n >= 2 AND large - (CASE WHEN first_size > 100 THEN 1 ELSE 0 END) = 0 AND total - first_size > 0
+          AND url IN (SELECT url FROM {_VER} GROUP BY url HAVING max(version_number) >= 3) GROUP BY url),
+        t AS (SELECT url, coalesce(regr_slope((version_number % 10) / 10.0, epoch_us(ts) / 86.4e9), 0) AS slope FROM {_VER} GROUP BY url HAVING count(*) >= 2),
+        l AS (SELECT url, max(version_number) AS version_number FROM {_VER} GROUP BY url)
+        SELECT l.url, version_number, version_number > 1 AND coalesce(s.n, 0) + coalesce(g.n, 0) > 0 AS changes_detected, coalesce(s.n, 0) AS n_suspicious, coalesce(g.n, 0) AS n_gradual,
+          CASE WHEN abs(slope) < 0.001 THEN 'stable' WHEN slope > 0 THEN 'increasing' WHEN slope <= 0 THEN 'decreasing' END AS direction,
+          CASE WHEN abs(slope) < 0.001 THEN 'none' WHEN abs(slope) < 0.01 THEN 'weak' WHEN abs(slope) < 0.05 THEN 'moderate' WHEN slope IS NOT NULL THEN 'strong' END AS strength
+        FROM l LEFT JOIN s ON s.url = l.url LEFT JOIN g ON g.url = l.url LEFT JOIN t ON t.url = l.url""",
+)
 def temporal_results(spark, sf):
     ver = materialize(version_rows(spark, sf), "versions")
     changes = materialize(V.line_changes(V.with_texts(V.consecutive_pairs(ver), edited_documents(spark, sf))), "changes")
     latest = V.latest_versions(ver)
     history = ver.select("url", "ts", F.col("doc_id").alias("event_id"), (F.col("version_number") % 10 / 10).alias("overall_risk_score"), *[F.lit(0.0).alias(f"{c}_risk") for c in TR.COMPONENTS])
     overall = TR.trends(TR.long_series(history)).where("component = 'overall'").select("url", "direction", "strength")
-    out = V.temporal_results(latest, V.suspicious_changes(changes), V.gradual_modifications(changes, ver), overall)
+    # the last thirty days, counted from the latest version
+    since = F.lit(ver.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 30 DAYS")
+    out = V.temporal_results(latest, V.suspicious_changes(changes, since), V.gradual_modifications(changes, ver), overall)
     return out.select("url", "version_number", "changes_detected", "n_suspicious", "n_gradual", "direction", "strength")

@@ -1,7 +1,7 @@
 """Operators on small literal tables with hand-computed rows."""
 
 import base64
-import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,20 +210,44 @@ def test_versions_keep_first_number_for_returning_content(spark):
     assert set(freq) == {"u"} and freq["u"]["median_days_between_changes"] == 2.0 and freq["u"]["changes_per_month"] == pytest.approx(20.0)
 
 
-def test_line_changes_equal_difflib(spark):
-    pairs = [("a\nb\nc", "a\nB\nc\nd"), ("x\n" + "y" * 600, "x"), ("", "eval(1)"), ("# t\n```\nk = 10000000001\n```", "# t\n```\nk = 10000000002\n```"), ("same", "same")]
+def _ranges(old, new):
+    """Changed ranges by the definition: k-th occurrences of a line are the same line."""
+    a, b = old.splitlines(), new.splitlines()
+    seen_old, seen_new = {}, {}
+    for side, seen in ((a, seen_old), (b, seen_new)):
+        for no, line in enumerate(side):
+            seen.setdefault(line, []).append(no)
+    partner = {o: n for line in seen_old for o, n in zip(seen_old[line], seen_new.get(line, []))}
+    back = {n: o for o, n in partner.items()}
+    found = {}
+    for side, kept, name in ((a, partner, "old"), (b, back, "new")):
+        at = (0, 0)
+        for no in range(len(side)):
+            if no in kept:
+                at = (no + 1, kept[no] + 1) if name == "old" else (kept[no] + 1, no + 1)
+            else:
+                found.setdefault(at, {"old": [], "new": []})[name].append(no)
+    out = [(o, o + len(r["old"]), n, n + len(r["new"])) for (o, n), r in found.items()]
+    return sorted(out, key=lambda r: (r[2], r[0]))
+
+
+def test_line_changes_by_definition(spark):
+    draw = random.Random(3)
+    texts = ["\n".join(draw.choice("abcd") for _ in range(draw.randint(0, 9))) for _ in range(40)]
+    pairs = [("a\nb\nc", "a\nB\nc\nd"), ("x\n" + "y" * 600, "x"), ("", "eval(1)"), ("k = a b c d e f g h i 1", "k = a b c d e f g h i 2"), ("same", "same"), *zip(texts, texts[1:])]
     df = one(spark, "url string, version_number int, old_text string, new_text string", *[(f"u{i}", 2, o, n) for i, (o, n) in enumerate(pairs)])
     got = {}
     for r in V.line_changes(df).collect():
         got.setdefault(r["url"], []).append(r)
-    kinds = {"replace": "modification", "delete": "deletion", "insert": "addition"}
     for i, (o, n) in enumerate(pairs):
         a, b = o.splitlines(), n.splitlines()
-        ops = [x for x in difflib.SequenceMatcher(None, a, b).get_opcodes() if x[0] != "equal"]
         rows = sorted(got.get(f"u{i}", []), key=lambda r: r["change_seq"])
-        assert [(r["change_type"], r["old_start"], r["old_end"], r["new_start"], r["new_end"]) for r in rows] == [(kinds[t], *x) for t, *x in ops]
-        for r, (t, i1, i2, j1, j2) in zip(rows, ops):
+        expected = _ranges(o, n)
+        assert [(r["old_start"], r["old_end"], r["new_start"], r["new_end"]) for r in rows] == expected
+        assert [r["change_seq"] for r in rows] == list(range(len(rows)))
+        for r, (i1, i2, j1, j2) in zip(rows, expected):
             assert r["content_before"] == ("\n".join(a[i1:i2]) if i1 < i2 else None) and r["content_after"] == ("\n".join(b[j1:j2]) if j1 < j2 else None)
+            assert r["change_type"] == ("addition" if i1 == i2 else "deletion" if j1 == j2 else "modification")
     assert got["u1"][0]["suspicion_score"] == pytest.approx(0.4) and got["u2"][0]["suspicion_score"] == pytest.approx(0.3)
     assert got["u3"][0]["suspicion_score"] == pytest.approx(0.2) and got["u3"][0]["change_size"] == 0
 

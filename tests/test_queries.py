@@ -7,11 +7,7 @@ from tests.oracle_check import compare, duck
 
 
 #: Queries that SQL cannot express; any other query without SQL fails.
-NO_SQL = {
-    "isolation_forest", "forest_grid", "anomaly_findings", "fp_classifier", "fp_likelihoods", "fp_grid_search", "response_similarity",
-    "line_changes", "suspicious_changes", "gradual_modifications", "version_history", "analysis_history", "version_comparison",
-    "changes_between_versions", "temporal_results",
-}
+NO_SQL = {"isolation_forest", "forest_grid", "anomaly_findings", "fp_classifier", "fp_likelihoods", "fp_grid_search"}
 
 
 @pytest.fixture(scope="module")

@@ -4,9 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from docsentry.functions.diffs import similarity
 from docsentry.operators import false_positives as FP
 from docsentry.operators import parse as P
+from docsentry.operators.responses import similarity
 from docsentry.sinks import tables as T
 from docsentry.sources import corpus as SC
 from docsentry.streaming import streams as ST
@@ -64,12 +64,10 @@ def test_model_roundtrip(spark, tmp_path):
     assert FP.top_model_features(spark, again, ["a", "b"]).first()["feature"] == "a"
 
 
-def test_similarity_equals_difflib(spark):
-    import difflib
-
-    df = spark.createDataFrame([("Hello World ", "hello there"), ("", "")], "a string, b string")
-    got = [r["s"] for r in df.select(similarity("a", "b").alias("s")).collect()]
-    assert got == [difflib.SequenceMatcher(None, "hello world", "hello there").ratio(), 1.0]
+def test_similarity_of_word_sets(spark):
+    df = spark.createDataFrame([("Hello World ", "hello there"), ("", ""), ("a", None), ("b a a", "A b")], "a string, b string")
+    got = [r["s"] for r in df.select(similarity(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == [0.5, 1.0, None, 1.0]
 
 
 def test_stream_restart_keeps_version_numbers(spark, tmp_path):
