@@ -5,12 +5,13 @@ the normaliser (character map, white space rules, the marker for a space, the
 marker in front), the unigram scores or the merges that BPE scores imply, and
 byte fallback. Batches are encoded multithreaded by the library.
 
-Where no piece of the vocabulary holds the marker behind another character, no
-piece crosses from a word to the next marker. A text then falls into units (a
-run of markers and what follows), and a worker encodes each distinct unit
-once. The same holds for checks: every unit met is also encoded by the
-SentencePiece library. Units on which the two differ take that library's ids
-and are reported, so results are always SentencePiece's.
+Where no piece of the vocabulary crosses from a word to the next marker, or
+between a Latin letter and another character, a text falls into units (markers
+and the run of letters, or of others, behind them) that are encoded apart. A
+worker keeps the ids of the first units it meets. The same holds for checks:
+every unit is also encoded by the SentencePiece library. Units on which the
+two differ take that library's ids and are reported, so results are always
+SentencePiece's.
 
 A null text gives null ids, an empty text none. Decoding gives the normalised
 text: for an identity normaliser the text itself, with markers in it as spaces.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import ship_package
 
 MARK = "▁"
-CACHE_UNITS = 300_000
+KEPT_UNITS = 400_000
+GROUP_CHARS = 4_000_000
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -150,12 +153,13 @@ def build_tokenizer(model: Model, normalize: bool = True):
         decode.append(decoders.Strip(" ", 1, 0))
     out.decoder = decoders.Sequence(decode)
     if not normalize:
-        out._kept = out.normalizer
         out.normalizer = normalizers.Sequence([])
     return out
 
 
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_UNIT = re.compile(f"{MARK}*(?:[{_LETTERS}]+|[^{_LETTERS}{MARK}]+)|{MARK}+")
+_LETTER = re.compile(f"[{_LETTERS}]")
 _CODECS: dict[str, Codec] = {}
 
 
@@ -164,57 +168,79 @@ class Codec:
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
-        from tokenizers import normalizers  # noqa: F401
-
         self.model = parse_model(data)
         self.full = build_tokenizer(self.model)
         self.bare = build_tokenizer(self.model, normalize=False)
         self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
         usable = [p for p, _, t in self.model.pieces if t in (NORMAL, USER_DEFINED, UNUSED)]
-        self.by_unit = self.model.escape_spaces and self.model.dummy_prefix and all(MARK not in p.lstrip(MARK) for p in usable)
-        self.known: dict[str, tuple[bytes, str, bool]] = {}
+        whole = all(len(_UNIT.findall(p)) == 1 for p in usable)
+        plain = self.model.escape_spaces and self.model.dummy_prefix and self.model.byte_fallback
+        self.by_unit = whole and plain and not any(t == USER_DEFINED for _, _, t in self.model.pieces)
+        self.as_bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() for p, _, t in self.model.pieces]
+        #: What stands before a unit without marker when SentencePiece encodes it, and its ids.
+        self.guards = {guard: self.check.encode(guard) for guard in ("x", ".")}
+        self.known: dict[str, bytes] = {}
+        #: Units on which the libraries differ, and units that their ids do not spell.
+        self.differing: set[str] = set()
+        self.misspelled: set[str] = set()
 
     def normalized(self, text: str) -> str:
         return self.full.normalizer.normalize_str(text)
 
+    def _spelled(self, ids: list[int]) -> str:
+        return b"".join([self.as_bytes[i] for i in ids]).decode("utf-8", "replace")
+
+    def _checked(self, units: list[str]) -> list[list[int]]:
+        """SentencePiece's ids of units, each encoded on its own."""
+        guards = ["" if u[0] == MARK and u.strip(MARK) else "." if _LETTER.match(u) else "x" for u in units]
+        plain = [(g + u if g else u[1:]).replace(MARK, " ") for u, g in zip(units, guards, strict=True)]
+        found = self.check.encode(plain, num_threads=1)
+        return [ids[len(self.guards[g]) :] if g else ids for ids, g in zip(found, guards, strict=True)]
+
     def _learn(self, units: list[str]) -> None:
-        mine = [e.ids for e in self.bare.encode_batch(units, add_special_tokens=False)]
-        theirs = self.check.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1)
-        back = self.bare.decode_batch(theirs, skip_special_tokens=False)
-        for unit, a, b, text in zip(units, mine, theirs, back, strict=True):
-            self.known[unit] = (np.asarray(b, "<i4").tobytes(), text, a == b)
-
-    def encode(self, texts: Iterable[str]) -> Iterator[tuple[bytes, str, str, bool]]:
-        """Per text: packed ids, the normalised text, the text decoded from the ids, and whether both libraries agree."""
+        mine = [e.ids for e in self.bare.encode_batch_fast(units, add_special_tokens=False)]
+        theirs = self._checked(units)
+        for unit, a, b in zip(units, mine, theirs, strict=True):
+            self.known[unit] = array("i", b).tobytes()
+            if a != b:
+                self.differing.add(unit)
+            if self._spelled(b) != unit:
+                self.misspelled.add(unit)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bool, bool]]:
+        """Per text: packed ids, whether both libraries agree, whether the ids spell the normalised text."""
+        group, size = [], 0
         for text in texts:
-            if not text:
-                yield b"", "", "", True
-                continue
-            plain = text.isascii() or not self.model.char_map
-            if plain and self.model.dummy_prefix and not self.model.strip_spaces and not self.model.char_map:
-                shown = f" {text}"
-                marked = shown.replace(" ", MARK)
-            else:
-                marked = self.normalized(text)
-                shown = marked.replace(MARK, " ")
-            if not self.by_unit or not marked.startswith(MARK):
+            group.append(text or "")
+            size += len(group[-1])
+            if size > GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
+        """The same for some texts together, whose new units make one batch for the library's threads."""
+        identity = self.model.dummy_prefix and self.model.escape_spaces and not self.model.strip_spaces and not self.model.char_map
+        marked = [(MARK + t.replace(" ", MARK) if identity else self.normalized(t)) if t else "" for t in texts]
+        units = [_UNIT.findall(m) if self.by_unit and m.startswith(MARK) else None for m in marked]
+        known = self.known
+        new = list({u for parts in units if parts for u in parts if u not in known})
+        room = max(0, KEPT_UNITS - len(known))
+        if new:
+            self._learn(new)
+        for text, shown, parts in zip(texts, marked, units, strict=True):
+            if not shown:
+                yield b"", True, True
+            elif parts is None:
                 mine = self.full.encode(text, add_special_tokens=False).ids
                 theirs = self.check.encode(text)
-                yield np.asarray(theirs, "<i4").tobytes(), shown, self.bare.decode(theirs, skip_special_tokens=False), mine == theirs
-                continue
-            units = _UNIT.findall(marked)
-            known = self.known
-            try:
-                found = [known[u] for u in units]
-            except KeyError:
-                new = list({u for u in units if u not in known})
-                if len(known) + len(new) > CACHE_UNITS:
-                    known.clear()
-                    new = list(set(units))
-                self._learn(new)
-                found = [known[u] for u in units]
-            ids, back, same = zip(*found, strict=True)
-            yield b"".join(ids), shown.replace(MARK, " "), "".join(back), all(same)
+                yield array("i", theirs).tobytes(), mine == theirs, self._spelled(theirs) == shown
+            else:
+                same = not self.differing or self.differing.isdisjoint(parts)
+                spelled = not self.misspelled or self.misspelled.isdisjoint(parts)
+                yield b"".join([known[u] for u in parts]), same, spelled
+        for unit in new[room:]:
+            del known[unit]
 
 
 def codec(path: str) -> Codec:
@@ -256,7 +282,7 @@ def decode(df: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids"
 
 
 def encode_digest(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per text: n_tokens, SHA-256 of the ids (little-endian 32-bit), whether both libraries agree, whether decoding gives the text back.
+    """Per text: n_tokens, SHA-256 of the ids (little-endian 32-bit), whether both libraries agree, whether the ids spell the normalised text.
 
     A null text counts as empty.
     """
@@ -269,10 +295,10 @@ def encode_digest(df: DataFrame, model_path: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(ids) // 4 for ids, _, _, _ in made], pa.int64()),
-                    pa.array([hashlib.sha256(ids).hexdigest() for ids, _, _, _ in made], pa.string()),
-                    pa.array([same for _, _, _, same in made], pa.bool_()),
-                    pa.array([shown == back for _, shown, back, _ in made], pa.bool_()),
+                    pa.array([len(ids) // 4 for ids, _, _ in made], pa.int64()),
+                    pa.array([hashlib.sha256(ids).hexdigest() for ids, _, _ in made], pa.string()),
+                    pa.array([same for _, same, _ in made], pa.bool_()),
+                    pa.array([spelled for _, _, spelled in made], pa.bool_()),
                 ],
                 names=[key, "n_tokens", "ids_sha256", "parity", "round_trip"],
             )
