@@ -110,8 +110,8 @@ def active_alerts(alerts: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def finding_alerts(findings: DataFrame, finding_id: str = "finding_id") -> DataFrame:
-    """Subject and message text for findings that raise an alert."""
+def finding_alerts(findings: DataFrame, finding_id: str = "finding_id", prefix: str = "Security Alert") -> DataFrame:
+    """Subject, begun by ``prefix``, and message text for findings that raise an alert."""
     have = set(findings.columns)
     c = lambda name, default: F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in have else F.lit(default)
     severity, title = F.upper(c("severity", "INFO")), c("title", "Untitled Finding")
@@ -121,7 +121,7 @@ def finding_alerts(findings: DataFrame, finding_id: str = "finding_id") -> DataF
     )
     return findings.select(
         F.col(finding_id).alias("finding_id"), title.alias("title"), severity.alias("severity"),
-        F.concat(F.lit("LLMs.txt Security Alert: ["), severity, F.lit("] "), title).alias("subject"), message.alias("message"),
+        F.concat(F.lit(f"{prefix}: ["), severity, F.lit("] "), title).alias("subject"), message.alias("message"),
     )
 
 

@@ -120,7 +120,3 @@ def variations(df: DataFrame, path: str = "path", content: str = "content", max_
 def test_suite(varied: DataFrame, path: str = "path") -> DataFrame:
     """Test cases: one per variation, identified by the start of its hash."""
     return varied.select(F.concat(F.lit("test-"), F.substring("hash", 1, 8)).alias("id"), F.col(path).alias("source_item"), "content", "type", "description", "hash")
-
-
-def suite_summary(varied: DataFrame, path: str = "path") -> DataFrame:
-    return varied.agg(F.count("*").alias("test_case_count"), F.count_if(F.col("type") == "baseline").alias("source_item_count"))

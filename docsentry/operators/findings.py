@@ -12,7 +12,6 @@ from .. import rules as R
 from ..functions.matching import Rule, scan
 from ..session import materialize
 from . import code, secrets, signatures
-from .gates import severity_rank
 
 COLUMNS = ("doc_id", "detector", "finding_type", "rule_id", "severity", "description", "location", "evidence", "start", "line")
 
@@ -208,7 +207,3 @@ def duration_stats(results: DataFrame) -> DataFrame:
     """Average and longest analysis in days (end minus start)."""
     days = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 86.4e9
     return results.agg(F.coalesce(F.avg(days), F.lit(0.0)).alias("avg_analysis_duration"), F.coalesce(F.max(days), F.lit(0.0)).alias("max_analysis_duration"))
-
-
-def worst_severity(findings: DataFrame, key: str = "doc_id") -> DataFrame:
-    return findings.groupBy(key).agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("worst_severity"), F.count("*").alias("n_findings"))

@@ -60,18 +60,6 @@ def document_cost(text: Column, language: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(60.0)).otherwise(F.least(total, F.lit(300.0)))
 
 
-def balance_by_cost(df: DataFrame, text: str, language: Column, partitions: int) -> DataFrame:
-    """Spreads documents so that expensive ones do not share tasks.
-
-    Documents are dealt out by (cost class, hash of id columns left to Spark): the
-    class is part of the hash key together with a random-free row hash, so one
-    cost class, or many equal texts, still reach every partition.
-    """
-    cost_class = F.floor(document_cost(F.col(text), language) / 30)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(partitions))
-    return df.repartition(partitions, cost_class, salt)
-
-
 def limit_findings(facts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One Performance finding per document over a limit, from (n_chars, n_lines, broken_limit); it adds to their other findings."""
     n = lambda c: F.col(c).cast("string")

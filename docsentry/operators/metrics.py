@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,19 @@ def filter_metrics(metrics: DataFrame, metric_type: str | None = None, start: Co
 
 
 def windowed(events: DataFrame, length: str = "5 minutes", slide: str | None = None, ts: str = "ts", name: str = "event_type", value: str = "value") -> DataFrame:
-    """Count, sum, average and maximum per time window and metric."""
-    window = F.window(ts, length, slide) if slide else F.window(ts, length)
-    grouped = events.groupBy(window.alias("w"), F.col(name).alias("metric_name")).agg(
-        F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("average"), F.max(value).alias("maximum")
-    )
-    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "metric_name", "n", "total", "average", "maximum")
+    """Count, sum, average and maximum per time window and metric.
+
+    Sliding windows that a whole number of slides fills are put together from
+    counts per slide, so no event is copied into every window it falls in.
+    """
+    of_rows = [F.count("*").alias("n"), F.sum(value).alias("total"), F.count(value).alias("valued"), F.max(value).alias("maximum")]
+    if slide and pd.Timedelta(length) % pd.Timedelta(slide) == pd.Timedelta(0):
+        steps = events.groupBy(F.window(ts, slide).alias("w"), F.col(name).alias("metric_name")).agg(*of_rows)
+        window = F.window("at", length, slide)
+        of_steps = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("valued").alias("valued"), F.max("maximum").alias("maximum")]
+        grouped = steps.withColumn("at", F.col("w.start")).drop("w").groupBy(window.alias("w"), "metric_name").agg(*of_steps)
+    else:
+        window = F.window(ts, length, slide) if slide else F.window(ts, length)
+        grouped = events.groupBy(window.alias("w"), F.col(name).alias("metric_name")).agg(*of_rows)
+    average = F.when(F.col("valued") > 0, F.col("total") / F.col("valued"))
+    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "metric_name", "n", "total", average.alias("average"), "maximum")

@@ -244,7 +244,7 @@ def finding_lookup(spark, sf):
 @query(
     "alertable_findings",
     "FLT-7 STR-6",
-    f"""SELECT doc_id, rule_id, 'LLMs.txt Security Alert: [' || upper(sev) || '] ' || rule_id AS subject FROM (SELECT *, CASE WHEN doc_id % 19 = 0 THEN 'weird' ELSE severity END AS sev FROM {_FIND_SQL}) WHERE CASE upper(sev) WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'HIGH' THEN 4 WHEN 'CRITICAL' THEN 5 ELSE 1 END >= 4""",
+    f"""SELECT doc_id, rule_id, 'Security Alert: [' || upper(sev) || '] ' || rule_id AS subject FROM (SELECT *, CASE WHEN doc_id % 19 = 0 THEN 'weird' ELSE severity END AS sev FROM {_FIND_SQL}) WHERE CASE upper(sev) WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'HIGH' THEN 4 WHEN 'CRITICAL' THEN 5 ELSE 1 END >= 4""",
 )
 def alertable_findings(spark, sf):
     from ..operators import alerts as A

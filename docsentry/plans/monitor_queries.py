@@ -133,7 +133,7 @@ def health_alerts(spark, sf):
 @query(
     "alert_messages",
     "STR-6",
-    f"""SELECT doc_id AS finding_id, 'LLMs.txt Security Alert: [' || upper(severity) || '] Untitled Finding' AS subject, 'ALERT ID: ' || doc_id || chr(10) || 'Severity: ' || upper(severity) || chr(10) || 'Title: Untitled Finding' || chr(10) || 'Description: ' || description || chr(10) || 'Source: Unknown' || chr(10) || 'Timestamp: N/A' AS message FROM {deduped_sql(D.MARKDOWN_SQL)}""",
+    f"""SELECT doc_id AS finding_id, 'Security Alert: [' || upper(severity) || '] Untitled Finding' AS subject, 'ALERT ID: ' || doc_id || chr(10) || 'Severity: ' || upper(severity) || chr(10) || 'Title: Untitled Finding' || chr(10) || 'Description: ' || description || chr(10) || 'Source: Unknown' || chr(10) || 'Timestamp: N/A' AS message FROM {deduped_sql(D.MARKDOWN_SQL)}""",
 )
 def alert_messages(spark, sf):
     return A.finding_alerts(S.secret_findings(D.markdown(spark, sf)), finding_id="doc_id").select("finding_id", "subject", "message")
@@ -194,7 +194,7 @@ def stream_alerts(spark, sf):
 
     out = shared_dir(spark, "alerts")
     seen = []
-    hooks = PL.alert_hooks(lambda batch, epoch: batch.write.mode("append").parquet(out + "/rows"), lambda batch, epoch: seen.append(epoch))
+    hooks = PL.alert_hooks(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}"), lambda batch, epoch: seen.append(epoch))
     writer = ST.evaluate_batches(_metric_stream(spark, sf), A.metric_rules(spark, _RULES), hooks)
     writer.option("checkpointLocation", out + "/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out + "/rows").groupBy("alert_id").agg(F.count("*").alias("n_alerts"))

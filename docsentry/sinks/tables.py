@@ -72,11 +72,6 @@ def update_likelihoods(findings: DataFrame, results: DataFrame) -> DataFrame:
     return out.drop("_new")
 
 
-def anomaly_rows(results: DataFrame, model_version: str = "1.0.0") -> DataFrame:
-    """Every anomaly result as stored."""
-    return results.select("content_id", "is_anomalous", F.col("combined_score").alias("anomaly_score"), "confidence", F.lit(model_version).alias("model_version"), "contributing_factors")
-
-
 def anomaly_findings(results: DataFrame, severity: Column) -> DataFrame:
     """Anomalous results as findings with JSON location and evidence."""
     return results.where("is_anomalous").select(

@@ -136,12 +136,6 @@ def test_gates(spark):
     assert not value(spark, G.above_threshold(F.lit("odd"), "LOW")) and value(spark, G.above_threshold(F.lit("critical"), "HIGH"))
 
 
-def test_balance_by_cost_spreads_equal_texts(spark):
-    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
-    sizes = [len(p) for p in G.balance_by_cost(df, "text", F.lit("md"), 8).select("doc_id").rdd.glom().collect()]
-    assert sum(sizes) == 400 and max(sizes) < 200
-
-
 def test_code_rules_rebase_lines_and_dedup(spark):
     text = "intro\n```py\na = 1\nb = eval(x)\nobj.eval(y)\n```\n```js\ndocument.write(a)\n```\n```cobol\neval(x)\n```"
     docs = one(spark, "doc_id int, text string", (1, text))
