@@ -3,7 +3,7 @@
 Each word is hidden in turn and predicted from the ``SIDE`` words on either
 side of it; the sum of the log-probabilities of a document is its score.
 
-* Vocabulary: the ``vocabulary`` most frequent words, counted over all
+* Vocabulary: at most the ``vocabulary`` most frequent words, counted over all
   documents. They are dealt to ``classes`` by frequency; the network predicts
   the class, and within its class a word has its share of the counts. All
   other words form a last class and share it evenly.
@@ -35,7 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from docsentry.session import materialize
+
+from .common import most_frequent, ship_package
 
 SIDE = 2
 VOCABULARY = 30_000
@@ -67,6 +69,7 @@ class Vocabulary:
     class_of: np.ndarray
     log_within: np.ndarray
     n_classes: int
+    class_share: np.ndarray
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -96,22 +99,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def build_vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> Vocabulary:
-    counted = count_words(docs).select("word", "n", F.xxhash64("word").alias("h"))
-    summed = counted.orderBy(F.desc("n"), "h", "word").limit(size).collect()
-    # the rest of the vocabulary is counted, not collected
-    if len(summed) == size:
-        last = summed[-1]
-        later = (F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("h") > last["h"]))
-        rest_types = counted.filter(later).count()
-    else:
-        rest_types = 0
+    counted = materialize(count_words(docs), "lm-words")
+    summed = sorted(most_frequent(counted, "n", size).collect(), key=lambda r: (-r["n"], r["word"]))
+    whole = counted.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    rest_types = whole["types"] - len(summed)
     n = np.array([r["n"] for r in summed], dtype=float)
     weight = np.sqrt(n)
     edges = np.cumsum(weight) / max(weight.sum(), 1e-9)
     class_of = np.minimum((edges * (classes - 1)).astype(int), classes - 2)
     within = np.bincount(class_of, weights=n, minlength=classes) if len(n) else np.zeros(classes)
+    shares = within + 1.0
+    shares[-1] += whole["tokens"] - n.sum()
     log_within = np.append(np.log(n / within[class_of]) if len(n) else np.zeros(0), -math.log(rest_types + 1))
-    return Vocabulary({r["word"]: i for i, r in enumerate(summed)}, np.append(class_of, classes - 1).astype(np.int32), log_within, classes)
+    return Vocabulary({r["word"]: i for i, r in enumerate(summed)}, np.append(class_of, classes - 1).astype(np.int32), log_within, classes, shares / shares.sum())
 
 
 class Network:
@@ -122,7 +122,7 @@ class Network:
         sizes = [int(np.prod(s)) for s in self.shapes]
         if vector is None:
             rng = np.random.default_rng(7)
-            vector = np.concatenate([rng.normal(0, 0.3, s) if i in (0, 1, 3) else np.zeros(s) for i, s in enumerate(sizes)])
+            vector = np.concatenate([rng.normal(0, 0.3, s) if i in (0, 1) else np.zeros(s) for i, s in enumerate(sizes)])
         self.vector = vector.astype(np.float32)
         cuts = np.split(self.vector, np.cumsum(sizes)[:-1])
         self.embed, self.mix, self.bias, self.out, self.out_bias = (c.reshape(s) for c, s in zip(cuts, self.shapes, strict=True))
@@ -229,7 +229,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
-    vector = Network(vocabulary.n_classes).vector
+    first = Network(vocabulary.n_classes)
+    first.out_bias[:] = np.log(vocabulary.class_share)  # the classes' own frequencies are where training starts
+    vector = first.vector
     for turn in range(rounds):
         weights = spark.sparkContext.broadcast(vector)
         rows = _train_round(docs, shared, weights, turn, stride)
