@@ -12,9 +12,13 @@ as they can join classes:
 1. Documents with equal sets are one node; a task sends each set once.
 2. Every prefix shingle is a bucket of sets. Its centre is the set with the
    largest share of common shingles, as an original has among its edited
-   copies. Every set is verified against the centres of its buckets.
+   copies. Every set is held against the centres of its buckets, and once
+   more, where classes still differ, against the set of most links there.
 3. Within buckets whose sets are then still of different classes, all pairs
-   of different classes are verified.
+   of different classes are candidates.
+
+Before sets are fetched, a pair's shared prefix shingles are counted under the
+first order; pairs with too few for a link end there.
 
 A class that no link joins after 3 has no link to any other, so classes are
 exact. Large groups of copies end in step 2 with one pair a member; step 3 has
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsentry.session import materialize
@@ -161,14 +165,15 @@ def prefixes(docs: DataFrame, common: np.ndarray, percent: int = PERCENT) -> Dat
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (set_id, shingles binary), one for each set in ``wanted`` (set_id).
+    """Rows (set_id, shingles binary) of the documents in ``wanted`` (doc_id), one document for each set.
 
-    Sets are worked out from the texts again. A bit table of fixed size keeps
-    most others from being sent; the join leaves out the rest.
+    Sets are worked out from the texts again. A bit table of fixed size says
+    which documents send theirs, so nothing is shuffled; the few others that
+    share a bit send a set that no pair asks for, or a second copy of one.
     """
     spark = docs.sparkSession
-    slot = F.pmod(F.col("set_id"), F.lit(_BITS))
-    words = wanted.groupBy(F.floor(slot / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(set_id, {_BITS}), 64) as int))")).alias("bits"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
+    words = wanted.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
     table = np.zeros(_BITS // 64, np.int64)
     for row in words.collect():  # a row per word of the table at most
         table[row["word"]] = row["bits"]
@@ -177,25 +182,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         shingler = Shingler()
-        sent: set[int] = set()
         for batch in batches:
-            ids, sets = [], []
-            for shingles in shingler.all_of(batch.column(0).to_pylist()):
-                if not len(shingles):
-                    continue
-                own = set_id(shingles)
-                place = own % _BITS
-                if own in sent or not int(bits[place >> 6]) >> (place & 63) & 1:
-                    continue
-                if len(sent) < _SENT_SETS:
-                    sent.add(own)
-                ids.append(own)
-                sets.append(shingles.tobytes())
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "shingles"])
+            places = batch.column(0).to_numpy(zero_copy_only=False)
+            asked = (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)
+            texts = batch.column(1).filter(pa.array(asked.astype(bool))).to_pylist()
+            sets = [x for x in shingler.all_of(texts) if len(x)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set_id", "shingles"]
+            )
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "set_id long, shingles binary")
-    return found.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    return docs.select(slot.alias("slot"), F.col("text").cast("string")).mapInArrow(run, "set_id long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,6 +208,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return second.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
+def promising(pairs: DataFrame, index: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose prefixes share enough shingles for a link.
+
+    A set shares with another what their prefixes share, and at most all it has
+    besides its prefix. A link needs 80 of 180 parts of both sizes in common.
+    """
+    own = index.select("shingle", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
+    others = index.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"))
+    met = pairs.select("a", "b").join(own, "a").join(others, ["b", "shingle"])
+    needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    least = F.least(*[needed - F.ceil(percent * F.col(n) / 100) + 1 for n in ("n_a", "n_b")])
+    return met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("a", "b")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (shingle, set_id, n, label) of the buckets that hold sets of several classes; a set without links is its own class."""
+    labelled = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    labelled = materialize(labelled.select("shingle", "set_id", "n", F.coalesce("label", "set_id").alias("label")), "jaccard-members")
+    several = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("shingle")
+    return materialize(labelled.join(several, "shingle", "left_semi"), "jaccard-open")
+
+
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): each document with the smallest doc_id that links reach from it, its own included.
 
@@ -225,40 +243,60 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     top = sorted(most_frequent(counted, "seen", COMMON_SHINGLES).collect(), key=lambda r: (r["seen"], r["shingle"]))
     common = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
 
-    # buckets: prefix shingles that at least two different sets share
-    dealt = prefixes(docs, common, percent).repartition("shingle")
-    order = F.struct("rare", "n", "set_id")
-    buckets = (
-        dealt.groupBy("shingle")
-        .agg(F.min(order).alias("centre"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
-        .filter("low != high")
-        .select("shingle", F.col("centre.set_id").alias("centre"))
+    # buckets: prefix shingles that at least two different sets share, each with its centre
+    bucket = Window.partitionBy("shingle")
+    dealt = prefixes(docs, common, percent).select(
+        "shingle",
+        "set_id",
+        "n",
+        F.min(F.struct("rare", "n", "set_id")).over(bucket).alias("centre"),
+        F.min("set_id").over(bucket).alias("low"),
+        F.max("set_id").over(bucket).alias("high"),
     )
-    index = materialize(dealt.join(buckets, "shingle").select("shingle", "set_id", "n", "centre"), "jaccard-index")
-
-    centred = index.filter("set_id != centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct()
-    sets = materialize(full_sets(docs, index.select("set_id").distinct()), "jaccard-sets")
-    links = materialize(verified(centred, sets, percent), "jaccard-links")
+    index = dealt.filter("low != high").select("shingle", "set_id", "n", F.col("centre.set_id").alias("centre"), F.col("centre.n").alias("centre_n"))
+    # a set whose neighbours by size in a bucket are too small and too large for a link has no partner there
+    by_size = Window.partitionBy("shingle").orderBy("n", "set_id")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    again = F.coalesce(F.lag("set_id").over(by_size) == F.col("set_id"), F.lit(False))  # several tasks may have sent a set
+    index = index.select("*", near.alias("near"), again.alias("again")).filter("near AND NOT again").drop("near", "again")
+    index = materialize(index, "jaccard-index")
+
+    first_doc = materialize(documents.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc")), "jaccard-first-documents")
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, written; sets are fetched only for pairs that the counts of shared prefix shingles leave."""
+        kept = materialize(promising(pairs, index, percent), f"jaccard-{name}-pairs")
+        if kept.isEmpty():
+            return kept
+        ends = kept.select(F.col("a").alias("set_id")).union(kept.select(F.col("b").alias("set_id")))
+        wanted = first_doc.join(ends, "set_id", "left_semi").select(F.col("doc").alias("doc_id"))
+        sets = materialize(full_sets(docs, wanted), f"jaccard-{name}-sets")
+        return materialize(verified(kept, sets, percent), f"jaccard-{name}-links")
+
+    def alike(x: str, y: str) -> Column:
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    centred = index.filter((F.col("set_id") != F.col("centre")) & alike("n", "centre_n")).select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
+    links = links_of(centred.distinct(), "first")
     labels = components(links, "jaccard-first")
-
-    # step 3: what is left of different classes within a bucket
-    member = index.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    member = materialize(member.select("shingle", "set_id", "n", F.coalesce("label", "set_id").alias("label")), "jaccard-members")
-    mixed_buckets = member.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("shingle")
-    open_members = materialize(member.join(mixed_buckets, "shingle", "left_semi").select("shingle", "set_id", "n", "label"), "jaccard-open")
-    x, y = open_members.alias("x"), open_members.alias("y")
-    other = (
-        (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.set_id") < F.col("y.set_id"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    )
+    members = open_members(index.select("shingle", "set_id", "n"), labels)
+
+    # once more with the set of most links as the centre of each bucket that still holds several classes
+    degrees = links.select(F.col("a").alias("set_id")).union(links.select(F.col("b").alias("set_id"))).groupBy("set_id").agg(F.count("*").alias("links"))
+    ranked = members.join(degrees, "set_id", "left").select("*", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "set_id", "n", "label").alias("own"))
+    hubs = materialize(ranked.groupBy("shingle").agg(F.max("own").alias("hub")), "jaccard-hubs")
+    met = members.join(hubs, "shingle").filter((F.col("label") != F.col("hub.label")) & alike("n", "hub.n"))
+    links = materialize(links.union(links_of(met.select(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b")).distinct(), "second")), "jaccard-links")
+    labels = components(links, "jaccard-second")
+
+    # what is left of different classes within a bucket
+    members = open_members(members.select("shingle", "set_id", "n"), labels)
+    x, y = members.alias("x"), members.alias("y")
+    other = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label")) & alike("x.n", "y.n")
     rest = x.join(y, other).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    rest = rest.join(centred.select("a", "b").union(centred.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets, percent), "jaccard-more-links")
-    labels = components(links.union(more), "jaccard-all")
+    links = links.union(links_of(rest, "last"))
+    labels = components(links, "jaccard-all")
 
-    first_doc = documents.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"))
     classed = first_doc.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
     classed = materialize(classed, "jaccard-classes")
     smallest = materialize(classed.groupBy("label").agg(F.min("doc").alias("component_id")), "jaccard-smallest")
