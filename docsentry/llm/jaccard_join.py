@@ -209,17 +209,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def promising(pairs: DataFrame, index: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose prefixes share enough shingles for a link.
+    """Pairs (a, b) whose prefixes share enough shingles for a link."""
+    own = index.select("shingle", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
+    others = index.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"))
+    return enough(pairs.select("a", "b").join(own, "a").join(others, ["b", "shingle"]), percent)
+
+
+def enough(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) with enough rows in ``shared`` (a, b, n_a, n_b), one for each prefix shingle that two sets share.
 
     A set shares with another what their prefixes share, and at most all it has
     besides its prefix. A link needs 80 of 180 parts of both sizes in common.
     """
-    own = index.select("shingle", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
-    others = index.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"))
-    met = pairs.select("a", "b").join(own, "a").join(others, ["b", "shingle"])
     needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     least = F.least(*[needed - F.ceil(percent * F.col(n) / 100) + 1 for n in ("n_a", "n_b")])
-    return met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("a", "b")
+    return shared.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("a", "b")
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,8 +268,8 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first_doc = materialize(documents.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc")), "jaccard-first-documents")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link, written; sets are fetched only for pairs that the counts of shared prefix shingles leave."""
-        kept = materialize(promising(pairs, index, percent), f"jaccard-{name}-pairs")
+        """The pairs (a, b) that link, written; sets are fetched for these pairs only."""
+        kept = materialize(pairs, f"jaccard-{name}-pairs")
         if kept.isEmpty():
             return kept
         ends = kept.select(F.col("a").alias("set_id")).union(kept.select(F.col("b").alias("set_id")))
@@ -277,7 +281,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     centred = index.filter((F.col("set_id") != F.col("centre")) & alike("n", "centre_n")).select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
-    links = links_of(centred.distinct(), "first")
+    links = links_of(promising(centred.distinct(), index, percent), "first")
     labels = components(links, "jaccard-first")
     members = open_members(index.select("shingle", "set_id", "n"), labels)
 
@@ -286,15 +290,16 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ranked = members.join(degrees, "set_id", "left").select("*", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "set_id", "n", "label").alias("own"))
     hubs = materialize(ranked.groupBy("shingle").agg(F.max("own").alias("hub")), "jaccard-hubs")
     met = members.join(hubs, "shingle").filter((F.col("label") != F.col("hub.label")) & alike("n", "hub.n"))
-    links = materialize(links.union(links_of(met.select(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b")).distinct(), "second")), "jaccard-links")
+    links = materialize(links.union(links_of(promising(met.select(F.col("set_id").alias("a"), F.col("hub.set_id").alias("b")).distinct(), index, percent), "second")), "jaccard-links")
     labels = components(links, "jaccard-second")
 
     # what is left of different classes within a bucket
     members = open_members(members.select("shingle", "set_id", "n"), labels)
     x, y = members.alias("x"), members.alias("y")
     other = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label")) & alike("x.n", "y.n")
-    rest = x.join(y, other).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    links = links.union(links_of(rest, "last"))
+    # sets of different classes share open buckets only, so this join has all that their prefixes share
+    shared = x.join(y, other).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    links = links.union(links_of(enough(shared, percent), "last"))
     labels = components(links, "jaccard-all")
 
     classed = first_doc.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
