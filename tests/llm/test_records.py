@@ -134,3 +134,26 @@ def test_redaction_keeps_everything_else(spark):
     assert out[3]["text"] == "é🙂 [SECRET]\" x"
     assert out[10]["text"] == "[SECRET]"
     assert S.redact(df.limit(0)).count() == 0
+
+
+def test_words_beside_secrets_hide_nothing(spark):
+    secrets = [
+        "github_pat_11ABCDEFG0Zk39dKq82Lm_x7Qw93NvB5tY",
+        "signature=Zk39dKq82LmX7Qw93NvB5tY",
+        "com/services/T02AB3CD4/B05EF6GH7/aZ3kQ9xW2mN8pL4vR7tY1uBc",
+        "Zk39dKq82LmX7Qw93NvB5tY/archive/backups",
+        "Zk39dKq82Lm-access-X7Qw93NvB5tY",
+    ]
+    harmless = [
+        "/usr/local/share/documentation/readme1",
+        "session_123e4567-e89b-12d3-a456-426614174000",
+        "release-2024-01-02-03-04-05-06-07",
+        "signature=" + "z1" * 30,
+        "documentation/configuration/1",
+    ]
+    df = rows(spark, "doc_id long, text string", *enumerate(f"é🙂 {t} x" for t in secrets + harmless))
+    found = {r["doc_id"]: r["spans"] for r in S.scan(df).collect()}
+    assert [found[i] for i in range(len(secrets))] == [f"entropy:3:{3 + len(t)}" for t in secrets]
+    assert [found[i + len(secrets)] for i in range(len(harmless))] == [""] * len(harmless)
+    clean = {r["doc_id"]: r["text"] for r in S.redact(df).collect()}
+    assert all(clean[i] == "é🙂 [SECRET] x" for i in range(len(secrets)))
