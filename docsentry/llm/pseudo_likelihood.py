@@ -11,7 +11,8 @@ side of it; the sum of the log-probabilities of a document is its score.
   layer, a softmax over classes; written in numpy.
 * Training: every document takes part; each task descends over its own rows
   from the common weights, ``1 / stride`` of the positions of every document
-  as targets, a different share each round. Weights are averaged between
+  as targets, a different share each round; ``stride`` is the number of rounds,
+  so that each position is a target once. Weights are averaged between
   rounds in two steps of Spark aggregation, so no task and not the driver
   receives more than its bounded share of the tasks' weights.
 
@@ -44,8 +45,9 @@ CLASSES = 64
 INPUTS = 4096
 EMBED = 16
 HIDDEN = 32
-STRIDE = 10
 ROUNDS = 2
+#: The rounds together take every position once.
+STRIDE = ROUNDS
 BATCH = 512
 RATE = 0.2
 #: Parts the weights travel in, and tasks whose weights meet in one group.
@@ -157,8 +159,9 @@ class Network:
     def step(self, window: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on the mean log-loss of a batch."""
         n = len(target)
-        vectors = self.embed[window]
-        state = np.tanh(np.einsum("npe,peh->nh", vectors, self.mix, optimize=True) + self.bias)
+        vectors = self.embed[window].reshape(n, -1)
+        mix = self.mix.reshape(-1, self.mix.shape[-1])
+        state = np.tanh(vectors @ mix + self.bias)
         scores = state @ self.out + self.out_bias
         scores -= scores.max(axis=1, keepdims=True)
         grad = np.exp(scores)
@@ -166,12 +169,16 @@ class Network:
         grad[np.arange(n), target] -= 1
         grad /= n
         back = (grad @ self.out.T) * (1 - state * state)
+        into = (back @ mix.T).reshape(-1, self.embed.shape[1])
         self.out -= rate * (state.T @ grad)
         self.out_bias -= rate * grad.sum(axis=0)
-        for place in range(2 * SIDE):
-            into = back @ self.mix[place].T
-            self.mix[place] -= rate * (vectors[:, place].T @ back)
-            np.add.at(self.embed, window[:, place], -rate * into)
+        mix -= rate * (vectors.T @ back)
+        # rows of the same input are added up before they meet its embedding
+        used = window.ravel()
+        order = np.argsort(used.astype(np.int16), kind="stable")
+        used = used[order]
+        starts = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+        self.embed[used[starts]] -= rate * np.add.reduceat(into[order], starts, axis=0)
         self.bias -= rate * back.sum(axis=0)
 
 
@@ -186,10 +193,9 @@ def _train_round(docs: DataFrame, vocabulary, weights, turn: int, stride: int) -
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids = vocab.ids(text)
-                if not len(ids):
+                places = np.arange((turn + len(ids)) % stride, len(ids), stride)
+                if not len(places):
                     continue
-                first = (turn * 3 + len(ids)) % stride
-                places = np.arange(first, len(ids), stride) if len(ids) > first else np.array([len(ids) // 2])
                 windows.append(net.windows(net.inputs(ids))[places])
                 targets.append(vocab.class_of[ids[places]])
                 held += len(places)

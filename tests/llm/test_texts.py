@@ -307,3 +307,21 @@ def test_scores_of_odd_texts(spark):
     empty = df.limit(0)
     nothing = LM.build_vocabulary(empty)
     assert LM.score(empty, nothing, LM.train(empty, nothing)).count() == 0
+
+
+def test_registered_training_takes_every_position_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text").union(documents(spark, ["a", "a b", "a b c", None, ""]).select("text"))
+    vocabulary = LM.build_vocabulary(docs)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    weights = spark.sparkContext.broadcast(LM.Network(vocabulary.n_classes).vector)
+    turns = [LM._train_round(docs, shared, weights, turn, LM.STRIDE).where("part = 0").agg({"tokens": "sum"}).first()[0] for turn in range(LM.ROUNDS)]
+    assert sum(turns) == sum(len(vocabulary.ids(r["text"])) for r in docs.collect())
+
+
+def test_registered_training_beats_class_frequencies(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    vocabulary = LM.build_vocabulary(docs)
+    untrained = LM.Network(vocabulary.n_classes)
+    untrained.out_bias[:] = np.log(vocabulary.class_share)
+    total = lambda weights: LM.score(docs, vocabulary, weights).agg({"log_prob": "sum"}).first()[0]
+    assert total(LM.train(docs, vocabulary)) > total(untrained.vector)
