@@ -329,8 +329,8 @@ _ITEM = "CASE WHEN doc_id % 3 = 0 THEN concat('# LLMs.txt', chr(10), chr(10), '#
 _PATH = "concat('d', cast(doc_id as string), CASE doc_id % 4 WHEN 0 THEN '.llms.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.py' ELSE '.bin' END)"
 
 
-def _varied(spark, sf):
-    docs = D.documents(spark, sf, "doc_id", "text").select(F.expr(_PATH).alias("path"), F.expr(_ITEM).alias("content"))
+def _varied(spark, sf, where="true"):
+    docs = D.documents(spark, sf, "doc_id", "text").where(where).select(F.expr(_PATH).alias("path"), F.expr(_ITEM).alias("content"))
     return AU.variations(docs)
 
 
@@ -361,9 +361,18 @@ def _bodies_sql() -> str:
 
 @query("adversarial_variations", "AUG-2 TOP-8 VER-1", _bodies_sql())
 def adversarial_variations(spark, sf):
-    fixed = _varied(spark, sf).where("content_type = 'llms_txt'")
-    llms = D.documents(spark, sf, "doc_id", "text").where(~F.col("text").rlike("(?m)^## ")).where("doc_id % 3 = 0").select(F.expr(_PATH).alias("path"))
-    return fixed.join(llms, "path", "left_semi").select("path", "type", "hash")
+    # the SQL follows composed documents without headings of their own; other llms.txt files are in llms_file_variations
+    return _varied(spark, sf, "doc_id % 3 = 0").where("content_type = 'llms_txt'").select("path", "type", "hash")
+
+
+@query(
+    "llms_file_variations",
+    "AUG-2",
+    f"""WITH d AS (SELECT {D.duck(_PATH)} AS path, text FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0)
+        SELECT path, 'baseline' AS type, md5(text) AS hash FROM d UNION ALL SELECT path, 'structural_variation', md5(replace(text, '## ', '### ')) FROM d""",
+)
+def llms_file_variations(spark, sf):
+    return _varied(spark, sf, "doc_id % 3 <> 0").where("content_type = 'llms_txt'").select("path", "type", "hash")
 
 
 _KIND = "CASE WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.py' THEN 'code' ELSE 'generic' END AS content_type"
@@ -397,6 +406,4 @@ def generic_variations(spark, sf):
         SELECT type, count(*) AS n_cases, count(DISTINCT path) AS n_items FROM r GROUP BY type""",
 )
 def variation_suite(spark, sf):
-    plain = D.documents(spark, sf, "doc_id", "text").where(~F.col("text").rlike("(?m)^## ")).select(F.expr(_PATH).alias("path"))
-    varied = _varied(spark, sf).join(plain, "path", "left_semi")
-    return AU.test_suite(varied).groupBy("type").agg(F.count("*").alias("n_cases"), F.countDistinct("source_item").alias("n_items"))
+    return AU.test_suite(_varied(spark, sf)).groupBy("type").agg(F.count("*").alias("n_cases"), F.countDistinct("source_item").alias("n_items"))

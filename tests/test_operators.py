@@ -3,6 +3,8 @@
 import base64
 import random
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,3 +407,27 @@ def test_hostile_texts_finish(spark):
     assert P.content_nodes(docs).where("type = 'thematic_break'").count() == 2
     rules = C.rule_table(spark)
     assert C.block_findings(P.code_blocks(docs), rules).count() == 1
+
+
+def test_variation_queries_cover_every_document(spark, tmp_path):
+    from hashlib import md5
+
+    from docsentry.plans import catalogue
+
+    texts = {3: "plain", 6: "x\n## Extra\nbody", 8: "## User Queries\nq\n## B\nb", 4: "no heading", 5: "a\n## H\nb", 7: "one line"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    composed, files, generic, suite = map(run, ("adversarial_variations", "llms_file_variations", "generic_variations", "variation_suite"))
+    kinds = lambda rows, i: Counter(r["type"] for r in rows if r["path"].startswith(f"d{i}."))
+    every = {"baseline": 1, "prompt_injection": 5, "malicious_code": 5, "credential_exposure": 5, "structural_variation": 2, "special_characters": 2}
+    several = {"baseline": 1, "size_variation": 1, "character_variation": 1, "structure_variation": 1}
+    expected = {
+        3: every, 6: every, 8: {k: n for k, n in every.items() if k != "credential_exposure"}, 4: {"baseline": 1, "structural_variation": 1},
+        5: several, 7: {k: n for k, n in several.items() if k != "structure_variation"},
+    }
+    for rows, ids in ((composed, (3, 6)), (files, (4, 8)), (generic, (5, 7))):
+        assert {r["path"].split(".")[0] for r in rows} == {f"d{i}" for i in ids}
+        for i in ids:
+            assert kinds(rows, i) == expected[i]
+    assert md5(texts[8].replace("## ", "### ").encode()).hexdigest() in {r["hash"] for r in files}
+    assert {r["type"]: (r["n_cases"], r["n_items"]) for r in suite} == {k: (sum(e.get(k, 0) for e in expected.values()), sum(k in e for e in expected.values())) for k in {*every, *several}}
