@@ -162,7 +162,7 @@ def rule_outliers(spark, sf):
 def isolation_forest(spark, sf):
     vectors = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
     path = shared_dir(spark, "forest")
-    AN.save_forest(AN.fit_forest(vectors, n_trees=50), path)
+    AN.save_forest(AN.fit_forest(vectors), path)
     scored = materialize(AN.forest_scores(vectors, AN.load_forest(spark, path)), "forest-scores")
     return AN.anomaly_results(scored, AN.contamination_threshold(scored).scalar()).select("doc_id", "anomaly_score", "is_anomaly", "anomaly_confidence")
 
@@ -170,7 +170,7 @@ def isolation_forest(spark, sf):
 @query("forest_grid", "ML-9")
 def forest_grid(spark, sf):
     vectors = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    return AN.grid_by_variance(vectors, [{"n_estimators": 10, "max_samples": 64}, {"n_estimators": 20, "max_samples": 128}]).orderBy(F.desc("score_variance"))
+    return AN.grid_by_variance(vectors, [{"n_estimators": n, "max_samples": m} for n in (50, 100, 200) for m in (256, 100, 200)]).orderBy(F.desc("score_variance"))
 
 
 _CONTRIB_SQL = f"""WITH f AS {_ALL}, e AS (SELECT doc_id, list_sort(list_filter([{', '.join(f"CASE WHEN {n} THEN (-0.9::double, {i}, 'security_indicator.{n}') END" for i, n in enumerate(R.SECURITY_FLAGS))},
@@ -209,7 +209,7 @@ def combined_anomalies(spark, sf):
 def anomaly_findings(spark, sf):
     from ..operators.scoring import classify
 
-    results = AN.detect(feature_table(spark, sf), n_trees=25).withColumn("url_id", F.col("content_id"))
+    results = AN.detect(feature_table(spark, sf)).withColumn("url_id", F.col("content_id"))
     return T.anomaly_findings(results, classify(F.col("combined_score"))).select("content_id", "finding_type", "severity", "location")
 
 
@@ -228,7 +228,7 @@ def stratified_split(spark, sf):
 @query("fp_classifier", "ML-6 ML-7 ML-11 AGG-19")
 def fp_classifier(spark, sf):
     split = FP.stratified_split(_labelled(spark, sf), "finding_id")
-    model = FP.train(split.where("is_train"), n_trees=20, max_depth=5)
+    model = FP.train(split.where("is_train"))
     tested = FP.classify(model, split.where("NOT is_train")).select("finding_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "false_positive_likelihood")
     return EV.classification_report(tested)
 
@@ -237,7 +237,7 @@ def fp_classifier(spark, sf):
 def fp_likelihoods(spark, sf):
     rows = _labelled(spark, sf)
     path = shared_dir(spark, "fp-model")
-    FP.save_model(FP.train(rows, n_trees=20, max_depth=5), path)
+    FP.save_model(FP.train(rows), path)
     model = FP.load_model(path)
     best = [(r["feature"], r["importance"]) for r in FP.top_model_features(spark, model).collect()]
     scored = FP.classify(model, rows)
@@ -248,7 +248,7 @@ def fp_likelihoods(spark, sf):
 @query("fp_grid_search", "ML-9")
 def fp_grid_search(spark, sf):
     rows = _labelled(spark, sf).select("features", "label")
-    found = FP.search(rows, n_trees=(5, 10), max_depth=(3,), min_split=(1,), folds=2)
+    found = FP.search(rows)
     return spark.createDataFrame([(i, float(m)) for i, m in enumerate(found.avgMetrics)], "setting int, mean_f1 double")
 
 

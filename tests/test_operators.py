@@ -431,3 +431,38 @@ def test_variation_queries_cover_every_document(spark, tmp_path):
             assert kinds(rows, i) == expected[i]
     assert md5(texts[8].replace("## ", "### ").encode()).hexdigest() in {r["hash"] for r in files}
     assert {r["type"]: (r["n_cases"], r["n_items"]) for r in suite} == {k: (sum(e.get(k, 0) for e in expected.values()), sum(k in e for e in expected.values())) for k in {*every, *several}}
+
+
+def test_model_queries_run_the_whole_job(monkeypatch):
+    from docsentry.operators import anomaly as AN
+    from docsentry.operators import false_positives as FP
+    from docsentry.plans import catalogue, ml_queries
+
+    class Called(Exception):
+        pass
+
+    def settings(query, module, operator):
+        def stop(rows, *args, **kwargs):
+            raise Called(args, kwargs)
+
+        with monkeypatch.context() as m:
+            m.setattr(module, operator, stop)
+            for name in ("_labelled", "feature_table", "shared_dir"):
+                m.setattr(ml_queries, name, lambda *a: next_frame)
+            m.setattr(ml_queries.D, "table", lambda *a: next_frame)
+            m.setattr(FP, "stratified_split", lambda *a: next_frame)
+            m.setattr(ml_queries.F, "col", lambda *a: next_frame)
+            m.setattr(ml_queries.F, "transform", lambda *a: next_frame)
+            with pytest.raises(Called) as called:
+                catalogue.QUERIES[query](None, "")
+        return called.value.args
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    next_frame = Frame()
+    for query, module, operator in (("isolation_forest", AN, "fit_forest"), ("anomaly_findings", AN, "detect"), ("fp_classifier", FP, "train"), ("fp_likelihoods", FP, "train"), ("fp_grid_search", FP, "search")):
+        assert settings(query, module, operator) == ((), {}), query
+    (grid,), _ = settings("forest_grid", AN, "grid_by_variance")
+    assert {(g["n_estimators"], g["max_samples"]) for g in grid} == {(n, m) for n in (50, 100, 200) for m in (256, 100, 200)}
