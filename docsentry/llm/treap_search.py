@@ -45,15 +45,15 @@ _LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
 )
 TOP = 50
-BLOCK_DOCS = 8192
-BLOCK_BYTES = 8_000_000
+BLOCK_DOCS = 16384
+BLOCK_BYTES = 16_000_000
 PACK_ITEMS = 256
 #: Items of one task whose best scores are remembered from block to block.
 KEPT_ITEMS = 20_000
 _BATCH = 256
-#: Set bits of a nibble, and set bits below each of its four places.
-_SET = np.array([bin(x).count("1") for x in range(16)], np.int64)
-_BELOW = np.array([[bin(x & ((1 << i) - 1)).count("1") for i in range(4)] for x in range(16)], np.int64)
+#: Set bits of a nibble; and by nibble and place, set bits below the place, or -1 where it is not set.
+_SET = np.array([bin(x).count("1") for x in range(16)], np.int32)
+_BELOW = np.array([bin(x & ((1 << i) - 1)).count("1") if x >> i & 1 else -1 for x in range(16) for i in range(4)], np.int32)
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -79,13 +79,13 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def _pressed(values: np.ndarray, compress) -> bytes:
-    """Numbers below 2**32 as byte planes, low bytes first."""
+    """Numbers below 2**31 as byte planes, low bytes first."""
     return compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _expanded(data: bytes, decompress) -> np.ndarray:
     planes = np.frombuffer(decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
 def build(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, depth: int, compress) -> tuple[list[bytes], list[bytes]]:
@@ -125,9 +125,11 @@ class Treap:
             both = np.frombuffer(decompress(packed), np.uint8)
             quarters = np.stack([both & 15, both >> 4], axis=1).reshape(-1)[: len(self.maxima[level])]
             children = _SET[quarters]
-            self.quarters.append(quarters)
-            self.first.append(np.cumsum(children) - children)
+            self.quarters.append(np.append(quarters, np.uint8(0)))
+            self.first.append(np.append(np.cumsum(children, dtype=np.int32) - children, np.int32(0)))
             self.maxima.append(np.repeat(self.maxima[level], children) - _expanded(maxima[level + 1], decompress))
+        # a last cell of each level stands for a path that has ended
+        self.maxima = [np.append(x, np.int32(0)) for x in self.maxima]
 
     def top(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Columns and scores of at least ``least`` that can be among the ``k`` best, ties at the last included, in no order.
@@ -135,14 +137,13 @@ class Treap:
         A score is the sum of weight times cell over ``rows``.
         """
         depth = self.depth
-        # a path's place in its level, one past the end where the row has nothing in the range
-        places = (rows >> depth).astype(np.int64)[None, :]
+        # a path's cell in each range, the last cell of a level where it has ended
+        places = (rows >> depth)[None, :]
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * (depth + 1)
         best: list[int] = [-1] * (depth + 1)
 
         def add(level: int, columns: np.ndarray, paths: np.ndarray) -> None:
-            cells = np.append(self.maxima[level], 0)
-            bounds = cells[paths] @ weights
+            bounds = self.maxima[level].take(paths).astype(np.int64) @ weights
             keep = bounds >= least
             if not keep.any():
                 return
@@ -173,15 +174,11 @@ class Treap:
                 columns, paths = columns[now], paths[now]
             else:
                 waiting[level], best[level] = None, -1
-            end = len(self.quarters[level])
-            quarters, first = np.append(self.quarters[level], np.uint8(0)), np.append(self.first[level], 0)
-            marks, base, nothing = quarters[paths], first[paths], len(self.maxima[level + 1])
-            low_row = ((rows >> (depth - 1 - level)) & 1) * 2
-            assert end == len(self.maxima[level])
+            marks, base, nothing = self.quarters[level].take(paths).astype(np.int32) * 4, self.first[level].take(paths), len(self.maxima[level + 1]) - 1
+            low_row = (((rows >> (depth - 1 - level)) & 1) * 2).astype(np.int32)
             for side in (0, 1):
-                child = np.broadcast_to(low_row + side, paths.shape)
-                there = (marks >> child) & 1 == 1
-                add(level + 1, columns * 2 + side, np.where(there, base + _BELOW[marks, child], nothing))
+                below = _BELOW.take(marks + (low_row + side))
+                add(level + 1, columns * 2 + side, np.where(below >= 0, base + below, nothing))
         return found_columns[0], found_scores[0]
 
 
@@ -202,12 +199,12 @@ def block_of(doc_ids: list[int | None], terms: list[bytes], ids: list[np.ndarray
     pairs, tf = np.unique(pairs, return_counts=True)
     rows, columns = pairs >> depth, pairs & ((1 << depth) - 1)
     df = np.bincount(rows, minlength=len(terms))
-    order = sorted(range(len(terms)), key=lambda i: (-df[i], terms[i]))
+    order = np.argsort(-df, kind="stable")
     place = np.empty(len(terms), np.int64)
     place[order] = np.arange(len(terms))
     factors = np.array([mean_factor(int(n), documents, total) for n in lengths], np.int64)
     marks, maxima = build(place[rows], columns, impacts(tf.astype(np.int64), factors[columns]), depth, compress)
-    return Block(doc_ids, [terms[i].decode("utf-8", "replace") for i in order], df[order].tolist(), depth, marks, maxima)
+    return Block(doc_ids, [terms[i].decode("utf-8", "replace") for i in order.tolist()], df[order].tolist(), depth, marks, maxima)
 
 
 INDEX = "block long, doc_ids array<long>, terms array<string>, df array<int>, depth int, marks array<binary>, maxima array<binary>"
@@ -215,8 +212,18 @@ INDEX = "block long, doc_ids array<long>, terms array<string>, df array<int>, de
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all their terms."""
-    n = F.regexp_count(F.col("text").cast("string"), F.lit(TERM))
-    row = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, terms = 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n = len(terms_of(text))
+                documents, terms = documents + (n > 0), terms + n
+        yield pa.RecordBatch.from_arrays([pa.array([documents], pa.int64()), pa.array([terms], pa.int64())], names=["documents", "terms"])
+
+    ship_package(docs.sparkSession)
+    counted = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "documents long, terms long")
+    row = counted.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
