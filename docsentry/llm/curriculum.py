@@ -32,8 +32,9 @@ from .common import set_columns
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 RESULTS = ("source", "size", "source_size", "target", "taken", "position", "places")
-#: Documents of one group of running totals, on average.
-GROUP_ROWS = 250_000
+#: Documents of one group of running totals over all sources, and groups at most: they are summed per source.
+GROUP_ROWS = 4096
+MAX_GROUPS = 1 << 16
 
 
 def measured(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -138,7 +139,7 @@ def plan(sized: DataFrame, scheduled: DataFrame, max_repeats: int = MAX_REPEATS,
     document, that pass takes only its first words. Empty documents have no
     place. Rows of one doc_id follow each other by size.
     """
-    groups = max(1, -(-sized.count() // group_rows))
+    groups = min(MAX_GROUPS, max(1, -(-sized.count() // group_rows)))
     part = F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * groups / F.lit(1 << 32))
     queued = running_totals(sized, ["source"], part, [F.col("_order"), F.col("size")], {"_upto": F.col("size")})
     own = scheduled.select(F.col("source").alias("_source"), "source_size", "target", "times", "rates", "integrals")
