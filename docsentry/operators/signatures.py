@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.matching import Rule, scan
+from ..functions.scale import broadcast_small
+from ..session import materialize
 
 
 def signature_rules(signatures: dict | None = None) -> tuple[Rule, ...]:
@@ -103,32 +105,128 @@ def bucket_counts(findings: DataFrame, keep: Sequence[str] = ("doc_id",)) -> Dat
     return findings.groupBy(*keep).agg(*[F.count_if(F.col("bucket") == n).alias(n) for n in names])
 
 
-def byte_regex(pattern: str) -> str:
-    """``DE AD ?? E?`` -> a regex over text decoded one byte per character."""
-    out = []
-    for token in pattern.split():
-        if token == "??":
-            out.append(".")
-        elif "?" in token:
-            out.append("[" + "".join(rf"\x{token.replace('?', d)}" for d in "0123456789ABCDEF") + "]")
-        else:
-            out.append(rf"\x{token.upper()}")
-    return "(?s)" + "".join(out)
+#: Rule rows: any of ``headers`` begins the content (none: any content does), and all groups of one alternative hold. A
+#: group holds when ``least`` of its strings each occur ``times`` times.
+RULE_ROWS = (
+    "rule string, headers array<string>, strings array<struct<identifier: string, pattern: string>>, "
+    "alternatives array<array<struct<identifiers: array<string>, least: int, times: int>>>"
+)
+_ANCHOR_WIDTHS = (4, 3, 2, 1)
+_BLOCK_BYTES = 4096
+_HEADER_BYTES = 64
+#: Anchors that are broadcast at most; more of them meet the contents in a shuffle.
+BROADCAST_ANCHORS = 50_000
 
 
-def binary_signature_hits(df: DataFrame, content: str, rules: Sequence[dict], keep: Sequence[str]) -> DataFrame:
-    """Binary rules: {name, header (hex), strings: {id: hex with ??}, condition: all|any}.
+def binary_rule_rows(spark: SparkSession, rules: Sequence[dict]) -> DataFrame:
+    """Rule rows of {name, header or headers (hex), strings: {id: hex with ?}, condition: all|any} or, in place of the condition, groups or alternatives.
 
-    Bytes are decoded as Latin-1, one character per byte, so matches are byte
-    aligned. The header gate runs before any regex.
+    ``groups`` is a list of groups that must all hold, ``alternatives`` a list of
+    such lists. A group is {of: [ids], least: number or "all", times: number}; an
+    id that ends with ``*`` stands for all strings it begins.
     """
-    coded = df.select(*keep, F.decode(F.col(content), "ISO-8859-1").alias("_bytes"))
-    tests = []
+    rows = []
     for rule in rules:
-        header = bytes.fromhex(rule.get("header", "")).decode("latin-1")
-        hits = [F.col("_bytes").rlike(byte_regex(p)) for p in rule["strings"].values()]
-        combined = hits[0]
-        for h in hits[1:]:
-            combined = (combined & h) if rule.get("condition", "all") == "all" else (combined | h)
-        tests.append(F.when(F.startswith("_bytes", F.lit(header)) & combined, F.lit(rule["name"])))
-    return coded.select(*keep, F.explode(F.array_compact(F.array(*tests))).alias("rule_name"))
+        names = list(rule["strings"])
+        if not names:
+            raise ValueError(f"rule {rule['name']} has no strings")
+        default = {"of": names, "least": "all" if rule.get("condition", "all") == "all" else 1}
+        groups_of = rule.get("alternatives") or [rule.get("groups") or [default]]
+        alternatives = []
+        for groups in groups_of:
+            shaped = []
+            for group in groups:
+                ids = [n for n in names if any(n == o or (o.endswith("*") and n.startswith(o[:-1])) for o in group["of"])]
+                least = group.get("least", "all")
+                shaped.append((ids, len(ids) if least == "all" else int(least), int(group.get("times", 1))))
+            alternatives.append(shaped)
+        headers = rule.get("headers") or ([rule["header"]] if rule.get("header") else [])
+        rows.append((rule["name"], headers, list(rule["strings"].items()), alternatives))
+    return spark.createDataFrame(rows, RULE_ROWS)
+
+
+def _plain_hex(text: Column) -> Column:
+    return F.upper(F.regexp_replace(text, r"\s", ""))
+
+
+def anchors(rules: DataFrame) -> DataFrame:
+    """One row per string of ``rules``: its fixed run of up to four bytes with the most different ones, and where in the string it stands.
+
+    A string without any fixed byte has an empty anchor, which stands everywhere.
+    """
+    headed = F.concat(F.lit("^("), F.array_join(F.transform("headers", _plain_hex), "|"), F.lit(")"))
+    strings = rules.select("rule", headed.alias("headed"), F.inline("strings"))
+    strings = strings.withColumn("hex", _plain_hex(F.col("pattern"))).withColumn("size", (F.length("hex") / 2).cast("int"))
+    at = lambda i, width: F.substring(F.col("hex"), 2 * i + 1, F.lit(2 * width))
+
+    def best(width: int) -> Column:
+        variety = lambda i: F.size(F.array_distinct(F.array(*[at(i + k, 1) for k in range(width)])))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.col("size") - width, F.lit(0))), lambda i: ~F.contains(at(i, width), F.lit("?")))
+        found = F.array_max(F.transform(starts, lambda i: F.struct(variety(i).alias("variety"), (-i).alias("back"))))
+        return F.when(F.col("size") >= width, F.struct(F.lit(width).alias("width"), (-found["back"]).alias("place")))
+
+    found = F.coalesce(*[F.when(best(w)["place"].isNotNull(), best(w)) for w in _ANCHOR_WIDTHS], F.struct(F.lit(0).alias("width"), F.lit(0).alias("place")))
+    placed = strings.where(F.col("size") > 0).withColumn("_a", found)
+    return placed.select(
+        "rule", "headed", "identifier", "size", F.translate("hex", "?", "_").alias("mask"), F.col("_a.place").alias("place"), F.col("_a.width").alias("width"),
+        F.unhex(F.substring(F.col("hex"), 2 * F.col("_a.place") + 1, 2 * F.col("_a.width"))).alias("gram"),
+    )
+
+
+def binary_matches(df: DataFrame, content: str, rules: DataFrame, keep: Sequence[str], broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
+    """Rows (keep, rule, identifier, offset): every place where a string of a rule stands in contents that begin with one of its headers.
+
+    Strings are hex bytes with ``?`` for a half byte. Every byte position of a
+    content looks its next bytes up in the rules' anchors; only where an anchor
+    stands is the whole string compared, in the same stage. Contents are cut into
+    chunks that overlap by the longest string, so a row never carries more. The
+    plan is the same for two rules and for a million. Null and empty contents
+    have no matches; of a header, at most 64 bytes may be given.
+    """
+    table = materialize(anchors(rules), "signature-anchors")
+    widths = [r["width"] for r in table.select("width").distinct().orderBy("width").collect()]  # at most five
+    reach = table.agg(F.max("size")).first()[0] or 0
+    few = table.limit(broadcast_anchors + 1).count() <= broadcast_anchors
+    content_bytes = F.col("_content")
+    source = df.select(F.struct(*keep).alias("_keep"), F.col(content).cast("binary").alias("_content")).where(F.octet_length("_content") > 0)
+    blocks = source.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("_content") - 1, F.lit(_BLOCK_BYTES))).alias("_base"))
+    low = F.greatest(F.col("_base") - reach, F.lit(0))
+    chunks = blocks.select(
+        "_keep",
+        "_base",
+        F.octet_length("_content").alias("_size"),
+        F.hex(F.substring(content_bytes, F.lit(1), F.lit(_HEADER_BYTES))).alias("_begins"),
+        low.alias("_low"),
+        F.substring(content_bytes, low + 1, F.col("_base") - low + _BLOCK_BYTES + reach).alias("_chunk"),
+    )
+    held = ["_keep", "_begins", "_low", "_chunk"]
+    if not few:  # the chunk stays behind while its positions meet the anchors
+        chunks = materialize(chunks.withColumn("_row", F.monotonically_increasing_id()), "signature-chunks")
+    carried = held if few else ["_row"]
+    used = ["_chunk", "_low", "_size"]
+    places = chunks.select(*used, *[c for c in carried if c not in used], F.explode(F.sequence(F.col("_base"), F.least(F.col("_base") + _BLOCK_BYTES, F.col("_size")) - 1)).alias("_at"))
+    # whole grams only: a cut one at the end could look like a shorter anchor
+    grams = [F.when(F.col("_at") + w <= F.col("_size"), F.substring(F.col("_chunk"), F.col("_at") - F.col("_low") + 1, F.lit(w))) for w in widths] or [F.lit(None).cast("binary")]
+    gram = grams[0] if len(grams) == 1 else F.explode(F.array(*grams))
+    met = places.select(*carried, "_at", gram.alias("gram")).join(F.broadcast(table) if few else table, "gram")
+    if not few:
+        met = met.join(chunks.select("_row", *held), "_row")
+    start = F.col("_at") - F.col("place")
+    stands = F.like(F.hex(F.substring(F.col("_chunk"), start - F.col("_low") + 1, F.col("size"))), F.col("mask"))
+    return met.where((start >= 0) & F.rlike(F.col("_begins"), F.col("headed")) & stands).select("_keep.*", "rule", "identifier", start.alias("offset"))
+
+
+def binary_findings(matches: DataFrame, rules: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Rows (keep, rule) whose condition the ``matches`` meet."""
+    counted = matches.groupBy(*keep, "rule", "identifier").agg(F.count("*").alias("_n"))
+    alternatives = rules.select("rule", F.posexplode("alternatives").alias("_alternative", "_groups")).select("rule", "_alternative", F.size("_groups").alias("_of"), F.posexplode("_groups").alias("_group", "_g"))
+    members = alternatives.select("rule", "_alternative", "_of", "_group", F.col("_g.least").alias("_least"), F.col("_g.times").alias("_times"), F.explode("_g.identifiers").alias("identifier"))
+    held = counted.join(broadcast_small(members, BROADCAST_ANCHORS), ["rule", "identifier"]).where(F.col("_n") >= F.col("_times"))
+    groups = held.groupBy(*keep, "rule", "_alternative", "_of", "_group").agg(F.count("*").alias("_hits"), F.first("_least").alias("_least")).where("_hits >= _least")
+    return groups.groupBy(*keep, "rule", "_alternative", "_of").agg(F.count("*").alias("_held")).where("_held = _of").select(*keep, F.col("rule").alias("rule_name")).distinct()
+
+
+def binary_signature_hits(df: DataFrame, content: str, rules: Sequence[dict] | DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Rows (keep, rule_name) of the rules (rows, or as for ``binary_rule_rows``) that a content meets."""
+    rows = rules if isinstance(rules, DataFrame) else binary_rule_rows(df.sparkSession, rules)
+    return binary_findings(binary_matches(df, content, rows, keep), rows, keep)

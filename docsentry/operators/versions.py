@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.patterns import java
+from ..functions.runs import longest_increasing_run
 from ..functions.scale import exact_quantiles, row_numbers
+from ..session import wide_partitions
 from .markdown import lines
 
 
@@ -98,47 +100,75 @@ def near_identical(before: Column, after: Column) -> Column:
     return 5 * F.size(F.array_intersect(words(before), words(after))) > 4 * F.size(F.array_union(words(before), words(after)))
 
 
+def _same_at(old: Column, new: Column, from_end: bool) -> Column:
+    """How many lines two arrays share at their beginning, or at their end."""
+    ends = (lambda rows: F.reverse(rows)) if from_end else (lambda rows: rows)
+    differs = F.array_position(F.zip_with(ends(old), ends(new), lambda x, y: F.coalesce(x != y, F.lit(True))), True)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(old)).cast("int")
+
+
 def changed_ranges(pairs: DataFrame) -> DataFrame:
-    """Changed line ranges of pairs carrying old_text and new_text, as sets of lines tell them.
-
-    The k-th occurrence of a line in the old text and the k-th of the same line
-    in the new one are the same line; every other line is removed or added. Lines
-    removed (or added) between two kept lines are one range. A removed and an
-    added range behind the same kept line are one modification. Lines travel as
-    rows; a group is the places of one line, a window one side of one pair.
-    Ranges are numbered by their places in the new text, then in the old one.
+    """Changed line ranges of pairs carrying old_text and new_text, in order, numbered by ``change_seq``.
+
+    Lines that both texts begin or end with are kept. Between them, the k-th
+    occurrence of a line in the old text may stay as the k-th of the same line
+    in the new one; kept are those of a longest run that stands in the same
+    order on both sides, so a line that moves is removed at one place and added
+    at another. What lies between two kept lines is one range. Texts of equal
+    lines that differ in their line breaks alone are one modification of all lines.
+
+    Texts are shuffled once, by pair. The hashes of their middle lines meet in
+    groups of that partitioning, ranges form from one small array a pair, and
+    contents are cut out of the same partition's texts. Only pairs in which kept
+    lines cross need Python, for their longest run.
     """
     base = [c for c in pairs.columns if c not in ("old_text", "new_text")]
-    side = lambda new, text: F.struct(F.lit(new).alias("is_new"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sides = pairs.select(F.struct(*base).alias("_pair"), F.inline(F.array(side(False, "old_text"), side(True, "new_text"))))
-    rows = sides.select("_pair", "is_new", F.posexplode(lines(F.col("text"))).alias("no", "line"))
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    dealt = pairs.select(F.struct(*base).alias("_pair"), text("old_text").alias("_o"), text("new_text").alias("_n"))
+    dealt = dealt.repartition(wide_partitions(pairs.sparkSession), "_pair")
+    hashed = lambda name: F.transform(lines(F.col(name)), lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b")))
+    sides = dealt.select("_pair", hashed("_o").alias("_old"), hashed("_n").alias("_new")).withColumn("_head", _same_at(F.col("_old"), F.col("_new"), False))
+    rest = lambda name: F.slice(name, F.col("_head") + 1, F.size(name) - F.col("_head"))
+    sides = sides.withColumn("_tail", _same_at(rest("_old"), rest("_new"), True))
+    middle = lambda name, new: F.transform(
+        F.slice(name, F.col("_head") + 1, F.size(name) - F.col("_head") - F.col("_tail")),
+        lambda line, i: F.struct(F.lit(new).alias("is_new"), (i + F.col("_head")).alias("no"), line.alias("line")),
+    )
+    rows = sides.select("_pair", F.inline(F.concat(middle("_old", False), middle("_new", True))))
     places = lambda new: F.sort_array(F.collect_list(F.when(F.col("is_new") == new, F.col("no"))))
     met = rows.groupBy("_pair", "line").agg(places(False).alias("_old"), places(True).alias("_new"))
-
-    def placed(own: str, other: str, new: bool) -> Column:
-        return F.transform(own, lambda n, i: F.struct(F.lit(new).alias("is_new"), n.alias("no"), F.get(F.col(other), i).alias("partner")))
-
-    found = met.select("_pair", "line", F.inline(F.concat(placed("_old", "_new", False), placed("_new", "_old", True))))
-    so_far = Window.partitionBy("_pair", "is_new").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = F.when(F.col("partner").isNotNull(), F.struct("no", "partner"))
-    staged = found.select("*", F.last(kept, ignorenulls=True).over(so_far).alias("_kept")).where(F.col("partner").isNull())
-    old_anchor = F.when(F.col("is_new"), F.col("_kept.partner")).otherwise(F.col("_kept.no"))
-    new_anchor = F.when(F.col("is_new"), F.col("_kept.no")).otherwise(F.col("_kept.partner"))
-    anchored = staged.select("_pair", "is_new", "no", "line", F.coalesce(old_anchor + 1, F.lit(0)).alias("_old_at"), F.coalesce(new_anchor + 1, F.lit(0)).alias("_new_at"))
-    part = lambda new: F.array_sort(F.collect_list(F.when(F.col("is_new") == new, F.struct("no", "line"))))
-    ranges = anchored.groupBy("_pair", "_old_at", "_new_at").agg(part(False).alias("_before"), part(True).alias("_after"))
-    joined = lambda rows: F.when(F.size(rows) > 0, F.array_join(F.transform(rows, lambda r: r["line"]), "\n"))
-    shaped = ranges.select(
-        "_pair.*",
-        F.col("_old_at").alias("old_start"),
-        (F.col("_old_at") + F.size("_before")).alias("old_end"),
-        F.col("_new_at").alias("new_start"),
-        (F.col("_new_at") + F.size("_after")).alias("new_end"),
-        joined(F.col("_before")).alias("content_before"),
-        joined(F.col("_after")).alias("content_after"),
+    both = F.least(F.size("_old"), F.size("_new"))
+    partners = met.where(both > 0).select("_pair", F.inline(F.arrays_zip(F.slice("_new", F.lit(1), both).alias("new"), F.slice("_old", F.lit(1), both).alias("old"))))
+    listed = partners.groupBy("_pair").agg(F.sort_array(F.collect_list(F.struct("new", "old"))).alias("_met"))
+    crossing = F.array_sort("_met.old") != F.col("_met.old")
+    listed = listed.withColumn("_run", longest_increasing_run(F.when(crossing, F.col("_met.old"))))
+    kept = F.when(F.col("_run").isNull(), F.col("_met")).otherwise(F.transform("_run", lambda i: F.get("_met", i)))
+    listed = listed.select(F.col("_pair").alias("_of"), kept.alias("_kept"))
+
+    # a range lies between each kept line and the next, where one of the texts has lines there
+    split = dealt.select("_pair", lines(F.col("_o")).alias("_old"), lines(F.col("_n")).alias("_new"), (F.col("_o") != F.col("_n")).alias("_differs"))
+    split = split.withColumn("_head", _same_at(F.col("_old"), F.col("_new"), False)).withColumn("_tail", _same_at(rest("_old"), rest("_new"), True))
+    joined = split.join(listed, F.col("_pair") == F.col("_of"), "left")
+    mark = lambda new, old: F.struct(new.cast("int").alias("new"), old.cast("int").alias("old"))
+    inner = F.coalesce("_kept", F.array().cast("array<struct<new:int,old:int>>"))
+    first = mark(F.col("_head") - 1, F.col("_head") - 1)
+    last = mark(F.size("_new") - F.col("_tail"), F.size("_old") - F.col("_tail"))
+    gap = lambda a, b: F.struct(
+        (a["old"] + 1).alias("old_start"), b["old"].alias("old_end"), (a["new"] + 1).alias("new_start"), b["new"].alias("new_end")
+    )
+    gaps = F.filter(F.zip_with(F.concat(F.array(first), inner), F.concat(inner, F.array(last)), gap), lambda g: (g["old_end"] > g["old_start"]) | (g["new_end"] > g["new_start"]))
+    whole = F.struct(F.lit(0).alias("old_start"), F.size("_old").alias("old_end"), F.lit(0).alias("new_start"), F.size("_new").alias("new_end"))
+    equal = (F.col("_head") == F.size("_old")) & (F.size("_old") == F.size("_new"))
+    ranges = F.when(equal & F.col("_differs"), F.array(whole)).when(~equal, gaps)
+    part = lambda name, start, end: F.when(end > start, F.array_join(F.slice(name, start + 1, end - start), "\n"))
+    shaped = F.transform(
+        ranges,
+        lambda g: F.struct(
+            g["old_start"].alias("old_start"), g["old_end"].alias("old_end"), g["new_start"].alias("new_start"), g["new_end"].alias("new_end"),
+            part("_old", g["old_start"], g["old_end"]).alias("content_before"), part("_new", g["new_start"], g["new_end"]).alias("content_after"),
+        ),
     )
-    order = Window.partitionBy(*base).orderBy("new_start", "old_start")
-    return shaped.withColumn("change_seq", F.row_number().over(order) - 1)
+    return joined.select("_pair", F.posexplode(shaped).alias("change_seq", "_c")).select("_pair.*", "_c.*", "change_seq")
 
 
 def line_changes(pairs: DataFrame) -> DataFrame:

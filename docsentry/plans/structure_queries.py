@@ -310,3 +310,38 @@ _BINARY_RULES = [
 def binary_signatures(spark, sf):
     docs = D.markdown(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return S.binary_signature_hits(docs, "content", _BINARY_RULES, ["doc_id"])
+
+
+# a rule per benchmark item: two parts and a word of its text, half and whole bytes left open, or one piece that occurs twice
+_OPEN = "concat(substring(h, {0}, 9), '?', substring(h, {0} + 10, 4), '??', substring(h, {0} + 16, 8))"
+
+
+def item_rules(spark, sf):
+    """Rule rows made of the benchmark texts."""
+    part = lambda start: F.expr(_OPEN.format(start))
+    items = D.table(spark, sf, "benchmark").select("item_id", F.hex(F.encode("text", "UTF-8")).alias("h"))
+    capitals = F.transform(F.sequence(F.lit(65), F.lit(90)), lambda c: F.hex(c))
+    string = lambda name, pattern: F.struct(F.lit(name).alias("identifier"), pattern.alias("pattern"))
+    group = lambda ids, least, times: F.struct(F.array(*map(F.lit, ids)).alias("identifiers"), F.lit(least).alias("least"), F.lit(times).alias("times"))
+    return items.select(
+        F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("rule"),
+        F.when(F.col("item_id") % 3 == 0, capitals).otherwise(F.array().cast("array<string>")).alias("headers"),
+        F.array(string("$part_1", part(1)), string("$part_2", part(41)), string("$word", F.substring("h", 81, 12)), string("$again", F.substring("h", 121, 10))).alias("strings"),
+        F.array(F.array(group(["$part_1", "$part_2"], 2, 1), group(["$word"], 1, 1)), F.array(group(["$word", "$again"], 1, 2))).alias("alternatives"),
+    )
+
+
+@query(
+    "binary_rule_table",
+    "SIG-2 JOIN-18",
+    """WITH d AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text <> ''),
+        i AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
+        p AS (SELECT item_id, [substr(h, 1, 9) || '[0-9A-F]' || substr(h, 11, 4) || '[0-9A-F]{2}' || substr(h, 17, 8), substr(h, 41, 9) || '[0-9A-F]' || substr(h, 51, 4) || '[0-9A-F]{2}' || substr(h, 57, 8)] AS parts,
+            substr(h, 81, 12) AS word, substr(h, 121, 10) AS again FROM i),
+        m AS (SELECT doc_id, item_id, regexp_matches(x, '^(?:..)*?' || parts[1]) AND regexp_matches(x, '^(?:..)*?' || parts[2]) AND regexp_matches(x, '^(?:..)*?' || word) AS whole,
+            regexp_matches(x, '^(?:..)*?' || word || '(?:..)*?' || word) OR regexp_matches(x, '^(?:..)*?' || again || '(?:..)*?' || again) AS twice, x FROM d, p)
+        SELECT doc_id, 'item_' || item_id AS rule_name FROM m WHERE (whole OR twice) AND (item_id % 3 <> 0 OR regexp_matches(x, '^(4[1-9A-F]|5[0-9A])'))""",
+)
+def binary_rule_table(spark, sf):
+    docs = D.documents(spark, sf, "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return S.binary_signature_hits(docs, "content", item_rules(spark, sf), ["doc_id"])

@@ -38,21 +38,31 @@ def edited_documents(spark, sf):
 
 
 def _ranges_sql(pairs: str) -> str:
-    """Changed line ranges of (url, version_number, new_doc_id, old_doc_id) rows, worked out by joins on line and occurrence."""
-    split = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
-    return f"""(WITH pr AS (SELECT * FROM {pairs}), tx AS (SELECT doc_id, {D.duck(_EDIT)} AS text FROM documents),
-      li AS (SELECT url, version_number, is_new, unnest(ls) AS line, unnest(range(0, len(ls))) AS no FROM (
-        SELECT url, version_number, true AS is_new, {split} AS ls FROM pr JOIN tx ON doc_id = new_doc_id UNION ALL SELECT url, version_number, false, {split} FROM pr JOIN tx ON doc_id = old_doc_id)),
-      nu AS (SELECT *, row_number() OVER (PARTITION BY url, version_number, is_new, line ORDER BY no) AS occ FROM li),
-      ma AS (SELECT a.*, b.no AS partner FROM nu a LEFT JOIN nu b ON a.url = b.url AND a.version_number = b.version_number AND a.line = b.line AND a.occ = b.occ AND a.is_new <> b.is_new),
-      st AS (SELECT *, max(CASE WHEN partner IS NOT NULL THEN no END) OVER w AS bno, last_value(partner IGNORE NULLS) OVER w AS bpartner FROM ma
-        WINDOW w AS (PARTITION BY url, version_number, is_new ORDER BY no ROWS UNBOUNDED PRECEDING)),
-      ra AS (SELECT url, version_number, is_new, min(no) AS s, max(no) + 1 AS e, string_agg(line, chr(10) ORDER BY no) AS content,
-          CASE WHEN is_new THEN coalesce(bno, -1) ELSE coalesce(bpartner, -1) END AS an, CASE WHEN is_new THEN coalesce(bpartner, -1) ELSE coalesce(bno, -1) END AS ao FROM st WHERE partner IS NULL GROUP BY url, version_number, is_new, bno, bpartner),
-      ch AS (SELECT coalesce(o.url, n.url) AS url, coalesce(o.version_number, n.version_number) AS version_number, coalesce(o.s, n.ao + 1) AS old_start, coalesce(o.e, n.ao + 1) AS old_end, coalesce(n.s, o.an + 1) AS new_start,
-          coalesce(n.e, o.an + 1) AS new_end, o.content AS content_before, n.content AS content_after
-        FROM (SELECT * FROM ra WHERE NOT is_new) o FULL JOIN (SELECT * FROM ra WHERE is_new) n ON o.url = n.url AND o.version_number = n.version_number AND o.an = n.an AND o.ao = n.ao)
-      SELECT *, row_number() OVER (PARTITION BY url, version_number ORDER BY new_start, old_start) - 1 AS change_seq FROM ch)"""
+    """Changed line ranges of (url, version_number, new_doc_id, old_doc_id) rows: shared ends, occurrences, then a longest increasing run level by level."""
+    split = "string_split(regexp_replace({}.text, '\\n$', ''), chr(10))"
+    same = lambda a, b: f"coalesce(nullif(list_position(list_transform(list_zip({a}, {b}), lambda z: coalesce(z[1] = z[2], false)), false), 0) - 1, len({a}))"
+    pair = "url, version_number"
+    on = "a.url = b.url AND a.version_number = b.version_number"
+    return f"""(WITH RECURSIVE pr AS (SELECT * FROM {pairs}), tx AS (SELECT doc_id, {D.duck(_EDIT)} AS text FROM documents),
+      sp AS (SELECT {pair}, {split.format("o")} AS lo, {split.format("n")} AS ln, o.text <> n.text AS differs FROM pr JOIN tx o ON o.doc_id = old_doc_id JOIN tx n ON n.doc_id = new_doc_id),
+      hd AS (SELECT *, {same("lo", "ln")} AS h FROM sp),
+      tl AS (SELECT *, {same("list_reverse(lo[h + 1:])", "list_reverse(ln[h + 1:])")} AS t FROM hd),
+      li AS (SELECT {pair}, true AS is_new, unnest(ln[h + 1:len(ln) - t]) AS line, unnest(range(h, len(ln) - t)) AS no FROM tl
+        UNION ALL SELECT {pair}, false, unnest(lo[h + 1:len(lo) - t]), unnest(range(h, len(lo) - t)) FROM tl),
+      nu AS (SELECT *, row_number() OVER (PARTITION BY {pair}, is_new, line ORDER BY no) AS occ FROM li),
+      ma AS (SELECT a.url, a.version_number, a.no AS i, b.no AS p FROM nu a JOIN nu b ON {on} AND a.line = b.line AND a.occ = b.occ AND a.is_new AND NOT b.is_new),
+      lv AS (SELECT *, 1 AS k FROM ma UNION ALL SELECT {pair}, i, p, k + 1 FROM (
+        SELECT *, min(p) OVER (PARTITION BY {pair} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM lv) WHERE p > low),
+      le AS (SELECT {pair}, i, p, max(k) AS k FROM lv GROUP BY ALL),
+      pd AS (SELECT a.*, b.i AS before FROM le a ASOF LEFT JOIN le b ON {on} AND a.k - 1 = b.k AND a.i > b.i),
+      ke AS (SELECT {pair}, i, p, before FROM (SELECT *, row_number() OVER (PARTITION BY {pair} ORDER BY k DESC, i DESC) AS r FROM pd) WHERE r = 1
+        UNION ALL SELECT b.url, b.version_number, b.i, b.p, b.before FROM ke a JOIN pd b ON {on} AND a.before = b.i),
+      mk AS (SELECT {pair}, i, p FROM ke UNION ALL SELECT {pair}, h - 1, h - 1 FROM tl UNION ALL SELECT {pair}, len(ln) - t, len(lo) - t FROM tl),
+      ga AS (SELECT {pair}, p + 1 AS old_start, lead(p) OVER w AS old_end, i + 1 AS new_start, lead(i) OVER w AS new_end FROM mk WINDOW w AS (PARTITION BY {pair} ORDER BY i)),
+      al AS (SELECT * FROM ga WHERE old_end > old_start OR new_end > new_start UNION ALL SELECT {pair}, 0, len(lo), 0, len(ln) FROM tl WHERE differs AND lo = ln)
+      SELECT {pair}, old_start, old_end, new_start, new_end, CASE WHEN old_end > old_start THEN array_to_string(lo[old_start + 1:old_end], chr(10)) END AS content_before,
+        CASE WHEN new_end > new_start THEN array_to_string(ln[new_start + 1:new_end], chr(10)) END AS content_after, row_number() OVER (PARTITION BY {pair} ORDER BY new_start, old_start) - 1 AS change_seq
+      FROM al JOIN tl USING ({pair}))"""
 
 
 _PAIRS = f"(SELECT v.url, v.version_number, v.ts, v.doc_id AS new_doc_id, p.doc_id AS old_doc_id FROM {_VER} v JOIN {_VER} p ON p.url = v.url AND p.version_number = v.version_number - 1)"

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 
 from collections import Counter
 
@@ -178,6 +179,63 @@ def test_binary_signatures(spark):
     assert sorted((r["id"], r["rule_name"]) for r in SIG.binary_signature_hits(df, "content", rules, ["id"]).collect()) == [(1, "n"), (1, "r"), (2, "n"), (3, "n")]
 
 
+def _binary_expected(contents, rules):
+    """Conditions of rule dictionaries over contents, by regular expressions with overlapping matches."""
+    byte = lambda t: b"." if t == "??" else b"[" + b"".join(b"\\x" + t.replace("?", d).encode() for d in "0123456789ABCDEF") + b"]" if "?" in t else b"\\x" + t.encode()
+    out = set()
+    for rule in rules:
+        shapes = {n: re.compile(b"(?s)(?=" + b"".join(byte(t) for t in p.split()) + b")") for n, p in rule["strings"].items()}
+        headers = [bytes.fromhex(h) for h in rule.get("headers", [])]
+        for key, content in contents:
+            if not content or headers and not any(content.startswith(h) for h in headers):
+                continue
+            counts = {n: len(list(s.finditer(content))) for n, s in shapes.items()}
+            for groups in rule.get("alternatives") or [rule["groups"]]:
+                holds = True
+                for g in groups:
+                    ids = [n for n in counts if any(n == o or o.endswith("*") and n.startswith(o[:-1]) for o in g["of"])]
+                    least = len(ids) if g.get("least", "all") == "all" else g["least"]
+                    holds &= sum(counts[n] >= g.get("times", 1) for n in ids) >= least
+                if holds:
+                    out.add((key, rule["name"]))
+    return out
+
+
+def test_a_thousand_binary_rules(spark):
+    draw = random.Random(8)
+    contents = [(i, bytes(draw.choice(b"\x00\x01MZ\xff\x7f") for _ in range(draw.randint(0, 120)))) for i in range(60)] + [(None, b"MZ\x00\x01" * 3_000), (61, None)]
+
+    def pattern():
+        return " ".join(draw.choice(["00", "01", "4D", "5A", "FF", "7F", "??", "4?", "?F"]) for _ in range(draw.randint(1, 7)))
+
+    rules = []
+    for i in range(1000):
+        strings = {f"$p{j}": pattern() for j in range(draw.randint(1, 3))} | {"$q": pattern()}
+        groups = [{"of": ["$p*"], "least": draw.choice(["all", 1])}, {"of": ["$q"], "times": draw.choice([1, 2])}]
+        rules.append({"name": f"r{i}", "headers": draw.choice([[], ["4D"], ["4D5A", "00 01"]]), "strings": strings, **(draw.choice([{"groups": groups}, {"alternatives": [groups, [{"of": ["$p0"], "times": 3}]]}]))})
+    # the shape of a loader rule: all parts of one routine, and two other routines, behind one of two headers
+    rules.append({"name": "routines", "headers": ["4D5A", "7F454C46"], "strings": {"$unpack_p1": "4D 5A ?? 01 4D", "$unpack_p2": "01 4D 5A 00", "$loop": "00 01 4D ?A", "$send": "5A ?? ?? 4D"},
+                  "groups": [{"of": ["$unpack_p*"]}, {"of": ["$loop"]}, {"of": ["$send"]}]})
+    df = spark.createDataFrame(contents, "id int, content binary")
+    rows = SIG.binary_rule_rows(spark, rules)
+    expected = _binary_expected(contents, rules)
+    assert (None, "routines") in expected and len(expected) > 1000
+    assert {(r["id"], r["rule_name"]) for r in SIG.binary_signature_hits(df, "content", rows, ["id"]).collect()} == expected
+    shuffled = SIG.binary_findings(SIG.binary_matches(df, "content", rows, ["id"], broadcast_anchors=10), rows, ["id"])
+    assert {(r["id"], r["rule_name"]) for r in shuffled.collect()} == expected
+
+
+def test_binary_plan_does_not_grow_with_the_rules(spark):
+    df = spark.createDataFrame([(1, bytearray(b"MZ"))], "id int, content binary")
+    plans = []
+    for n in (2, 300):
+        rows = SIG.binary_rule_rows(spark, [{"name": f"r{i}", "strings": {"$a": f"4D 5A {i % 256:02X} {i // 256:02X} 01"}} for i in range(n)])
+        plans.append(len(SIG.binary_signature_hits(df, "content", rows, ["id"])._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert plans[0] == plans[1]
+    with pytest.raises(ValueError, match="no strings"):
+        SIG.binary_rule_rows(spark, [{"name": "empty", "strings": {}}])
+
+
 # --- scoring -----------------------------------------------------------------------------------
 def test_evidence_confidence(spark):
     item = "array<struct<source:string,strength:double>>"
@@ -207,30 +265,35 @@ def test_versions_keep_first_number_for_returning_content(spark):
 
 
 def _ranges(old, new):
-    """Changed ranges by the definition: k-th occurrences of a line are the same line."""
+    """Changed ranges by the definition: shared ends stay, then the longest run of occurrences in one order, by levels."""
     a, b = old.splitlines(), new.splitlines()
-    seen_old, seen_new = {}, {}
-    for side, seen in ((a, seen_old), (b, seen_new)):
-        for no, line in enumerate(side):
-            seen.setdefault(line, []).append(no)
-    partner = {o: n for line in seen_old for o, n in zip(seen_old[line], seen_new.get(line, []))}
-    back = {n: o for o, n in partner.items()}
-    found = {}
-    for side, kept, name in ((a, partner, "old"), (b, back, "new")):
-        at = (0, 0)
-        for no in range(len(side)):
-            if no in kept:
-                at = (no + 1, kept[no] + 1) if name == "old" else (kept[no] + 1, no + 1)
-            else:
-                found.setdefault(at, {"old": [], "new": []})[name].append(no)
-    out = [(o, o + len(r["old"]), n, n + len(r["new"])) for (o, n), r in found.items()]
-    return sorted(out, key=lambda r: (r[2], r[0]))
+    if a == b:
+        return [(0, len(a), 0, len(b))] if old != new else []
+    head = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    seen = {}
+    for no in range(head, len(a) - tail):
+        seen.setdefault(a[no], []).append(no)
+    met = [(no, seen[b[no]].pop(0)) for no in range(head, len(b) - tail) if seen.get(b[no])]
+    level = []
+    for i, (_, p) in enumerate(met):
+        level.append(1 + max([level[j] for j in range(i) if met[j][1] < p], default=0))
+    kept, wanted, before = [], max(level, default=0), len(met)
+    while wanted:
+        before = max(i for i in range(before) if level[i] == wanted)
+        kept.append(met[before])
+        wanted -= 1
+    marks = [(head - 1, head - 1), *reversed(kept), (len(b) - tail, len(a) - tail)]
+    gaps = [(o + 1, o2, n + 1, n2) for (n, o), (n2, o2) in zip(marks, marks[1:])]
+    return [g for g in gaps if g[1] > g[0] or g[3] > g[2]]
 
 
 def test_line_changes_by_definition(spark):
     draw = random.Random(3)
     texts = ["\n".join(draw.choice("abcd") for _ in range(draw.randint(0, 9))) for _ in range(40)]
-    pairs = [("a\nb\nc", "a\nB\nc\nd"), ("x\n" + "y" * 600, "x"), ("", "eval(1)"), ("k = a b c d e f g h i 1", "k = a b c d e f g h i 2"), ("same", "same"), *zip(texts, texts[1:])]
+    pairs = [("a\nb\nc", "a\nB\nc\nd"), ("x\n" + "y" * 600, "x"), ("", "eval(1)"), ("k = a b c d e f g h i 1", "k = a b c d e f g h i 2"), ("same", "same"), ("a\nb\nc", "c\nb\na"), ("a\nb", "b\na"), ("p\nq\nr\ns", "p\ns\nq\nr"), ("a\nb\n", "a\r\nb"), ("", "\n"), ("x\n\nx\n\ny", "y\n\nx\n\nx"), *zip(texts, texts[1:])]
     df = one(spark, "url string, version_number int, old_text string, new_text string", *[(f"u{i}", 2, o, n) for i, (o, n) in enumerate(pairs)])
     got = {}
     for r in V.line_changes(df).collect():
@@ -244,6 +307,10 @@ def test_line_changes_by_definition(spark):
         for r, (i1, i2, j1, j2) in zip(rows, expected):
             assert r["content_before"] == ("\n".join(a[i1:i2]) if i1 < i2 else None) and r["content_after"] == ("\n".join(b[j1:j2]) if j1 < j2 else None)
             assert r["change_type"] == ("addition" if i1 == i2 else "deletion" if j1 == j2 else "modification")
+    kinds = lambda u: [(r["change_type"], r["content_before"], r["content_after"]) for r in sorted(got[u], key=lambda r: r["change_seq"])]
+    assert kinds("u6") == [("addition", None, "b"), ("deletion", "b", None)] or kinds("u6") == [("deletion", "a", None), ("addition", None, "a")]
+    assert kinds("u7") == [("addition", None, "s"), ("deletion", "s", None)] and kinds("u8") == [("modification", "a\nb", "a\nb")]
+    assert all(f"u{i}" in got for i, (o, n) in enumerate(pairs) if o != n)
     assert got["u1"][0]["suspicion_score"] == pytest.approx(0.4) and got["u2"][0]["suspicion_score"] == pytest.approx(0.3)
     assert got["u3"][0]["suspicion_score"] == pytest.approx(0.2) and got["u3"][0]["change_size"] == 0
 
