@@ -207,3 +207,13 @@ def duration_stats(results: DataFrame) -> DataFrame:
     """Average and longest analysis in days (end minus start)."""
     days = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 86.4e9
     return results.agg(F.coalesce(F.avg(days), F.lit(0.0)).alias("avg_analysis_duration"), F.coalesce(F.max(days), F.lit(0.0)).alias("max_analysis_duration"))
+
+
+def processed_content(processed: DataFrame, urls: DataFrame, limit: int = 1000) -> DataFrame:
+    """The first ``limit`` processed contents by id with their URL; the limit is taken before the join, so as many rows are joined.
+
+    Contents without a known URL do not count.
+    """
+    known = urls.select(F.col("id").alias("url_id"), "url")
+    first = processed.join(known.select("url_id"), "url_id", "left_semi").orderBy("processed_id").limit(limit)
+    return first.join(known, "url_id")

@@ -300,3 +300,24 @@ def temporal_results(latest: DataFrame, suspicious: DataFrame, gradual: DataFram
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_suspicious", "n_gradual")})
     applies = F.col("version_number") > 1
     return out.withColumn("changes_detected", applies & ((F.col("n_suspicious") > 0) | (F.col("n_gradual") > 0)))
+
+
+def temporal_rollup(results: DataFrame, suspicious: DataFrame, gradual: DataFrame, urls_per_group: int = 256) -> DataFrame:
+    """What a report says of all URLs together: (kind, group_no, items) rows under one any-change flag, ``has_changes``.
+
+    A report's flattened lists of suspicious changes and gradual modifications
+    come in groups of URLs by a hash, so that no row holds the whole corpus; the
+    flag and the totals come from one aggregate.
+    """
+    flags = results.agg(F.coalesce(F.bool_or("changes_detected"), F.lit(False)).alias("has_changes"), F.count("*").alias("_urls"))
+    sizes = flags.withColumn("_groups", F.greatest(F.ceil(F.col("_urls") / urls_per_group), F.lit(1)))
+    group = lambda url: F.pmod(F.xxhash64(url), F.col("_groups"))
+    change = F.struct("url", "version_number", "change_seq", "change_type", "suspicion_score")
+    step = F.struct("url", "location", "start_version", "end_version", "change_count")
+    shaped = lambda rows, kind, item: rows.select(F.lit(kind).alias("kind"), "url", F.to_json(item).alias("item"))
+    known = results.select("url")
+    items = shaped(suspicious.join(known, "url", "left_semi"), "suspicious_changes", change).unionByName(shaped(gradual.join(known, "url", "left_semi"), "gradual_modifications", step))
+    # one row of sizes: its broadcast is bounded
+    grouped = items.join(F.broadcast(sizes)).groupBy("kind", group(F.col("url")).alias("group_no"), "has_changes").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    nothing = sizes.select(F.lit("summary").alias("kind"), F.lit(0).cast("long").alias("group_no"), "has_changes", F.array().cast("array<string>").alias("items"))
+    return nothing.unionByName(grouped)

@@ -371,3 +371,30 @@ def usage_counts(spark, sf):
 def analysis_durations(spark, sf):
     out = FD.duration_stats(results(spark, sf))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("domain_quality", "JOIN-4", f"SELECT DISTINCT domain, quality FROM {_URLS} WHERE quality = 'High'")
+def domain_quality(spark, sf):
+    known = urls(spark, sf)
+    domains = known.select("domain").distinct()
+    return domains.join(known.where("quality = 'High'").select("domain", "quality"), "domain").distinct()
+
+
+@query("urls_of_topic", "JOIN-4", f"SELECT url, label AS topic, score FROM {_URLS} JOIN {_TOPICS} ON id = url_id WHERE label = (SELECT min(lang) FROM documents)")
+def urls_of_topic(spark, sf):
+    ranked = topics(spark, sf)
+    first = D.table(spark, sf, "documents").agg(F.min("lang").alias("label"))
+    joined = urls(spark, sf).join(ranked.join(F.broadcast(first), "label"), F.col("id") == F.col("url_id"))
+    return joined.select("url", F.col("label").alias("topic"), "score").orderBy(F.desc("score"), "url")
+
+
+@query(
+    "processed_content_items",
+    "JOIN-9",
+    f"""SELECT doc_id AS processed_id, url, sha256(text) AS raw_content_hash, length(text) AS n_chars FROM documents JOIN {_URLS} ON id = doc_id WHERE doc_id % 7 <> 3 ORDER BY doc_id LIMIT 1000""",
+)
+def processed_content_items(spark, sf):
+    docs = D.table(spark, sf, "documents")
+    processed = docs.select(F.col("doc_id").alias("processed_id"), F.col("doc_id").alias("url_id"), F.sha2("text", 256).alias("raw_content_hash"), F.length("text").alias("n_chars"))
+    known = urls(spark, sf).where("id % 7 <> 3")  # a content of an unknown URL is left out
+    return FD.processed_content(processed, known).select("processed_id", "url", "raw_content_hash", "n_chars")

@@ -314,3 +314,24 @@ def temporal_results(spark, sf):
     since = F.lit(ver.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 30 DAYS")
     out = V.temporal_results(latest, V.suspicious_changes(changes, since), V.gradual_modifications(changes, ver), overall)
     return out.select("url", "version_number", "changes_detected", "n_suspicious", "n_gradual", "direction", "strength")
+
+
+@query(
+    "temporal_rollup",
+    "AGG-7",
+    f"""WITH s AS (SELECT c.url, c.version_number, change_seq, suspicion_score FROM {_CHANGES} c WHERE suspicion_score >= 0.3),
+        k AS (SELECT url, old_start, old_end, count(*) AS n, sum(change_size) AS total, count_if(change_size > 100) AS large, arg_min(change_size, (version_number, change_seq)) AS first_size FROM {_CHANGES}
+          WHERE section_type = 'code_block' GROUP BY url, old_start, old_end),
+        g AS (SELECT url FROM k WHERE n >= 2 AND large - (CASE WHEN first_size > 100 THEN 1 ELSE 0 END) = 0 AND total - first_size > 0 AND url IN (SELECT url FROM {_VER} GROUP BY url HAVING max(version_number) >= 3))
+        SELECT 'summary' AS kind, (SELECT count(*) FROM s) + (SELECT count(*) FROM g) > 0 AS has_changes, 0 AS n_items, 0 AS n_urls
+        UNION ALL SELECT 'suspicious_changes', true, count(*), count(DISTINCT url) FROM s HAVING count(*) > 0 UNION ALL SELECT 'gradual_modifications', true, count(*), count(DISTINCT url) FROM g HAVING count(*) > 0""",
+)
+def temporal_rollup(spark, sf):
+    ver = materialize(version_rows(spark, sf), "versions")
+    changes = materialize(V.line_changes(V.with_texts(V.consecutive_pairs(ver), edited_documents(spark, sf))), "changes")
+    suspicious, gradual = V.suspicious_changes(changes), V.gradual_modifications(changes, ver)
+    trend = ver.select("url").distinct().select("url", F.lit("stable").alias("direction"))
+    rolled = V.temporal_rollup(V.temporal_results(V.latest_versions(ver), suspicious, gradual, trend), suspicious, gradual, urls_per_group=8)
+    item = F.explode_outer("items")
+    flat = rolled.select("kind", "has_changes", item.alias("item"))
+    return flat.groupBy("kind", "has_changes").agg(F.count("item").alias("n_items"), F.count_distinct(F.get_json_object("item", "$.url")).alias("n_urls"))
