@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +45,11 @@ def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
     Only the numbers of rows per count go to the driver, not a candidate list
     from every partition. Rows that tie at the cut are all left out.
     """
-    held, cut = 0, 0
-    for row in counts.groupBy(n).agg(F.count("*").alias("_rows")).orderBy(F.desc(n)).collect():
-        held += row["_rows"]
-        if held > limit:
-            cut = row[n]
-            break
-    return counts.filter(F.col(n) > cut)
+    cuts = counts.groupBy(n).agg(F.count("*").alias("_rows")).toArrow()
+    values, rows = (cuts.column(c).to_numpy() for c in (n, "_rows"))
+    order = np.argsort(-values)
+    over = np.flatnonzero(np.cumsum(rows[order]) > limit)
+    return counts.filter(F.col(n) > int(values[order][over[0]] if len(over) else 0))
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +118,12 @@ def _two_kinds(doc_ids: pa.Array, n: list[int], ids: list[int | None], values: n
     )
 
 
-def prefixes(docs: DataFrame, common: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def prefixes(docs: DataFrame, shared: Broadcast, percent: int = PERCENT) -> DataFrame:
     """Rows (shingle, set_id, n, rare): the prefix of each distinct set under the first order; rare: per mille of shingles that are not common.
 
-    ``common`` is sorted by frequency, rarest first. A task sends a set once,
-    as far as it remembers the sets it has sent.
+    ``shared`` holds common shingles by value and their ranks by frequency,
+    rarest first. A task sends a set once, as far as it remembers the sets it has sent.
     """
-    spark = docs.sparkSession
-    by_value = np.argsort(common)
-    shared = spark.sparkContext.broadcast((common[by_value], by_value.astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = shared.value
@@ -164,8 +162,8 @@ def prefixes(docs: DataFrame, common: np.ndarray, percent: int = PERCENT) -> Dat
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, set_id long, n long, rare long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (set_id, shingles binary) of the documents in ``wanted`` (doc_id), one document for each set.
+def full_sets(docs: DataFrame, wanted: DataFrame, name: str = "jaccard-sets") -> DataFrame:
+    """Rows (set_id, shingles binary), written, of the documents in ``wanted`` (doc_id), one document for each set.
 
     Sets are worked out from the texts again. A bit table of fixed size says
     which documents send theirs, so nothing is shuffled; the few others that
@@ -175,8 +173,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
     words = wanted.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
     table = np.zeros(_BITS // 64, np.int64)
-    for row in words.collect():  # a row per word of the table at most
-        table[row["word"]] = row["bits"]
+    found = words.toArrow()  # a row per word of the table at most
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(table.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +189,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set_id", "shingles"]
             )
 
-    return docs.select(slot.alias("slot"), F.col("text").cast("string")).mapInArrow(run, "set_id long, shingles binary")
+    sets = materialize(docs.select(slot.alias("slot"), F.col("text").cast("string")).mapInArrow(run, "set_id long, shingles binary"), name)
+    shared.destroy()
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -244,12 +244,15 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = materialize(document_sets(docs), "jaccard-documents")
     documents = rows.filter("is_doc").select("doc_id", "n", "set_id")
     counted = materialize(rows.filter("not is_doc").groupBy("shingle").agg(F.sum("seen").alias("seen")), "jaccard-common")
-    top = sorted(most_frequent(counted, "seen", COMMON_SHINGLES).collect(), key=lambda r: (r["seen"], r["shingle"]))
-    common = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
+    top = most_frequent(counted, "seen", COMMON_SHINGLES).toArrow()  # 16 bytes a shingle
+    shingles, seen = (top.column(c).to_numpy() for c in ("shingle", "seen"))
+    common = shingles[np.lexsort((shingles, seen))].view(np.uint64)
 
+    by_value = np.argsort(common)
+    ranks = docs.sparkSession.sparkContext.broadcast((common[by_value], by_value.astype(np.int64)))
     # buckets: prefix shingles that at least two different sets share, each with its centre
     bucket = Window.partitionBy("shingle")
-    dealt = prefixes(docs, common, percent).select(
+    dealt = prefixes(docs, ranks, percent).select(
         "shingle",
         "set_id",
         "n",
@@ -264,6 +267,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = F.coalesce(F.lag("set_id").over(by_size) == F.col("set_id"), F.lit(False))  # several tasks may have sent a set
     index = index.select("*", near.alias("near"), again.alias("again")).filter("near AND NOT again").drop("near", "again")
     index = materialize(index, "jaccard-index")
+    ranks.destroy()
 
     first_doc = materialize(documents.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc")), "jaccard-first-documents")
 
@@ -274,7 +278,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             return kept
         ends = kept.select(F.col("a").alias("set_id")).union(kept.select(F.col("b").alias("set_id")))
         wanted = first_doc.join(ends, "set_id", "left_semi").select(F.col("doc").alias("doc_id"))
-        sets = materialize(full_sets(docs, wanted), f"jaccard-{name}-sets")
+        sets = full_sets(docs, wanted, f"jaccard-{name}-sets")
         return materialize(verified(kept, sets, percent), f"jaccard-{name}-links")
 
     def alike(x: str, y: str) -> Column:

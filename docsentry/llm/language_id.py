@@ -14,8 +14,8 @@ prediction is one pass over the texts without a shuffle.
 
 from __future__ import annotations
 
-import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -41,43 +41,48 @@ def words(text: str) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of words and n-grams."""
+    """Log frequencies per language of words and n-grams: a dictionary of places and a matrix for each, as both can be large."""
 
     def __init__(self, counts: Iterable[tuple[str, str, int]]) -> None:
-        by_word: dict[str, dict[str, int]] = defaultdict(dict)
+        places: dict[str, int] = {}
+        cells: list[tuple[int, str, int]] = []
         totals: Counter[str] = Counter()
         for language, word, n in counts:
-            by_word[word][language] = n
+            cells.append((places.setdefault(word, len(places)), language, n))
             totals[language] += n
         self.languages = sorted(totals)
         number = {language: i for i, language in enumerate(self.languages)}
-        gram_counts: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(number))) for _ in range(NGRAM + 1)]
-        for word, found in by_word.items():
-            row = np.zeros(len(number))
-            for language, n in found.items():
-                row[number[language]] = n
+        found = np.zeros((len(places), len(number)))
+        for at, language, n in cells:
+            found[at, number[language]] = n
+        del cells
+        sizes = np.array([totals[x] for x in self.languages], dtype=float)
+        self.words = places
+        self.word_rows = np.log((found + 0.1) / (sizes + 0.1 * len(places)))
+
+        grams: dict[str, int] = {}
+        of_gram, of_word = array("i"), array("i")
+        for word, at in places.items():
             marked = f"<{word}>"
             for size in range(1, NGRAM + 1):
-                grams = gram_counts[size]
                 for i in range(len(marked) - size + 1):
-                    grams[marked[i : i + size]] += row
-        all_words = np.array([totals[x] for x in self.languages], dtype=float)
-        self.words = {
-            w: tuple(math.log((found.get(x, 0) + 0.1) / (totals[x] + 0.1 * len(by_word))) for x in self.languages) for w, found in by_word.items()
-        }
-        self.grams: dict[str, tuple[float, ...]] = {}
-        for size in range(1, NGRAM + 1):
-            grams = {g: c for g, c in gram_counts[size].items() if size == 1 or c.sum() >= MIN_GRAM_COUNT}
-            whole = sum(grams.values(), np.zeros(len(number))) + 0.1 * len(grams)
-            for gram, count in grams.items():
-                self.grams[gram] = tuple(np.log((count + 0.1) / whole))
-        self.known = bool(self.languages) and bool(all_words.sum())
+                    of_gram.append(grams.setdefault(marked[i : i + size], len(grams)))
+                    of_word.append(at)
+        gram_counts = np.zeros((len(grams), len(number)))
+        for column in range(len(number)):
+            gram_counts[:, column] = np.bincount(np.frombuffer(of_gram, np.int32), found[np.frombuffer(of_word, np.int32), column], len(grams)) if len(grams) else 0
+        lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+        known = (lengths == 1) | (gram_counts.sum(axis=1) >= MIN_GRAM_COUNT)
+        whole = np.array([gram_counts[known & (lengths == size)].sum(axis=0) + 0.1 * (known & (lengths == size)).sum() for size in range(NGRAM + 1)])
+        self.grams = {gram: i for i, gram in enumerate(g for g, kept in zip(grams, known.tolist(), strict=True) if kept)}
+        self.gram_rows = np.log((gram_counts[known] + 0.1) / whole[lengths[known]]) if len(grams) else np.zeros((0, len(number)))
+        self.known = bool(self.languages) and bool(sizes.sum())
 
     def word_scores(self, word: str) -> tuple[float, ...]:
         """Log frequency per language of one lower-case word, by back-off where it is unseen."""
         found = self.words.get(word)
         if found is not None:
-            return found
+            return tuple(self.word_rows[found].tolist())
         marked = f"<{word}>"
         total = [0.0] * len(self.languages)
         at = parts = 0
@@ -85,7 +90,7 @@ class Model:
             for size in range(min(NGRAM, len(marked) - at), 0, -1):
                 gram = self.grams.get(marked[at : at + size])
                 if gram is not None:
-                    total = [a + b for a, b in zip(total, gram, strict=True)]
+                    total = [a + b for a, b in zip(total, self.gram_rows[gram].tolist(), strict=True)]
                     parts += 1
                     at += size
                     break
@@ -161,15 +166,18 @@ def train(docs: DataFrame, labelled: Column, sample_docs: int = SAMPLE_DOCS, voc
     for language, n in totals.items():
         share_of = F.when(F.col("lang") == language, F.col("n") / F.lit(float(n))).otherwise(share_of)
     top = counted.select("lang", "word", "n", share_of.alias("share")).orderBy(F.desc("share"), "lang", "word").limit(vocabulary)
-    return Model((r["lang"], r["word"], r["n"]) for r in top.collect())
+    found = top.toArrow()
+    return Model(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True))
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score"), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Per row: the columns in ``keep``, language and score; ``und`` and 0 where the text is null or has no letter.
 
     Only the text is looked at. Without any labelled text there is no language
-    to name, and every text is ``und``.
+    to name, and every text is ``und``. Repeated rows are judged each on its
+    own; a kept column with the name of a result gives way to it.
     """
+    keep = [c for c in keep if c not in names]
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)

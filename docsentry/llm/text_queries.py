@@ -32,7 +32,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language, learnt from the documents that are not held out."""
     docs = read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = language_id.train(docs, ~held_out)
     found = language_id.predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -78,6 +78,9 @@ COLUMNS = {
     "op8_ngram_jaccard": "doc_id n_shingles component_id",
     "op9_language_id": "doc_id held_out lang_pred score",
     "op10_lm_scoring": "doc_id n_tokens log_prob mean_log_prob",
+    "op11_mixing_sources": "doc_id size source_size target taken position",
+    "op12_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13_ranked_search": "item_id rank doc_id score",
 }
 
 
@@ -87,5 +90,5 @@ def test_query_columns(spark, sf, name):
     assert out.columns == COLUMNS[name].split() and not out.isEmpty()
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     assert set(catalogue.QUERIES) == set(COLUMNS)

@@ -1,5 +1,6 @@
 """Operators on texts against brute force."""
 
+import re
 import hashlib
 import math
 import random
@@ -8,6 +9,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +265,53 @@ def test_known_words_come_before_grams():
     assert model.word_scores("giftigen")[de] > model.word_scores("giftigen")[en]
 
 
+def test_languages_equal_a_plain_recount(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    taught = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None]
+    counts = Counter((r["lang"], w) for r in taught for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()))
+    totals = Counter()
+    for (language, _), n in counts.items():
+        totals[language] += n
+    languages, vocabulary = sorted(totals), {w for _, w in counts}
+    grams = {}
+    for w in vocabulary:
+        marked = f"<{w}>"
+        for size in range(1, 6):
+            for i in range(len(marked) - size + 1):
+                row = grams.setdefault(marked[i : i + size], [0] * len(languages))
+                for k, language in enumerate(languages):
+                    row[k] += counts[language, w]
+    grams = {g: row for g, row in grams.items() if len(g) == 1 or sum(row) >= 3}
+    whole = {size: [sum(row[k] for g, row in grams.items() if len(g) == size) + 0.1 * sum(len(g) == size for g in grams) for k in range(len(languages))] for size in range(1, 6)}
+
+    def word(w):
+        if w in vocabulary:
+            return [math.log((counts[x, w] + 0.1) / (totals[x] + 0.1 * len(vocabulary))) for x in languages]
+        marked, at, parts, sums = f"<{w}>", 0, 0, [0.0] * len(languages)
+        while at < len(marked):
+            size = next((n for n in range(min(5, len(marked) - at), 0, -1) if marked[at : at + n] in grams), 0)
+            if size:
+                row = grams[marked[at : at + size]]
+                sums, parts = [a + math.log((c + 0.1) / whole[size][k]) for k, (a, c) in enumerate(zip(sums, row))], parts + 1
+            at += size or 1
+        return [x / max(1, parts) for x in sums]
+
+    model = language_id.train(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    extra = [(10_000 + i, t, None) for i, t in enumerate(["zzyzx unheardof wordlings", "qqqq Ωmega", "x" * 30_000, "1 2 3", None])]
+    tested = docs.unionByName(spark.createDataFrame(extra, docs.schema)).union(docs.limit(3))
+    got = language_id.predict(tested, model, keep=("doc_id", "text", "score")).collect()
+    assert len(got) == len(rows) + 8 and list(got[0].asDict()) == ["doc_id", "text", "lang_pred", "score"]
+    for r in got:
+        found = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        if not found:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        sums = [sum(x) for x in zip(*map(word, found))]
+        best = max(range(len(languages)), key=lambda k: sums[k])
+        assert r["lang_pred"] == languages[best] and r["score"] == pytest.approx(1 / sum(math.exp(x - sums[best]) for x in sums), rel=1e-6)
+
+
 # --- pseudo-likelihood -------------------------------------------------------------------------
 def test_training_beats_class_frequencies(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
