@@ -209,30 +209,39 @@ def stream_alerts(spark, sf):
        SELECT alert_id, strftime(sent, '{_AT}') AS created_at FROM s""",
 )
 def stream_throttled_alerts(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
-    alerts = A.triggered(A.evaluate(_metric_stream(spark, sf), A.metric_rules(spark, _RULES)))
-    return _stamps(ST.run_available(ST.throttled(alerts), "throttled"), "created_at")
+    with ST.rocksdb(spark):
+        alerts = A.triggered(A.evaluate(_metric_stream(spark, sf), A.metric_rules(spark, _RULES)))
+        return _stamps(ST.run_available(ST.throttled(alerts), "throttled"), "created_at")
 
 
-@query("stream_alert_lifecycle", "STR-4 UDF-6", f"SELECT alert_id, count(*) AS n_runs, count(resolved_at) AS n_resolved FROM {_LIFE} GROUP BY alert_id")
+@query(
+    "stream_alert_lifecycle",
+    "STR-4 UDF-6",
+    f"""WITH e AS (SELECT alert_id, time_bucket(interval 10 minute, timestamp) AS w, max(timestamp) AS timestamp, arg_max(breached, (timestamp, breached)) AS breached FROM {_EVAL}
+          WHERE time_bucket(interval 10 minute, timestamp) + interval 10 minute <= (SELECT max(ts) FROM events) - interval 10 minute GROUP BY alert_id, w),
+       n AS (SELECT *, sum(CASE WHEN breached THEN 0 ELSE 1 END) OVER (PARTITION BY alert_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS r, lag(breached) OVER (PARTITION BY alert_id ORDER BY timestamp) AS before FROM e),
+       t AS (SELECT alert_id, timestamp, breached, before, r - CASE WHEN breached THEN 0 ELSE 1 END AS g FROM n),
+       f AS (SELECT *, count_if(breached) OVER q AS n_breaches, min(CASE WHEN breached THEN timestamp END) OVER q AS created_at FROM t WINDOW q AS (PARTITION BY alert_id, g ORDER BY timestamp ROWS UNBOUNDED PRECEDING))
+       SELECT alert_id, CASE WHEN NOT breached THEN 'resolved' WHEN before THEN 'updated' ELSE 'opened' END AS action, strftime(created_at, '{_AT}') AS created_at, strftime(timestamp, '{_AT}') AS updated_at, n_breaches
+       FROM f WHERE breached OR before""",
+)
 def stream_alert_lifecycle(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
-    evaluations = A.evaluate(_metric_stream(spark, sf), A.metric_rules(spark, _RULES)).select("alert_id", "timestamp", "breached", "message")
-    events = ST.run_available(ST.alert_lifecycle(evaluations), "alert-lifecycle")
-    return events.groupBy("alert_id").agg(F.count_if(F.col("action") == "opened").alias("n_runs"), F.count_if(F.col("action") == "resolved").alias("n_resolved")).where("n_runs > 0")
+    with ST.rocksdb(spark):
+        evaluations = A.evaluate(_metric_stream(spark, sf), A.metric_rules(spark, _RULES))
+        events = ST.run_available(ST.alert_lifecycle(ST.latest_evaluations(evaluations, "10 minutes")), "alert-lifecycle")
+    return _stamps(events.drop("message"), "created_at", "updated_at")
 
 
 @query(
     "stream_versions",
     "STR-7 WIN-1",
-    "SELECT source AS url, count(*) AS observations, count(DISTINCT sha256(text)) AS versions FROM documents GROUP BY source",
+    """SELECT url, content_hash, doc_id, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS version_number FROM (SELECT source AS url, sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY ALL)""",
 )
 def stream_versions(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
-    docs = ST.file_stream(spark, sf, "documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    seen = docs.select(F.col("source").alias("url"), "doc_id", F.timestamp_seconds(F.col("doc_id") * 86400).alias("ts"), V.content_hash(F.col("text")).alias("content_hash"))
-    tracked = ST.run_available(ST.track_versions(seen), "versions")
-    return tracked.groupBy("url").agg(F.count("*").alias("observations"), F.count_if("is_new_version").alias("versions"))
+    with ST.rocksdb(spark):
+        docs = ST.file_stream(spark, sf, "documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        seen = docs.select(F.col("source").alias("url"), "doc_id", F.timestamp_seconds(F.col("doc_id") * 86400).alias("ts"), V.content_hash(F.col("text")).alias("content_hash"))
+        return ST.run_available(ST.track_versions(seen), "versions").select("url", "content_hash", "doc_id", "version_number")
 
 
 # --- registries and plug-ins -------------------------------------------------------------------

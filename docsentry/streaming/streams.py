@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str, max_files: int = 100) -> DataFrame:
     """Parquet files as a stream; new files in the folder become new micro-batches."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).parquet(folder)
@@ -53,59 +66,87 @@ def sessions(turns: DataFrame, key: str = "user_id", gap: str = "30 minutes", la
 
 
 class ThrottleState(StatefulProcessor):
-    """Remembers when each alert was last sent; a row goes out when the interval has passed since then."""
+    """Remembers when each alert was last sent, until an alert may go out again whatever the memory says.
+
+    An event-time timer at the end of the interval removes the memory: from
+    then on a missing one and an old one mean the same.
+    """
 
     def __init__(self, seconds: float) -> None:
-        self.seconds = seconds
+        self.millis = int(seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "sent_at timestamp")
+        self.handle = handle
+        self.last = handle.getValueState("last", "sent_at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        if last is not None:
-            last = last.tz_localize(None)
-        sent = []
-        times = np.sort(np.concatenate([r["created_at"].to_numpy(dtype="datetime64[us]") for r in rows]))
+        interval = self.millis * 1000
+        before = self.last.get()[0] if self.last.exists() else None
+        last, sent = before, []
+        times = np.sort(np.concatenate([r["created_at"].to_numpy(dtype="datetime64[us]").astype(np.int64) for r in rows]))
         while len(times):
-            after = 0 if last is None else np.searchsorted(times, last.to_datetime64().astype("datetime64[us]") + np.timedelta64(int(self.seconds * 1e6), "us"))
+            after = 0 if last is None else int(np.searchsorted(times, last + interval))
             if after == len(times):
                 break
-            last = pd.Timestamp(times[after])
-            sent.append((key[0], last))
+            last = int(times[after])
+            sent.append((key[0], pd.Timestamp(last, unit="us")))
             times = times[after + 1 :]
         if sent:
-            self.last.update((last.to_pydatetime(),))
+            if before is not None:
+                self.handle.deleteTimer(_ends(before, self.millis))
+            self.last.update((last,))
+            self.handle.registerTimer(_ends(last, self.millis))
             yield pd.DataFrame(sent, columns=["alert_id", "created_at"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and _ends(self.last.get()[0], self.millis) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame({"alert_id": pd.Series(dtype=object), "created_at": pd.Series(dtype="datetime64[us]")})
+
     def close(self) -> None:
         pass
 
 
-def throttled(alerts: DataFrame, seconds: float = 3600) -> DataFrame:
+def _ends(micros: int, millis: int) -> int:
+    return -(-micros // 1000) + millis
+
+
+def throttled(alerts: DataFrame, seconds: float = 3600, lateness: str = "10 minutes") -> DataFrame:
     """(alert_id, created_at) of the notifications to send: the first of an alert, then each first one an interval or more after the last sent.
 
-    Rows of a micro-batch are taken in time order, and the time of the last
-    notification is the only state (needs the RocksDB state store). Only times
-    are sorted, so a key's rows in one batch are eight bytes each.
+    Equal times of an alert collapse before they are shuffled to its key; of a
+    micro-batch, a key then has eight bytes per time. The only state is one time
+    per alert that was sent within the last interval, by the watermark (needs
+    the RocksDB state store). Alerts later than ``lateness`` are left out.
     """
-    return alerts.select("alert_id", "created_at").groupBy("alert_id").transformWithStateInPandas(
-        ThrottleState(seconds), "alert_id string, created_at timestamp", "Append", "None"
+    return (
+        alerts.withWatermark("created_at", lateness).select("alert_id", "created_at").groupBy("alert_id")
+        .transformWithStateInPandas(ThrottleState(seconds), "alert_id string, created_at timestamp", "Append", "EventTime")
     )
 
 
-class AlertState(StatefulProcessor):
-    """Keeps one small record per alert id and emits its openings, updates and resolutions.
+def latest_evaluations(evaluations: DataFrame, interval: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
+    """One evaluation per alert and interval: the last one in it, as a monitor that looks once an interval would see.
 
-    Rows of one alert in one micro-batch are put in time order together; the
-    trigger's file limit bounds how many that can be.
+    The aggregate combines map side, so what reaches an alert's key is bounded
+    by time and not by the number of metrics. Of evaluations at one time, a
+    breach counts.
     """
+    last = F.max_by(F.struct("timestamp", "breached", "message"), F.struct("timestamp", "breached", "message")).alias("_last")
+    grouped = evaluations.withWatermark("timestamp", lateness).groupBy(F.window("timestamp", interval).alias("w"), "alert_id").agg(last)
+    # the window's time, and not the row's, is the event time from here on: it is what the watermark has passed
+    return grouped.select("alert_id", F.window_time("w").alias("seen"), F.col("_last.timestamp").alias("timestamp"), F.col("_last.breached").alias("breached"), F.col("_last.message").alias("message"))
+
+
+class AlertState(StatefulProcessor):
+    """Keeps one small record per open alert and emits its openings, updates and resolutions; a resolved alert leaves no state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alert", "open boolean, created_at timestamp, n bigint")
+        self.state = handle.getValueState("alert", "created_at timestamp, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        is_open, created, n = self.state.get() if self.state.exists() else (False, None, 0)
+        created, n = self.state.get() if self.state.exists() else (None, 0)
+        was_open, is_open = created is not None, created is not None
         out = []
         for r in pd.concat(list(rows)).sort_values(["timestamp", "breached"]).itertuples(index=False):
             if r.breached:
@@ -116,7 +157,10 @@ class AlertState(StatefulProcessor):
             else:
                 continue
             out.append((key[0], action, created, r.timestamp, n, r.message))
-        self.state.update((is_open, created, n))
+        if is_open:
+            self.state.update((pd.Timestamp(created).to_pydatetime(), n))
+        elif was_open:
+            self.state.clear()
         if out:
             yield pd.DataFrame(out, columns=["alert_id", "action", "created_at", "updated_at", "n_breaches", "message"])
 
@@ -124,42 +168,77 @@ class AlertState(StatefulProcessor):
         pass
 
 
-class VersionState(StatefulProcessor):
-    """Numbers the versions of a URL as content arrives; known hashes keep their first number."""
+class FirstSeenState(StatefulProcessor):
+    """Lets the first observation of a (url, content hash) through, and remembers that it did."""
+
+    def __init__(self, keep_seconds: float | None) -> None:
+        self.keep = None if keep_seconds is None else int(keep_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "doc_id bigint", self.keep)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        if not self.seen.exists():
+            best = None
+            for part in rows:
+                first = part.sort_values(["ts", "doc_id"]).iloc[0]
+                mine = (first["ts"], first["doc_id"])
+                best = mine if best is None or mine < best else best
+            self.seen.update((int(best[1]),))
+            yield pd.DataFrame([(key[0], key[1], *best)], columns=["url", "content_hash", "ts", "doc_id"])
+
+    def close(self) -> None:
+        pass
+
+
+class NumberState(StatefulProcessor):
+    """Numbers what is new at a URL, in time order within a micro-batch; the state is one number."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.numbers = handle.getMapState("numbers", "content_hash string", "version int")
         self.latest = handle.getValueState("latest", "version int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         latest = self.latest.get()[0] if self.latest.exists() else 0
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "doc_id"]).itertuples(index=False):
-            known = self.numbers.containsKey((r.content_hash,))
-            if known:
-                number = self.numbers.getValue((r.content_hash,))[0]
-            else:
-                latest += 1
-                number = latest
-                self.numbers.updateValue((r.content_hash,), (number,))
-            out.append((key[0], r.doc_id, r.content_hash, number, not known))
-        self.latest.update((latest,))
-        yield pd.DataFrame(out, columns=["url", "doc_id", "content_hash", "version_number", "is_new_version"])
+        new = pd.concat(list(rows)).sort_values(["ts", "doc_id"])
+        self.latest.update((latest + len(new),))
+        yield new.assign(version_number=np.arange(latest + 1, latest + len(new) + 1, dtype=np.int32))[["url", "content_hash", "ts", "doc_id", "version_number"]]
 
     def close(self) -> None:
         pass
 
 
 def alert_lifecycle(evaluations: DataFrame) -> DataFrame:
-    """Alert transitions from a stream of rule evaluations (needs the RocksDB state store)."""
+    """Alert transitions from a stream of rule evaluations (alert_id, timestamp, breached, message); needs the RocksDB state store.
+
+    State is one record per alert that is open. A micro-batch's evaluations of
+    one alert are put in order together: reduce them with ``latest_evaluations``
+    where there are many.
+    """
     schema = "alert_id string, action string, created_at timestamp, updated_at timestamp, n_breaches bigint, message string"
-    return evaluations.groupBy("alert_id").transformWithStateInPandas(AlertState(), schema, "Append", "None")
+    rows = evaluations.select("alert_id", "timestamp", "breached", "message")
+    return rows.groupBy("alert_id").transformWithStateInPandas(AlertState(), schema, "Append", "None")
+
+
+def track_versions(observations: DataFrame, keep_seconds: float | None = None) -> DataFrame:
+    """The versions, (url, content_hash, ts, doc_id, version_number), that a stream of (url, ts, doc_id, content_hash) brings.
+
+    Hashes are remembered per (url, hash), so a URL with very many observations
+    is spread over tasks, and only what is new there goes on to the URL's own
+    key, whose state is its latest number. With ``keep_seconds``, a hash is
+    forgotten that long after it was first seen, and content that returns
+    later is a new version. Observations get their number by a join with the
+    versions. Needs the RocksDB state store.
+    """
+    mode = "None" if keep_seconds is None else "ProcessingTime"
+    new = observations.select("url", "content_hash", "ts", "doc_id").groupBy("url", "content_hash").transformWithStateInPandas(
+        FirstSeenState(keep_seconds), "url string, content_hash string, ts timestamp, doc_id bigint", "Append", mode
+    )
+    return new.groupBy("url").transformWithStateInPandas(NumberState(), "url string, content_hash string, ts timestamp, doc_id bigint, version_number int", "Append", "None")
 
 
-def track_versions(observations: DataFrame) -> DataFrame:
-    """Version numbers for a stream of (url, ts, doc_id, content_hash)."""
-    schema = "url string, doc_id bigint, content_hash string, version_number int, is_new_version boolean"
-    return observations.groupBy("url").transformWithStateInPandas(VersionState(), schema, "Append", "None")
+def state_rows(spark: SparkSession, checkpoint: str, variable: str, operator_id: int = 0) -> DataFrame:
+    """What a stateful query remembers under ``checkpoint``: key and value of one state variable."""
+    return spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator_id).option("stateVarName", variable).load()
 
 
 def evaluate_batches(metrics: DataFrame, rules: DataFrame, on_alerts: Callable[[DataFrame, int], None]):
@@ -171,13 +250,13 @@ def evaluate_batches(metrics: DataFrame, rules: DataFrame, on_alerts: Callable[[
     return metrics.writeStream.foreachBatch(handle)
 
 
-def run_available(stream: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
-    """Processes everything available now into parquet on shared storage and returns that table.
+def run_available(stream: DataFrame, name: str, partitions: list[str] | None = None, root: str | None = None) -> DataFrame:
+    """Processes everything available now into parquet below ``root`` (a fresh shared folder), and returns that table.
 
     Offsets and state live beside the output, so a restarted query continues where it stopped.
     """
     spark = stream.sparkSession
-    root = shared_dir(spark, name)
+    root = root or shared_dir(spark, name)
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", os.path.join(root, "out")).option("checkpointLocation", os.path.join(root, "state"))
     writer = (writer.partitionBy(*partitions) if partitions else writer).trigger(availableNow=True)
     query = writer.start()

@@ -70,23 +70,6 @@ def test_similarity_of_word_sets(spark):
     assert got == [0.5, 1.0, None, 1.0]
 
 
-def test_stream_restart_keeps_version_numbers(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
-    source, out = tmp_path / "in", str(tmp_path / "out")
-    schema = "url string, ts timestamp, doc_id bigint, content_hash string"
-
-    def push(rows):
-        df = spark.createDataFrame([(u, d, h) for u, d, h in rows], "url string, doc_id bigint, content_hash string").withColumn("ts", F.timestamp_seconds("doc_id"))
-        df.select("url", "ts", "doc_id", "content_hash").coalesce(1).write.mode("append").parquet(str(source))
-        stream = ST.track_versions(ST.file_stream(spark, str(source), "*.parquet", schema))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-
-    push([("u", 1, "A"), ("u", 2, "B")])
-    push([("u", 3, "A"), ("u", 4, "C"), ("v", 5, "A")])
-    got = sorted((r["doc_id"], r["version_number"], r["is_new_version"]) for r in spark.read.parquet(out).collect())
-    assert got == [(1, 1, True), (2, 2, True), (3, 1, False), (4, 3, True), (5, 1, True)]
-
-
 def test_forest_finds_the_far_points(spark, tmp_path):
     from docsentry.operators import anomaly as AN
 
