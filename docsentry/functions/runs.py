@@ -1,4 +1,4 @@
-"""Longest increasing runs of number arrays, as a vector function.
+"""Small ordered computations on numbers: longest increasing runs, and earliest free choices.
 
 Pickled by value, so that executors need no copy of the package.
 """
@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import sys
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -45,3 +46,32 @@ def longest_increasing_run(numbers: Column) -> Column:
         return series.map(lambda x: None if x is None else longest_increasing(x.tolist()))
 
     return F.pandas_udf(run, ArrayType(IntegerType()))(numbers)
+
+
+def earliest_free(key: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Function for a cogroup of askers (key, actual_no, class) and wishes (kind, expected_no, class).
+
+    A wish row without class is an expectation of its kind, one without
+    expected_no says that the class takes the kind. Askers in order take the
+    smallest free expectation of their kinds: one queue a kind, and only its
+    head is ever looked at.
+    """
+
+    def take(askers: pd.DataFrame, wishes: pd.DataFrame) -> pd.DataFrame:
+        offered = wishes[wishes["class"].isna()]
+        queues = {kind: sorted(numbers, reverse=True) for kind, numbers in offered.groupby("kind")["expected_no"]}
+        taken_by: dict[str, list[list[int]]] = defaultdict(list)
+        for name, kind in wishes.loc[wishes["class"].notna(), ["class", "kind"]].itertuples(index=False):
+            if kind in queues:
+                taken_by[name].append(queues[kind])
+        out = []
+        order = askers.sort_values("actual_no", kind="stable")
+        for number, name in zip(order["actual_no"].tolist(), order["class"].tolist(), strict=True):
+            heads = [queue for queue in taken_by[name] if queue]
+            if heads:
+                out.append((number, int(min(heads, key=lambda q: q[-1]).pop())))
+        found = pd.DataFrame(out, columns=["actual_no", "expected_no"], dtype="int64")
+        found.insert(0, key, [askers[key].iloc[0]] * len(found) if len(askers) else [])
+        return found
+
+    return take

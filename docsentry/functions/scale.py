@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets of a distribution: enough for as many tasks, few enough for one window over their totals.
+QUANTILE_BUCKETS = 256
+
+
 def broadcast_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Broadcast hint for a configuration table, only after its size is checked; beyond the bound Spark joins as usual."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -97,6 +101,30 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*aggs)
 
 
+def quantile_bucket(df: DataFrame, value: str, buckets: int = QUANTILE_BUCKETS) -> Column:
+    """Number of the bucket of ``value``, from 0 to ``buckets`` - 1, rising with it; buckets hold about as many rows each.
+
+    Boundaries are quantiles of a KLL sketch, which tasks build and merge, so
+    they follow the values wherever these lie. Being a function of the value
+    alone, a bucket has all rows of a value; null is in bucket 0. The sketch is
+    one job, run here.
+    """
+    x = F.col(value).cast("double")
+    usable = F.when(~F.isnan(x), x)
+    ranks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    (cuts,) = df.agg(F.when(F.count(usable) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(usable), ranks)).alias("_cuts")).first()
+    inner = sorted(set(cuts or []))
+
+    def below(cuts: list[float]) -> Column:
+        """Number of ``cuts`` up to the value, found by halving."""
+        if not cuts:
+            return F.lit(0)
+        middle = len(cuts) // 2
+        return F.when(x < cuts[middle], below(cuts[:middle])).otherwise(below(cuts[middle + 1 :]) + middle + 1)
+
+    return F.coalesce(below(inner), F.lit(0))
+
+
 def with_halo(df: DataFrame, row_no: str, before: int, block_rows: int = 4096) -> DataFrame:
     """Splits numbered rows into blocks; each block also gets the ``before`` rows preceding it.
 

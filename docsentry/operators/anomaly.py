@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import rules as R
 from ..functions.forest import TREE_SCHEMA, score_batch, tree_builder
-from ..functions.scale import exact_quantiles
+from ..functions.scale import exact_quantiles, quantile_bucket
 from ..session import materialize
 
 
@@ -70,7 +70,7 @@ def forest_scores(vectors: DataFrame, forest: IsolationForest) -> DataFrame:
 
 def contamination_threshold(scores: DataFrame, column: str = "raw_score", contamination: float = 0.1) -> DataFrame:
     """One row: the linearly interpolated (1 − contamination) percentile, exact, without gathering scores in one task."""
-    return exact_quantiles(scores, [], column, F.floor(F.col(column) * 4096), {"threshold": ("linear", 1 - contamination)})
+    return exact_quantiles(scores, [], column, quantile_bucket(scores, column), {"threshold": ("linear", 1 - contamination)})
 
 
 def anomaly_results(scored: DataFrame, threshold: Column) -> DataFrame:

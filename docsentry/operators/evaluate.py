@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.scale import exact_quantiles, running_totals
+from ..functions.runs import earliest_free
+from ..functions.scale import exact_quantiles, quantile_bucket, running_totals
+from ..session import materialize
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -44,41 +46,50 @@ def severity_band_matches(actual: Column, expected: Column) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def match_candidates(actual: DataFrame, expected: DataFrame, key: str = "case_id") -> DataFrame:
-    """(case, actual_no, expected_no) where type, pattern and severity agree.
+def match_kinds(actual: DataFrame, expected: DataFrame, key: str = "case_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings and expectations of a case by kind, and which kinds agree: (key, actual_no, sort), (key, expected_no, kind), (key, sort, kind).
 
-    An equi-join per case; a pair is only emitted when it matches.
+    Findings of equal type, texts and severity are one sort, expectations of
+    equal type, pattern and severity one kind. Type, pattern and severity are
+    compared once for a sort and a kind of a case, however many rows have them.
     """
-    e = expected.select(F.col(key), "expected_no", F.lower("type").alias("_type"), F.lower("pattern").alias("_pattern"), F.col("severity").alias("_severity"))
+    lowered = lambda c: F.lower(F.coalesce(c, F.lit("")))
     text = F.lower(F.concat_ws("\n", "description", "details", "code", "content"))
-    a = actual.select(F.col(key), "actual_no", F.lower(F.coalesce("type", F.lit(""))).alias("_atype"), F.lower(F.coalesce("description", F.lit(""))).alias("_adesc"), text.alias("_atext"), F.col("severity").alias("_asev"))
+    a = actual.select(F.col(key), "actual_no", lowered("type").alias("_atype"), lowered("description").alias("_adesc"), text.alias("_atext"), F.col("severity").alias("_asev"))
+    e = expected.select(F.col(key), "expected_no", F.lower("type").alias("_type"), F.lower("pattern").alias("_pattern"), F.col("severity").alias("_severity"))
+    named = lambda *columns: F.sha2(F.to_json(F.array(*columns)), 256)
+    a = a.withColumn("sort", named("_atype", "_adesc", "_atext", "_asev"))
+    e = e.withColumn("kind", named("_type", "_pattern", "_severity"))
+    sorts = a.groupBy(key, "sort").agg(F.first(F.struct("_atype", "_adesc", "_atext", "_asev")).alias("_s")).select(key, "sort", "_s.*")
+    kinds = e.groupBy(key, "kind").agg(F.first(F.struct("_type", "_pattern", "_severity")).alias("_k")).select(key, "kind", "_k.*")
     typed = F.contains("_atype", "_type") | F.contains("_adesc", "_type")
     pattern = F.col("_pattern").isNull() | F.contains("_atext", "_pattern")
-    return a.join(e, key).where(typed & pattern & severity_band_matches(F.col("_asev"), F.col("_severity"))).select(key, "actual_no", "expected_no")
+    agree = sorts.join(kinds, key).where(typed & pattern & severity_band_matches(F.col("_asev"), F.col("_severity"))).select(key, "sort", "kind")
+    return a.select(key, "actual_no", "sort"), e.select(key, "expected_no", "kind"), agree
 
 
-def greedy_matches(candidates: DataFrame, key: str = "case_id") -> DataFrame:
-    """One-to-one matches: findings in order each take the first expectation still free.
+def one_to_one(findings: DataFrame, expectations: DataFrame, agree: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, actual_no, expected_no): findings in order each take the first expectation that agrees and is still free.
 
-    Only findings with a candidate are gathered per case, and the fold over them
-    is a column expression, so no rows leave the JVM.
+    Findings with the same choice of kinds are a class. What is left of a case
+    is numbers: its findings with their class and its expectations with their
+    kind, two small integers and a digest a row. They are walked through in one
+    pass with a queue a kind, so a case costs its rows times its kinds, and
+    never its pairs.
     """
-    options = candidates.groupBy(key, "actual_no").agg(F.array_sort(F.collect_set("expected_no")).alias("_options"))
-    ordered = options.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("actual_no", "_options"))).alias("_a"))
-    start = F.array().cast("array<struct<actual_no:int,expected_no:int>>")
-
-    def take(done: Column, a: Column) -> Column:
-        used = F.transform(done, lambda d: d["expected_no"])
-        free = F.get(F.filter(a["_options"], lambda o: ~F.array_contains(used, o)), F.lit(0))
-        entry = F.struct(a["actual_no"].cast("int").alias("actual_no"), free.cast("int").alias("expected_no"))
-        return F.when(free.isNotNull(), F.concat(done, F.array(entry))).otherwise(done)
-
-    return ordered.select(key, F.explode(F.aggregate("_a", start, take)).alias("_m")).select(key, "_m.*")
+    chosen = agree.groupBy(key, "sort").agg(F.sort_array(F.collect_set("kind")).alias("_kinds")).select(key, "sort", "_kinds", F.sha2(F.to_json("_kinds"), 256).alias("class"))
+    chosen = materialize(chosen, "match-classes")
+    askers = findings.join(chosen.select(key, "sort", "class"), [key, "sort"]).select(key, F.col("actual_no").cast("long").alias("actual_no"), "class")
+    kinds = chosen.dropDuplicates([key, "class"]).select(key, F.explode("_kinds").alias("kind"), F.lit(None).cast("long").alias("expected_no"), "class")
+    offered = expectations.join(kinds.select(key, "kind").distinct(), [key, "kind"], "left_semi").select(key, "kind", F.col("expected_no").cast("long").alias("expected_no"), F.lit(None).cast("string").alias("class"))
+    wishes = offered.unionByName(kinds)
+    schema = f"{key} {dict(findings.dtypes)[key]}, actual_no long, expected_no long"
+    return askers.groupBy(key).cogroup(wishes.groupBy(key)).applyInPandas(earliest_free(key), schema)
 
 
 def case_counts(cases: DataFrame, actual: DataFrame, expected: DataFrame, key: str = "case_id") -> DataFrame:
     """True positives, false positives and false negatives per case (cases without findings included)."""
-    matched = greedy_matches(match_candidates(actual, expected, key), key).groupBy(key).agg(F.count("*").alias("tp"))
+    matched = one_to_one(*match_kinds(actual, expected, key), key).groupBy(key).agg(F.count("*").alias("tp"))
     found = actual.groupBy(key).agg(F.count("*").alias("n_actual"))
     wanted = expected.groupBy(key).agg(F.count("*").alias("n_expected"))
     out = reduce(lambda a, b: a.join(b, key, "left"), [matched, found, wanted], cases).na.fill(0, ["tp", "n_actual", "n_expected"])
@@ -122,11 +133,12 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 def curve(df: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """ROC and PR points per distinct score, highest first.
 
-    Equal scores collapse map side; cumulative counts run per score bucket, so
-    the curve of any number of scores is built in parallel.
+    Equal scores collapse map side; cumulative counts run per bucket of scores.
+    Buckets are cut at quantiles, so the curve of any number of scores is built
+    in parallel, however close together they lie.
     """
     counts = df.groupBy(score).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    running = running_totals(counts, [], F.floor(-F.col(score) * 4096), [-F.col(score)], {"tp": F.col("pos"), "fp": F.col("neg")})
+    running = running_totals(counts, [], -quantile_bucket(counts, score), [-F.col(score)], {"tp": F.col("pos"), "fp": F.col("neg")})
     totals = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t"))
     out = running.withColumn("_t", totals.scalar())
     return out.select(
@@ -147,7 +159,7 @@ def score_statistics(scores: DataFrame, column: str, threshold: Column) -> DataF
     base = scores.agg(
         F.count("*").alias("num_samples"), above.alias("num_anomalies"), ratio(above, F.count("*")).alias("anomaly_ratio"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")
     )
-    median = exact_quantiles(scores, [], column, F.floor(F.col(column) * 4096), {"median": ("linear", 0.5)})
+    median = exact_quantiles(scores, [], column, quantile_bucket(scores, column), {"median": ("linear", 0.5)})
     return base.withColumn("median", median.scalar())
 
 

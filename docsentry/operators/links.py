@@ -138,23 +138,24 @@ def link_report(links: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
 
 
 def follow_redirects(urls: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Chain of hops per URL over a redirects(src, dst) table, of any length.
+    """Chain of hops per URL over a redirects(src, dst) table, of any length; a loop ends before the first URL seen twice.
 
-    Equi-joins on ``src`` replace recursion. Each takes one hop of the chains
-    that still grow and sets the others aside; a loop ends at the first URL seen
-    twice. The rounds are as many as the longest chain has hops, each written to
-    shared storage.
+    Every source keeps the chain behind it, which doubles in a round: it is
+    joined with the chain of its own last URL. The rounds are as many as the
+    longest chain has binary digits, each one equi-join on a written table. A
+    chain that shows a URL twice is a loop and is cut there. Of several targets
+    of a source, the smallest counts; null ones are none.
     """
-    hop = redirects.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
-    growing = urls.select("url", F.array("url").alias("chain"))
-    ended = None
-    while True:
-        met = growing.join(hop, F.element_at("chain", -1) == F.col("_src"), "left")
-        goes_on = F.col("_dst").isNotNull() & ~F.array_contains("chain", F.col("_dst"))
-        step = met.select("url", F.when(goes_on, F.concat("chain", F.array("_dst"))).otherwise(F.col("chain")).alias("chain"), F.coalesce(goes_on, F.lit(False)).alias("_on"))
-        step = materialize(step, "redirects")
-        done = step.where("NOT _on").drop("_on")
-        ended = done if ended is None else ended.unionByName(done)
-        growing = step.where("_on").drop("_on")
-        if growing.isEmpty():
-            return ended
+    first = redirects.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst"))
+    loops = F.col("src") == F.col("dst")
+    chains = materialize(first.select(F.col("src").alias("node"), F.when(loops, F.array().cast("array<string>")).otherwise(F.array("dst")).alias("chain"), loops.alias("done")), "redirects")
+    while not chains.where("NOT done").isEmpty():
+        ahead = chains.select(F.col("node").alias("_at"), F.col("chain").alias("_next"), F.col("done").alias("_done"))
+        open_ = chains.where("NOT done").join(ahead, F.element_at("chain", -1) == F.col("_at"), "left")
+        walk = open_.select("node", "_done", F.col("_at").isNull().alias("_ends"), F.concat(F.array("node"), "chain", F.coalesce("_next", F.array().cast("array<string>"))).alias("_walk"))
+        told = walk.withColumn("_once", F.array_distinct("_walk"))
+        seen_twice = F.size("_once") < F.size("_walk")
+        grown = told.select("node", F.slice("_once", F.lit(2), F.size("_once") - 1).alias("chain"), (F.col("_ends") | seen_twice | F.coalesce("_done", F.lit(True))).alias("done"))
+        chains = materialize(grown.unionByName(chains.where("done")), "redirects")
+    chains = chains.select(F.col("node").alias("url"), F.col("chain").alias("_chain"))
+    return urls.join(chains, "url", "left").select("url", F.concat(F.array("url"), F.coalesce("_chain", F.array().cast("array<string>"))).alias("chain"))

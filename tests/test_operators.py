@@ -402,6 +402,101 @@ def test_greedy_matching(spark):
     assert (total[None]["tp"], total[None]["fp"], total[None]["fn"]) == (2, 2, 2) and total["e"]["f1"] == 0.0
 
 
+def _greedy(actual, expected, agrees):
+    """Findings in order each take the first expectation that agrees and is free."""
+    free, out = sorted(expected), []
+    for no, sort in sorted(actual):
+        for option in free:
+            if agrees(sort, option[1]):
+                free.remove(option)
+                out.append((no, option[0]))
+                break
+    return out
+
+
+def test_one_to_one_equals_the_greedy_order(spark):
+    draw = random.Random(12)
+    types = ["leak", "injection", "leak injection", "other", ""]
+    wanted = [("leak", None), ("injection", None), ("leak", "key"), ("inject", "x")]
+    actual, expected, plain = [], [], {}
+    for case in range(40):
+        n, m = draw.randint(0, 14), draw.randint(0, 10)
+        found = [(i, (draw.choice(types), draw.choice(["has key", "x", ""]))) for i in draw.sample(range(30_000), n)]
+        hoped = [(i, draw.choice(wanted)) for i in draw.sample(range(50), m)]
+        actual += [(case, i, t, None, None, None, c, "high") for i, (t, c) in found]
+        expected += [(case, i, t, "whatever", p) for i, (t, p) in hoped]
+        agrees = lambda sort, kind: kind[0] in sort[0] and (kind[1] is None or kind[1] in sort[1])
+        plain[case] = sorted(_greedy(found, hoped, agrees))
+    a = one(spark, "case_id int, actual_no int, type string, description string, details string, code string, content string, severity string", *actual)
+    e = one(spark, "case_id int, expected_no int, type string, severity string, pattern string", *expected)
+    got = {}
+    for r in EV.one_to_one(*EV.match_kinds(a, e)).collect():
+        got.setdefault(r["case_id"], []).append((r["actual_no"], r["expected_no"]))
+    assert {c: sorted(m) for c, m in got.items()} == {c: m for c, m in plain.items() if m} and sum(map(len, plain.values())) > 60
+
+
+def test_a_case_of_a_hundred_thousand_findings(spark):
+    text = F.lit(None).cast("string")
+    a = spark.range(100_000).select(F.lit("c").alias("case_id"), F.col("id").cast("int").alias("actual_no"), F.when(F.col("id") % 10 == 0, "leak of a key").otherwise("leak").alias("type"), text.alias("description"), text.alias("details"), text.alias("code"), text.alias("content"), F.lit("high").alias("severity"))
+    e = spark.range(60_000).select(F.lit("c").alias("case_id"), F.col("id").cast("int").alias("expected_no"), F.when(F.col("id") % 2 == 0, "key").otherwise("leak").alias("type"), F.lit("any").alias("severity"), text.alias("pattern"))
+    matched = EV.one_to_one(*EV.match_kinds(a, e))
+    rows = matched.groupBy((F.col("expected_no") % 2 == 0).alias("key")).agg(F.count("*").alias("n"), F.count_distinct("actual_no").alias("m"), F.count_distinct("expected_no").alias("k")).collect()
+    # every tenth finding takes the first that is free of all, the others of every second
+    assert all(r["n"] == r["m"] == r["k"] for r in rows)
+    plain, keys, leaks = 0, iter(range(0, 60_000, 2)), iter(range(1, 60_000, 2))
+    k, l = next(keys), next(leaks)
+    taken = {True: 0, False: 0}
+    for i in range(100_000):
+        if i % 10 == 0 and (k is not None or l is not None):
+            own = k is not None and (l is None or k < l)
+        elif i % 10 and l is not None:
+            own = False
+        else:
+            continue
+        taken[own] += 1
+        if own:
+            k = next(keys, None)
+        else:
+            l = next(leaks, None)
+    assert {r["key"]: r["n"] for r in rows} == taken and plain == 0
+
+
+def test_redirects_of_any_length_in_few_rounds(spark, monkeypatch):
+    from docsentry.operators import links as LK
+
+    writes = []
+    plain = LK.materialize
+    monkeypatch.setattr(LK, "materialize", lambda df, name: writes.append(name) or plain(df, name))
+    hops = [(f"n{i}", f"n{i + 1}") for i in range(1000)] + [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("self", "self"), ("x", None), ("two", "q"), ("two", "p")]
+    urls = ["n0", "n990", "n1000", "a", "c", "self", "x", "two", "nowhere", None]
+    got = {r["url"]: r["chain"] for r in L.follow_redirects(one(spark, "url string", *[(u,) for u in urls]), one(spark, "src string, dst string", *hops)).collect()}
+    assert got["n0"] == [f"n{i}" for i in range(1001)] and got["n990"] == [f"n{i}" for i in range(990, 1001)] and got["n1000"] == ["n1000"]
+    assert got["a"] == ["a", "b", "c", "d"] and got["c"] == ["c", "d", "b"] and got["self"] == ["self"] and got["x"] == ["x"]
+    assert got["two"] == ["two", "p"] and got["nowhere"] == ["nowhere"] and len(got) == len(urls)
+    assert len(writes) <= 12
+
+
+def test_close_scores_still_fill_many_buckets(spark):
+    import numpy as np
+
+    from docsentry.functions import scale as SL
+
+    values = [0.5 + (i * 7919 % 20_011) / 2e7 for i in range(20_011)]
+    df = one(spark, "score double, positive boolean", *[(v, i % 3 == 0) for i, v in enumerate(values)])
+    bucket = SL.quantile_bucket(df, "score")
+    sizes = [r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 20_011 / 50
+    median = EV.score_statistics(df, "score", F.lit(0.5)).first()["median"]
+    assert median == pytest.approx(float(np.median(values)), abs=1e-15)
+    points = {r["threshold"]: (r["tp"], r["fp"]) for r in EV.curve(df).collect()}
+    ranked = sorted(((v, i % 3 == 0) for i, v in enumerate(values)), reverse=True)
+    tp = sum(p for _, p in ranked[:5000])
+    assert points[ranked[4999][0]] == (tp, 5000 - tp) and len(points) == len(set(values))
+    odd = one(spark, "score double", (None,), (float("nan"),), (1.0,))
+    assert odd.select(SL.quantile_bucket(odd, "score").alias("b")).distinct().count() >= 1
+    assert odd.limit(0).select(SL.quantile_bucket(odd.limit(0), "score")).count() == 0
+
+
 def test_curve_against_ml_evaluator(spark):
     import random
 
