@@ -203,6 +203,28 @@ def usage_counts(results: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def hourly_usage(results: DataFrame, lg_k: int = 12) -> DataFrame:
+    """Analyses per hour with a sketch of their URLs: (hour, n, urls), small rows to store and to merge."""
+    return results.groupBy(F.date_trunc("hour", "analysis_timestamp").alias("hour")).agg(F.count("*").alias("n"), F.hll_sketch_agg("url_id", F.lit(lg_k)).alias("urls"))
+
+
+def usage_from_hours(hours: DataFrame, now: Column) -> DataFrame:
+    """``usage_counts`` from stored hours, without the analyses: exact counts up to whole hours, distinct URLs by merged sketches.
+
+    With the default of 4096 registers, an estimate is within 5 per cent of the
+    truth in more than 99 of 100 cases. ``unique_files_last_24h`` costs no
+    second read of anything.
+    """
+    recent = F.col("hour") >= F.date_trunc("hour", now - F.expr("INTERVAL 1 DAY"))
+    estimate = lambda urls: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(urls)), F.lit(0))
+    return hours.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_analyses"),
+        F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("analyses_last_24h"),
+        estimate(F.col("urls")).alias("unique_files_analyzed"),
+        estimate(F.when(recent, F.col("urls"))).alias("unique_files_last_24h"),
+    )
+
+
 def duration_stats(results: DataFrame) -> DataFrame:
     """Average and longest analysis in days (end minus start)."""
     days = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 86.4e9

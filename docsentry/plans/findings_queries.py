@@ -9,6 +9,7 @@ from ..operators import gates as G
 from ..operators import parse as P
 from ..operators import secrets as S
 from ..operators.signatures import signature_rules
+from ..session import materialize
 from ..sinks import tables as T
 from ..sources import corpus as SC
 from . import derived as D
@@ -398,3 +399,21 @@ def processed_content_items(spark, sf):
     processed = docs.select(F.col("doc_id").alias("processed_id"), F.col("doc_id").alias("url_id"), F.sha2("text", 256).alias("raw_content_hash"), F.length("text").alias("n_chars"))
     known = urls(spark, sf).where("id % 7 <> 3")  # a content of an unknown URL is left out
     return FD.processed_content(processed, known).select("processed_id", "url", "raw_content_hash", "n_chars")
+
+
+@query(
+    "usage_from_stored_hours",
+    "AGG-1",
+    f"""WITH r AS (SELECT *, analysis_timestamp >= timestamp '2024-01-29 00:00:00' AS recent FROM {_RES_SQL})
+        SELECT count(*) AS total_analyses, count_if(recent) AS analyses_last_24h, true AS urls_within_bound, true AS recent_urls_within_bound FROM r""",
+)
+def usage_from_stored_hours(spark, sf):
+    every = results(spark, sf)
+    now = F.expr("timestamp'2024-01-30 00:00:00'")
+    told = FD.usage_from_hours(materialize(FD.hourly_usage(every), "usage-hours"), now)
+    recent = F.when(F.col("analysis_timestamp") >= now - F.expr("INTERVAL 1 DAY"), F.col("url_id"))
+    exact = every.agg(F.count_distinct("url_id").alias("_all"), F.count_distinct(recent).alias("_recent"))
+    # one row each
+    both = told.join(F.broadcast(exact))
+    near = lambda estimate, truth: F.abs(F.col(estimate) - F.col(truth)) <= 0.05 * F.col(truth)
+    return both.select("total_analyses", "analyses_last_24h", near("unique_files_analyzed", "_all").alias("urls_within_bound"), near("unique_files_last_24h", "_recent").alias("recent_urls_within_bound"))

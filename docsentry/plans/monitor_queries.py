@@ -166,7 +166,7 @@ def stream_metric_windows(spark, sf):
         WHERE w + interval 24 hour <= (SELECT max(ts) FROM events) - interval 10 minute GROUP BY w, event_type""",
 )
 def stream_trailing_day(spark, sf):
-    out = ST.run_available(ST.windowed_metrics(ST.event_stream(spark, sf), "24 hours", "1 hour"), "trailing-day")
+    out = ST.run_available(ST.trailing_counts(ST.event_stream(spark, sf)), "trailing-day")
     return _stamps(out.select("window_start", "metric_name", "n"), "window_start")
 
 

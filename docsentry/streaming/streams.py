@@ -57,6 +57,18 @@ def windowed_metrics(events: DataFrame, length: str = "5 minutes", slide: str |
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "metric_name", "n", "total", "maximum")
 
 
+def trailing_counts(events: DataFrame, length: str = "24 hours", slide: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """Counts per metric over trailing windows, from the counts of their slides.
+
+    An event is counted once, in its slide; only the slides' counts, one row per
+    metric each, go into the windows that hold them.
+    """
+    slides = events.withWatermark("ts", lateness).groupBy(F.window("ts", slide).alias("s"), F.col("event_type").alias("metric_name")).agg(F.count("*").alias("_n"))
+    timed = slides.select(F.window_time("s").alias("_at"), "metric_name", "_n")
+    out = timed.groupBy(F.window("_at", length, slide).alias("w"), "metric_name").agg(F.sum("_n").alias("n"))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "metric_name", "n")
+
+
 def sessions(turns: DataFrame, key: str = "user_id", gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """Interaction sessions closed by inactivity."""
     grouped = turns.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("w"), F.col(key))

@@ -628,3 +628,14 @@ def test_model_queries_run_the_whole_job(monkeypatch):
         assert settings(query, module, operator) == ((), {}), query
     (grid,), _ = settings("forest_grid", AN, "grid_by_variance")
     assert {(g["n_estimators"], g["max_samples"]) for g in grid} == {(n, m) for n in (50, 100, 200) for m in (256, 100, 200)}
+
+
+def test_usage_from_hours_is_near_the_exact_counts(spark):
+    rows = spark.range(60_000).select((F.col("id") % 9000).alias("url_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 10).alias("analysis_timestamp"))
+    now = F.timestamp_seconds(F.lit(1_700_000_000 + 600_000))
+    hours = FD.hourly_usage(rows)
+    assert hours.count() < 200
+    got, exact = FD.usage_from_hours(hours, now).first(), FD.usage_counts(rows, now).first()
+    assert got["total_analyses"] == 60_000 and abs(got["unique_files_analyzed"] - 9000) <= 450
+    assert exact["analyses_last_24h"] <= got["analyses_last_24h"] <= exact["analyses_last_24h"] + 360 and abs(got["unique_files_last_24h"] - got["analyses_last_24h"]) <= 0.05 * 9000
+    assert tuple(FD.usage_from_hours(hours.limit(0), now).first()) == (0, 0, 0, 0)
