@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def filter_metrics(metrics: DataFrame, metric_type: str | None = None, start: Co
     return metrics.orderBy("metric_type", "metric_name", "timestamp")
 
 
+def with_nested(metrics: DataFrame, fields: Mapping[str, tuple[str, str]], data: str = "metric_data") -> DataFrame:
+    """``metrics`` with typed columns out of their nested values: name -> (path, type), as ("$.errors", "bigint").
+
+    The text is parsed once into a variant, and paths are read out of it without
+    another pass over the text. What is missing, of another type or no JSON is null.
+    """
+    parsed = metrics.withColumn("_nested", F.try_parse_json(F.col(data)))
+    return parsed.select(*metrics.columns, *[F.try_variant_get("_nested", path, kind).alias(name) for name, (path, kind) in fields.items()])
+
+
 def windowed(events: DataFrame, length: str = "5 minutes", slide: str | None = None, ts: str = "ts", name: str = "event_type", value: str = "value") -> DataFrame:
     """Count, sum, average and maximum per time window and metric.
 

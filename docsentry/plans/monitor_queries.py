@@ -139,6 +139,21 @@ def alert_messages(spark, sf):
     return A.finding_alerts(S.secret_findings(D.markdown(spark, sf)), finding_id="doc_id").select("finding_id", "subject", "message")
 
 
+@query(
+    "nested_metrics",
+    "SNK-9 FLT-5",
+    """WITH w AS (SELECT date_trunc('day', ts) AS d, count_if(event_type = 'error') AS e, count_if(event_type = 'click') AS c, max(value) AS m, max(event_type) AS k FROM events GROUP BY 1)
+       SELECT strftime(d, '%Y-%m-%d') AS day, e AS errors, c AS clicks, round(m, 6) AS largest, k AS last_kind, CAST(NULL AS BIGINT) AS missing, CAST(NULL AS BIGINT) AS mistyped FROM w""",
+)
+def nested_metrics(spark, sf):
+    kind = lambda name: F.count_if(F.col("event_type") == name).alias(name)
+    wide = D.events(spark, sf).groupBy(F.date_trunc("day", "ts").alias("ts")).agg(kind("error"), kind("click"), F.max("value").alias("largest"), F.max("event_type").alias("last"))
+    rows = T.metric_rows(wide.withColumn("by_kind", F.struct(F.struct("error", "click").alias("counts"), "largest", "last")), "usage", nested=["by_kind"])
+    fields = {"errors": ("$.counts.error", "bigint"), "clicks": ("$.counts.click", "bigint"), "largest": ("$.largest", "double"), "last_kind": ("$.last", "string"), "missing": ("$.none[0]", "bigint"), "mistyped": ("$.last", "bigint")}
+    out = M.with_nested(M.filter_metrics(rows, "usage"), fields)
+    return out.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "errors", "clicks", F.round("largest", 6).alias("largest"), "last_kind", "missing", "mistyped")
+
+
 # --- streams -----------------------------------------------------------------------------------
 _AT = "%Y-%m-%d %H:%M:%S.%f"
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.patterns import re2, sql_str
+from ..functions.scale import balanced
 from ..operators import code as C
 from ..operators import gates as G
 from ..operators import parse as P
@@ -312,6 +313,15 @@ def binary_signatures(spark, sf):
     return S.binary_signature_hits(docs, "content", _BINARY_RULES, ["doc_id"])
 
 
+@query("documents_by_cost", "FLT-11", "SELECT count(*) AS n_docs, CAST(sum(strlen(text) + 1000) AS BIGINT) AS total_cost, 8 AS n_shares, true AS no_share_twice_the_median FROM documents")
+def documents_by_cost(spark, sf):
+    docs = D.table(spark, sf, "documents").select("doc_id", "text")
+    cost = F.octet_length("text") + 1000  # bytes to scan, and what any document costs
+    spread = balanced(docs, cost, [F.col("doc_id")], 8)
+    shares = spread.groupBy(F.spark_partition_id().alias("share")).agg(F.count("*").alias("n"), F.sum(cost).alias("cost"))
+    return shares.agg(F.sum("n").alias("n_docs"), F.sum("cost").alias("total_cost"), F.count("*").alias("n_shares"), (F.max("cost") < 2 * F.median("cost")).alias("no_share_twice_the_median"))
+
+
 # a rule per benchmark item: two parts and a word of its text, half and whole bytes left open, or one piece that occurs twice
 _OPEN = "concat(substring(h, {0}, 9), '?', substring(h, {0} + 10, 4), '??', substring(h, {0} + 16, 8))"
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docsentry.functions.scale import exact_quantiles, first_row, row_numbers, running_totals, with_halo
+from docsentry.functions.scale import balanced, exact_quantiles, first_row, row_numbers, running_totals, with_halo
 
 
 def skewed(spark, n=3000):
@@ -55,3 +55,22 @@ def test_first_row_and_halo(spark):
     got = {r["id"]: r["s"] for r in halo.withColumn("s", F.sum("v").over(w)).where("_home").collect()}
     plain = Window.partitionBy("k").orderBy("rn").rowsBetween(-3, -1)
     assert got == {r["id"]: r["s"] for r in numbered.withColumn("s", F.sum("v").over(plain)).collect()}
+
+
+def test_shares_of_equal_cost(spark):
+    # one text of 20 million bytes in a thousand: its size stands for it here
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 1000 == 7, 20_000_000).otherwise(F.col("id") % 5000).alias("bytes"))
+    spread = balanced(rows, F.col("bytes"), [F.col("id")], 16)
+    loads = sorted(r["cost"] for r in spread.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("bytes").alias("cost")).collect())
+    assert len(loads) == 16 and loads[-1] < 2 * loads[8] and spread.count() == 40_000
+    odd = spark.createDataFrame([(None, None), (1, None), (2, 5)], "id long, bytes long")
+    assert sorted(map(str, balanced(odd, F.col("bytes"), [F.col("id")], 3).collect())) == sorted(map(str, odd.collect()))
+    assert balanced(odd.limit(0), F.col("bytes"), [F.col("id")], 3).count() == 0
+
+
+def test_nested_metric_values(spark):
+    from docsentry.operators import metrics as M
+
+    rows = spark.createDataFrame([(1, '{"a": {"b": [1, 2.5]}, "s": "x"}'), (2, "no json"), (3, None), (4, '{"a": 7}')], "id int, metric_data string")
+    got = {r["id"]: (r["first"], r["second"], r["s"]) for r in M.with_nested(rows, {"first": ("$.a.b[0]", "int"), "second": ("$.a.b[1]", "double"), "s": ("$.s", "string")}).collect()}
+    assert got == {1: (1, 2.5, "x"), 2: (None, None, None), 3: (None, None, None), 4: (None, None, None)}
