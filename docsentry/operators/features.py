@@ -24,8 +24,19 @@ def _count(text: Column, pattern: str, flags: str) -> Column:
 
 
 def _flag(text: Column, pattern: str, flags: str) -> Column:
-    # the host-label loop recurses in Java; no real host has a thousand labels
-    return text.rlike(java(pattern.replace(r"\.)+", r"\.){1,1000}"), flags))
+    return text.rlike(java(_without_host_loop(pattern), flags))
+
+
+def _without_host_loop(pattern: str) -> str:
+    """The same test for ``scheme//(label.)+ letters`` with a loop that Java runs without recursion, for hosts of any length.
+
+    Labels that no two letters follow are passed over for good; the next one
+    must have them. What comes after the letters is optional and tests nothing.
+    """
+    if r"\.)+" not in pattern:
+        return pattern
+    scheme, label = pattern.split(r"\.)+")[0].split("//(?:", 1)
+    return rf"{scheme}//(?:{label}\.(?![a-zA-Z]{{2}}))*+{label}\.[a-zA-Z]{{2}}"
 
 
 def words(text: Column) -> Column:

@@ -639,3 +639,17 @@ def test_usage_from_hours_is_near_the_exact_counts(spark):
     assert got["total_analyses"] == 60_000 and abs(got["unique_files_analyzed"] - 9000) <= 450
     assert exact["analyses_last_24h"] <= got["analyses_last_24h"] <= exact["analyses_last_24h"] + 360 and abs(got["unique_files_last_24h"] - got["analyses_last_24h"]) <= 0.05 * 9000
     assert tuple(FD.usage_from_hours(hours.limit(0), now).first()) == (0, 0, 0, 0)
+
+
+def test_host_flag_on_hosts_of_any_length(spark):
+    from docsentry import rules as R
+
+    shape = re.compile(R.SECURITY_FLAGS["has_suspicious_urls"][0])
+    draw = random.Random(4)
+    parts = ["a", "b1", "-", "c-d", ".", ".", "com", "x.y", "9", "é", "/", "http://", "https://"]
+    texts = ["http://" + "".join(draw.choice(parts) for _ in range(draw.randint(1, 9))) for _ in range(400)] + ["http://a.b.c1.d", "http://a.com.1", "https://a." + "b" * 63 + ".de", "https://a." + "b" * 64 + ".de"]
+    df = one(spark, "doc_id int, url string, text string", *[(i, "https://x", t) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["has_suspicious_urls"] for r in FE.with_security_indicators(df).collect()}
+    assert [bool(got[i]) for i in range(len(texts))] == [bool(shape.search(t)) for t in texts] and 20 < sum(map(bool, got.values())) < 390
+    long = one(spark, "doc_id int, url string, text string", (1, "u", "http://" + "1." * 200_000 + "com"), (2, "u", "http://" + "1." * 200_000 + "9"))
+    assert {r["doc_id"]: bool(r["has_suspicious_urls"]) for r in FE.with_security_indicators(long).collect()} == {1: True, 2: False}
