@@ -61,7 +61,7 @@ CLASSES = (
 )
 
 #: Candidates that are no secrets whatever their entropy: no digit in them, digits and marks only, UUIDs, dates and
-#: versions chained by marks, and anything with a word of seven or more lower-case letters in it (paths, slugs, names).
+#: versions chained by marks, and anything with a word of six or more lower-case letters in it (paths, slugs, names).
 ALLOW = (
     "^[^0-9]*$",
     "^[0-9+/_=-]*$",
