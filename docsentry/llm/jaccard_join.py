@@ -52,6 +52,14 @@ ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 _GROUP_SHINGLES = 3_000_000
 _BITS = 1 << 24
 _SENT_SETS = 200_000
+_SLICE_ROWS = 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, so that the sets of a part, and not of a batch, are in memory at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE_ROWS):
+            yield batch.slice(at, _SLICE_ROWS)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -83,7 +91,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             return values[counts > 1], counts[counts > 1]
 
-        for batch in batches:
+        for batch in _slices(batches):
             n, ids = [], []
             values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for shingles in shingler.all_of(batch.column(1).to_pylist()):
@@ -129,7 +137,7 @@ def prefixes(docs: DataFrame, shared: Broadcast, percent: int = PERCENT) -> Data
         values, ranks = shared.value
         shingler = Shingler()
         sent: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple[np.ndarray, int, int, int]] = []
             for shingles in shingler.all_of(batch.column(0).to_pylist()):
                 n = len(shingles)
@@ -180,7 +188,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, name: str = "jaccard-sets") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         shingler = Shingler()
-        for batch in batches:
+        for batch in _slices(batches):
             places = batch.column(0).to_numpy(zero_copy_only=False)
             asked = (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)
             texts = batch.column(1).filter(pa.array(asked.astype(bool))).to_pylist()
@@ -198,7 +206,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     """The rows of ``pairs`` (a, b) whose sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))

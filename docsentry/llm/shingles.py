@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 SIZE = 5
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 #: Odd multipliers of a word's hash by its place, so that order counts.
 _PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _SHORT = 0xE7037ED1A0B428DB
