@@ -520,6 +520,14 @@ def test_alert_lifecycle_runs(spark):
     assert A.triggered(A.evaluate(metrics, A.metric_rules(spark))).count() == 4
 
 
+def test_alerts_without_recovery(spark):
+    rows = [("a", 1, True), ("a", 2, True), ("b", 1, False), ("b", 2, True), ("c", 1, True), ("c", 2, False), ("c", 3, True)]
+    evaluations = one(spark, "alert_id string, at long, breached boolean", *rows).select("alert_id", "breached", F.timestamp_seconds("at").alias("timestamp"), F.lit("m").alias("message"), F.lit("n").alias("alert_name"), F.lit("low").alias("severity"))
+    life = A.lifecycle(evaluations)
+    assert {r["alert_id"] for r in A.active_alerts(life).collect()} == {"a", "b", "c"}
+    assert [(r["alert_id"], r["n_breaches"]) for r in A.without_recovery(life, evaluations).collect()] == [("a", 2)]
+
+
 def test_filter_ignores_bad_dates(spark):
     df = one(spark, "severity string, finding_type string, timestamp string", ("High", "a", "2024-01-02T10:00:00"), ("High", "a", "bad"), ("Low", "a", "2024-01-03"))
     assert FD.filter_findings(df, date_start="nonsense").count() == 3
