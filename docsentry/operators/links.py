@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,25 +138,50 @@ def link_report(links: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
     )
 
 
-def follow_redirects(urls: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Chain of hops per URL over a redirects(src, dst) table, of any length; a loop ends before the first URL seen twice.
+def follow_redirects(urls: DataFrame, redirects: DataFrame, prefer: str | None = None) -> DataFrame:
+    """Longest chain of hops per URL over a redirects(src, dst) table that shows no URL twice.
 
-    Every source keeps the chain behind it, which doubles in a round: it is
-    joined with the chain of its own last URL. The rounds are as many as the
-    longest chain has binary digits, each one equi-join on a written table. A
-    chain that shows a URL twice is a loop and is cut there. Of several targets
-    of a source, the smallest counts; null ones are none.
+    Of equally long ones, the one counts whose redirect has the larger value of
+    the column ``prefer`` where they part, and without it the smallest.
+
+    A source with one target keeps the chain behind it, which doubles in a
+    round: it is joined with the chain of its own last URL. The rounds are as
+    many as the longest chain has binary digits, each one equi-join on a
+    written table. A chain that shows a URL twice is a loop and is cut there.
+    Sources with several targets are forks: chains end there, and walks that
+    reach one go on with the chain of every target, one fork a round. Null
+    targets are none.
     """
-    first = redirects.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst"))
-    loops = F.col("src") == F.col("dst")
-    chains = materialize(first.select(F.col("src").alias("node"), F.when(loops, F.array().cast("array<string>")).otherwise(F.array("dst")).alias("chain"), loops.alias("done")), "redirects")
+    empty = F.array().cast("array<string>")
+    value = F.col(prefer).cast("double") if prefer else F.lit(0.0)
+    hops = redirects.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg((-F.max(value)).alias("_later"))
+    targets = hops.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("_n"))
+    single = targets.where("_n = 1")
+    chains = materialize(single.select(F.col("src").alias("node"), F.array("dst").alias("chain"), F.lit(False).alias("done")), "redirects")
     while not chains.where("NOT done").isEmpty():
         ahead = chains.select(F.col("node").alias("_at"), F.col("chain").alias("_next"), F.col("done").alias("_done"))
         open_ = chains.where("NOT done").join(ahead, F.element_at("chain", -1) == F.col("_at"), "left")
-        walk = open_.select("node", "_done", F.col("_at").isNull().alias("_ends"), F.concat(F.array("node"), "chain", F.coalesce("_next", F.array().cast("array<string>"))).alias("_walk"))
+        walk = open_.select("node", "_done", F.col("_at").isNull().alias("_ends"), F.concat(F.array("node"), "chain", F.coalesce("_next", empty)).alias("_walk"))
         told = walk.withColumn("_once", F.array_distinct("_walk"))
         seen_twice = F.size("_once") < F.size("_walk")
         grown = told.select("node", F.slice("_once", F.lit(2), F.size("_once") - 1).alias("chain"), (F.col("_ends") | seen_twice | F.coalesce("_done", F.lit(True))).alias("done"))
         chains = materialize(grown.unionByName(chains.where("done")), "redirects")
-    chains = chains.select(F.col("node").alias("url"), F.col("chain").alias("_chain"))
-    return urls.join(chains, "url", "left").select("url", F.concat(F.array("url"), F.coalesce("_chain", F.array().cast("array<string>"))).alias("chain"))
+    behind = chains.select("node", F.col("chain").alias("_behind"))
+    out = urls.join(behind, F.col("url") == F.col("node"), "left").select("url", F.concat(F.array("url"), F.coalesce("_behind", empty)).alias("chain"))
+    forks = targets.where("_n > 1").select(F.col("src").alias("_fork"))
+    if forks.isEmpty():
+        return out
+    targets_behind = hops.join(forks, F.col("src") == F.col("_fork"), "left_semi").join(behind, F.col("dst") == F.col("node"), "left")
+    steps = targets_behind.select(F.col("src").alias("_at"), "_later", F.concat(F.array("dst"), F.coalesce("_behind", empty)).alias("_next"))
+    open_, ended = out.join(forks, F.element_at("chain", -1) == F.col("_fork"), "left_semi").distinct().withColumn("order", F.array().cast("array<double>")), []
+    while not open_.isEmpty():
+        walk = open_.join(steps, F.element_at("chain", -1) == F.col("_at")).select("url", F.array_append("order", F.col("_later")).alias("order"), F.concat("chain", "_next").alias("_walk"))
+        told = walk.select("url", "order", F.array_distinct("_walk").alias("chain"), (F.size(F.array_distinct("_walk")) < F.size("_walk")).alias("_loop"))
+        walks = told.join(forks, F.element_at("chain", -1) == F.col("_fork"), "left").select("url", "order", "chain", (F.col("_loop") | F.col("_fork").isNull()).alias("done"))
+        walks = materialize(walks, "redirect-walks")
+        open_ = walks.where("NOT done").drop("done")
+        ended.append(walks.where("done").drop("done"))
+    if not ended:
+        return out
+    longest = reduce(DataFrame.unionByName, ended).groupBy(F.col("url").alias("_url")).agg(F.min_by("chain", F.struct(-F.size("chain"), F.col("order"), F.col("chain"))).alias("_longest"))
+    return out.join(longest, F.col("url") == F.col("_url"), "left").select("url", F.coalesce("_longest", "chain").alias("chain"))

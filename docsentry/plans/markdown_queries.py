@@ -247,8 +247,8 @@ def link_report(spark, sf):
 def redirect_chains(spark, sf):
     pages = D.table(spark, sf, "pages").select("page_id", "url")
     src = pages.where("page_id % 16 <> 0").select(F.col("url").alias("src"), (F.col("page_id") - 1).alias("to_id"))
-    redirects = src.join(pages.select(F.col("page_id").alias("to_id"), F.col("url").alias("dst")), "to_id").select("src", "dst")
-    chains = L.follow_redirects(pages.select("url").distinct(), redirects)
+    redirects = src.join(pages.select(F.col("page_id").alias("to_id"), F.col("url").alias("dst")), "to_id").select("src", "dst", "to_id")
+    chains = L.follow_redirects(pages.select("url").distinct(), redirects, prefer="to_id")
     return chains.select("url", F.array_join("chain", " ").alias("chain"), (F.size("chain") - 1).alias("hops"))
 
 

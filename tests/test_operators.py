@@ -476,6 +476,15 @@ def test_redirects_of_any_length_in_few_rounds(spark, monkeypatch):
     assert len(writes) <= 12
 
 
+def test_redirects_take_the_longest_of_several_targets(spark):
+    hops = [("s", "a", 1), ("a", "b", 2), ("a", "m", 3), ("m", "n", 4), ("n", "o", 5), ("n", "p", 6), ("n", "s", 7), ("x", "y", 8), ("y", "x", 9), ("y", "z", 10), ("z", "x", 11)]
+    table, urls = one(spark, "src string, dst string, at long", *hops), one(spark, "url string", *[(u,) for u in "snxyqa"])
+    got = {r["url"]: r["chain"] for r in L.follow_redirects(urls, table).collect()}
+    assert got == {"s": list("samno"), "n": list("nsab"), "x": list("xyz"), "y": list("yzx"), "q": ["q"], "a": list("amno")}
+    later = {r["url"]: r["chain"] for r in L.follow_redirects(urls, table, prefer="at").collect()}
+    assert later["s"] == list("samnp") and later["a"] == list("amns") and later["n"] == list("nsam")
+
+
 def test_close_scores_still_fill_many_buckets(spark):
     import numpy as np
 
