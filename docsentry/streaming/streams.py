@@ -35,9 +35,16 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str, max_files: int = 100) -> DataFrame:
-    """Parquet files as a stream; new files in the folder become new micro-batches."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str, max_files: int | None = 100) -> DataFrame:
+    """Parquet files ``pattern`` of a folder as a stream, or those of the folder of that name in it; new files become new micro-batches.
+
+    Without ``max_files``, all files that are there make one micro-batch.
+    """
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    whole = table.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(table)
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader
+    return reader.parquet(f"{folder}/{pattern}") if whole else reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:

@@ -71,3 +71,16 @@ def test_provider_setting_comes_back(spark):
     with ST.rocksdb(spark):
         assert spark.conf.get(name) == ST.ROCKSDB
     assert spark.conf.get(name) == before
+
+
+def test_tables_of_many_files_are_streamed_whole(spark, tmp_path):
+    import duckdb
+
+    from docsentry.plans import catalogue
+
+    docs = spark.createDataFrame([(i, f"text {i * 7 % 60}", "en", f"src{i % 2}", 7) for i in range(240)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(120, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["stream_versions"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalogue.ORACLES["stream_versions"]).fetchall()) and len(got) == 60
