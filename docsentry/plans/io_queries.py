@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as AN
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sinks import runs as RU
 from ..sinks import tables as T
 from ..sources import files as FI
@@ -36,9 +36,10 @@ def _doc_id(source):
 
 @query("file_round_trip", "SRC-3 SRC-4", f"SELECT doc_id, {_FOUND} AS encoding, CAST({_BYTES} AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
 def file_round_trip(spark, sf):
-    files = FI.decoded(FI.scan(spark, written_files(spark, sf), "*.txt"))
-    text = F.regexp_replace("text", "\\n\\z", "")
-    return files.select(_doc_id(F.col("source")).alias("doc_id"), "encoding", "n_bytes", F.md5(text).alias("text_md5"))
+    with FI.many_files(spark):
+        files = FI.decoded(FI.scan(spark, written_files(spark, sf), "*.txt"))
+        text = F.regexp_replace("text", "\\n\\z", "")
+        return materialize(files.select(_doc_id(F.col("source")).alias("doc_id"), "encoding", "n_bytes", F.md5(text).alias("text_md5")), "file-texts")
 
 
 @query("stream_file_items", "SRC-3 SRC-4 SRC-5", "SELECT doc_id, 'local_file' AS method, md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL")

@@ -3,15 +3,23 @@
 The encoding is decided from the bytes alone: a byte-order mark, else the share
 of zero bytes at odd and at even places (two-byte text has them on one side
 only), else whether they are valid UTF-8, else whether bytes occur that only
-the Windows code page prints. Decoding stays in the JVM but for two- and
-four-byte text, where damaged units must become replacement characters.
+the Windows code page prints. Decoding stays in the JVM but for bytes with
+zeros, whose places are counted, and for two- and four-byte text, where damaged
+units must become replacement characters.
 """
 
 from __future__ import annotations
 
+import os
 import sys
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +36,27 @@ ZERO_SHARE = 0.02
 _MARKS = (("UTF-8", "EFBBBF"), ("UTF-32LE", "FFFE0000"), ("UTF-32BE", "0000FEFF"), ("UTF-16LE", "FFFE"), ("UTF-16BE", "FEFF"))
 
 
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Files listed and read within are dealt to a few tasks a core, however many and small they are; the session's own settings come back after.
+
+    By default a listing has a task per folder, up to ten thousand, and a file
+    counts as four more megabytes.
+    """
+    settings = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(8 * spark.sparkContext.defaultParallelism),
+        "spark.sql.files.openCostInBytes": str(64 * 1024),
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def scan(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
     """Files below ``path`` as (source, file_name, modified, n_bytes, content), one row each; partition columns of the folder stay.
 
@@ -38,9 +67,14 @@ def scan(spark: SparkSession, path: str, pattern: str | None = None, recursive:
     return _named(_options(spark.read, pattern, recursive).load(path))
 
 
-def stream(spark: SparkSession, path: str, pattern: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """As ``scan``, as a stream: each file once, when it appears below ``path``."""
-    return _named(_options(spark.readStream.option("maxFilesPerTrigger", files_per_batch).schema(BINARY_FILE), pattern, True).load(path))
+def stream(spark: SparkSession, path: str, pattern: str | None = None, files_per_batch: int = 1000, bytes_per_batch: int | None = None) -> DataFrame:
+    """As ``scan``, as a stream: each file once, when it appears below ``path``.
+
+    ``bytes_per_batch`` bounds a micro-batch by the size of its files in place of
+    their number: many small files then make few micro-batches.
+    """
+    bound = ("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else ("maxFilesPerTrigger", files_per_batch)
+    return _named(_options(spark.readStream.option(*bound).schema(BINARY_FILE), pattern, True).load(path))
 
 
 def _options(reader, pattern: str | None, recursive: bool):
@@ -55,23 +89,35 @@ def _named(files: DataFrame) -> DataFrame:
     )
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _two_byte_encoding(content: Column) -> Column:
+    """UTF-16LE or UTF-16BE where zero bytes lie on one side only, else null; a last byte without a partner counts for both sides."""
+
+    def kind(c: bytes | None) -> str | None:
+        if c is None:
+            return None
+        zero, pairs = np.frombuffer(c, dtype=np.uint8) == 0, max(len(c) // 2, 1)
+        first = np.count_nonzero(zero[0::2]) / pairs
+        second = (np.count_nonzero(zero[1::2]) + int(len(zero) % 2 and zero[-1])) / pairs
+        if second >= ZERO_SHARE and first * 8 <= second:
+            return "UTF-16LE"
+        return "UTF-16BE" if first >= ZERO_SHARE and second * 8 <= first else None
+
+    def kinds(contents: pd.Series) -> pd.Series:
+        return pd.Series([kind(c) for c in contents], dtype=object)
+
+    return F.pandas_udf(kinds, "string")(content)
 
 
 def encoding_of(content: Column) -> Column:
     """Name of the encoding of some bytes; null for null."""
     latin = F.decode(content, "ISO-8859-1")
     begins = F.hex(F.substring(content, F.lit(1), F.lit(4)))
-    pairs = F.greatest(F.floor(F.octet_length(content) / 2), F.lit(1))
-    side = lambda group: _count(F.regexp_replace(latin, "(?s)(.)(.)", group), "\x00") / pairs
-    first, second = side("$1"), side("$2")
+    zeros = F.contains(latin, F.lit("\x00"))
+    two_byte = _two_byte_encoding(F.when(zeros, content))
     out = F.when(content.isNull(), F.lit(None).cast("string"))
     for name, mark in _MARKS:
         out = out.when(F.startswith(begins, F.lit(mark)), F.lit(name))
-    zeros = F.contains(latin, F.lit("\x00"))
-    out = out.when(zeros & (second >= ZERO_SHARE) & (first * 8 <= second), F.lit("UTF-16LE"))
-    out = out.when(zeros & (first >= ZERO_SHARE) & (second * 8 <= first), F.lit("UTF-16BE"))
+    out = out.when(two_byte.isNotNull(), two_byte)
     out = out.when(F.is_valid_utf8(content.cast("string")), F.lit("UTF-8"))
     windows = latin.rlike("[\x80-\x9f]") & ~latin.rlike("[\x81\x8d\x8f\x90\x9d]")
     return out.when(windows, F.lit("windows-1252")).otherwise(F.lit("ISO-8859-1"))
@@ -113,6 +159,35 @@ def file_items(files: DataFrame, method: str = "local_file") -> DataFrame:
 
 
 def write_documents(df: DataFrame, path: str, name: str, content: str, line_end: str = "\n") -> None:
-    """Each row's bytes and ``line_end`` as one file below ``path``, in a folder ``name=value``."""
-    rows = df.select(F.col(content).cast("string").alias("value"), name).repartition(name)
-    rows.write.mode("overwrite").partitionBy(name).option("lineSep", line_end).text(path)
+    """Each row's bytes and ``line_end`` as one file below ``path``, in a folder ``name=value``; null bytes are none.
+
+    In a folder of the file system, which all executors share, tasks write the
+    files themselves, under names that a further try replaces: Spark's writer
+    starts several processes a file there. Elsewhere Spark's writer is used;
+    there, rows of one value share a file.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = df.select(name, F.col(content).cast("binary").alias("_bytes")).repartition(name)
+    if store.getUri().getScheme() != "file":
+        text = rows.select(name, F.col("_bytes").cast("string").alias("value"))
+        text.write.mode("overwrite").partitionBy(name).option("lineSep", line_end).text(path)
+        return
+    store.delete(folder, True)
+    root, end = folder.toUri().getPath(), line_end.encode()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, attempt = None, 0, uuid.uuid4().hex
+        for batch in batches:
+            for value, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = os.path.join(root, f"{name}=" + ("__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=" ")))
+                number = number + 1 if at == last else 0
+                last = at
+                os.makedirs(at, exist_ok=True)
+                with open(f"{at}/.{attempt}", "wb") as file:
+                    file.write((data or b"") + end)
+                os.replace(f"{at}/.{attempt}", f"{at}/part-{number:05d}.txt")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    rows.sortWithinPartitions(name).mapInArrow(write, "n long").agg(F.sum("n")).collect()

@@ -104,3 +104,25 @@ def test_processed_content_limit_counts_joined_rows(spark):
     got = FD.processed_content(processed, urls, limit=5).collect()
     assert sorted(r["processed_id"] for r in got) == [0, 1, 5, 6, 10] and {r["url"] for r in got} == {"a", "b"}
     assert FD.processed_content(processed, urls.limit(0)).count() == 0 and isinstance(processed.schema, StructType)
+
+
+def test_every_row_becomes_a_file(spark, tmp_path):
+    rows = [(1, b"a"), (1, b"b"), (2, b"\x00\xff"), (None, b"n"), (-3, b"")]
+    df = spark.createDataFrame(rows, "doc_id int, raw binary")
+    for _ in range(2):  # a second try replaces the files of the first
+        FI.write_documents(df, f"{tmp_path}/out", "doc_id", "raw", "\n\0")
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    with FI.many_files(spark):
+        assert spark.conf.get(name) != before
+        got = FI.scan(spark, f"{tmp_path}/out", "*.txt").select("source", "content").collect()
+    assert spark.conf.get(name) == before
+    folders = sorted((r["source"].split("/")[-2], bytes(r["content"])) for r in got)
+    assert folders == sorted([(f"doc_id={'__HIVE_DEFAULT_PARTITION__' if k is None else k}", v + b"\n\0") for k, v in rows])
+
+
+def test_micro_batches_by_size(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i}.md").write_bytes(b"x" * 100)
+    rows = ST.run_available(FI.stream(spark, str(tmp_path), "*.md", bytes_per_batch=1000).select("file_name", "n_bytes"), "sized")
+    assert sorted(r["file_name"] for r in rows.collect()) == sorted(f"f{i}.md" for i in range(30))
