@@ -44,9 +44,10 @@ def file_round_trip(spark, sf):
 
 @query("stream_file_items", "SRC-3 SRC-4 SRC-5", "SELECT doc_id, 'local_file' AS method, md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL")
 def stream_file_items(spark, sf):
-    items = FI.file_items(FI.stream(spark, written_files(spark, sf), "*.txt"))
+    items = FI.file_items(FI.stream(spark, written_files(spark, sf), "*.txt", bytes_per_batch=256 * 1024 * 1024))
     rows = items.select(_doc_id(F.col("source")).alias("doc_id"), F.col("metadata.retrieval_method").alias("method"), F.md5(F.regexp_replace("content", "\\n\\z", "")).alias("content_md5"))
-    return ST.run_available(rows, "file-items")
+    with FI.many_files(spark):
+        return ST.run_available(rows, "file-items")
 
 
 @query(
