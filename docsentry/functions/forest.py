@@ -1,8 +1,9 @@
-"""Isolation trees on small samples: numpy helpers run inside Spark tasks."""
+"""Isolation trees on small samples, and grown forests cut to smaller ones: numpy helpers run inside Spark tasks."""
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -73,3 +74,56 @@ def score_batch(batch: pd.Series, trees: list[dict[str, np.ndarray]], sample_siz
     points = np.stack([np.asarray(v, dtype=float) for v in batch]) if len(batch) else np.zeros((0, 1))
     mean = np.mean([path_lengths(points, t) for t in trees], axis=0) if len(points) else np.zeros(0)
     return pd.Series(np.power(2.0, -mean / max(float(average_path(sample_size)), 1e-12)))
+
+
+def cut_forest(nodes: pd.DataFrame, depths: Sequence[int]) -> dict:
+    """A grown classification forest as arrays, with the leaves its trees have if they are grown to given depths only.
+
+    ``nodes``: (treeID, id, prediction, impurityStats, leftChild, rightChild,
+    featureIndex, threshold) rows as Spark saves them, ids in pre-order. At the
+    depth the last nodes become leaves, and leaves of equal prediction are
+    joined, as Spark does when it ends a tree.
+    """
+    nodes = nodes.sort_values(["treeID", "id"], kind="stable")
+    roots = np.flatnonzero(nodes["id"].to_numpy() == 0)
+    base = np.repeat(roots, np.diff(np.append(roots, len(nodes))))
+    left, right = (np.where(c < 0, -1, c + base) for c in (nodes["leftChild"].to_numpy(), nodes["rightChild"].to_numpy()))
+    stats = np.stack(nodes["impurityStats"].to_numpy()).astype(float)
+    inner = [(i, int(left[i]), int(right[i])) for i in np.flatnonzero(left >= 0).tolist()]
+    level = [0] * len(nodes)
+    for node, a, b in inner:  # pre-order: a node comes before its children
+        level[a] = level[b] = level[node] + 1
+    leaves = {}
+    for depth in depths:
+        leaf, said = [a < 0 or at >= depth for a, at in zip(left.tolist(), level, strict=True)], nodes["prediction"].tolist()
+        for node, a, b in reversed(inner):
+            if not leaf[node] and leaf[a] and leaf[b] and said[a] == said[b]:
+                leaf[node], said[node] = True, said[a]
+        leaves[depth] = np.array(leaf)
+    return {
+        "roots": roots,
+        "left": left,
+        "right": right,
+        "feature": np.maximum(nodes["featureIndex"].to_numpy(), 0),
+        "threshold": nodes["threshold"].fillna(0.0).to_numpy(dtype=float),
+        "votes": stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300),
+        "leaves": leaves,
+    }
+
+
+def cut_predictions(forest: dict, rows: np.ndarray, n_trees: Sequence[int], depth: int) -> list[np.ndarray]:
+    """Predicted classes of ``rows`` by the first trees of a ``cut_forest``, for each number of trees in ``n_trees``."""
+    leaf, left, right, feature, threshold = (forest["leaves"][depth], *(forest[k] for k in ("left", "right", "feature", "threshold")))
+    total, out = np.zeros((len(rows), forest["votes"].shape[1])), {}
+    for tree, root in enumerate(forest["roots"].tolist(), 1):
+        at, moving = np.full(len(rows), root), np.arange(len(rows))
+        while True:
+            moving = moving[~leaf[at[moving]]]
+            if not len(moving):
+                break
+            node = at[moving]
+            at[moving] = np.where(rows[moving, feature[node]] <= threshold[node], left[node], right[node])
+        total += forest["votes"][at]
+        if tree in n_trees:
+            out[tree] = total.argmax(axis=1)
+    return [out[n] for n in n_trees]

@@ -670,3 +670,46 @@ def test_host_flag_on_hosts_of_any_length(spark):
     assert [bool(got[i]) for i in range(len(texts))] == [bool(shape.search(t)) for t in texts] and 20 < sum(map(bool, got.values())) < 390
     long = one(spark, "doc_id int, url string, text string", (1, "u", "http://" + "1." * 200_000 + "com"), (2, "u", "http://" + "1." * 200_000 + "9"))
     assert {r["doc_id"]: bool(r["has_suspicious_urls"]) for r in FE.with_security_indicators(long).collect()} == {1: True, 2: False}
+
+
+def test_small_forests_are_read_from_a_large_one(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    from docsentry.functions.forest import cut_forest, cut_predictions
+    from docsentry.operators import false_positives as FP
+
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(400, 4))
+    labels = (values[:, 0] * values[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    rows = spark.createDataFrame([(v.tolist(), int(y)) for v, y in zip(values, labels, strict=True)], "features array<double>, label int").coalesce(1).cache()
+
+    def forest(depth):
+        pipeline = FP.classifier(12, depth, 3)
+        pipeline.getStages()[-1].setFeatureSubsetStrategy("all")  # without it a node's features depend on the nodes grown before it
+        return pipeline.fit(FP.as_vectors(rows))
+
+    deep = forest(9)
+    cut = cut_forest(FP._forest_nodes(deep.stages[-1]), (2, 4, 9))
+    for depth in (2, 4, 9):
+        own = (deep if depth == 9 else forest(depth)).transform(FP.as_vectors(rows)).select(vector_to_array("scaled").alias("x"), "prediction").toPandas()
+        (said,) = cut_predictions(cut, np.stack(own["x"].to_numpy()), (12,), depth)
+        assert said.tolist() == own["prediction"].tolist(), depth
+    assert FP._weighted_f1({(0.0, 0.0): 3, (0.0, 1.0): 1, (1.0, 1.0): 2}) == pytest.approx(4 / 6 * 6 / 7 + 2 / 6 * 4 / 5)
+
+    found = FP.search(rows, (3, 6), (2, 5), (1, 4), folds=3)
+    assert [len(found.settings), len(found.avgMetrics)] == [8, 8] and found.settings[1] == (3, 2, 4) and all(0.5 < f < 1 for f in found.avgMetrics)
+    best = found.settings[max(range(8), key=found.avgMetrics.__getitem__)]
+    assert found.bestModel.stages[-1].getNumTrees == best[0]
+
+
+def test_search_grows_one_forest_for_each_fold_and_least_rows(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from docsentry.operators import false_positives as FP
+
+    rows = spark.createDataFrame([([float(i % 7), float(i % 3)], i % 2) for i in range(60)], "features array<double>, label int")
+    fitted, fit = [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, data: fitted.append(self.getNumTrees()) or fit(self, data))
+    FP.search(rows, (2, 4), (1, 3), (1, 2), folds=2)
+    assert sorted(fitted[:-1]) == [4] * 4  # and the best model at the end
