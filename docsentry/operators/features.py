@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.matching import any_of
 from ..functions.patterns import java
 from .parse import raw_lines
 
@@ -24,6 +25,8 @@ def _count(text: Column, pattern: str, flags: str) -> Column:
 
 
 def _flag(text: Column, pattern: str, flags: str) -> Column:
+    # a run of base64 letters is tried from its start alone
+    pattern = pattern.replace("[a-zA-Z0-9+/]{30,}={0,2}", "(?<![a-zA-Z0-9+/])[a-zA-Z0-9+/]{30}")
     return text.rlike(java(_without_host_loop(pattern), flags))
 
 
@@ -39,6 +42,27 @@ def _without_host_loop(pattern: str) -> str:
     return rf"{scheme}//(?:{label}\.(?![a-zA-Z]{{2}}))*+{label}\.[a-zA-Z]{{2}}"
 
 
+def _gate(text: Column, name: str, lowered: Column | None = None) -> Column | None:
+    """Whether a text has the literals that a match of feature ``name`` needs; None where no literal is needed."""
+    gates = R.FEATURE_LOWER_GATES if lowered is not None and name in R.FEATURE_LOWER_GATES else R.FEATURE_GATES
+    if name not in gates:
+        return None
+    out = F.lit(True)
+    for literals in gates[name]:
+        out = out & any_of(lowered if gates is R.FEATURE_LOWER_GATES else text, literals)
+    return out | any_of(text, R.FOLDED_LETTERS) if gates is R.FEATURE_LOWER_GATES else out
+
+
+def _gated_count(text: Column, name: str, pattern: str, flags: str) -> Column:
+    gate, count = _gate(text, name), _count(text, pattern, flags)
+    return count if gate is None else F.when(text.isNotNull(), F.when(gate, count).otherwise(F.lit(0)))
+
+
+def _gated_flag(text: Column, name: str, pattern: str, flags: str, lowered: Column | None = None) -> Column:
+    gate, flag = _gate(text, name, lowered), _flag(text, pattern, flags)
+    return flag if gate is None else gate & flag
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(R.WORD), F.lit(0))
 
@@ -46,7 +70,7 @@ def words(text: Column) -> Column:
 def with_text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     staged = df.withColumn("_words", words(t)).withColumn("_n", F.size("_words"))
-    total = F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w))
+    total = F.length(F.array_join("_words", ""))
     n_lines = F.size(raw_lines(t))
     out = staged.withColumns(
         {
@@ -71,22 +95,25 @@ def fence_languages(text: Column) -> Column:
 
 def with_code_patterns(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
-    counts = {n: _count(t, p, f) for n, (p, f) in R.CODE_COUNTS.items()}
+    counts = {n: _gated_count(t, n, p, f) for n, (p, f) in R.CODE_COUNTS.items()}
     return df.withColumns(
-        {**counts, "has_obfuscated_code": _flag(t, R.OBFUSCATED_CODE, ""), "language_count": F.size(F.array_distinct(fence_languages(t)))}
+        {**counts, "has_obfuscated_code": _gated_flag(t, "has_obfuscated_code", R.OBFUSCATED_CODE, ""), "language_count": F.size(F.array_distinct(fence_languages(t)))}
     )
 
 
 def with_markdown_structure(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     depths = F.transform(F.regexp_extract_all(t, F.lit(java(*R.HEADING_LEVEL)), F.lit(1)), F.length)
-    counts = {n: _count(t, p, f) for n, (p, f) in R.MARKDOWN_COUNTS.items()}
+    counts = {n: _gated_count(t, n, p, f) for n, (p, f) in R.MARKDOWN_COUNTS.items()}
     return df.withColumns({**counts, "max_heading_depth": F.coalesce(F.array_max(depths), F.lit(0)), "has_proper_structure": _flag(t, *R.PROPER_STRUCTURE)})
 
 
 def with_security_indicators(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
-    return df.withColumns({**{n: _flag(t, p, f) for n, (p, f) in R.SECURITY_FLAGS.items()}, **{n: _count(t, p, f) for n, (p, f) in R.EVASION_COUNTS.items()}})
+    # lower-cased in a projection of its own: three gates read it
+    staged, lowered = df.withColumn("_lowered", F.lower(t)), F.col("_lowered")
+    flags = {n: _gated_flag(t, n, p, f, lowered) for n, (p, f) in R.SECURITY_FLAGS.items()}
+    return staged.withColumns({**flags, **{n: _gated_count(t, n, p, f) for n, (p, f) in R.EVASION_COUNTS.items()}}).drop("_lowered")
 
 
 def with_metadata(df: DataFrame, text: str = "text", url: str = "url") -> DataFrame:

@@ -713,3 +713,33 @@ def test_search_grows_one_forest_for_each_fold_and_least_rows(spark, monkeypatch
     monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, data: fitted.append(self.getNumTrees()) or fit(self, data))
     FP.search(rows, (2, 4), (1, 3), (1, 2), folds=2)
     assert sorted(fitted[:-1]) == [4] * 4  # and the best model at the end
+
+
+def test_feature_gates_lose_no_match(spark):
+    from docsentry import rules as R
+    from docsentry.functions.patterns import java
+    from docsentry.operators import features as FE
+
+    rng = random.Random(11)
+    pieces = ["eval(", "exec x", "subprocess.call", "os.system", "from a import b", "require", "def f(", "function g (", "http://a.bc/x", "\\x41", "\\u0041", "\\101", "|a|b|\n|---|", "|", "[a](b)", "![i](u)", "popen", "'a' + 'b'",
+              'window["eval"]', "this['eval']", "pa\u017f\u017fword='x'", "TO\u212aEN: \"y\"", "ap\u0131_key='z'", "<SCRIPT>q</\u017fcript>", "Select a FROM b", "un\u0130on where", "a" * 29, "B" * 30, "+/9=", "word", " ", "\n", "caf\u00e9"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(9))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    counts = {**R.CODE_COUNTS, **R.MARKDOWN_COUNTS, **R.EVASION_COUNTS}
+    flags = {**R.SECURITY_FLAGS, "has_obfuscated_code": (R.OBFUSCATED_CODE, "")}
+    plain = df.select("doc_id", *[F.regexp_count("text", F.lit(java(p, f))).alias(n) for n, (p, f) in counts.items()], *[F.col("text").rlike(java(p, f)).alias(n) for n, (p, f) in flags.items()],
+                      F.expr("aggregate(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0), 0, (a, w) -> a + length(w))").alias("chars"))
+    built = FE.with_security_indicators(FE.with_markdown_structure(FE.with_code_patterns(FE.with_text_statistics(df))))
+    built = built.withColumn("chars", F.round(F.col("avg_word_length") * F.col("word_count")).cast("int"))
+    rows = {r["doc_id"]: r for r in built.select("doc_id", *counts, *flags, "chars").collect()}
+    for r in plain.collect():
+        own = rows[r["doc_id"]]
+        assert {n: own[n] for n in (*counts, *flags)} == {n: r[n] for n in (*counts, *flags)}, texts[r["doc_id"]]
+        assert (own["chars"] or 0) == (r["chars"] or 0)
+
+
+def test_bars_that_are_no_table_cost_no_search(spark):
+    from docsentry.operators import features as FE
+
+    df = spark.createDataFrame([(1, "|" * 20_000)], "doc_id int, text string")
+    assert FE.with_markdown_structure(df).first()["table_count"] == 0  # the bare pattern tries each pair of bars
