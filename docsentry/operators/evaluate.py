@@ -13,6 +13,10 @@ from ..functions.scale import exact_quantiles, quantile_bucket, running_totals
 from ..session import materialize
 
 
+#: Askers of a share in one-to-one matching, on average.
+_SHARE_ROWS = 5_000
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -74,7 +78,7 @@ def one_to_one(findings: DataFrame, expectations: DataFrame, agree: DataFrame, k
     Findings with the same choice of kinds are a class. What is left of a case
     is numbers: its findings with their class and its expectations with their
     kind, two small integers and a digest a row. They are walked through in one
-    pass with a queue a kind, so a case costs its rows times its kinds, and
+    pass with a queue a kind, many cases to a call, so a case costs its rows times its kinds, and
     never its pairs.
     """
     chosen = agree.groupBy(key, "sort").agg(F.sort_array(F.collect_set("kind")).alias("_kinds")).select(key, "sort", "_kinds", F.sha2(F.to_json("_kinds"), 256).alias("class"))
@@ -84,7 +88,10 @@ def one_to_one(findings: DataFrame, expectations: DataFrame, agree: DataFrame, k
     offered = expectations.join(kinds.select(key, "kind").distinct(), [key, "kind"], "left_semi").select(key, "kind", F.col("expected_no").cast("long").alias("expected_no"), F.lit(None).cast("string").alias("class"))
     wishes = offered.unionByName(kinds)
     schema = f"{key} {dict(findings.dtypes)[key]}, actual_no long, expected_no long"
-    return askers.groupBy(key).cogroup(wishes.groupBy(key)).applyInPandas(earliest_free(key), schema)
+    # a call of its own for every case costs more than its rows: whole cases are dealt to shares of some thousand askers
+    shares = -(-askers.count() // _SHARE_ROWS) or 1
+    dealt = [side.withColumn("_share", F.pmod(F.xxhash64(key), F.lit(shares))) for side in (askers, wishes)]
+    return dealt[0].groupBy("_share").cogroup(dealt[1].groupBy("_share")).applyInPandas(earliest_free(key), schema)
 
 
 def case_counts(cases: DataFrame, actual: DataFrame, expected: DataFrame, key: str = "case_id") -> DataFrame:

@@ -743,3 +743,30 @@ def test_bars_that_are_no_table_cost_no_search(spark):
 
     df = spark.createDataFrame([(1, "|" * 20_000)], "doc_id int, text string")
     assert FE.with_markdown_structure(df).first()["table_count"] == 0  # the bare pattern tries each pair of bars
+
+
+def test_one_call_matches_findings_of_many_cases(spark, monkeypatch):
+    rng = random.Random(3)
+    cases = {f"c{i}": ([rng.choice("xyz") for _ in range(rng.randrange(1, 8))], [rng.choice("ab") for _ in range(rng.randrange(5))]) for i in range(60)}
+    takes = {"x": "a", "y": "ab", "z": "b"}
+    findings = spark.createDataFrame([(c, n, s) for c, (found, _) in cases.items() for n, s in enumerate(found)], "case_id string, actual_no long, sort string")
+    wanted = spark.createDataFrame([(c, n, k) for c, (_, w) in cases.items() for n, k in enumerate(w)], "case_id string, expected_no long, kind string")
+    agree = spark.createDataFrame([(c, s, k) for c, (found, w) in cases.items() for s in set(found) for k in set(w) & set(takes[s])], "case_id string, sort string, kind string")
+    expected = set()
+    for c, (found, w) in cases.items():
+        free = list(enumerate(w))
+        for n, s in enumerate(found):
+            first = next((f for f in free if f[1] in takes[s]), None)
+            if first:
+                free.remove(first)
+                expected.add((c, n, first[0]))
+    calls = spark.sparkContext.accumulator(0)
+    plain = EV.earliest_free
+
+    def counted(key):
+        take = plain(key)
+        return lambda askers, wishes: calls.add(1) or take(askers, wishes)
+
+    monkeypatch.setattr(EV, "earliest_free", counted)
+    rows = [tuple(r) for r in EV.one_to_one(findings, wanted, agree).collect()]
+    assert set(rows) == expected and len(rows) == len(expected) and calls.value < 10
