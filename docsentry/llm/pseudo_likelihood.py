@@ -9,6 +9,8 @@ side of it; the sum of the log-probabilities of a document is its score.
   other words form a last class and share it evenly.
 * Network: embeddings of the window's words, one weight block a place, a tanh
   layer, a softmax over classes; written in numpy.
+* Texts are split once: their words' ids, two bytes each, are written and
+  read by all rounds and the scores.
 * Training: every document takes part; each task descends over its own rows
   from the common weights, ``1 / stride`` of the positions of every document
   as targets, a different share each round; ``stride`` is the number of rounds,
@@ -78,6 +80,14 @@ class Vocabulary:
     n_classes: int
     class_share: np.ndarray
 
+    @property
+    def stored(self) -> str:
+        """Type that written ids have: two bytes where they fit."""
+        return "<u2" if len(self.index) < 1 << 16 else "<u4"
+
+    def read(self, ids: bytes) -> np.ndarray:
+        return np.frombuffer(ids, self.stored).astype(np.int32)
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -105,6 +115,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", name: str = "lm-ids") -> DataFrame:
+    """Rows (key, ids binary), written: the words of every text by number, split once for all rounds and the scores."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for batch in batches:
+            ids = [vocab.ids(text).astype(vocab.stored).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
+
+    own = F.col(f"`{key}`") if key in docs.columns else F.lit(None).cast("long").alias(key)  # training asks for no key
+    columns = docs.select(own, F.col("text").cast("string"))
+    return materialize(columns.mapInArrow(run, f"`{key}` {dict(columns.dtypes)[key]}, ids binary"), name)
+
+
 def build_vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> Vocabulary:
     counted = materialize(count_words(docs), "lm-words")
     summed = sorted(most_frequent(counted, "n", size).collect(), key=lambda r: (-r["n"], r["word"]))
@@ -182,7 +209,7 @@ class Network:
         self.bias -= rate * back.sum(axis=0)
 
 
-def _train_round(docs: DataFrame, vocabulary, weights, turn: int, stride: int) -> DataFrame:
+def _train_round(encoded: DataFrame, vocabulary, weights, turn: int, stride: int) -> DataFrame:
     """Rows (part, task, tokens, weights): each task's weights after a pass over its rows, cut into parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +218,8 @@ def _train_round(docs: DataFrame, vocabulary, weights, turn: int, stride: int) -
         seen = 0
         windows, targets, held = [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = vocab.ids(text)
+            for stored in batch.column(0).to_pylist():
+                ids = vocab.read(stored)
                 places = np.arange((turn + len(ids)) % stride, len(ids), stride)
                 if not len(places):
                     continue
@@ -217,7 +244,9 @@ def _train_round(docs: DataFrame, vocabulary, weights, turn: int, stride: int) -
                 names=["part", "task", "tokens", "weights"],
             )
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, task int, tokens long, weights binary")
+    if "ids" not in encoded.columns:
+        encoded = encode(encoded, vocabulary.value)
+    return encoded.select("ids").mapInArrow(run, "part int, task int, tokens long, weights binary")
 
 
 def _descend(net: Network, windows: list[np.ndarray], targets: list[np.ndarray]) -> int:
@@ -235,9 +264,10 @@ def _mean(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": group["part"].iloc[:1], "tokens": [int(tokens.sum())], "weights": [stacked.astype("<f4").tobytes()]})
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
-    """Weights after ``rounds`` rounds of local descent and averaging over all documents."""
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE, encoded: DataFrame | None = None) -> np.ndarray:
+    """Weights after ``rounds`` rounds of local descent and averaging over all documents; ``encoded``: what ``encode`` wrote of them."""
     spark = docs.sparkSession
+    encoded = encode(docs.select("text"), vocabulary) if encoded is None else encoded
     ship_package(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     first = Network(vocabulary.n_classes)
@@ -245,7 +275,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
     vector = first.vector
     for turn in range(rounds):
         weights = spark.sparkContext.broadcast(vector)
-        rows = _train_round(docs, shared, weights, turn, stride)
+        rows = _train_round(encoded, shared, weights, turn, stride)
         near = rows.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(_mean, "part int, tokens long, weights binary")
         parts = near.groupBy("part").applyInPandas(_mean, "part int, tokens long, weights binary").collect()
         if parts:
@@ -254,9 +284,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
     return vector
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, key: str = "doc_id", encoded: DataFrame | None = None) -> DataFrame:
     """Rows (key, n_tokens, log_prob, mean_log_prob) of every document, each token predicted from both sides."""
     spark = docs.sparkSession
+    encoded = encode(docs, vocabulary, key) if encoded is None else encoded
     ship_package(spark)
     shared = spark.sparkContext.broadcast((vocabulary, vector))
 
@@ -283,8 +314,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, key: str
 
         for batch in batches:
             sizes, sums, waiting, held = [], [], [], 0
-            for text in batch.column(1).to_pylist():
-                ids = vocab.ids(text)
+            for stored in batch.column(1).to_pylist():
+                ids = vocab.read(stored)
                 sizes.append(len(ids))
                 waiting.append(ids)
                 held += len(ids)
@@ -304,5 +335,4 @@ def score(docs: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, key: str
             )
 
     kind = dict(docs.dtypes)[key]
-    columns = docs.select(F.col(f"`{key}`"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    return encoded.select(F.col(f"`{key}`"), "ids").mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_prob double, mean_log_prob double")

@@ -43,8 +43,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pseudo-log-likelihood under a network trained on all of them."""
     docs = read(spark, sf_dir, "documents")
     vocabulary = pseudo_likelihood.build_vocabulary(docs)
-    weights = pseudo_likelihood.train(docs, vocabulary)
-    return pseudo_likelihood.score(docs, vocabulary, weights)
+    encoded = pseudo_likelihood.encode(docs, vocabulary)
+    weights = pseudo_likelihood.train(docs, vocabulary, encoded=encoded)
+    return pseudo_likelihood.score(docs, vocabulary, weights, encoded=encoded)
 
 
 @query(

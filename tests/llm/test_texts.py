@@ -375,3 +375,18 @@ def test_registered_training_beats_class_frequencies(spark, sf):
     untrained.out_bias[:] = np.log(vocabulary.class_share)
     total = lambda weights: LM.score(docs, vocabulary, weights).agg({"log_prob": "sum"}).first()[0]
     assert total(LM.train(docs, vocabulary)) > total(untrained.vector)
+
+
+def test_registered_scoring_splits_texts_twice(spark):
+    docs = documents(spark, ["a b. a", "b", "", None, "c a"])
+    vocabulary = LM.build_vocabulary(docs)
+    encoded = LM.encode(docs, vocabulary)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = encoded.collect()
+    assert len(rows) == 5 and all(vocabulary.read(r["ids"]).tolist() == vocabulary.ids(texts[r["doc_id"]]).tolist() for r in rows)
+    # scores and rounds read the ids, and no text any more
+    without = docs.select("doc_id")
+    weights = LM.train(without, vocabulary, encoded=encoded)
+    got = {r["doc_id"]: r["n_tokens"] for r in LM.score(without, vocabulary, weights, encoded=encoded).collect()}
+    assert got == {k: len(vocabulary.ids(t)) for k, t in texts.items()}
+    assert LM.Vocabulary({str(i): i for i in range(1 << 16)}, None, None, 1, None).stored == "<u4"
