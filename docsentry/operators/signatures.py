@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import rules as R
+from ..functions.anchored import AnchoredStrings
 from ..functions.matching import Rule, scan
 from ..functions.scale import broadcast_small
 from ..session import materialize
@@ -178,44 +182,70 @@ def binary_matches(df: DataFrame, content: str, rules: DataFrame, keep: Sequence
 
     Strings are hex bytes with ``?`` for a half byte. Every byte position of a
     content looks its next bytes up in the rules' anchors; only where an anchor
-    stands is the whole string compared, in the same stage. Contents are cut into
-    chunks that overlap by the longest string, so a row never carries more. The
-    plan is the same for two rules and for a million. Null and empty contents
-    have no matches; of a header, at most 64 bytes may be given.
+    stands is the whole string compared. Up to ``broadcast_anchors`` strings are
+    sent to all tasks, which look a batch of contents up at once; more meet the
+    positions in a shuffle, from chunks that overlap by the longest string, so a
+    row never carries more. Null and empty contents have no matches; of a
+    header, at most 64 bytes may be given.
     """
     table = materialize(anchors(rules), "signature-anchors")
-    widths = [r["width"] for r in table.select("width").distinct().orderBy("width").collect()]  # at most five
     reach = table.agg(F.max("size")).first()[0] or 0
-    few = table.limit(broadcast_anchors + 1).count() <= broadcast_anchors
     content_bytes = F.col("_content")
     source = df.select(F.struct(*keep).alias("_keep"), F.col(content).cast("binary").alias("_content")).where(F.octet_length("_content") > 0)
+    begins = F.hex(F.substring(content_bytes, F.lit(1), F.lit(_HEADER_BYTES)))
+    if table.limit(broadcast_anchors + 1).count() <= broadcast_anchors:
+        return _few_matches(source.select("_keep", begins.alias("_begins"), "_content"), table)
+    widths = [r["width"] for r in table.select("width").distinct().orderBy("width").collect()]  # at most five
     blocks = source.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("_content") - 1, F.lit(_BLOCK_BYTES))).alias("_base"))
     low = F.greatest(F.col("_base") - reach, F.lit(0))
     chunks = blocks.select(
         "_keep",
         "_base",
         F.octet_length("_content").alias("_size"),
-        F.hex(F.substring(content_bytes, F.lit(1), F.lit(_HEADER_BYTES))).alias("_begins"),
+        begins.alias("_begins"),
         low.alias("_low"),
         F.substring(content_bytes, low + 1, F.col("_base") - low + _BLOCK_BYTES + reach).alias("_chunk"),
     )
-    held = ["_keep", "_begins", "_low", "_chunk"]
-    if not few:  # the chunk stays behind while its positions meet the anchors
-        chunks = materialize(chunks.withColumn("_row", F.monotonically_increasing_id()), "signature-chunks")
-    carried = held if few else ["_row"]
-    used = ["_chunk", "_low", "_size"]
-    places = chunks.select(*used, *[c for c in carried if c not in used], F.explode(F.sequence(F.col("_base"), F.least(F.col("_base") + _BLOCK_BYTES, F.col("_size")) - 1)).alias("_at"))
+    # the chunk stays behind while its positions meet the anchors
+    chunks = materialize(chunks.withColumn("_row", F.monotonically_increasing_id()), "signature-chunks")
+    places = chunks.select("_chunk", "_low", "_size", "_row", F.explode(F.sequence(F.col("_base"), F.least(F.col("_base") + _BLOCK_BYTES, F.col("_size")) - 1)).alias("_at"))
     # whole grams only: a cut one at the end could look like a shorter anchor
     grams = [F.when(F.col("_at") + w <= F.col("_size"), F.substring(F.col("_chunk"), F.col("_at") - F.col("_low") + 1, F.lit(w))) for w in widths] or [F.lit(None).cast("binary")]
     gram = grams[0] if len(grams) == 1 else F.explode(F.array(*grams))
-    met = places.select(*carried, "_at", gram.alias("gram")).join(F.broadcast(table) if few else table, "gram")
-    if not few:
-        met = met.join(chunks.select("_row", *held), "_row")
+    met = places.select("_row", "_at", gram.alias("gram")).join(table, "gram").join(chunks.select("_row", "_keep", "_begins", "_low", "_chunk"), "_row")
     start = F.col("_at") - F.col("place")
     stands = F.like(F.hex(F.substring(F.col("_chunk"), start - F.col("_low") + 1, F.col("size"))), F.col("mask"))
     return met.where((start >= 0) & F.rlike(F.col("_begins"), F.col("headed")) & stands).select("_keep.*", "rule", "identifier", start.alias("offset"))
 
 
+def _few_matches(contents: DataFrame, table: DataFrame) -> DataFrame:
+    """``binary_matches`` of contents (_keep, _begins, _content) for anchors that a task can hold."""
+    spark = contents.sparkSession
+    # rows as collected, so that a string's number is its place in them
+    rows = table.where("gram IS NOT NULL").collect()
+    shared = spark.sparkContext.broadcast([(r["mask"], r["place"], bytes(r["gram"])) for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = AnchoredStrings(shared.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(2).cast(pa.large_binary())
+            bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], np.uint8)
+            for content, string, offset in strings.find(data, bounds):
+                taken = pa.array(content)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(string.astype(np.int32)), pa.array(offset.astype(np.int32))],
+                    names=["_keep", "_begins", "_string", "offset"],
+                )
+
+    schema = StructType([*contents.schema.fields[:2], StructField("_string", IntegerType()), StructField("offset", IntegerType())])
+    named = spark.createDataFrame([(i, r["rule"], r["identifier"], r["headed"]) for i, r in enumerate(rows)], "_string int, rule string, identifier string, headed string")
+    met = contents.mapInArrow(run, schema).join(F.broadcast(named), "_string")
+    return met.where(F.rlike(F.col("_begins"), F.col("headed"))).select("_keep.*", "rule", "identifier", "offset")
+
+
 def binary_findings(matches: DataFrame, rules: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Rows (keep, rule) whose condition the ``matches`` meet."""
     counted = matches.groupBy(*keep, "rule", "identifier").agg(F.count("*").alias("_n"))

@@ -6,6 +6,7 @@ import re
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,24 @@ def test_a_thousand_binary_rules(spark):
     assert {(r["id"], r["rule_name"]) for r in shuffled.collect()} == expected
 
 
+def test_few_binary_rules_make_no_row_per_byte(spark, monkeypatch):
+    from docsentry.functions import anchored
+
+    df = spark.createDataFrame([(1, bytearray(b"MZ"))], "id int, content binary")
+    rows = SIG.binary_rule_rows(spark, [{"name": "r", "strings": {"$a": "4D 5A 00 01 01"}}])
+    few = SIG.binary_matches(df, "content", rows, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in few
+    # places are the same however a buffer is sliced, and none spans two contents
+    monkeypatch.setattr(anchored, "_SLICE", 7)
+    monkeypatch.setattr(anchored, "_COMPARED", 3)
+    contents = [b"abcabcabd", b"", b"ab", b"cabc" * 9]
+    data, bounds = np.frombuffer(b"".join(contents), np.uint8), np.cumsum([0] + [len(c) for c in contents])
+    strings = [("616263", 0, b"abc"), ("6_6263", 1, b"bc"), ("__", 0, b""), ("616", 0, b"a")]
+    found = [t for part in anchored.AnchoredStrings(strings).find(data, bounds) for t in zip(*(x.tolist() for x in part), strict=True)]
+    shapes = [rb"(?=abc)", rb"(?=[a-o`]bc)", rb"(?=.)"]
+    assert sorted(found) == sorted((i, j, m.start()) for i, c in enumerate(contents) for j, s in enumerate(shapes) for m in re.finditer(s, c))
+
+
 def test_binary_plan_does_not_grow_with_the_rules(spark):
     df = spark.createDataFrame([(1, bytearray(b"MZ"))], "id int, content binary")
     plans = []
