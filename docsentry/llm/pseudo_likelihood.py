@@ -55,7 +55,10 @@ RATE = 0.2
 #: Parts the weights travel in, and tasks whose weights meet in one group.
 PARTS = 16
 FAN_IN = 256
-_TOKENS_PER_CALL = 16_384
+#: Few enough that a call's numbers stay in a core's cache.
+_TOKENS_PER_CALL = 2048
+#: Scores up to this size need no shift before they are exponentiated.
+_PLAIN = 60.0
 
 #: Marks that are words of their own.
 MARKS = ".,;:!?()\""
@@ -171,14 +174,31 @@ class Network:
         padded = np.concatenate([np.full(SIDE, INPUTS, np.int32), inputs, np.full(SIDE, INPUTS, np.int32)])
         return np.stack([padded[i : i + len(inputs)] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
 
-    def forward(self, window: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        state = tables[0][window[:, 0]]
+    def _exponentials(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the classes, less a shift where they could be large, their exponentials, and each row's sum of these."""
+        scores = state @ self.out
+        scores += self.out_bias
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() > _PLAIN:
+            scores -= scores.max(axis=1, keepdims=True)
+        powers = np.exp(scores)
+        return scores, powers, powers @ np.ones((powers.shape[1], 1), powers.dtype)
+
+    def _state(self, window: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        state = np.take(tables[0], window[:, 0], axis=0)
         for place in range(1, 2 * SIDE):
-            state = state + tables[place][window[:, place]]
-        state = np.tanh(state + self.bias)
-        scores = state @ self.out + self.out_bias
-        scores -= scores.max(axis=1, keepdims=True)
-        return state, scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+            state += np.take(tables[place], window[:, place], axis=0)
+        state += self.bias
+        return np.tanh(state, out=state)
+
+    def forward(self, window: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        state = self._state(window, tables)
+        scores, _, sums = self._exponentials(state)
+        return state, scores - np.log(sums)
+
+    def log_probs(self, window: np.ndarray, target: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Log-probability of each place's class."""
+        scores, _, sums = self._exponentials(self._state(window, tables))
+        return scores[np.arange(len(target)), target] - np.log(sums[:, 0])
 
     def tables(self) -> np.ndarray:
         return np.stack([self.embed @ self.mix[p] for p in range(2 * SIDE)])
@@ -186,27 +206,26 @@ class Network:
     def step(self, window: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on the mean log-loss of a batch."""
         n = len(target)
-        vectors = self.embed[window].reshape(n, -1)
+        vectors = np.take(self.embed, window.ravel(), axis=0).reshape(n, -1)
         mix = self.mix.reshape(-1, self.mix.shape[-1])
-        state = np.tanh(vectors @ mix + self.bias)
-        scores = state @ self.out + self.out_bias
-        scores -= scores.max(axis=1, keepdims=True)
-        grad = np.exp(scores)
-        grad /= grad.sum(axis=1, keepdims=True)
-        grad[np.arange(n), target] -= 1
-        grad /= n
-        back = (grad @ self.out.T) * (1 - state * state)
-        into = (back @ mix.T).reshape(-1, self.embed.shape[1])
+        state = vectors @ mix
+        state += self.bias
+        np.tanh(state, out=state)
+        _, grad, sums = self._exponentials(state)
+        grad /= sums * np.float32(n)
+        grad[np.arange(n), target] -= np.float32(1 / n)
+        back = grad @ self.out.T
+        back *= 1 - state * state
+        into = back @ mix.T
+        into *= np.float32(rate)
+        ones = np.ones(n, np.float32)
         self.out -= rate * (state.T @ grad)
-        self.out_bias -= rate * grad.sum(axis=0)
+        self.out_bias -= rate * (ones @ grad)
         mix -= rate * (vectors.T @ back)
-        # rows of the same input are added up before they meet its embedding
-        used = window.ravel()
-        order = np.argsort(used.astype(np.int16), kind="stable")
-        used = used[order]
-        starts = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
-        self.embed[used[starts]] -= rate * np.add.reduceat(into[order], starts, axis=0)
-        self.bias -= rate * back.sum(axis=0)
+        # number by number, as rows of the same input add up
+        at = (window.reshape(-1, 1).astype(np.int64) * self.embed.shape[1] + np.arange(self.embed.shape[1])).ravel()
+        np.subtract.at(self.embed.reshape(-1), at, into.ravel())
+        self.bias -= rate * (ones @ back)
 
 
 def _train_round(encoded: DataFrame, vocabulary, weights, turn: int, stride: int) -> DataFrame:
@@ -300,8 +319,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, key: str
             out = np.empty(len(ids))
             for at in range(0, len(ids), _TOKENS_PER_CALL):
                 part = ids[at : at + _TOKENS_PER_CALL]
-                _, logs = net.forward(window[at : at + _TOKENS_PER_CALL], tables)
-                out[at : at + len(part)] = logs[np.arange(len(part)), vocab.class_of[part]] + vocab.log_within[part]
+                logs = net.log_probs(window[at : at + _TOKENS_PER_CALL], vocab.class_of[part], tables)
+                out[at : at + len(part)] = logs + vocab.log_within[part]
             return out
 
         def scored(run_ids: list[np.ndarray]) -> list[float]:
@@ -319,7 +338,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, key: str
                 sizes.append(len(ids))
                 waiting.append(ids)
                 held += len(ids)
-                if held >= 4 * _TOKENS_PER_CALL:
+                if held >= 32 * _TOKENS_PER_CALL:
                     sums += scored(waiting)
                     waiting, held = [], 0
             if waiting:

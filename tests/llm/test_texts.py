@@ -390,3 +390,14 @@ def test_registered_scoring_splits_texts_twice(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in LM.score(without, vocabulary, weights, encoded=encoded).collect()}
     assert got == {k: len(vocabulary.ids(t)) for k, t in texts.items()}
     assert LM.Vocabulary({str(i): i for i in range(1 << 16)}, None, None, 1, None).stored == "<u4"
+
+
+def test_places_are_scored_without_the_other_classes():
+    rng = np.random.default_rng(3)
+    net = LM.Network(6)
+    window, target = rng.integers(0, 50, (30, 2 * LM.SIDE)), rng.integers(0, 6, 30)
+    for size in (0.3, 500.0):  # the second would overflow without a shift
+        net.out[:] = rng.normal(0, size, net.out.shape)
+        logs = net.log_probs(window, target, net.tables())
+        assert np.isfinite(logs).all()
+        assert np.allclose(logs, net.forward(window, net.tables())[1][np.arange(30), target], atol=1e-4)
