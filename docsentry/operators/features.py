@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.matching import any_of
-from ..functions.patterns import java
+from ..functions.linear import may_match, pattern_counts
+from ..functions.patterns import java, re2
 from .parse import raw_lines
 
 
@@ -42,25 +42,58 @@ def _without_host_loop(pattern: str) -> str:
     return rf"{scheme}//(?:{label}\.(?![a-zA-Z]{{2}}))*+{label}\.[a-zA-Z]{{2}}"
 
 
-def _gate(text: Column, name: str, lowered: Column | None = None) -> Column | None:
-    """Whether a text has the literals that a match of feature ``name`` needs; None where no literal is needed."""
-    gates = R.FEATURE_LOWER_GATES if lowered is not None and name in R.FEATURE_LOWER_GATES else R.FEATURE_GATES
-    if name not in gates:
-        return None
-    out = F.lit(True)
-    for literals in gates[name]:
-        out = out & any_of(lowered if gates is R.FEATURE_LOWER_GATES else text, literals)
-    return out | any_of(text, R.FOLDED_LETTERS) if gates is R.FEATURE_LOWER_GATES else out
+#: Every pattern of the features that is looked for in texts.
+PATTERNS = {
+    **R.CODE_COUNTS,
+    **R.MARKDOWN_COUNTS,
+    **R.SECURITY_FLAGS,
+    **R.EVASION_COUNTS,
+    "has_obfuscated_code": (R.OBFUSCATED_CODE, ""),
+    "has_proper_structure": R.PROPER_STRUCTURE,
+    "special_char_ratio": (R.SPECIAL_CHARACTER, ""),
+    "language_count": (R.FENCE_LANGUAGE, ""),
+    "max_heading_depth": R.HEADING_LEVEL,
+}
+_FLAGS = (*R.SECURITY_FLAGS, "has_obfuscated_code", "has_proper_structure")
+#: Columns that hold an extracted part of the match, for which a look by RE2 is a gate alone.
+_EXTRACTED = ("language_count", "max_heading_depth")
+
+
+def _same_in_re2(name: str) -> bool:
+    """Whether RE2 finds the same matches as Java: no word boundary, no word character, no case folding."""
+    pattern, flags = PATTERNS[name]
+    return name not in _EXTRACTED and "i" not in flags and not any(part in pattern for part in (r"\b", r"\w"))
+
+
+_BY_SET = {
+    "text_statistics": ("special_char_ratio",),
+    "code_patterns": (*R.CODE_COUNTS, "has_obfuscated_code", "language_count"),
+    "markdown_structure": (*R.MARKDOWN_COUNTS, "max_heading_depth", "has_proper_structure"),
+    "security_indicators": (*R.SECURITY_FLAGS, *R.EVASION_COUNTS),
+}
+
+
+def _look(df: DataFrame, text: str, sets: Sequence[str]) -> DataFrame:
+    """Adds ``_looked``: for each pattern of ``sets`` its count in the text, or 0 where it cannot match; one pass for all of them."""
+    if "_looked" in df.columns:
+        return df
+    names = [n for s in sets if s in _BY_SET for n in _BY_SET[s]]
+    if not names:
+        return df
+    wanted = [re2(*PATTERNS[n]) if _same_in_re2(n) else may_match(*PATTERNS[n]) or "" for n in names]
+    counts = pattern_counts(F.col(text), wanted, [_same_in_re2(n) and n not in _FLAGS for n in names])
+    return df.withColumn("_counts", counts).withColumn("_looked", F.struct(*[F.get("_counts", F.lit(i)).alias(n) for i, n in enumerate(names)])).drop("_counts")
 
 
 def _gated_count(text: Column, name: str, pattern: str, flags: str) -> Column:
-    gate, count = _gate(text, name), _count(text, pattern, flags)
-    return count if gate is None else F.when(text.isNotNull(), F.when(gate, count).otherwise(F.lit(0)))
+    found = F.col(f"_looked.{name}")
+    count = found if _same_in_re2(name) else F.when(found > 0, _count(text, pattern, flags)).otherwise(F.lit(0))
+    return F.when(text.isNotNull(), count)
 
 
-def _gated_flag(text: Column, name: str, pattern: str, flags: str, lowered: Column | None = None) -> Column:
-    gate, flag = _gate(text, name, lowered), _flag(text, pattern, flags)
-    return flag if gate is None else gate & flag
+def _gated_flag(text: Column, name: str, pattern: str, flags: str) -> Column:
+    found = F.col(f"_looked.{name}") > 0
+    return F.when(text.isNotNull(), found if _same_in_re2(name) else found & _flag(text, pattern, flags))
 
 
 def words(text: Column) -> Column:
@@ -69,6 +102,7 @@ def words(text: Column) -> Column:
 
 def with_text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
+    had, df = "_looked" in df.columns, _look(df, text, ["text_statistics"])
     staged = df.withColumn("_words", words(t)).withColumn("_n", F.size("_words"))
     total = F.length(F.array_join("_words", ""))
     n_lines = F.size(raw_lines(t))
@@ -80,11 +114,11 @@ def with_text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "avg_line_length": (F.length(t) - n_lines + 1) / n_lines,
             "avg_word_length": F.when(F.col("_n") > 0, total / F.col("_n")).otherwise(F.lit(0.0)),
             "unique_words": F.size(F.array_distinct("_words")),
-            "special_char_ratio": F.when(F.length(t) > 0, _count(t, R.SPECIAL_CHARACTER, "") / F.length(t)).otherwise(F.lit(0.0)),
+            "special_char_ratio": F.when(F.length(t) > 0, F.col("_looked.special_char_ratio") / F.length(t)).otherwise(F.lit(0.0)),
         }
     )
     diversity = F.when(F.col("_n") > 0, F.col("unique_words") / F.col("_n")).otherwise(F.lit(0.0))
-    return out.withColumn("lexical_diversity", diversity).drop("_words", "_n")
+    return out.withColumn("lexical_diversity", diversity).drop("_words", "_n", *([] if had else ["_looked"]))
 
 
 def fence_languages(text: Column) -> Column:
@@ -95,25 +129,31 @@ def fence_languages(text: Column) -> Column:
 
 def with_code_patterns(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
+    had, df = "_looked" in df.columns, _look(df, text, ["code_patterns"])
     counts = {n: _gated_count(t, n, p, f) for n, (p, f) in R.CODE_COUNTS.items()}
-    return df.withColumns(
-        {**counts, "has_obfuscated_code": _gated_flag(t, "has_obfuscated_code", R.OBFUSCATED_CODE, ""), "language_count": F.size(F.array_distinct(fence_languages(t)))}
+    languages = F.when(F.col("_looked.language_count") > 0, F.size(F.array_distinct(fence_languages(t)))).otherwise(F.lit(0))
+    out = df.withColumns(
+        {**counts, "has_obfuscated_code": _gated_flag(t, "has_obfuscated_code", R.OBFUSCATED_CODE, ""), "language_count": F.when(t.isNotNull(), languages)}
     )
+    return out if had else out.drop("_looked")
 
 
 def with_markdown_structure(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
+    had, df = "_looked" in df.columns, _look(df, text, ["markdown_structure"])
     depths = F.transform(F.regexp_extract_all(t, F.lit(java(*R.HEADING_LEVEL)), F.lit(1)), F.length)
+    depth = F.when(F.col("_looked.max_heading_depth") > 0, F.array_max(depths))
     counts = {n: _gated_count(t, n, p, f) for n, (p, f) in R.MARKDOWN_COUNTS.items()}
-    return df.withColumns({**counts, "max_heading_depth": F.coalesce(F.array_max(depths), F.lit(0)), "has_proper_structure": _flag(t, *R.PROPER_STRUCTURE)})
+    out = df.withColumns({**counts, "max_heading_depth": F.coalesce(depth, F.lit(0)), "has_proper_structure": _gated_flag(t, "has_proper_structure", *R.PROPER_STRUCTURE)})
+    return out if had else out.drop("_looked")
 
 
 def with_security_indicators(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
-    # lower-cased in a projection of its own: three gates read it
-    staged, lowered = df.withColumn("_lowered", F.lower(t)), F.col("_lowered")
-    flags = {n: _gated_flag(t, n, p, f, lowered) for n, (p, f) in R.SECURITY_FLAGS.items()}
-    return staged.withColumns({**flags, **{n: _gated_count(t, n, p, f) for n, (p, f) in R.EVASION_COUNTS.items()}}).drop("_lowered")
+    had, df = "_looked" in df.columns, _look(df, text, ["security_indicators"])
+    flags = {n: _gated_flag(t, n, p, f) for n, (p, f) in R.SECURITY_FLAGS.items()}
+    out = df.withColumns({**flags, **{n: _gated_count(t, n, p, f) for n, (p, f) in R.EVASION_COUNTS.items()}})
+    return out if had else out.drop("_looked")
 
 
 def with_metadata(df: DataFrame, text: str = "text", url: str = "url") -> DataFrame:
@@ -130,12 +170,13 @@ def extract(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)
     """
     builders = {"text_statistics": with_text_statistics, "code_patterns": with_code_patterns, "markdown_structure": with_markdown_structure, "security_indicators": with_security_indicators}
     out = df.select(*dict.fromkeys([*keep, text, *([url] if "metadata" in sets and url in df.columns else [])]))
+    out = _look(out, text, sets)
     for name in sets:
         if name in builders:
             out = builders[name](out, text)
     if "metadata" in sets:
         out = with_metadata(out if url in out.columns else out.withColumn(url, F.lit("")), text, url)
-    columns = [c for c in out.columns if c != text and (c != url or url in keep)]
+    columns = [c for c in out.columns if c not in (text, "_looked") and (c != url or url in keep)]
     out = out.select(*columns)
     if "metadata" in sets and history is not None:
         known = history.select(keep[0]).distinct().withColumn("_known", F.lit(True))
