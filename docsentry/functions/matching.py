@@ -1,8 +1,8 @@
 """Match-with-offset primitive shared by every detector.
 
 ``scan`` turns (text, rule set) into one row per match without a shuffle and
-without Python: a projection decides which rules hit a text at all (each rule
-behind a cheap literal gate), only those (text, rule) pairs are expanded, and
+with one look in Python: a projection decides which rules hit a text at all (each
+rule behind a pass of RE2, or a literal gate), only those (text, rule) pairs are expanded, and
 offsets come from prefix sums over the matches and the pieces between them.
 Offsets are code points, zero based, end exclusive, as ``re.finditer`` reports.
 """
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .linear import may_match, pattern_counts
 from .patterns import java
 
 _BLOCK = 512
@@ -78,10 +79,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hit_rules(text: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
-    """Array of rule structs (in rule order) with at least one match in ``text``."""
+def hit_rules(text: Column, lowered: Column, rules: Sequence[Rule], may: dict[int, Column] | None = None) -> Column:
+    """Array of rule structs (in rule order) with at least one match in ``text``.
+
+    ``may`` says for numbers of rules whether they can match at all; a rule that
+    is not in it has its gate.
+    """
+    may = may or {}
     tests = [
-        F.when(gate_column(lowered, r) & text.rlike(r.java_pattern), F.struct(F.lit(i).alias("rule_no"), _rule_struct(r).alias("r")))
+        F.when(may.get(i, gate_column(lowered, r)) & text.rlike(r.java_pattern), F.struct(F.lit(i).alias("rule_no"), _rule_struct(r).alias("r")))
         for i, r in enumerate(rules)
     ]
     return F.array_compact(F.array(*tests))
@@ -173,8 +179,11 @@ def scan(df: DataFrame, text: str, rules: Sequence[Rule], keep: Sequence[str], l
     """Rows (keep…, text, rule fields, rule_no, match_no, match, start, end[, line]) for every match."""
     cols = list(dict.fromkeys([*keep, text]))
     # the lower-cased text is its own projection: every gate reads it, none recomputes it
-    staged = df.select(*cols, F.lower(text).alias("_lower"))
-    hits = staged.select(*cols, F.explode(hit_rules(F.col(text), F.col("_lower"), rules)).alias("_h"))
+    wide = {i: pattern for i, r in enumerate(rules) if (pattern := may_match(r.pattern, r.flags))}
+    looked = pattern_counts(F.col(text), list(wide.values()), [False] * len(wide)) if wide else F.lit(None)
+    staged = df.select(*cols, F.lower(text).alias("_lower"), looked.alias("_may"))
+    may = {i: F.get("_may", F.lit(place)) > 0 for place, i in enumerate(wide)}
+    hits = staged.select(*cols, F.explode(hit_rules(F.col(text), F.col("_lower"), rules, may)).alias("_h"))
     flat = hits.select(*cols, F.col("_h.rule_no").alias("rule_no"), "_h.r.*")
     return with_offsets(flat, text, F.col("regex"), lines=lines).drop("regex")
 

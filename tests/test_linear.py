@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docsentry import rules as R
 from docsentry.functions.linear import may_match, pattern_counts
+from docsentry.functions.matching import scan
 from docsentry.functions.patterns import java
 from docsentry.operators import features as FE
 
@@ -40,6 +41,14 @@ def test_counts_by_re2_are_those_of_the_patterns(spark):
     assert {k: v for k, v in joined.select(*wrong).first().asDict().items() if v} == {}
 
 
+def test_rules_are_looked_for_in_one_pass(spark, capsys):
+    docs = spark.createDataFrame([(1, "mail a@b.org")], "doc_id long, text string")
+    found = scan(docs, "text", R.SECRET_RULES, ["doc_id"])
+    found.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert [r["match"] for r in found.collect()] == ["a@b.org"]
+
+
 def test_patterns_that_re2_cannot_take_keep_their_gates():
     assert may_match(r"(?<!a)b") is None and may_match(r"(a)\1") is None and may_match("end$") is None
     assert r"\b" not in may_match(r"\b\d+") and r"\b" in may_match(r"\beval\b")
