@@ -21,6 +21,7 @@ from ..session import shared_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_TIME = 2**63 - 1
 
 
 @contextmanager
@@ -200,11 +201,11 @@ class FirstSeenState(StatefulProcessor):
         if not self.seen.exists():
             best = None
             for part in rows:
-                first = part.sort_values(["ts", "doc_id"]).iloc[0]
-                mine = (first["ts"], first["doc_id"])
+                first = part.sort_values(["micros", "doc_id"]).iloc[0]
+                mine = (first["micros"], first["doc_id"])
                 best = mine if best is None or mine < best else best
             self.seen.update((int(best[1]),))
-            yield pd.DataFrame([(key[0], key[1], *best)], columns=["url", "content_hash", "ts", "doc_id"])
+            yield pd.DataFrame([(key[0], key[1], *best)], columns=["url", "content_hash", "micros", "doc_id"])
 
     def close(self) -> None:
         pass
@@ -218,9 +219,9 @@ class NumberState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         latest = self.latest.get()[0] if self.latest.exists() else 0
-        new = pd.concat(list(rows)).sort_values(["ts", "doc_id"])
+        new = pd.concat(list(rows)).sort_values(["micros", "doc_id"])
         self.latest.update((latest + len(new),))
-        yield new.assign(version_number=np.arange(latest + 1, latest + len(new) + 1, dtype=np.int32))[["url", "content_hash", "ts", "doc_id", "version_number"]]
+        yield new.assign(version_number=np.arange(latest + 1, latest + len(new) + 1, dtype=np.int32))[["url", "content_hash", "micros", "doc_id", "version_number"]]
 
     def close(self) -> None:
         pass
@@ -249,10 +250,13 @@ def track_versions(observations: DataFrame, keep_seconds: float | None = None) -
     versions. Needs the RocksDB state store.
     """
     mode = "None" if keep_seconds is None else "ProcessingTime"
-    new = observations.select("url", "content_hash", "ts", "doc_id").groupBy("url", "content_hash").transformWithStateInPandas(
-        FirstSeenState(keep_seconds), "url string, content_hash string, ts timestamp, doc_id bigint", "Append", mode
+    # times go as whole microseconds, null ones last: pandas has none after the year 2262
+    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME)).alias("micros")
+    new = observations.select("url", "content_hash", micros, "doc_id").groupBy("url", "content_hash").transformWithStateInPandas(
+        FirstSeenState(keep_seconds), "url string, content_hash string, micros bigint, doc_id bigint", "Append", mode
     )
-    return new.groupBy("url").transformWithStateInPandas(NumberState(), "url string, content_hash string, ts timestamp, doc_id bigint, version_number int", "Append", "None")
+    out = new.groupBy("url").transformWithStateInPandas(NumberState(), "url string, content_hash string, micros bigint, doc_id bigint, version_number int", "Append", "None")
+    return out.select("url", "content_hash", F.timestamp_micros(F.nullif("micros", F.lit(NO_TIME))).alias("ts"), "doc_id", "version_number")
 
 
 def state_rows(spark: SparkSession, checkpoint: str, variable: str, operator_id: int = 0) -> DataFrame:

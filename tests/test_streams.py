@@ -65,6 +65,14 @@ def test_latest_evaluation_of_an_interval(spark, run):
     assert got == [("a", 50, True, "m3"), ("a", 70, False, "m4"), ("b", 3, False, "x")]
 
 
+def test_versions_of_times_that_pandas_cannot_hold(spark, run):
+    """Nanoseconds in 64 bits end in the year 2262; times are kept to the microsecond, and null ones come last."""
+    ts = F.timestamp_micros(F.col("seconds") * 1000000 + 1).alias("ts")
+    build = lambda s: ST.track_versions(s.select("url", "content_hash", "doc_id", ts)).select("url", "content_hash", F.unix_micros("ts"), "doc_id", "version_number")
+    got = run([("u", "b", 8, 200_000 * 86400), ("u", "a", 7, 3_000_000 * 86400), ("u", "b", 9, 300_000 * 86400), ("u", "c", 6, None), ("u", "d", 5, 0)], "url string, content_hash string, doc_id long, seconds long", build)
+    assert got == [("u", "a", 3_000_000 * 86400 * 10**6 + 1, 7, 3), ("u", "b", 200_000 * 86400 * 10**6 + 1, 8, 2), ("u", "c", None, 6, 4), ("u", "d", 1, 5, 1)]
+
+
 def test_provider_setting_comes_back(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
