@@ -249,7 +249,8 @@ def redirect_chains(spark, sf):
     src = pages.where("page_id % 16 <> 0").select(F.col("url").alias("src"), (F.col("page_id") - 1).alias("to_id"))
     redirects = src.join(pages.select(F.col("page_id").alias("to_id"), F.col("url").alias("dst")), "to_id").select("src", "dst", "to_id")
     chains = L.follow_redirects(pages.select("url").distinct(), redirects, prefer="to_id")
-    return chains.select("url", F.array_join("chain", " ").alias("chain"), (F.size("chain") - 1).alias("hops"))
+    # a page without URL has a chain of nothing, which joins to null and not to an empty text
+    return chains.select("url", F.when(F.col("url").isNotNull(), F.array_join("chain", " ")).alias("chain"), (F.size("chain") - 1).alias("hops"))
 
 
 @query(

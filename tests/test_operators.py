@@ -504,6 +504,21 @@ def test_redirects_take_the_longest_of_several_targets(spark):
     assert later["s"] == list("samnp") and later["a"] == list("amns") and later["n"] == list("nsam")
 
 
+def test_pages_without_url_have_the_chain_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from docsentry.plans import catalogue
+
+    pages = one(spark, "page_id long, url string, html string", *[(i, None if i % 5 == 3 else "" if i == 7 else f"u{i % 23}", "") for i in range(40)])
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["redirect_chains"](spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute("SET threads=1")  # of equally long chains, many threads take now one and now another
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalogue.ORACLES["redirect_chains"]).fetchall(), key=str)
+    assert (None, None, 0) in got
+
+
 def test_close_scores_still_fill_many_buckets(spark):
     import numpy as np
 
