@@ -19,35 +19,48 @@ _BYTES = f"CASE {_FOUND} WHEN 'UTF-16LE' THEN 2 * length(text) + 2 * len(regexp_
 
 
 def written_files(spark, sf):
-    """A folder with every text of ``documents`` as a file, in three encodings by doc_id, and the folder's path."""
+    """Folders with every text of ``documents`` as a file in one of them, in three encodings by doc_id."""
     docs = D.documents(spark, sf, "doc_id", "text").where("text IS NOT NULL")
     narrow = ~F.col("text").rlike("[^\\x00-\\xff]")
     encoding = F.when(F.col("doc_id") % 3 == 1, "UTF-16LE").when((F.col("doc_id") % 3 == 2) & narrow, "ISO-8859-1").otherwise("UTF-8")
     root = shared_dir(spark, "files")
-    for name, line_end in (("UTF-8", "\n"), ("UTF-16LE", "\n\0"), ("ISO-8859-1", "\n")):
+    ends = {"UTF-8": "\n", "UTF-16LE": "\n\0", "ISO-8859-1": "\n"}
+    if FI.is_shared_folder(spark, root):
+        raw = F.coalesce(*[F.when(encoding == name, F.concat(F.encode("text", name), F.lit(end.encode()))) for name, end in ends.items()])
+        return FI.write_slices(docs.select("doc_id", raw.alias("raw")), f"{root}/slices", "doc_id", "raw")
+    for name, end in ends.items():
         rows = docs.where(encoding == name).select("doc_id", F.encode("text", name).alias("raw"))
-        FI.write_documents(rows, f"{root}/{name}", "doc_id", "raw", line_end)
-    return root
+        FI.write_documents(rows, f"{root}/{name}", "doc_id", "raw", end)
+    return [root]
 
 
 def _doc_id(source):
-    return F.regexp_extract(source, r"doc_id=(-?\d+)/", 1).cast("long")
+    return F.regexp_extract(source, r"doc_id=(-?\d+)[./]", 1).cast("long")
 
 
 @query("file_round_trip", "SRC-3 SRC-4", f"SELECT doc_id, {_FOUND} AS encoding, CAST({_BYTES} AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
 def file_round_trip(spark, sf):
+    out, schema = shared_dir(spark, "file-texts"), "doc_id long, encoding string, n_bytes long, text_md5 string"
     with FI.many_files(spark):
-        files = FI.decoded(FI.scan(spark, written_files(spark, sf), "*.txt"))
-        text = F.regexp_replace("text", "\\n\\z", "")
-        return materialize(files.select(_doc_id(F.col("source")).alias("doc_id"), "encoding", "n_bytes", F.md5(text).alias("text_md5")), "file-texts")
+        for folder in written_files(spark, sf):
+            files = FI.decoded(FI.scan(spark, folder, "*.txt"))
+            text = F.regexp_replace("text", "\\n\\z", "")
+            rows = files.select(_doc_id(F.col("source")).alias("doc_id"), "encoding", "n_bytes", F.md5(text).alias("text_md5"))
+            rows.write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
 
 @query("stream_file_items", "SRC-3 SRC-4 SRC-5", "SELECT doc_id, 'local_file' AS method, md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL")
 def stream_file_items(spark, sf):
-    items = FI.file_items(FI.stream(spark, written_files(spark, sf), "*.txt", bytes_per_batch=256 * 1024 * 1024))
-    rows = items.select(_doc_id(F.col("source")).alias("doc_id"), F.col("metadata.retrieval_method").alias("method"), F.md5(F.regexp_replace("content", "\\n\\z", "")).alias("content_md5"))
+    out, schema = shared_dir(spark, "file-items"), "doc_id long, method string, content_md5 string"
     with FI.many_files(spark):
-        return ST.run_available(rows, "file-items")
+        for folder in written_files(spark, sf):
+            # a stream remembers the files it has seen: one for each folder
+            items = FI.file_items(FI.stream(spark, folder, "*.txt", bytes_per_batch=256 * 1024 * 1024))
+            content = F.md5(F.regexp_replace("content", "\\n\\z", ""))
+            rows = items.select(_doc_id(F.col("source")).alias("doc_id"), F.col("metadata.retrieval_method").alias("method"), content.alias("content_md5"))
+            ST.run_available(rows, "file-items-slice").write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
 
 @query(

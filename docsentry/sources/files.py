@@ -11,6 +11,7 @@ units must become replacement characters.
 from __future__ import annotations
 
 import os
+import shutil
 import sys
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +159,15 @@ def file_items(files: DataFrame, method: str = "local_file") -> DataFrame:
     return content_items(decoded(files), F.col("source"), F.col("text"), F.lit(method), retrieved_at=F.col("modified"))
 
 
+def is_shared_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` lies in the file system, where tasks can write files themselves."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
+def _label(name: str, value) -> str:
+    return f"{name}=" + ("__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=" "))
+
+
 def write_documents(df: DataFrame, path: str, name: str, content: str, line_end: str = "\n") -> None:
     """Each row's bytes and ``line_end`` as one file below ``path``, in a folder ``name=value``; null bytes are none.
 
@@ -170,7 +180,7 @@ def write_documents(df: DataFrame, path: str, name: str, content: str, line_end:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     rows = df.select(name, F.col(content).cast("binary").alias("_bytes")).repartition(name)
-    if store.getUri().getScheme() != "file":
+    if not is_shared_folder(spark, path):
         text = rows.select(name, F.col("_bytes").cast("string").alias("value"))
         text.write.mode("overwrite").partitionBy(name).option("lineSep", line_end).text(path)
         return
@@ -181,7 +191,7 @@ def write_documents(df: DataFrame, path: str, name: str, content: str, line_end:
         last, number, attempt = None, 0, uuid.uuid4().hex
         for batch in batches:
             for value, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = os.path.join(root, f"{name}=" + ("__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=" ")))
+                at = os.path.join(root, _label(name, value))
                 number = number + 1 if at == last else 0
                 last = at
                 os.makedirs(at, exist_ok=True)
@@ -191,3 +201,43 @@ def write_documents(df: DataFrame, path: str, name: str, content: str, line_end:
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
 
     rows.sortWithinPartitions(name).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def write_slices(df: DataFrame, path: str, name: str, content: str, rows_per_task: int = 6_250, tasks_per_slice: int = 16, per_folder: int = 1000) -> list[str]:
+    """Each row's bytes as one file ``name=value.number.txt`` in the slices of ``path``, and the slices' paths; null bytes are none.
+
+    A slice is a folder of about a hundred thousand files at most: who lists and
+    reads slice by slice holds the names of one at a time, however many rows
+    there are. Rows are dealt to tasks by ``name``, a thousand files of a task share
+    a folder, and a task's files appear at once when all are written, so that a
+    further try adds none. ``path`` must be ``is_shared_folder``.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    root = folder.toUri().getPath()
+    rows = df.select(name, F.col(content).cast("binary").alias("_bytes"))
+    rows = rows.repartition(max(-(-df.count() // rows_per_task), spark.sparkContext.defaultParallelism), name)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        slice_ = f"slice={task // tasks_per_slice:05d}"
+        attempt = f"{root}/{slice_}/.{uuid.uuid4().hex}"
+        for batch in batches:
+            for value, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if number % per_folder == 0:
+                    at = f"{attempt}/{number // per_folder:05d}"
+                    os.makedirs(at)
+                with open(f"{at}/{_label(name, value)}.{number:07d}.txt", "wb") as file:
+                    file.write(data or b"")
+                number += 1
+        if number:
+            try:
+                os.rename(attempt, f"{root}/{slice_}/task={task:05d}")
+            except OSError:  # another try of this task was there first
+                if not os.path.isdir(f"{root}/{slice_}/task={task:05d}"):
+                    raise
+                shutil.rmtree(attempt)
+            yield pa.RecordBatch.from_pydict({"slice": [slice_]}, schema=pa.schema([("slice", pa.string())]))
+
+    return [f"{path}/{r['slice']}" for r in rows.mapInArrow(write, "slice string").distinct().orderBy("slice").collect()]

@@ -121,6 +121,37 @@ def test_every_row_becomes_a_file(spark, tmp_path):
     assert folders == sorted([(f"doc_id={'__HIVE_DEFAULT_PARTITION__' if k is None else k}", v + b"\n\0") for k, v in rows])
 
 
+def test_files_are_written_and_read_in_bounded_slices(spark, tmp_path, monkeypatch):
+    """Listings and streams hold the names of one slice at a time."""
+    import duckdb
+
+    from docsentry.plans import catalogue
+
+    rows = [(i % 90 if i != 7 else None, None if i == 9 else f"text {i}".encode()) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, raw binary")
+    for _ in range(2):  # a second try replaces the files of the first
+        slices = FI.write_slices(df, f"{tmp_path}/out", "doc_id", "raw", rows_per_task=10, tasks_per_slice=2, per_folder=3)
+    found = [FI.scan(spark, s, "*.txt").select("file_name", "content").collect() for s in slices]
+    assert len(slices) == 5 and all(0 < len(f) < 60 for f in found)
+    files = [r for f in found for r in f]
+    # Spark lists no files without bytes: the one of null bytes is not among them
+    assert sorted((r["file_name"].split(".")[0], bytes(r["content"])) for r in files) == sorted((f"doc_id={'__HIVE_DEFAULT_PARTITION__' if k is None else k}", v) for k, v in rows if v)
+
+    docs = [(i, None if i == 3 else f"text \u00e9\n{i}" if i % 2 else f"\U0001f600 some words of a text {i}", "en", "s", 1) for i in range(-20, 60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    write, streamed, scanned = FI.write_slices, [], []
+    monkeypatch.setattr(FI, "write_slices", lambda *a: write(*a, tasks_per_slice=4))
+    stream, scan = FI.stream, FI.scan
+    monkeypatch.setattr(FI, "stream", lambda spark, path, *a, **k: streamed.append(path) or stream(spark, path, *a, **k))
+    monkeypatch.setattr(FI, "scan", lambda spark, path, *a, **k: scanned.append(path) or scan(spark, path, *a, **k))
+    for query in ("file_round_trip", "stream_file_items"):
+        got = sorted(map(tuple, catalogue.QUERIES[query](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.execute(catalogue.ORACLES[query]).fetchall()) and len(got) == 79
+    assert len(set(streamed)) == len(streamed) == len(scanned) == len(set(scanned)) >= 1
+
+
 def test_micro_batches_by_size(spark, tmp_path):
     for i in range(30):
         (tmp_path / f"f{i}.md").write_bytes(b"x" * 100)
