@@ -749,6 +749,20 @@ def test_search_grows_one_forest_for_each_fold_and_least_rows(spark, monkeypatch
     assert sorted(fitted[:-1]) == [4] * 4  # and the best model at the end
 
 
+def test_search_remembers_nodes_and_grows_the_same_trees(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from docsentry.operators import false_positives as FP
+
+    rows = FP.as_vectors(spark.createDataFrame([([float(i % 7), float(i * 31 % 11), float(i % 5)], int(i % 7 * (i % 5) > 6) ^ (i % 13 == 0)) for i in range(400)], "features array<double>, label int")).coalesce(1).cache()
+    plain, remembered = (p.fit(rows).stages[-1] for p in (FP.classifier(5, 8, 3), FP._remember_nodes(FP.classifier(5, 8, 3))))
+    assert [t.toDebugString.split("\n", 1)[1] for t in plain.trees] == [t.toDebugString.split("\n", 1)[1] for t in remembered.trees]
+    kept, fit = [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, data: kept.append(self.getCacheNodeIds()) or fit(self, data))
+    FP.search(rows.select("features", F.col("label").cast("int").alias("label")), (2,), (3,), (1,), folds=2)
+    assert kept == [True] * 3
+
+
 def test_feature_gates_lose_no_match(spark):
     from docsentry import rules as R
     from docsentry.functions.patterns import java
